@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.llm.common import small_batches, text_or_empty
 
@@ -297,7 +298,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids
     shared = share_tokenizer(spark, tokenizer_path)
     keep = [c for c in docs.columns if c != ids_col]
     source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
-    schema = docs.select(*keep).schema.add(ids_col, "array<int>")
+    schema = docs.select(*keep).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared)
