@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import bpe, chunking, lines, pii, quality, simhash, toxicity, urls
+from panelforge.llm import bpe, chunking, edits, lines, packing, pii, quality, simhash, toxicity, urls
 from panelforge.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,14 @@ def op6_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), RANKS)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.revised_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(table(spark, sf_dir, "documents"))
 
@@ -53,7 +62,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lines": op4_lines,
         "op5_simhash": op5_simhash,
         "op6_chunking": op6_chunking,
+        "op7_packing": op7_packing,
         "op8_quality": op8_quality,
+        "op9_token_counts": op9_token_counts,
         "op10_url_filter": op10_url_filter,
     }
 
