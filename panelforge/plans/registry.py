@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("reshape_queries", "window_queries")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -25,9 +27,17 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def load() -> None:
+    """Imports the modules that register queries."""
+    for name in MODULES:
+        import_module(f"panelforge.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _ORACLES
