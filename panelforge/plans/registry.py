@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("reshape_queries", "relational_queries", "scalar_queries", "window_queries", "forecast_queries")
+MODULES = ("reshape_queries", "relational_queries", "scalar_queries", "window_queries", "forecast_queries", "scoring_queries")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
