@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch; it bounds what a Python worker holds of long texts.
 ARROW_ROWS = 512
 #: Most bytes that an operator broadcasts; beyond it the shuffled way is taken.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -34,13 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Deletes at its end what written() wrote inside it, except what is kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            forget(df)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelforge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _OPEN and not keep:
+        _OPEN[-1].append(out)
     return out
 
 

@@ -1,50 +1,50 @@
 """Line dedup as an exact set-similarity join: a line goes if an earlier one has a Jaccard similarity of 0.8 or more.
 
 1. Rarity: occurrences of all tokens are counted in a fixed number of hashed
-   cells. (cell's count, token's hash) orders all tokens alike everywhere, rare
-   ones first; a shared cell makes the order less selective, never wrong.
+   cells. (cell's rarity, token's hash) orders all tokens alike everywhere, rare
+   ones first; a shared cell makes the order less selective, never wrong. A
+   token that occurs once in the corpus can't be shared and has no posting.
 2. Each line becomes its token set in that order: its size, a 128-bit sum of
    token hashes that names the set, a 64-bit signature and the prefix tokens
    that any similar line must share one of. Lines with equal sets form one
    class, standing at its first occurrence; every other occurrence goes.
-3. Classes meet in the posting lists of prefix tokens. Length, positional and
-   signature filters leave candidates; of them each line passes on the nearest
-   few, for one earlier match is enough to remove it. Lines whose candidates all
-   fail verification, and that had more, pass on all the rest in a second round.
+3. Classes meet in the posting lists of prefix tokens (of their 32-bit hashes:
+   tokens that share one only add candidates). Length, positional and
+   signature filters leave candidates; of them each line passes on the one with
+   the nearest signature, for one earlier match is enough to remove it. Lines
+   that fail with it, and had more, pass on all of them in a second round.
 4. Candidates are verified on their words.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import maybe_broadcast, small_batches, text_or_empty, written
+from panelforge.llm.common import maybe_broadcast, passing, small_batches, text_or_empty, written
 
 SIMILARITY = 0.8
 #: Lines of fewer tokens are left alone.
 MIN_TOKENS = 3
-#: Cells of the token counts: what is broadcast, whatever the vocabulary.
-CELLS = 1 << 20
-#: Candidates that a line passes on from a posting list in the first round.
-NEAREST = 2
-#: Pairs of a posting list that are held at a time, and rows read before lists are searched.
-PAIRS, ROWS = 1 << 21, 1 << 16
+#: Cells of the token counts, a byte each: what is broadcast, whatever the vocabulary.
+CELLS = 1 << 23
+#: Pairs of posting lists that are held at a time, rows of an Arrow batch of narrow rows, and postings of a partition.
+PAIRS, ROWS, PART = 1 << 21, 1 << 14, 400_000
 FIRST_ID = -(1 << 63)
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Bytes that are hashed at a time.
+BLOCK = 1 << 21
 ODD_A, ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def tokens(line: str) -> list[str]:
-    """The lower-cased words between white space."""
-    return line.lower().split()
+def tokens(line: str) -> list[bytes]:
+    """The words between ASCII white space, with A-Z lower-cased."""
+    return line.encode().translate(LOWER).split()
 
 
 def _mix(h: np.ndarray, odd: np.uint64) -> np.ndarray:
@@ -59,87 +59,157 @@ def overlap_needed(a, b, t: float):
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def _hashes(words) -> np.ndarray:
-    of = xxhash.xxh3_64_intdigest
-    return np.fromiter((of(w.encode()) for w in words), np.uint64, len(words))
+class Hasher:
+    """Hashes of all tokens of a buffer at once: sums of bytes' numbers by powers of an odd base, modulo 2**64, mixed with the length.
 
+    A token's sum is a difference of prefix sums over the power at its start, so
+    no token becomes a Python object. Buffers are taken in blocks that end
+    between tokens, which bounds memory for very long texts.
+    """
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """d, th, text: the id (null first) and the text's hash tell documents apart; equal rows are one document."""
-    text = text_or_empty(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
-def token_counts(docs: DataFrame, cells: int) -> np.ndarray:
-    """Occurrences of tokens by hashed cell over all texts; ``cells`` bounds what reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+    BASE = 0x9DDFEA08EB382D69
+
+    def __init__(self):
+        numbers = xxhash.xxh3_64_intdigest
+        self.of_byte = np.array([numbers(bytes([LOWER[b]])) for b in range(256)], np.uint64)
+        self.blank = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        back = pow(self.BASE, -1, 1 << 64)
+        while len(self.power) < n:
+            k = len(self.power)
+            self.power = np.concatenate((self.power, self.power * np.uint64(pow(self.BASE, k, 1 << 64))))
+            self.inverse = np.concatenate((self.inverse, self.inverse * np.uint64(pow(back, k, 1 << 64))))
+
+    def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the tokens of texts that lie in ``data`` from offset to offset."""
+        blank = self.blank[data]
+        begin = np.zeros(len(data) + 1, bool)
+        begin[offsets] = True
+        first = ~blank & (begin[:-1] | np.concatenate(([True], blank[:-1])))
+        last = ~blank & (begin[1:] | np.concatenate((blank[1:], [True])))
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        out = np.empty(len(starts), np.uint64)
+        k = 0
+        while k < len(starts):
+            n = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK, "right")))
+            lo, hi = int(starts[k]), int(ends[n - 1])
+            self._grow(hi - lo)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.of_byte[data[lo:hi]] * self.power[: hi - lo])))
+            a, b = starts[k:n] - lo, ends[k:n] - lo
+            out[k:n] = _mix((sums[b] - sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * ODD_B, ODD_A)
+            k = n
+        return starts, out
+
+
+def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings without nulls, and the texts' offsets in them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] else np.zeros(0, np.uint8)
+    return data, (offsets - offsets[0]).astype(np.int64)
+
+
+def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """d, th: the id (null first) and, where ids repeat, the text's hash tell documents apart; equal rows are one document."""
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("d"))
+    repeated = ids.groupBy("d").count().where("count > 1").limit(1).count()
+    th = F.xxhash64(text_or_empty(text_col)) if repeated else F.lit(0).cast("long")
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("d"), th.alias("th")
+
+
+def token_rarity(docs: DataFrame, cells: int) -> np.ndarray:
+    """Of each hashed cell 8 times the binary logarithm of its tokens' occurrences over all texts, as a byte: 0 for one occurrence."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, hasher = np.zeros(cells, np.int64), Hasher()
         for b in batches:
-            found = Counter(chain.from_iterable(map(tokens, b.column(0).to_pylist())))
-            at = (_hashes(found) & np.uint64(cells - 1)).astype(np.int64)
-            total += np.bincount(at, np.fromiter(found.values(), np.int64, len(found)), cells).astype(np.int64)
+            _, h = hasher.tokens(*_buffer(b.column(0)))
+            np.add.at(total, (h & np.uint64(cells - 1)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         for k in range(0, len(used), ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(used[k : k + ROWS]), pa.array(total[used[k : k + ROWS]])], names=["cell", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(cells, np.int64)
-    out[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            level = np.minimum(np.round(8 * np.log2(b.column("n").to_numpy())), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("cell").to_numpy().astype(np.int32).tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], names=["cells", "levels"])
+
+    summed = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(cells, np.uint8)
+    for r in narrow(summed.mapInArrow(pack, "cells binary, levels binary"), "token-rarity").toLocalIterator():
+        out[np.frombuffer(r["cells"], np.int32)] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
-LINE = "d long, th long, line int, key_a long, key_b long, size int, sig long, prefix array<long>"
+def narrow(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table whose Python step has narrow rows, and so gets larger Arrow batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(ROWS))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
+LINE = "d long, th long, line int, key_a long, key_b long, size int, sig long, prefix array<int>, at array<int>"
 
 
-def _line_sets(texts: list[str], counts: np.ndarray, t: float, min_tokens: int):
-    """Of each line with enough tokens: text's index, line number, keys, size, signature, and prefix offsets and tokens."""
-    of_text, numbers, words, n = [], [], [], []
-    for k, text in enumerate(texts):
-        for number, line in enumerate(text.split("\n")):
-            if len(found := tokens(line)) >= min_tokens:
-                of_text.append(k)
-                numbers.append(number)
-                n.append(len(found))
-                words += found
-    if not words:
+def _line_sets(hasher: Hasher, column: pa.Array, rarity: np.ndarray, t: float, min_tokens: int):
+    """Of each line with enough tokens: text's index, line number, keys, size, signature, and prefix offsets, tokens and their places."""
+    data, offsets = _buffer(column)
+    starts, h = hasher.tokens(data, offsets)
+    breaks = np.flatnonzero(data == 10)
+    text = np.searchsorted(offsets, starts, "right") - 1
+    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[text])
+    head = np.concatenate(([True], (text[1:] != text[:-1]) | (number[1:] != number[:-1]))) if len(h) else np.zeros(0, bool)
+    line = np.cumsum(head) - 1
+    enough = np.bincount(line, minlength=1)[line] >= min_tokens if len(h) else head
+    if not enough.any():
         return None
-    ids, distinct = pd.factorize(np.array(words, dtype=object))
-    h = _hashes(distinct)
-    order = np.lexsort((h, counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    at = np.unique(np.repeat(np.arange(len(n)), n) * len(order) + rank[ids])
-    line = at // len(order)
-    h = h[order[at % len(order)]]
-    size = np.bincount(line, minlength=len(n))
+    h, line, head = h[enough], line[enough], head[enough]
+    text, number = text[enough][head], number[enough][head]
+    line = np.cumsum(head) - 1
+    # the order of tokens: rarity level, then the hash's upper 56 bits
+    code = rarity[(h & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    order = np.lexsort((code, line))
+    code, h = code[order], h[order]
+    new = np.concatenate(([True], (code[1:] != code[:-1]) | (line[1:] != line[:-1])))
+    code, h, line = code[new], h[new], line[new]
+    n = len(text)
+    size = np.bincount(line, minlength=n)
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    sig = np.bitwise_or.reduceat(np.uint64(1) << (_mix(h, ODD_A) & np.uint64(63)), start)
-    key_a, key_b = np.add.reduceat(_mix(h, ODD_A), start), np.add.reduceat(_mix(h, ODD_B), start)
+    mixed = _mix(h, ODD_A)
+    sig = np.bitwise_or.reduceat(np.uint64(1) << (mixed & np.uint64(63)), start)
+    key_a, key_b = np.add.reduceat(mixed, start), np.add.reduceat(_mix(h, ODD_B), start)
     length = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
     length[size < t / (1 - t) - 1e-9] = 0  # only equal sets are similar to such short ones
-    held = np.arange(len(h)) - start[line] < length[line]
-    return np.array(of_text), np.array(numbers, np.int32), key_a.view(np.int64), key_b.view(np.int64), size.astype(np.int32), sig.view(np.int64), np.concatenate(([0], np.cumsum(length))).astype(np.int32), h[held].view(np.int64)
+    pos = np.arange(len(h)) - start[line]
+    held = (pos < length[line]) & (code >> np.uint64(56) > 0)
+    length = np.bincount(line[held], minlength=n)
+    return text, number.astype(np.int32), key_a.view(np.int64), key_b.view(np.int64), size.astype(np.int32), sig.view(np.int64), np.concatenate(([0], np.cumsum(length))).astype(np.int32), (h[held] >> np.uint64(32)).astype(np.uint32).view(np.int32), pos[held].astype(np.int32)
 
 
-def line_table(docs: DataFrame, counts: np.ndarray, t: float, min_tokens: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def line_table(docs: DataFrame, rarity: np.ndarray, t: float, min_tokens: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for b in batches:
-            found = _line_sets(b.column("text").to_pylist(), shared.value, t, min_tokens)
+            found = _line_sets(hasher, b.column("text"), shared.value, t, min_tokens)
             if found:
-                which, *columns, offsets, prefix = found
-                yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(which)), b.column("th").take(pa.array(which)), *map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))], names=[f.split()[0] for f in LINE.split(", ")])
+                which, *columns, offsets, prefix, at = found
+                yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(which)), b.column("th").take(pa.array(which)), *map(pa.array, columns), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (prefix, at))], names=[f.split()[0] for f in LINE.split(", ")])
 
     return docs.mapInArrow(run, LINE)
 
 
-CANDIDATE = "d long, th long, line int, d2 long, th2 long, line2 int, more long"
+CANDIDATE = "d long, th long, line int, d2 long, th2 long, line2 int, apart int, n long"
 _POST = ("token", "d", "th", "line", "size", "pos", "sig", "ask")
 
 
-def _search(rows: dict[str, np.ndarray], t: float, take: int) -> Iterator[pa.RecordBatch]:
+def _search(rows: dict[str, np.ndarray], t: float, every: bool) -> Iterator[pa.RecordBatch]:
     """Candidates of whole posting lists that are sorted by token, then order of lines."""
     n = len(rows["token"])
     new = np.concatenate(([True], rows["token"][1:] != rows["token"][:-1]))
@@ -168,42 +238,45 @@ def _search(rows: dict[str, np.ndarray], t: float, take: int) -> Iterator[pa.Rec
         head = np.concatenate(([True], a[1:] != a[:-1]))
         nth = np.arange(len(a)) - np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
         times = np.bincount(np.cumsum(head) - 1)[np.cumsum(head) - 1]
-        kept = nth < take if take else np.ones(len(a), bool)
-        a, b, more = a[kept], b[kept], np.maximum(times[kept] - take, 0) if take else np.zeros(kept.sum(), np.int64)
-        yield pa.RecordBatch.from_arrays([*(pa.array(rows[c][x]) for x in (a, b) for c in ("d", "th", "line")), pa.array(more.astype(np.int64))], names=[f.split()[0] for f in CANDIDATE.split(", ")])
+        kept = slice(None) if every else nth == 0
+        a, b, apart, times = a[kept], b[kept], apart[order][kept], times[kept]
+        yield pa.RecordBatch.from_arrays([*(pa.array(rows[c][x]) for x in (a, b) for c in ("d", "th", "line")), pa.array(apart.astype(np.int32)), pa.array(times.astype(np.int64))], names=[f.split()[0] for f in CANDIDATE.split(", ")])
 
 
-def candidates(posts: DataFrame, t: float, take: int) -> DataFrame:
-    """d, th, line: a line; d2, th2, line2: an earlier one that passes the filters; more: how many others weren't passed on."""
-    ordered = posts.select(*_POST).repartition("token").sortWithinPartitions("token", "d", "th", "line")
+def candidates(posts: DataFrame, n_posts: int, t: float, every: bool = False) -> DataFrame:
+    """d, th, line: a line; d2, th2, line2: an earlier one that passes the filters (of each posting
+    list the nearest by ``apart``, the signatures' differing bits, or every one); n: how many of the list pass.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[dict] = []
-
-        def joined() -> dict[str, np.ndarray]:
-            return {c: np.concatenate([p[c] for p in parts]) for c in _POST}
+    The number of partitions follows the postings, so that a task holds about ``PART`` of them.
+    """
+    spark = posts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_posts // PART))
 
-        for b in batches:
-            parts.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in _POST})
-            if sum(len(p["token"]) for p in parts) >= ROWS and (rows := joined())["token"][0] != rows["token"][-1]:
-                last = np.searchsorted(rows["token"], rows["token"][-1])
-                yield from _search({c: v[:last] for c, v in rows.items()}, t, take)
-                parts = [{c: v[last:] for c, v in rows.items()}]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in _POST] for b in batches]
         if parts:
-            yield from _search(joined(), t, take)
+            rows = {c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(_POST)}
+            parts.clear()
+            same = np.argsort(rows["token"], kind="stable")
+            token = rows["token"][same]
+            shared = (token == np.roll(token, 1)) | (token == np.roll(token, -1))
+            same = same[shared]  # tokens of one line only have no pairs
+            if len(same) > 1:
+                order = same[np.lexsort([rows[c][same] for c in ("line", "th", "d", "token")])]
+                yield from _search({c: v[order] for c, v in rows.items()}, t, every)
 
-    return ordered.mapInArrow(run, CANDIDATE)
+    return posts.select(*_POST).repartition(n, "token").mapInArrow(run, CANDIDATE)
 
 
 LINE_OF = ("d", "th", "line")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """The pairs whose lines' words have Jaccard t or more."""
+    """d, th, line of the pairs whose lines' words have Jaccard t or more."""
     ends = pairs.select(*LINE_OF).unionByName(pairs.select(F.col("d2").alias("d"), F.col("th2").alias("th"), F.col("line2").alias("line"))).distinct()
     of_doc = written(ends.groupBy("d", "th").agg(F.collect_set("line").alias("numbers")), "wanted-lines")
     n = of_doc.agg(F.count("*").alias("n"), F.sum(F.size("numbers")).alias("m")).first()
-    wanted = maybe_broadcast(of_doc, n["n"] + (n["m"] or 0), 40)
+    wanted = maybe_broadcast(of_doc, 16 * n["n"] + (n["m"] or 0), 4)
     texts = docs.join(wanted, ["d", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,35 +288,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
                     d.append(doc)
                     th.append(hashed)
                     number.append(k)
-                    words.append(sorted(set(tokens(lines[k]))))
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(th, pa.int64()), pa.array(number, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["d", "th", "line", "words"])
+                    words.append(b" ".join(sorted(set(tokens(lines[k])))))
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(th, pa.int64()), pa.array(number, pa.int32()), pa.array(words, pa.binary())], names=["d", "th", "line", "words"])
 
-    sets = written(texts.mapInArrow(run, "d long, th long, line int, words array<string>"), "wanted-words").dropDuplicates(["d", "th", "line"])
+    sets = written(texts.mapInArrow(run, "d long, th long, line int, words binary"), "wanted-words").dropDuplicates(["d", "th", "line"])
     other = sets.select(F.col("d").alias("d2"), F.col("th").alias("th2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
-    shared = F.size(F.array_intersect("words", "words2"))
-    both = pairs.join(sets, [*LINE_OF]).join(other, ["d2", "th2", "line2"])
-    return both.where(shared >= F.lit(t) * (F.size("words") + F.size("words2") - shared) - F.lit(1e-9)).select(*pairs.columns)
+    both = pairs.select(*LINE_OF, "d2", "th2", "line2").join(sets, [*LINE_OF]).join(other, ["d2", "th2", "line2"]).select(*LINE_OF, "words", "words2")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("words").to_pylist(), b.column("words2").to_pylist()):
+                x, y = set(x.split()), set(y.split())
+                shared = len(x & y)
+                good.append(shared >= t * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(good, pa.bool_())) for c in LINE_OF], names=list(LINE_OF))
+
+    return both.mapInArrow(verify, "d long, th long, line int").distinct()
 
 
 def repeated_lines(docs: DataFrame, t: float = SIMILARITY, min_tokens: int = MIN_TOKENS, cells: int = CELLS) -> DataFrame:
-    """d, th, line of every line to remove; docs: d, th, text (see ``_identified``)."""
-    lines = written(line_table(docs, token_counts(docs, cells), t, min_tokens), "lines")
+    """d, th, line of every line to remove; docs: d, th, text (see ``_identity``)."""
+    lines = written(line_table(docs, token_rarity(docs, cells), t, min_tokens), "lines")
     place = F.struct("d", "th", "line")
-    classes = written(lines.groupBy("key_a", "key_b").agg(F.min(place).alias("at"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.count("*").alias("times")), "line-classes")
-    first = classes.select("at.*", "size", "sig", "prefix")
-    posts = first.select(*LINE_OF, "size", "sig", F.posexplode("prefix").alias("pos", "token"), F.lit(True).alias("ask"))
-    found = written(candidates(posts, t, NEAREST), "line-candidates")
-    pairs = found.groupBy(*LINE_OF, "d2", "th2", "line2").agg(F.sum("more").alias("more"))
-    good = written(_verified(pairs, docs, t).select(*LINE_OF).distinct(), "similar-lines")
-    open_lines = written(found.where("more > 0").select(*LINE_OF).distinct().join(good, [*LINE_OF], "left_anti"), "open-lines")
+    first = F.min(F.struct("d", "th", "line", "size", "sig", "prefix", "at")).alias("f")
+    classes = written(lines.groupBy("key_a", "key_b").agg(first, F.count("*").alias("times")).select("key_a", "key_b", "f.*", "times"), "line-classes")
+    n_posts = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    posts = classes.select(*LINE_OF, "size", "sig", F.explode(F.arrays_zip("prefix", "at")).alias("p"), F.lit(True).alias("ask")).select(*LINE_OF, "size", "sig", "ask", F.col("p.prefix").alias("token"), F.col("p.at").alias("pos"))
+    found = narrow(candidates(posts, n_posts, t), "line-candidates")
+    nearest = F.min(F.struct("apart", "d2", "th2", "line2")).alias("b")
+    # a pair shows in a list for each prefix token that it shares: only different pairs are more candidates
+    best = written(found.groupBy(*LINE_OF).agg(nearest, F.max(F.struct("d2", "th2", "line2")).alias("last"), F.min(F.struct("d2", "th2", "line2")).alias("first"), F.max("n").alias("n")), "nearest-lines")
+    good = written(_verified(best.select(*LINE_OF, "b.d2", "b.th2", "b.line2"), docs, t), "similar-lines")
+    open_lines = written(best.where("n > 1 or first != last").select(*LINE_OF).join(good, [*LINE_OF], "left_anti"), "open-lines")
     if n_open := open_lines.count():
         asked = maybe_broadcast(open_lines.withColumn("asked", F.lit(True)), n_open, 40)
         marked = posts.drop("ask").join(asked, [*LINE_OF], "left").withColumn("ask", F.coalesce("asked", F.lit(False))).drop("asked")
         lists = marked.where("ask").select("token").distinct()
-        rest = written(candidates(marked.join(lists, "token", "left_semi"), t, 0).drop("more").distinct(), "line-candidates")
-        more = written(_verified(rest, docs, t).select(*LINE_OF).distinct(), "similar-lines")
-        good = good.unionByName(more).distinct()
-    again = lines.join(classes.where("times > 1").select("key_a", "key_b", "at"), ["key_a", "key_b"]).where(place != F.col("at")).select(*LINE_OF)
+        rest = narrow(candidates(marked.join(lists, "token", "left_semi"), n_posts, t, True).drop("apart", "n").distinct(), "line-candidates")
+        good = good.unionByName(written(_verified(rest, docs, t), "similar-lines")).distinct()
+    again = lines.join(classes.where("times > 1").select("key_a", "key_b", place.alias("first")), ["key_a", "key_b"]).where(place != F.col("first")).select(*LINE_OF)
     return again.unionByName(good).distinct()
 
 
@@ -256,13 +340,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document: both lose the same lines. Input columns named like added ones are replaced.
     """
     small_batches(docs.sparkSession)
-    known = _identified(docs, id_col, text_col)
-    of_doc = written(repeated_lines(known, t, min_tokens, cells).groupBy("d", "th").agg(F.sort_array(F.collect_set("line")).alias("__gone")), "repeated-lines")
+    d, th = _identity(docs, id_col, text_col)
+    known = docs.select(d, th, text_or_empty(text_col).alias("text"))
+    with passing():
+        of_doc = written(repeated_lines(known, t, min_tokens, cells).groupBy("d", "th").agg(F.sort_array(F.collect_set("line")).alias("__gone")), "repeated-lines", True)
     size = of_doc.agg(F.count("*").alias("n"), F.sum(F.size("__gone")).alias("m")).first()
     added = (out_col, "n_lines", "n_removed", "removed_lines")
     keep = [c for c in docs.columns if c not in added]
-    keys = (F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("d"), F.xxhash64(text_or_empty(text_col)).alias("th"))
-    joined = docs.select(*keep, *keys, text_or_empty(text_col).alias("__text")).join(maybe_broadcast(of_doc, size["n"] + (size["m"] or 0), 40), ["d", "th"], "left")
+    joined = docs.select(*keep, d, th, text_or_empty(text_col).alias("__text")).join(maybe_broadcast(of_doc, 16 * size["n"] + (size["m"] or 0), 4), ["d", "th"], "left")
     source = joined.select(*keep, "__text", "__gone")
     schema = docs.select(*keep).schema.add(out_col, "string").add("n_lines", "long").add("n_removed", "long").add("removed_lines", "string")
 

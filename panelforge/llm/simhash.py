@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import small_batches, text_or_empty, written
+from panelforge.llm.common import passing, small_batches, text_or_empty, written
 from panelforge.llm.components import components
 
 #: Fingerprints with at most so many differing bits are linked.
@@ -162,12 +162,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id get a component like others; null is never the smallest id
     unless it is the only one. Repeated rows stay. An empty table gives none.
     """
-    prints = written(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints")
-    least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    groups = components(near_links(least.select("fp")))
-    # only fingerprints with a link to another one need their component's smallest id looked up
-    roots = groups.join(least, groups["node"] == least["fp"]).select("fp", "component", "least")
-    of_group = roots.groupBy("component").agg(F.min("least").alias("group_least"))
-    linked = roots.join(of_group, "component").select("fp", "group_least")
-    known = written(least.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")), "fingerprint-components")
+    prints = written(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints", True)
+    with passing():
+        least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+        groups = components(near_links(least.select("fp")))
+        # only fingerprints with a link to another one need their component's smallest id looked up
+        roots = groups.join(least, groups["node"] == least["fp"]).select("fp", "component", "least")
+        of_group = roots.groupBy("component").agg(F.min("least").alias("group_least"))
+        linked = roots.join(of_group, "component").select("fp", "group_least")
+        known = written(least.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")), "fingerprint-components", True)
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -62,3 +62,16 @@ def test_repeated_rows_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, d string, deduped string")
     assert L.dedup_lines(df.withColumnRenamed("d", "other")).columns == ["doc_id", "text", "other", "deduped", "n_lines", "n_removed", "removed_lines"]
     assert sorted(r["n_removed"] for r in L.line_digests(df).collect()) == [0, 0, 1]
+
+
+def test_hashes_depend_on_the_token_only(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(L, "BLOCK", 16)
+    texts = ["Ab cd", "", "ab\n  ef " + "g" * 50, "x ab", "cd"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(x.encode()) for x in texts)])
+    starts, h = L.Hasher().tokens(np.frombuffer(data, np.uint8), offsets)
+    words = [w for x in texts for w in L.tokens(x)]
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words)) == len(set(zip(words, h.tolist())))
+    assert starts[:2].tolist() == [0, 3]
