@@ -12,15 +12,15 @@ from panelforge.operators import joins as J
 from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, EVENTS, SALES, brand_panel, events_daily, r, sales, t
 from panelforge.plans.registry import register
+from panelforge.plans.window_queries import series
 
-S = W.ordered(["id"], "d")
 O = "PARTITION BY id ORDER BY d"  # noqa: E741
 #: Actuals and a forecast by the value four weeks before, over the last year.
 FC = f"{BRAND}, fc AS (SELECT id, d, y, f FROM (SELECT id, d, y, lag(y, 28) OVER ({O}) AS f FROM panel0) WHERE d >= DATE '2001-01-01')"
 
 
 def forecasts(spark, sf_dir, lag: int = 28):
-    p = brand_panel(spark, sf_dir, True).select("id", "d", "y", F.lag("y", lag).over(S).alias("f"))
+    p = brand_panel(spark, sf_dir, True).select("id", "d", "y", F.lag("y", lag).over(series()).alias("f"))
     return p.where("d >= '2001-01-01'")
 
 
@@ -64,7 +64,7 @@ def h05(spark, sf_dir):
 def h06(spark, sf_dir):
     p = brand_panel(spark, sf_dir, True)
     parent = p.groupBy("d").agg(F.avg("y").alias("m"))
-    return p.join(F.broadcast(parent), "d").select("id", "d", "y", r(F.avg("m").over(W.frame(S, 7))).alias("parent_7"))
+    return p.join(F.broadcast(parent), "d").select("id", "d", "y", r(F.avg("m").over(W.frame(series(), 7))).alias("parent_7"))
 
 
 @register("h07_out_of_fold_year", f"WITH {BRAND} SELECT id, yr, round((sum(s) OVER (PARTITION BY id) - s) / nullif(sum(n) OVER (PARTITION BY id) - n, 0), 6) AS mean_out FROM (SELECT id, year(d) AS yr, sum(y) AS s, count(y) AS n FROM panel0 GROUP BY ALL)")
@@ -88,14 +88,14 @@ def h09(spark, sf_dir):
 
 @register("h10_detrend", f"WITH {BRAND}, s AS (SELECT id, d, y, max(y) OVER (PARTITION BY id) - avg(y) OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS k FROM panel0) SELECT id, d, round(y + k, 6) AS lifted, y AS back FROM s")
 def h10(spark, sf_dir):
-    k = F.max("y").over(W.by("id")) - F.avg("y").over(W.frame(S, 28))
+    k = F.max("y").over(W.by("id")) - F.avg("y").over(W.frame(series(), 28))
     s = brand_panel(spark, sf_dir, True).select("id", "d", "y", k.alias("k"), (F.col("y") + k).alias("l"))
     return s.select("id", "d", r("l").alias("lifted"), r(F.col("l") - F.col("k")).alias("back"))
 
 
 @register("h11_residual_target", f"WITH {BRAND} SELECT id, d, round(y - avg(y) OVER ({O} ROWS BETWEEN 392 PRECEDING AND 28 PRECEDING), 6) AS res FROM panel0 QUALIFY row_number() OVER ({O}) > 392")
 def h11(spark, sf_dir):
-    s = brand_panel(spark, sf_dir, True).select("id", "d", (F.col("y") - W.rolling(F.avg, "y", S, 365, 28)).alias("res"))
+    s = brand_panel(spark, sf_dir, True).select("id", "d", (F.col("y") - W.rolling(F.avg, "y", series(), 365, 28)).alias("res"))
     return s.where("res is not null").select("id", "d", r("res").alias("res"))
 
 
@@ -196,7 +196,7 @@ def q07(spark, sf_dir):
 
 
 def _models(spark, sf_dir):
-    p = brand_panel(spark, sf_dir, True).select("id", "d", *W.lags("y", [28, 35, 42], S)).where("d >= '2001-01-01'")
+    p = brand_panel(spark, sf_dir, True).select("id", "d", *W.lags("y", [28, 35, 42], series())).where("d >= '2001-01-01'")
     return [p.select("id", "d", F.col(f"y_lag_{k}").alias("f")) for k in (28, 35, 42)]
 
 

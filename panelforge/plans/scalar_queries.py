@@ -31,8 +31,7 @@ def _part_query(name: str, columns, oracle: str) -> None:
         return t(spark, sf_dir, "part").select("p_partkey", *columns())
 
 
-P = F.col("p_retailprice")
-_part_query("f01_math", lambda: [r(F.sqrt(P)).alias("a"), r(F.abs(P - 1000)).alias("b"), r(F.log1p(P)).alias("c"), r(F.expm1(P / 1000)).alias("d"), r(F.log(P)).alias("e"), r(F.log10(P)).alias("f"), r(F.pow(P, F.lit(0.3))).alias("g")], "round(sqrt(p_retailprice), 6) AS a, round(abs(p_retailprice - 1000), 6) AS b, round(ln(1 + p_retailprice), 6) AS c, round(exp(p_retailprice / 1000) - 1, 6) AS d, round(ln(p_retailprice), 6) AS e, round(log10(p_retailprice), 6) AS f, round(pow(p_retailprice, 0.3), 6) AS g")
+_part_query("f01_math", lambda: [r(F.sqrt(F.col("p_retailprice"))).alias("a"), r(F.abs(F.col("p_retailprice") - 1000)).alias("b"), r(F.log1p(F.col("p_retailprice"))).alias("c"), r(F.expm1(F.col("p_retailprice") / 1000)).alias("d"), r(F.log(F.col("p_retailprice"))).alias("e"), r(F.log10(F.col("p_retailprice"))).alias("f"), r(F.pow(F.col("p_retailprice"), F.lit(0.3))).alias("g")], "round(sqrt(p_retailprice), 6) AS a, round(abs(p_retailprice - 1000), 6) AS b, round(ln(1 + p_retailprice), 6) AS c, round(exp(p_retailprice / 1000) - 1, 6) AS d, round(ln(p_retailprice), 6) AS e, round(log10(p_retailprice), 6) AS f, round(pow(p_retailprice, 0.3), 6) AS g")
 _day_query("f02_cyclic", lambda: [r(S.cyclic(F.month("d"), 12)[0]).alias("s"), r(S.cyclic(F.month("d"), 12)[1]).alias("c"), F.day(F.last_day("d")).cast("long").alias("n")], "round(sin(2 * pi() * month(d) / 12), 6) AS s, round(cos(2 * pi() * month(d) / 12), 6) AS c, day(last_day(d)) AS n")
 _day_query("f03_week_of_month", lambda: [c.cast("long").alias(k) for k, c in S.week_of_month(F.col("d")).items()], "CAST(ceil(day(d) / 7) AS BIGINT) AS ceil, day(d) // 7 AS floor, least((day(d) - 1) // 7, 3) AS clipped")
 _day_query("f04_date_parts", lambda: [F.day("d").cast("long").alias("day"), F.weekofyear("d").cast("long").alias("week"), F.month("d").cast("long").alias("month"), F.quarter("d").cast("long").alias("quarter"), F.year("d").cast("long").alias("year"), F.dayofyear("d").cast("long").alias("doy"), F.weekday("d").cast("long").alias("dow")], "day(d) AS day, week(d) AS week, month(d) AS month, quarter(d) AS quarter, year(d) AS year, dayofyear(d) AS doy, isodow(d) - 1 AS dow")
@@ -51,7 +50,7 @@ _part_query("f09_string_slice", lambda: [F.substring("p_brand", 7, 10).cast("lon
 _part_query("f10_split_join", lambda: [F.element_at(F.split("p_brand", "#"), 2).alias("b"), F.concat_ws("_", F.split("p_name", " ")).alias("j")], "split_part(p_brand, '#', 2) AS b, array_to_string(string_split(p_name, ' '), '_') AS j")
 _part_query("f11_regex_replace", lambda: [F.regexp_replace("p_brand", "[0-9]+$", "X").alias("b")], "regexp_replace(p_brand, '[0-9]+$', 'X') AS b")
 _part_query("f12_concat_format", lambda: [F.concat_ws("_", "p_brand", F.format_string("%.3f", F.col("p_size") / 8), F.lit("evaluation")).alias("k")], "p_brand || '_' || printf('%.3f', p_size / 8) || '_evaluation' AS k")
-_part_query("f13_fraction_digits", lambda: [F.pmod(F.round(P * 100).cast("long"), F.lit(100)).alias("cents")], "CAST(round(p_retailprice * 100) AS BIGINT) % 100 AS cents")
+_part_query("f13_fraction_digits", lambda: [F.pmod(F.round(F.col("p_retailprice") * 100).cast("long"), F.lit(100)).alias("cents")], "CAST(round(p_retailprice * 100) AS BIGINT) % 100 AS cents")
 
 
 @register("f14_label_encode", "SELECT p_partkey, dense_rank() OVER (ORDER BY coalesce(p_type, 'NA')) - 1 AS code FROM part")
@@ -84,8 +83,8 @@ def f17(spark, sf_dir):
 @register("f18_scaling", "SELECT p_partkey, round((p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) FROM part), 6) AS mm, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 5) AS z FROM part")
 def f18(spark, sf_dir):
     p = t(spark, sf_dir, "part")
-    facts = p.agg(F.min(P).alias("lo"), F.max(P).alias("hi"), F.avg(P).alias("m"), F.stddev_pop(P).alias("s"))
-    return p.crossJoin(F.broadcast(facts)).select("p_partkey", r((P - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("mm"), r((P - F.col("m")) / F.col("s"), 5).alias("z"))
+    facts = p.agg(F.min(F.col("p_retailprice")).alias("lo"), F.max(F.col("p_retailprice")).alias("hi"), F.avg(F.col("p_retailprice")).alias("m"), F.stddev_pop(F.col("p_retailprice")).alias("s"))
+    return p.crossJoin(F.broadcast(facts)).select("p_partkey", r((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("mm"), r((F.col("p_retailprice") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
 @register("f19_scale_nonzero_mean", f"WITH {BRAND} SELECT id, d, round(y / avg(CASE WHEN y <> 0 THEN y END) OVER (PARTITION BY id), 6) AS scaled FROM panel0")
@@ -107,8 +106,11 @@ def f21(spark, sf_dir):
 
 
 _day_query("f22_moon_phase", lambda: [S.moon_phase(F.col("d")).alias("phase")], "CAST(floor(((0.20439731::DOUBLE + date_diff('day', DATE '2001-01-01', d) * 0.03386319269::DOUBLE) - floor(0.20439731::DOUBLE + date_diff('day', DATE '2001-01-01', d) * 0.03386319269::DOUBLE)) * 8 + 0.5) AS BIGINT) % 8 AS phase")
-_XMAS = F.date_diff("d", F.make_date(F.year("d"), F.lit(12), F.lit(25)))
-_day_query("f23_holiday_distance", lambda: [_XMAS.cast("long").alias("dist"), (_XMAS == 0).alias("hit"), r(F.exp(-F.abs(_XMAS) / 10)).alias("e1"), r(F.exp(-(_XMAS * _XMAS) / 100)).alias("e2")], "date_diff('day', make_date(year(d), 12, 25), d) AS dist, date_diff('day', make_date(year(d), 12, 25), d) = 0 AS hit, round(exp(-abs(date_diff('day', make_date(year(d), 12, 25), d)) / 10), 6) AS e1, round(exp(-pow(date_diff('day', make_date(year(d), 12, 25), d), 2) / 100), 6) AS e2")
+def _christmas():
+    return F.date_diff("d", F.make_date(F.year("d"), F.lit(12), F.lit(25)))
+
+
+_day_query("f23_holiday_distance", lambda: [_christmas().cast("long").alias("dist"), (_christmas() == 0).alias("hit"), r(F.exp(-F.abs(_christmas()) / 10)).alias("e1"), r(F.exp(-(_christmas() * _christmas()) / 100)).alias("e2")], "date_diff('day', make_date(year(d), 12, 25), d) AS dist, date_diff('day', make_date(year(d), 12, 25), d) = 0 AS hit, round(exp(-abs(date_diff('day', make_date(year(d), 12, 25), d)) / 10), 6) AS e1, round(exp(-pow(date_diff('day', make_date(year(d), 12, 25), d), 2) / 100), 6) AS e2")
 
 
 @register("f24_scaled_time", "SELECT event_id, round(minute(ts) / 59 - 0.5, 6) AS mi, round(hour(ts) / 23 - 0.5, 6) AS ho, round((isodow(ts) - 1) / 6 - 0.5, 6) AS dow, round((day(ts) - 1) / 30 - 0.5, 6) AS dom FROM events")
@@ -151,7 +153,7 @@ def f30(spark, sf_dir):
 
 _EDGES = (5.0, 10.0, 20.0, 40.0)
 _part_query("f31_binning", lambda: [S.bin_index(F.col("p_size"), list(_EDGES)).alias("bin")], " + ".join(f"CAST(p_size >= {e} AS BIGINT)" for e in _EDGES) + " AS bin")
-_part_query("f32_box_cox", lambda: [r(S.box_cox(P, 0.4)).alias("z"), r(S.inverse_box_cox(S.box_cox(P, 0.4), 0.4), 3).alias("back"), r(S.box_cox(P, 0)).alias("z0")], "round((pow(p_retailprice, 0.4) - 1) / 0.4, 6) AS z, round(p_retailprice, 3) AS back, round(ln(p_retailprice), 6) AS z0")
+_part_query("f32_box_cox", lambda: [r(S.box_cox(F.col("p_retailprice"), 0.4)).alias("z"), r(S.inverse_box_cox(S.box_cox(F.col("p_retailprice"), 0.4), 0.4), 3).alias("back"), r(S.box_cox(F.col("p_retailprice"), 0)).alias("z0")], "round((pow(p_retailprice, 0.4) - 1) / 0.4, 6) AS z, round(p_retailprice, 3) AS back, round(ln(p_retailprice), 6) AS z0")
 _day_query("f33_fourier", lambda: [c for k in (1, 2) for c in (r(F.cos(2 * math.pi * k * F.dayofyear("d") / 365)).alias(f"c{k}"), r(F.sin(2 * math.pi * k * F.dayofyear("d") / 365)).alias(f"s{k}"))], ", ".join(f"round(cos(2 * pi() * {k} * dayofyear(d) / 365), 6) AS c{k}, round(sin(2 * pi() * {k} * dayofyear(d) / 365), 6) AS s{k}" for k in (1, 2)))
 
 
@@ -162,9 +164,9 @@ def f34(spark, sf_dir):
     return a.join(b, "n_regionkey").select("a", "b", r(S.rbf(F.col("a"), F.col("b"), 2.0, 3.0)).alias("rbf"), r(S.periodic(F.col("a"), F.col("b"), 1.0, 1.0, 7.0)).alias("per"))
 
 
-_part_query("f35_quantise", lambda: [F.width_bucket(P / 1000, F.lit(0.0), F.lit(3.0), F.lit(16)).alias("bin")], "CAST(least(greatest(floor(p_retailprice / 1000 / 3.0 * 16), -1), 16) + 1 AS BIGINT) AS bin")
+_part_query("f35_quantise", lambda: [F.width_bucket(F.col("p_retailprice") / 1000, F.lit(0.0), F.lit(3.0), F.lit(16)).alias("bin")], "CAST(least(greatest(floor(p_retailprice / 1000 / 3.0 * 16), -1), 16) + 1 AS BIGINT) AS bin")
 
 
 @register("f36_noise")
 def f36(spark, sf_dir):
-    return t(spark, sf_dir, "part").select("p_partkey", (P * (1 + 0.01 * F.randn(42))).alias("noisy"))
+    return t(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * (1 + 0.01 * F.randn(42))).alias("noisy"))

@@ -13,11 +13,10 @@ from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, EVENTS, brand_panel, events_daily, r, t
 from panelforge.plans.forecast_queries import FC, forecasts
 from panelforge.plans.registry import register
+from panelforge.plans.window_queries import series
 from panelforge.streaming import events as E
 
-S = W.ordered(["id"], "d")
 O = "PARTITION BY id ORDER BY d"  # noqa: E741
-Y, Fc = F.col("y"), F.col("f")
 
 
 def _score(name: str, columns, oracle: str, keys: tuple = ("id",)) -> None:
@@ -33,13 +32,13 @@ _SCALE = f"sc AS (SELECT id, avg(pow(y - z, 2)) AS scale, avg(abs(y - z)) AS dev
 
 def scales(spark, sf_dir):
     """id, scale, dev: mean squared and absolute first differences after the first sale, before the test span."""
-    s = brand_panel(spark, sf_dir, True).select("id", "d", (Y - F.lag("y").over(S)).alias("e"), F.min(F.when(Y != 0, F.col("d"))).over(W.by("id")).alias("rel"))
+    s = brand_panel(spark, sf_dir, True).select("id", "d", (F.col("y") - F.lag("y").over(series())).alias("e"), F.min(F.when(F.col("y") != 0, F.col("d"))).over(W.by("id")).alias("rel"))
     return s.where("d > rel and d < '2001-01-01'").groupBy("id").agg(F.avg(F.col("e") ** 2).alias("scale"), F.avg(F.abs("e")).alias("dev"))
 
 
 @register("m02_rmsse", f"WITH {FC}, {_SCALE}, m AS (SELECT id, avg(pow(y - f, 2)) AS mse FROM fc GROUP BY id) SELECT id, round(sqrt(mse / CASE WHEN scale = 0 THEN 1 ELSE scale END), 6) AS rmsse FROM m JOIN sc USING (id)")
 def m02(spark, sf_dir):
-    m = forecasts(spark, sf_dir).groupBy("id").agg(F.avg((Y - Fc) ** 2).alias("mse"))
+    m = forecasts(spark, sf_dir).groupBy("id").agg(F.avg((F.col("y") - F.col("f")) ** 2).alias("mse"))
     return m.join(scales(spark, sf_dir), "id").select("id", r(F.sqrt(F.col("mse") / F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))).alias("rmsse"))
 
 
@@ -53,7 +52,7 @@ def weights(spark, sf_dir):
 
 
 def wrmsse(spark, sf_dir):
-    m = forecasts(spark, sf_dir).groupBy("id").agg(F.avg((Y - Fc) ** 2).alias("mse"))
+    m = forecasts(spark, sf_dir).groupBy("id").agg(F.avg((F.col("y") - F.col("f")) ** 2).alias("mse"))
     return m.join(scales(spark, sf_dir), "id").join(weights(spark, sf_dir), "id").agg(F.sum(F.col("w") * F.sqrt(F.try_divide("mse", "scale"))).alias("x"))
 
 
@@ -63,9 +62,9 @@ _M2 = f"WITH {FC}, {_SCALE}, {_WEIGHT}, {_TOTAL}, m AS (SELECT id, avg(pow(y - f
 
 def total_rmsse(spark, sf_dir):
     day = Window.partitionBy(F.lit(0)).orderBy("d")
-    total = brand_panel(spark, sf_dir, True).groupBy("d").agg(F.sum("y").alias("y")).select("d", (Y - F.lag("y").over(day)).alias("e"))
+    total = brand_panel(spark, sf_dir, True).groupBy("d").agg(F.sum("y").alias("y")).select("d", (F.col("y") - F.lag("y").over(day)).alias("e"))
     scale = total.where("d < '2001-01-01'").agg(F.avg(F.col("e") ** 2).alias("scale"))
-    top = forecasts(spark, sf_dir).groupBy("d").agg(F.sum("y").alias("y"), F.sum("f").alias("f")).agg(F.avg((Y - Fc) ** 2).alias("mse"))
+    top = forecasts(spark, sf_dir).groupBy("d").agg(F.sum("y").alias("y"), F.sum("f").alias("f")).agg(F.avg((F.col("y") - F.col("f")) ** 2).alias("mse"))
     return top.crossJoin(scale).select(F.sqrt(F.col("mse") / F.col("scale")).alias("x"))
 
 
@@ -102,22 +101,22 @@ def m08(spark, sf_dir):
 
 @register("m09_loss_contribution", f"WITH {FC}, l AS (SELECT id, sum(abs(y - f)) * 2 / 28 AS l FROM fc GROUP BY id) SELECT id, round(l / sum(l) OVER (), 8) AS share FROM l")
 def m09(spark, sf_dir):
-    losses = forecasts(spark, sf_dir).groupBy("id").agg((F.sum(F.abs(Y - Fc)) * 2 / 28).alias("l"))
+    losses = forecasts(spark, sf_dir).groupBy("id").agg((F.sum(F.abs(F.col("y") - F.col("f"))) * 2 / 28).alias("l"))
     return losses.crossJoin(losses.agg(F.sum("l").alias("s"))).select("id", r(F.col("l") / F.col("s"), 8).alias("share"))
 
 
-_score("m10_errors", lambda: [r(F.avg((Y - Fc) ** 2)).alias("mse"), F.sum(F.abs(Y - Fc)).alias("abs_error"), r(M.nd("y", "f")).alias("nd"), r(F.try_divide(M.rmse("y", "f"), F.avg(F.abs("y")))).alias("nrmse")], "round(avg(pow(y - f, 2)), 6) AS mse, sum(abs(y - f)) AS abs_error, round(sum(abs(y - f)) / nullif(sum(abs(y)), 0), 6) AS nd, round(sqrt(avg(pow(y - f, 2))) / nullif(avg(abs(y)), 0), 6) AS nrmse")
+_score("m10_errors", lambda: [r(F.avg((F.col("y") - F.col("f")) ** 2)).alias("mse"), F.sum(F.abs(F.col("y") - F.col("f"))).alias("abs_error"), r(M.nd("y", "f")).alias("nd"), r(F.try_divide(M.rmse("y", "f"), F.avg(F.abs("y")))).alias("nrmse")], "round(avg(pow(y - f, 2)), 6) AS mse, sum(abs(y - f)) AS abs_error, round(sum(abs(y - f)) / nullif(sum(abs(y)), 0), 6) AS nd, round(sqrt(avg(pow(y - f, 2))) / nullif(avg(abs(y)), 0), 6) AS nrmse")
 _SEAS = f"se AS (SELECT id, avg(abs(y - z)) AS s FROM (SELECT id, d, y, lag(y, 7) OVER ({O}) AS z FROM panel0) WHERE d < DATE '2001-01-01' GROUP BY id)"
 
 
 def seasonal_errors(spark, sf_dir):
-    s = brand_panel(spark, sf_dir, True).select("id", "d", F.abs(Y - F.lag("y", 7).over(S)).alias("e")).where("d < '2001-01-01'")
+    s = brand_panel(spark, sf_dir, True).select("id", "d", F.abs(F.col("y") - F.lag("y", 7).over(series())).alias("e")).where("d < '2001-01-01'")
     return s.groupBy("id").agg(F.avg("e").alias("s"))
 
 
 @register("m11_mase", f"WITH {FC}, {_SEAS}, m AS (SELECT id, avg(abs(y - f)) AS m FROM fc GROUP BY id) SELECT id, round(s, 6) AS seasonal_error, round(m / nullif(s, 0), 6) AS mase FROM m JOIN se USING (id)")
 def m11(spark, sf_dir):
-    m = forecasts(spark, sf_dir).groupBy("id").agg(F.avg(F.abs(Y - Fc)).alias("m"))
+    m = forecasts(spark, sf_dir).groupBy("id").agg(F.avg(F.abs(F.col("y") - F.col("f"))).alias("m"))
     return m.join(seasonal_errors(spark, sf_dir), "id").select("id", r("s").alias("seasonal_error"), r(F.try_divide("m", "s")).alias("mase"))
 
 
@@ -127,18 +126,18 @@ _score("m12_percentage_errors", lambda: [r(M.mape("y", "f")).alias("mape"), r(M.
 
 @register("m13_owa", f"WITH {FC}, g AS (SELECT id, d, lag(y, 1) OVER ({O}) AS g FROM panel0), x AS (SELECT id, avg(abs(y - f)) AS a, avg(abs(y - g)) AS b, {_SMAPE.format(f='f')} AS c, {_SMAPE.format(f='g')} AS e FROM fc JOIN g USING (id, d) GROUP BY id) SELECT id, round(0.5 * (a / nullif(b, 0) + c / nullif(e, 0)), 6) AS owa FROM x")
 def m13(spark, sf_dir):
-    naive = brand_panel(spark, sf_dir, True).select("id", "d", F.lag("y", 1).over(S).alias("g"))
-    x = forecasts(spark, sf_dir).join(naive, ["id", "d"]).groupBy("id").agg(F.avg(F.abs(Y - Fc)).alias("a"), F.avg(F.abs(Y - F.col("g"))).alias("b"), M.smape("y", "f").alias("c"), M.smape("y", "g").alias("e"))
+    naive = brand_panel(spark, sf_dir, True).select("id", "d", F.lag("y", 1).over(series()).alias("g"))
+    x = forecasts(spark, sf_dir).join(naive, ["id", "d"]).groupBy("id").agg(F.avg(F.abs(F.col("y") - F.col("f"))).alias("a"), F.avg(F.abs(F.col("y") - F.col("g"))).alias("b"), M.smape("y", "f").alias("c"), M.smape("y", "g").alias("e"))
     return x.select("id", r(0.5 * (F.try_divide("a", "b") + F.try_divide("c", "e"))).alias("owa"))
 
 
 @register("m14_msis", f"WITH {FC}, {_SEAS} SELECT id, round(avg(0.8 * f + 20.0 + 40 * greatest(0.6 * f - 10 - y, 0) + 40 * greatest(y - (1.4 * f + 10), 0)) / nullif(max(s), 0), 6) AS msis FROM fc JOIN se USING (id) GROUP BY id")
 def m14(spark, sf_dir):
     f = forecasts(spark, sf_dir).join(seasonal_errors(spark, sf_dir), "id")
-    return f.groupBy("id").agg(r(M.msis(Y, 0.6 * Fc - 10, 1.4 * Fc + 10, F.max("s"), 0.05)).alias("msis"))
+    return f.groupBy("id").agg(r(M.msis(F.col("y"), 0.6 * F.col("f") - 10, 1.4 * F.col("f") + 10, F.max("s"), 0.05)).alias("msis"))
 
 
-_score("m15_quantile_loss_coverage", lambda: [r(2 * F.sum(F.abs((Fc - Y) * (F.when(Y <= Fc, 1.0).otherwise(0.0) - 0.9)))).alias("ql"), r(F.avg(F.when(Y < Fc, 1.0).otherwise(0.0))).alias("coverage"), r(F.abs(F.avg(F.when(Y < Fc, 1.0).otherwise(0.0)) - 0.5)).alias("mae_coverage")], "round(2 * sum(abs((f - y) * (CASE WHEN y <= f THEN 1.0 ELSE 0.0 END - 0.9))), 6) AS ql, round(avg(CASE WHEN y < f THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(abs(avg(CASE WHEN y < f THEN 1.0 ELSE 0.0 END) - 0.5), 6) AS mae_coverage")
+_score("m15_quantile_loss_coverage", lambda: [r(2 * F.sum(F.abs((F.col("f") - F.col("y")) * (F.when(F.col("y") <= F.col("f"), 1.0).otherwise(0.0) - 0.9)))).alias("ql"), r(F.avg(F.when(F.col("y") < F.col("f"), 1.0).otherwise(0.0))).alias("coverage"), r(F.abs(F.avg(F.when(F.col("y") < F.col("f"), 1.0).otherwise(0.0)) - 0.5)).alias("mae_coverage")], "round(2 * sum(abs((f - y) * (CASE WHEN y <= f THEN 1.0 ELSE 0.0 END - 0.9))), 6) AS ql, round(avg(CASE WHEN y < f THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(abs(avg(CASE WHEN y < f THEN 1.0 ELSE 0.0 END) - 0.5), 6) AS mae_coverage")
 _score("m16_multivariate", lambda: [r(M.rmse("y", "f")).alias("rmse"), r(M.nd("y", "f")).alias("nd")], "round(sqrt(avg(pow(y - f, 2))), 6) AS rmse, round(sum(abs(y - f)) / nullif(sum(abs(y)), 0), 6) AS nd", ())
 _score("m17_asymmetric", lambda: [r(F.avg(M.asymmetric_squared("y", "f", 1.15))).alias("loss")], "round(avg(CASE WHEN y > f THEN 1.15 * pow(y - f, 2) ELSE pow(y - f, 2) END), 6) AS loss")
 
@@ -156,7 +155,7 @@ def _split(name: str, columns, oracle: str) -> None:
 
 
 _split("v01_date_masks", lambda: [F.when(F.col("d") < "2000-12-01", "train").when(F.col("d") < "2001-01-01", "valid").otherwise("predict").alias("part")], "CASE WHEN d < DATE '2000-12-01' THEN 'train' WHEN d < DATE '2001-01-01' THEN 'valid' ELSE 'predict' END AS part")
-_split("v02_time_series_split", lambda: [F.ntile(5).over(S).cast("long").alias("fold")], f"ntile(5) OVER ({O}) AS fold")
+_split("v02_time_series_split", lambda: [F.ntile(5).over(series()).cast("long").alias("fold")], f"ntile(5) OVER ({O}) AS fold")
 _split("v03_leave_one_year_out", lambda: [F.year("d").cast("long").alias("grp")], "year(d) AS grp")
 
 
@@ -181,7 +180,7 @@ def v06(spark, sf_dir):
 
 @register("v07_padded_instances", f"WITH {BRAND}, s AS (SELECT id, d, list(y) OVER ({O} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS xs FROM panel0) SELECT id, d, 10 - len(xs) AS pad, round(list_sum(xs), 6) AS total FROM s")
 def v07(spark, sf_dir):
-    xs = F.collect_list("y").over(W.frame(S, 10))
+    xs = F.collect_list("y").over(W.frame(series(), 10))
     padded = F.concat(F.array_repeat(F.lit(0.0), (10 - F.size(xs)).cast("int")), xs)
     s = brand_panel(spark, sf_dir, True).select("id", "d", (10 - F.size(xs)).cast("long").alias("pad"), padded.alias("p"))
     return s.select("id", "d", "pad", r(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).alias("total"))
@@ -189,7 +188,7 @@ def v07(spark, sf_dir):
 
 @register("v08_forking", f"WITH {EVENTS}, s AS (SELECT id, d, n, lead(n, 1) OVER w AS h1, lead(n, 2) OVER w AS h2, lead(n, 3) OVER w AS h3 FROM ev WINDOW w AS (PARTITION BY id ORDER BY d)) SELECT id, d, h1, h2, h3 FROM s WHERE h3 IS NOT NULL")
 def v08(spark, sf_dir):
-    s = events_daily(spark, sf_dir).select("id", "d", *[F.lead("n", k).over(S).alias(f"h{k}") for k in (1, 2, 3)])
+    s = events_daily(spark, sf_dir).select("id", "d", *[F.lead("n", k).over(series()).alias(f"h{k}") for k in (1, 2, 3)])
     return s.where("h3 is not null")
 
 
@@ -207,7 +206,7 @@ def v10(spark, sf_dir):
     p = brand_panel(spark, sf_dir, True).crossJoin(F.broadcast(brand_panel(spark, sf_dir).agg(F.max("d").alias("hi"))))
     f = seasonal_naive(p.where("d <= date_sub(hi, 28)"), "id", "d", "y", 7, 28)
     actual = p.where("d > date_sub(hi, 28)").select("id", F.date_diff("d", F.date_sub("hi", 28)).alias("step"), "y")
-    return f.join(actual, ["id", "step"]).groupBy("id").agg(r(M.rmse("y", "forecast")).alias("rmse"), F.sum(F.abs(Y - F.col("forecast"))).alias("abs_error"))
+    return f.join(actual, ["id", "step"]).groupBy("id").agg(r(M.rmse("y", "forecast")).alias("rmse"), F.sum(F.abs(F.col("y") - F.col("forecast"))).alias("abs_error"))
 
 
 @register("v11_cdf_transform", f"WITH {BRAND} SELECT id, d, round(cume_dist() OVER (PARTITION BY id ORDER BY y), 8) AS u FROM panel0")
@@ -219,7 +218,7 @@ def v11(spark, sf_dir):
 def v12(spark, sf_dir):
     from pyspark.ml.feature import PCA, VectorAssembler
 
-    s = brand_panel(spark, sf_dir, True).select("id", "d", *W.lags("y", list(range(1, 8)), S)).dropna()
+    s = brand_panel(spark, sf_dir, True).select("id", "d", *W.lags("y", list(range(1, 8)), series())).dropna()
     v = VectorAssembler(inputCols=[f"y_lag_{k}" for k in range(1, 8)], outputCol="v").transform(s)
     from pyspark.ml.functions import vector_to_array
 
@@ -304,7 +303,7 @@ def x10(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    s = brand_panel(spark, sf_dir, True).select("id", "d", "y", *W.lags("y", [7, 14, 28], S)).dropna()
+    s = brand_panel(spark, sf_dir, True).select("id", "d", "y", *W.lags("y", [7, 14, 28], series())).dropna()
     v = VectorAssembler(inputCols=["y_lag_7", "y_lag_14", "y_lag_28"], outputCol="v").transform(s)
     model = GBTRegressor(featuresCol="v", labelCol="y", maxIter=3, maxDepth=3, seed=1).fit(v.where("d < '2001-01-01'"))
     return model.transform(v.where("d >= '2001-01-01'")).select("id", "d", r("prediction", 4).alias("forecast"))
@@ -332,3 +331,23 @@ def flagship(spark, sf_dir):
     # sums by supplier and year first: the expansion to levels then meets few rows
     yearly = features.groupBy("k", "yr").agg(F.sum("q").alias("q"), F.sum("lag_28").alias("lag_28"), F.sum("m7").alias("m7")).join(store, "k")
     return H.aggregate(yearly, [[], ["region"], ["region", "nation"]], ["yr"], [F.sum("q").alias("q"), F.sum("lag_28").alias("lag_28"), r(F.sum("m7"), 4).alias("m7")])
+
+
+@register("x01_row_function", f"WITH {BRAND} SELECT DISTINCT d, CAST(ceil(day(d) / 7.0) AS BIGINT) AS week_of_month FROM panel0")
+def x01(spark, sf_dir):
+    return brand_panel(spark, sf_dir).select("d", F.ceil(F.day("d") / 7).alias("week_of_month")).distinct()
+
+
+@register("x02_series_function", f"WITH {BRAND} SELECT id, d, y - avg(y) OVER (PARTITION BY id) > 0 AS above FROM panel0")
+def x02(spark, sf_dir):
+    return brand_panel(spark, sf_dir, True).select("id", "d", (F.col("y") - F.avg("y").over(W.by("id")) > 0).alias("above"))
+
+
+@register("x03_group_function", f"WITH {FC} SELECT id, round(sum(abs(y - f)) / 28, 6) AS loss FROM fc GROUP BY id")
+def x03(spark, sf_dir):
+    return forecasts(spark, sf_dir).groupBy("id").agg(r(F.sum(F.abs(F.col("y") - F.col("f"))) / 28).alias("loss"))
+
+
+@register("x07_custom_metric", f"WITH {FC} SELECT id, round(sum(CASE WHEN y > f THEN 1.2 * pow(y - f, 2) ELSE pow(y - f, 2) END), 6) AS loss FROM fc GROUP BY id")
+def x07(spark, sf_dir):
+    return forecasts(spark, sf_dir).groupBy("id").agg(r(F.sum(M.asymmetric_squared("y", "f", 1.2))).alias("loss"))

@@ -9,7 +9,11 @@ from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, brand_panel, r, t
 from panelforge.plans.registry import register
 
-SERIES = W.ordered(["id"], "d")
+def series():
+    """The window of one series in the order of days."""
+    return W.ordered(["id"], "d")
+
+
 O = "PARTITION BY id ORDER BY d"  # noqa: E741
 
 
@@ -27,23 +31,23 @@ def _roll(sql_agg: str, n: int, shift: int = 0, least: int | None = None, name:
     return f"CASE WHEN count(y) OVER {f} >= {n if least is None else least} THEN round({sql_agg} OVER {f}, {digits}) END AS {name}"
 
 
-_panel("w01_lags", lambda: W.lags("y", [28, 29, 35, 42], SERIES), ", ".join(f"lag(y, {k}) OVER ({O}) AS y_lag_{k}" for k in (28, 29, 35, 42)))
-_panel("w02_lag_list", lambda: W.lags("y", list(range(1, 11)), SERIES), ", ".join(f"lag(y, {k}) OVER ({O}) AS y_lag_{k}" for k in range(1, 11)))
+_panel("w01_lags", lambda: W.lags("y", [28, 29, 35, 42], series()), ", ".join(f"lag(y, {k}) OVER ({O}) AS y_lag_{k}" for k in (28, 29, 35, 42)))
+_panel("w02_lag_list", lambda: W.lags("y", list(range(1, 11)), series()), ", ".join(f"lag(y, {k}) OVER ({O}) AS y_lag_{k}" for k in range(1, 11)))
 _panel(
     "w03_shift_rolling",
-    lambda: [c for n in (7, 30, 180) for c in (r(W.rolling(F.avg, "y", SERIES, n, 28)).alias(f"mean_{n}"), r(W.rolling(F.stddev_samp, "y", SERIES, n, 28), 4).alias(f"std_{n}"))],
+    lambda: [c for n in (7, 30, 180) for c in (r(W.rolling(F.avg, "y", series(), n, 28)).alias(f"mean_{n}"), r(W.rolling(F.stddev_samp, "y", series(), n, 28), 4).alias(f"std_{n}"))],
     ", ".join(f"{_roll('avg(y)', n, 28, name=f'mean_{n}')}, {_roll('stddev_samp(y)', n, 28, name=f'std_{n}', digits=4)}" for n in (7, 30, 180)),
 )
-_panel("w04_shift_window_grid", lambda: [r(W.rolling(F.avg, "y", SERIES, n, k)).alias(f"mean_{k}_{n}") for k in (1, 7, 14) for n in (7, 14, 30, 60)], ", ".join(_roll("avg(y)", n, k, name=f"mean_{k}_{n}") for k in (1, 7, 14) for n in (7, 14, 30, 60)))
-_panel("w05_rolling_of_lag", lambda: [r(W.rolling(F.avg, "y", SERIES, n, k)).alias(f"lag_{k}_mean_{n}") for k in (7, 28) for n in (7, 28)], ", ".join(_roll("avg(y)", n, k, name=f"lag_{k}_mean_{n}") for k in (7, 28) for n in (7, 28)))
-_panel("w06_min_periods", lambda: [r(W.rolling(F.avg, "y", SERIES, n, 0, m)).alias(f"mean_{n}") for n, m in ((56, 14), (84, 28))], ", ".join(_roll("avg(y)", n, 0, m, f"mean_{n}") for n, m in ((56, 14), (84, 28))), fill=False)
-_panel("w07_rolling_min_max", lambda: [W.rolling(F.min, "y", SERIES, 7, 1).alias("low"), W.rolling(F.max, "y", SERIES, 7, 1).alias("high")], f"{_roll('min(y)', 7, 1, name='low')}, {_roll('max(y)', 7, 1, name='high')}")
-_panel("w08_rolling_median", lambda: [r(W.rolling(W.quantile(0.5), "y", SERIES, 15)).alias("median")], _roll("quantile_cont(y, 0.5)", 15, name="median"))
-_panel("w09_rolling_quantiles", lambda: [r(W.rolling(W.quantile(q), "y", SERIES, 28)).alias(f"q{int(q * 1000)}") for q in (0.005, 0.165, 0.5, 0.9)], ", ".join(_roll(f"quantile_cont(y, {q})", 28, name=f"q{int(q * 1000)}") for q in (0.005, 0.165, 0.5, 0.9)))
-_panel("w10_rolling_std", lambda: [r(W.rolling(F.stddev_samp, "y", SERIES, 14), 4).alias("std")], _roll("stddev_samp(y)", 14, name="std", digits=4))
-_panel("w11_rolling_skew", lambda: [r(F.nanvl(W.rolling_skew("y", SERIES, 28), F.lit(None)), 4).alias("skew")], f"CASE WHEN count(y) OVER x >= 28 AND stddev_pop(y) OVER x > 0 THEN round(skewness(y) OVER x, 4) END AS skew".replace(" x ", f" ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ").replace("OVER x,", f"OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),"))
-_panel("w12_rolling_kurt", lambda: [r(F.nanvl(W.rolling_kurt("y", SERIES, 28), F.lit(None)), 3).alias("kurt")], f"CASE WHEN count(y) OVER x >= 28 AND stddev_pop(y) OVER x > 0 THEN round(kurtosis(y) OVER x, 3) END AS kurt".replace(" x ", f" ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ").replace("OVER x,", f"OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),"))
-_panel("w13_share_nonzero", lambda: [r(W.rolling(F.avg, F.when(F.col("y") != 0, 1.0).otherwise(0.0), SERIES, 28)).alias("share")], _roll("avg(CASE WHEN y <> 0 THEN 1.0 ELSE 0.0 END)", 28, name="share"))
+_panel("w04_shift_window_grid", lambda: [r(W.rolling(F.avg, "y", series(), n, k)).alias(f"mean_{k}_{n}") for k in (1, 7, 14) for n in (7, 14, 30, 60)], ", ".join(_roll("avg(y)", n, k, name=f"mean_{k}_{n}") for k in (1, 7, 14) for n in (7, 14, 30, 60)))
+_panel("w05_rolling_of_lag", lambda: [r(W.rolling(F.avg, "y", series(), n, k)).alias(f"lag_{k}_mean_{n}") for k in (7, 28) for n in (7, 28)], ", ".join(_roll("avg(y)", n, k, name=f"lag_{k}_mean_{n}") for k in (7, 28) for n in (7, 28)))
+_panel("w06_min_periods", lambda: [r(W.rolling(F.avg, "y", series(), n, 0, m)).alias(f"mean_{n}") for n, m in ((56, 14), (84, 28))], ", ".join(_roll("avg(y)", n, 0, m, f"mean_{n}") for n, m in ((56, 14), (84, 28))), fill=False)
+_panel("w07_rolling_min_max", lambda: [W.rolling(F.min, "y", series(), 7, 1).alias("low"), W.rolling(F.max, "y", series(), 7, 1).alias("high")], f"{_roll('min(y)', 7, 1, name='low')}, {_roll('max(y)', 7, 1, name='high')}")
+_panel("w08_rolling_median", lambda: [r(W.rolling(W.quantile(0.5), "y", series(), 15)).alias("median")], _roll("quantile_cont(y, 0.5)", 15, name="median"))
+_panel("w09_rolling_quantiles", lambda: [r(W.rolling(W.quantile(q), "y", series(), 28)).alias(f"q{int(q * 1000)}") for q in (0.005, 0.165, 0.5, 0.9)], ", ".join(_roll(f"quantile_cont(y, {q})", 28, name=f"q{int(q * 1000)}") for q in (0.005, 0.165, 0.5, 0.9)))
+_panel("w10_rolling_std", lambda: [r(W.rolling(F.stddev_samp, "y", series(), 14), 4).alias("std")], _roll("stddev_samp(y)", 14, name="std", digits=4))
+_panel("w11_rolling_skew", lambda: [r(F.nanvl(W.rolling_skew("y", series(), 28), F.lit(None)), 4).alias("skew")], f"CASE WHEN count(y) OVER x >= 28 AND stddev_pop(y) OVER x > 0 THEN round(skewness(y) OVER x, 4) END AS skew".replace(" x ", f" ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ").replace("OVER x,", f"OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),"))
+_panel("w12_rolling_kurt", lambda: [r(F.nanvl(W.rolling_kurt("y", series(), 28), F.lit(None)), 3).alias("kurt")], f"CASE WHEN count(y) OVER x >= 28 AND stddev_pop(y) OVER x > 0 THEN round(kurtosis(y) OVER x, 3) END AS kurt".replace(" x ", f" ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ").replace("OVER x,", f"OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),"))
+_panel("w13_share_nonzero", lambda: [r(W.rolling(F.avg, F.when(F.col("y") != 0, 1.0).otherwise(0.0), series(), 28)).alias("share")], _roll("avg(CASE WHEN y <> 0 THEN 1.0 ELSE 0.0 END)", 28, name="share"))
 
 
 def _events_series(spark, sf_dir):
@@ -58,7 +62,7 @@ SELECT a.id, a.d, {expr} AS ewm FROM n a JOIN n b ON a.id = b.id AND b.i <= a.i
 
 @register("w14_ewm_adjusted", "WITH ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)" + _EWM.format(expr="CASE WHEN count(*) >= 4 THEN round(sum(b.n * power(0.7, a.i - b.i)) / sum(power(0.7, a.i - b.i)), 6) END"))
 def w14(spark, sf_dir):
-    return _events_series(spark, sf_dir).select("id", "d", r(W.ewm_adjusted("n", SERIES, 0.3, 4)).alias("ewm"))
+    return _events_series(spark, sf_dir).select("id", "d", r(W.ewm_adjusted("n", series(), 0.3, 4)).alias("ewm"))
 
 
 @register("w14_ewm_long", "WITH ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)" + _EWM.format(expr="round(sum(b.n * power(0.7, a.i - b.i)) / sum(power(0.7, a.i - b.i)), 6)"))
@@ -68,23 +72,23 @@ def w14_long(spark, sf_dir):
 
 @register("w15_ewm_recursive", "WITH ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)" + _EWM.format(expr="round(sum(b.n * power(0.7, a.i - b.i) * CASE WHEN b.i = 1 THEN 1.0 ELSE 0.3 END), 6)"))
 def w15(spark, sf_dir):
-    return _events_series(spark, sf_dir).select("id", "d", r(W.ewm_recursive("n", SERIES, 0.3)).alias("ewm"))
+    return _events_series(spark, sf_dir).select("id", "d", r(W.ewm_recursive("n", series(), 0.3)).alias("ewm"))
 
 
 UNTIL = f"({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-_panel("w16_expanding_count", lambda: [W.expanding(F.count, "y", SERIES).alias("n")], f"count(y) OVER {UNTIL} AS n", fill=False)
+_panel("w16_expanding_count", lambda: [W.expanding(F.count, "y", series()).alias("n")], f"count(y) OVER {UNTIL} AS n", fill=False)
 
 
 @register("w17_expanding_volatility", f"WITH {BRAND}, s AS (SELECT id, d, abs(y - lag(y) OVER ({O})) AS a FROM panel0) SELECT id, d, round(avg(a) OVER {UNTIL}, 6) AS vol FROM s")
 def w17(spark, sf_dir):
-    steps = brand_panel(spark, sf_dir, True).select("id", "d", F.abs(F.col("y") - F.lag("y").over(SERIES)).alias("a"))
-    return steps.select("id", "d", r(W.expanding(F.avg, "a", SERIES)).alias("vol"))
+    steps = brand_panel(spark, sf_dir, True).select("id", "d", F.abs(F.col("y") - F.lag("y").over(series())).alias("a"))
+    return steps.select("id", "d", r(W.expanding(F.avg, "a", series())).alias("vol"))
 
 
-_panel("w18_cumulative_mean", lambda: [r(F.try_divide(W.expanding(F.sum, "y", SERIES), W.expanding(F.count, "y", SERIES) - 1)).alias("scale")], f"round(sum(y) OVER {UNTIL} / nullif(count(y) OVER {UNTIL} - 1, 0), 6) AS scale")
-_panel("w19_running_index", lambda: [F.row_number().over(SERIES).cast("long").alias("i"), W.expanding(F.sum, "y", SERIES).alias("total")], f"row_number() OVER ({O}) AS i, sum(y) OVER {UNTIL} AS total")
-_panel("w20_relative_position", lambda: [r((F.col("y") - W.expanding(F.min, "y", SERIES)) / (1 + W.expanding(F.max, "y", SERIES) - W.expanding(F.min, "y", SERIES))).alias("rel")], f"round((y - min(y) OVER {UNTIL}) / (1 + max(y) OVER {UNTIL} - min(y) OVER {UNTIL}), 6) AS rel")
-_panel("w21_changes", lambda: [(F.col("y") - F.lag("y").over(SERIES)).alias("diff"), r(F.try_divide(F.col("y") - F.lag("y").over(SERIES), F.lag("y").over(SERIES))).alias("pct"), r(F.try_divide("y", F.lag("y").over(SERIES))).alias("ratio")], f"y - lag(y) OVER ({O}) AS diff, round((y - lag(y) OVER ({O})) / nullif(lag(y) OVER ({O}), 0), 6) AS pct, round(y / nullif(lag(y) OVER ({O}), 0), 6) AS ratio")
+_panel("w18_cumulative_mean", lambda: [r(F.try_divide(W.expanding(F.sum, "y", series()), W.expanding(F.count, "y", series()) - 1)).alias("scale")], f"round(sum(y) OVER {UNTIL} / nullif(count(y) OVER {UNTIL} - 1, 0), 6) AS scale")
+_panel("w19_running_index", lambda: [F.row_number().over(series()).cast("long").alias("i"), W.expanding(F.sum, "y", series()).alias("total")], f"row_number() OVER ({O}) AS i, sum(y) OVER {UNTIL} AS total")
+_panel("w20_relative_position", lambda: [r((F.col("y") - W.expanding(F.min, "y", series())) / (1 + W.expanding(F.max, "y", series()) - W.expanding(F.min, "y", series()))).alias("rel")], f"round((y - min(y) OVER {UNTIL}) / (1 + max(y) OVER {UNTIL} - min(y) OVER {UNTIL}), 6) AS rel")
+_panel("w21_changes", lambda: [(F.col("y") - F.lag("y").over(series())).alias("diff"), r(F.try_divide(F.col("y") - F.lag("y").over(series()), F.lag("y").over(series()))).alias("pct"), r(F.try_divide("y", F.lag("y").over(series()))).alias("ratio")], f"y - lag(y) OVER ({O}) AS diff, round((y - lag(y) OVER ({O})) / nullif(lag(y) OVER ({O}), 0), 6) AS pct, round(y / nullif(lag(y) OVER ({O}), 0), 6) AS ratio")
 _panel("w22_group_broadcast", lambda: [F.max("y").over(W.by("id")).alias("hi"), F.min("y").over(W.by("id")).alias("lo"), r(F.stddev_samp("y").over(W.by("id")), 4).alias("std"), r(F.avg("y").over(W.by("id"))).alias("mean"), F.sum("y").over(W.by("id")).alias("total")], "max(y) OVER p AS hi, min(y) OVER p AS lo, round(stddev_samp(y) OVER p, 4) AS std, round(avg(y) OVER p, 6) AS mean, sum(y) OVER p AS total".replace("OVER p", "OVER (PARTITION BY id)"), fill=False)
 _panel("w23_distinct_in_group", lambda: [W.distinct_in("y", W.by("id")).alias("n")], "count(DISTINCT y) OVER (PARTITION BY id) AS n", fill=False)
 _panel("w24_ratio_to_month_mean", lambda: [r(F.try_divide("y", F.avg("y").over(Window.partitionBy("id", F.year("d"), F.month("d"))))).alias("ratio")], "round(y / nullif(avg(y) OVER (PARTITION BY id, year(d), month(d)), 0), 6) AS ratio")
@@ -100,33 +104,30 @@ def w28(spark, sf_dir):
     return p.join(p.where(_CUT).groupBy("id").agg(r(F.avg("y")).alias("enc")), "id", "left").select("id", "d", "y", "enc")
 
 
-_WD = W.ordered(["id", "k"], "d")
-
-
 @register("w29_weekday_rolling", f"WITH {BRAND}, s AS (SELECT *, date_diff('day', DATE '1995-01-01', d) % 7 AS k FROM panel0) SELECT id, d, CASE WHEN count(y) OVER x >= 4 THEN round(avg(y) OVER x, 6) END AS mean_4 FROM s WINDOW x AS (PARTITION BY id, k ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
 def w29(spark, sf_dir):
     p = brand_panel(spark, sf_dir, True).withColumn("k", F.date_diff("d", F.lit("1995-01-01").cast("date")) % 7)
-    return p.select("id", "d", r(W.rolling(F.avg, "y", _WD, 4)).alias("mean_4"))
+    return p.select("id", "d", r(W.rolling(F.avg, "y", W.ordered(["id", "k"], "d"), 4)).alias("mean_4"))
 
 
-_panel("w30_last_days_mean", lambda: [r(W.rolling(F.avg, "y", SERIES, n)).alias(f"days_{n}") for n in (1, 2, 3, 4)], ", ".join(_roll("avg(y)", n, name=f"days_{n}") for n in (1, 2, 3, 4)))
+_panel("w30_last_days_mean", lambda: [r(W.rolling(F.avg, "y", series(), n)).alias(f"days_{n}") for n in (1, 2, 3, 4)], ", ".join(_roll("avg(y)", n, name=f"days_{n}") for n in (1, 2, 3, 4)))
 
 
 @register("w31_rolling_trend", f"WITH {BRAND}, s AS (SELECT id, d, {_roll('avg(y)', 7, name='m')} FROM panel0) SELECT id, d, round(m / CASE WHEN lag(m, 7) OVER ({O}) = 0 THEN 1 ELSE lag(m, 7) OVER ({O}) END, 6) AS trend FROM s")
 def w31(spark, sf_dir):
-    s = brand_panel(spark, sf_dir, True).select("id", "d", r(W.rolling(F.avg, "y", SERIES, 7)).alias("m"))
-    past = F.lag("m", 7).over(SERIES)
+    s = brand_panel(spark, sf_dir, True).select("id", "d", r(W.rolling(F.avg, "y", series(), 7)).alias("m"))
+    past = F.lag("m", 7).over(series())
     return s.select("id", "d", r(F.col("m") / F.when(past == 0, 1.0).otherwise(past)).alias("trend"))
 
 
 @register("w32_days_since_last_sale", f"WITH {BRAND} SELECT id, d, date_diff('day', lag(d) OVER ({O}), d) AS gap FROM daily WHERE y > 0")
 def w32(spark, sf_dir):
     p = brand_panel(spark, sf_dir).where("y > 0")
-    return p.select("id", "d", F.date_diff("d", F.lag("d").over(SERIES)).cast("long").alias("gap"))
+    return p.select("id", "d", F.date_diff("d", F.lag("d").over(series())).cast("long").alias("gap"))
 
 
-_panel("w33_days_since_nonzero", lambda: [W.days_since_nonzero("y", "d", SERIES).alias("gap")], f"date_diff('day', last_value(CASE WHEN y <> 0 THEN d END IGNORE NULLS) OVER {UNTIL}, d) AS gap")
-_panel("w34_same_weekday_mean", lambda: [r(F.coalesce((F.lag("y", 7).over(SERIES) + F.lag("y", 14).over(SERIES)) / 2, F.lag("y", 7).over(SERIES), F.lit(0.0))).alias("m")], f"round(coalesce((lag(y, 7) OVER ({O}) + lag(y, 14) OVER ({O})) / 2, lag(y, 7) OVER ({O}), 0.0), 6) AS m")
+_panel("w33_days_since_nonzero", lambda: [W.days_since_nonzero("y", "d", series()).alias("gap")], f"date_diff('day', last_value(CASE WHEN y <> 0 THEN d END IGNORE NULLS) OVER {UNTIL}, d) AS gap")
+_panel("w34_same_weekday_mean", lambda: [r(F.coalesce((F.lag("y", 7).over(series()) + F.lag("y", 14).over(series())) / 2, F.lag("y", 7).over(series()), F.lit(0.0))).alias("m")], f"round(coalesce((lag(y, 7) OVER ({O}) + lag(y, 14) OVER ({O})) / 2, lag(y, 7) OVER ({O}), 0.0), 6) AS m")
 
 
 @register("w35_first_sale", f"WITH {BRAND} SELECT id, min(CASE WHEN y <> 0 THEN d END) AS first_d FROM panel0 GROUP BY id")
@@ -151,14 +152,14 @@ def w38(spark, sf_dir):
 
 @register("w39_rolling_revenue_share", f"WITH {BRAND}, s AS (SELECT id, d, {_roll('sum(y)', 28, 0, 1, 'rev')} FROM panel0) SELECT id, d, round(rev / nullif(max(rev) OVER (PARTITION BY d), 0), 6) AS share FROM s")
 def w39(spark, sf_dir):
-    s = brand_panel(spark, sf_dir, True).select("id", "d", W.rolling(F.sum, "y", SERIES, 28, 0, 1).alias("rev"))
+    s = brand_panel(spark, sf_dir, True).select("id", "d", W.rolling(F.sum, "y", series(), 28, 0, 1).alias("rev"))
     return s.select("id", "d", r(F.try_divide("rev", F.max("rev").over(Window.partitionBy("d")))).alias("share"))
 
 
 @register("w40_nth_flagged_day", f"WITH {BRAND}, s AS (SELECT id, d, CASE WHEN day(d) <= 10 AND day(d) % 2 = 0 THEN 1 ELSE 0 END AS f FROM panel0) SELECT id, d, CAST(sum(f) OVER ({O} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) * f AS BIGINT) AS nth FROM s")
 def w40(spark, sf_dir):
     s = brand_panel(spark, sf_dir, True).select("id", "d", F.when((F.day("d") <= 10) & (F.day("d") % 2 == 0), 1).otherwise(0).alias("f"))
-    return s.select("id", "d", (F.sum("f").over(W.frame(SERIES, 15)) * F.col("f")).cast("long").alias("nth"))
+    return s.select("id", "d", (F.sum("f").over(W.frame(series(), 15)) * F.col("f")).cast("long").alias("nth"))
 
 
 _panel("w41_index_in_group", lambda: [(F.weekofyear("d") - F.min(F.weekofyear("d")).over(Window.partitionBy("id", F.year("d"), F.month("d"))) + 1).cast("long").alias("i")], "CAST(week(d) - min(week(d)) OVER (PARTITION BY id, year(d), month(d)) + 1 AS BIGINT) AS i")
@@ -180,14 +181,14 @@ def w43(spark, sf_dir):
     return m.select("d", F.concat(F.lag("e").over(w), F.lit("_1")).alias("after_1"), F.concat(F.lead("e").over(w), F.lit("_m1")).alias("before_1"))
 
 
-_panel("w44_rolling_anomaly", lambda: [r(F.col("y") - W.rolling(F.avg, "y", SERIES, n)).alias(f"anomaly_{n}") for n in (7, 14, 28)], ", ".join(f"round(y - {_roll('avg(y)', n, name='x', digits=12).rsplit(' AS ', 1)[0]}, 6) AS anomaly_{n}" for n in (7, 14, 28)))
-_panel("w45_lead_target", lambda: [F.lead("y", 28).over(SERIES).alias("target")], f"lead(y, 28) OVER ({O}) AS target")
-_panel("w46_interpolate", lambda: [F.when((F.month("d") == 12) & (F.day("d") == 25), (F.lag("y").over(SERIES) + F.lead("y").over(SERIES)) / 2).otherwise(F.col("y")).alias("y")], f"CASE WHEN month(d) = 12 AND day(d) = 25 THEN (lag(y) OVER ({O}) + lead(y) OVER ({O})) / 2 ELSE y END AS y")
+_panel("w44_rolling_anomaly", lambda: [r(F.col("y") - W.rolling(F.avg, "y", series(), n)).alias(f"anomaly_{n}") for n in (7, 14, 28)], ", ".join(f"round(y - {_roll('avg(y)', n, name='x', digits=12).rsplit(' AS ', 1)[0]}, 6) AS anomaly_{n}" for n in (7, 14, 28)))
+_panel("w45_lead_target", lambda: [F.lead("y", 28).over(series()).alias("target")], f"lead(y, 28) OVER ({O}) AS target")
+_panel("w46_interpolate", lambda: [F.when((F.month("d") == 12) & (F.day("d") == 25), (F.lag("y").over(series()) + F.lead("y").over(series())) / 2).otherwise(F.col("y")).alias("y")], f"CASE WHEN month(d) = 12 AND day(d) = 25 THEN (lag(y) OVER ({O}) + lead(y) OVER ({O})) / 2 ELSE y END AS y")
 
 
 @register("w47_supervised_slices", f"WITH {BRAND}, s AS (SELECT id, d, list(y) OVER ({O} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS past, list(y) OVER ({O} ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS future FROM panel0) SELECT id, d, array_to_string(list_transform(past, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS past, array_to_string(list_transform(future, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS future FROM s WHERE len(past) = 14 AND len(future) = 7")
 def w47(spark, sf_dir):
-    s = brand_panel(spark, sf_dir, True).select("id", "d", F.collect_list("y").over(SERIES.rowsBetween(-13, 0)).alias("past"), F.collect_list("y").over(SERIES.rowsBetween(1, 7)).alias("future"))
+    s = brand_panel(spark, sf_dir, True).select("id", "d", F.collect_list("y").over(series().rowsBetween(-13, 0)).alias("past"), F.collect_list("y").over(series().rowsBetween(1, 7)).alias("future"))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",").alias(c)
     return s.where("size(past) = 14 and size(future) = 7").select("id", "d", text("past"), text("future"))
 
@@ -198,4 +199,4 @@ def w48(spark, sf_dir):
     return s.select("id", "v", W.average_rank_desc("v", Window.partitionBy(F.lit(0))).alias("rnk"))
 
 
-_panel("w49_ratio_to_trailing_mean", lambda: [r(F.try_divide("y", W.rolling(F.avg, "y", SERIES, 28, 1))).alias("ratio")], f"round(y / nullif({_roll('avg(y)', 28, 1, name='x', digits=12).rsplit(' AS ', 1)[0]}, 0), 6) AS ratio")
+_panel("w49_ratio_to_trailing_mean", lambda: [r(F.try_divide("y", W.rolling(F.avg, "y", series(), 28, 1))).alias("ratio")], f"round(y / nullif({_roll('avg(y)', 28, 1, name='x', digits=12).rsplit(' AS ', 1)[0]}, 0), 6) AS ratio")
