@@ -148,4 +148,33 @@ def quality_rules(docs: DataFrame, text_col: str = "text", cleaned_col: str | No
 
 def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """doc_id and the figures of every document, without its texts."""
-    return quality_rules(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", None, rules).drop("text")
+    return quality_rules(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", None, rules).drop("text", "n_lines_removed", "chars_removed")
+
+
+#: The same rules as DuckDB SQL: words by position for the figures, lines by number for the verdict.
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs)),
+windows AS (SELECT doc_id, i, w, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM words WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+flags AS (SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS rep FROM windows),
+covered AS (SELECT doc_id, i, rep OR coalesce(lag(rep, 1) OVER x, false) OR coalesce(lag(rep, 2) OVER x, false) AS c FROM flags WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+repeats AS (SELECT doc_id, count(*) FILTER (c) AS n_repeat_words FROM covered GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM words GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM docs)),
+full_lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (SELECT doc_id, nth, list_sum(list_transform(w, lambda x: length(x))) AS chars,
+  (length(line) <= 160 AND regexp_full_match(lower(line), '\s*(?:(?:this work is |this file is |released |code is )?(?:licensed|released) under .{0,80}|all rights reserved\.?|(?:copyright|©|\(c\)) .{0,80}|.{0,40}\b(?:accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)|sign in|log in|subscribe to our newsletter|click here|share on (?:facebook|twitter)|javascript is disabled)\b.{0,40})\s*'))
+  OR (regexp_matches(line, '[|»›•>]|::| / ') AND len(w) >= 3 AND (len(list_filter(w, lambda x: x IN ('|', '»', '›', '•', '>', '::', '/'))) > 0.3 * len(w)
+      OR regexp_full_match(line, '\s*(?:[\pL\pN_''-]{1,20}(?: [\pL\pN_''-]{1,20}){0,2}\s*(?:[|»›•>]|::|/)\s*){2,}[\pL\pN_''-]{0,20}(?: [\pL\pN_''-]{1,20}){0,2}\.?\s*')))
+  OR (regexp_matches(line, '##|\*\*|\$\$|%%|&&|\|\||<<|>>') AND len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]{2,}'))) > 0.3 * len(w))
+  OR (contains(line, '!') AND len(w) >= 4 AND len(list_filter(w, lambda x: ends_with(x, '!'))) > 0.3 * len(w))
+  OR (len(w) >= 4 AND upper(line) = line AND lower(line) <> line) AS fails
+  FROM full_lines),
+verdicts AS (SELECT doc_id, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0) AS lost FROM judged GROUP BY doc_id),
+facts AS (SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN repeats r ON d.doc_id = r.doc_id LEFT JOIN verdicts v ON d.doc_id = v.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.3 * word_chars AS kept
+FROM facts
+"""

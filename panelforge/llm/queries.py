@@ -71,5 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_quality": quality.ORACLE,
         "op10_url_filter": urls.ORACLE,
     }
