@@ -129,10 +129,10 @@ def j18(spark, sf_dir):
     return p.select("id", "d").join(p.select("id", F.date_sub("d", 7).alias("d"), F.col("y").alias("y_7")), ["id", "d"])
 
 
-@_simple("j19_parent_child", f"WITH {BRAND}, tot AS (SELECT d, sum(y) AS total FROM panel0 GROUP BY d) SELECT id, d, round(y / nullif(total, 0), 6) AS share FROM panel0 JOIN tot USING (d)")
+@_simple("j19_parent_child", f"WITH {BRAND}, tot AS (SELECT d, sum(y) AS total FROM panel0 GROUP BY d) SELECT id, d, round(y / nullif(total, 0), 10) AS share FROM panel0 JOIN tot USING (d)")
 def j19(spark, sf_dir):
     p = brand_panel(spark, sf_dir, True)
-    return p.join(p.groupBy("d").agg(F.sum("y").alias("total")), "d").select("id", "d", r(F.try_divide("y", "total")).alias("share"))
+    return p.join(p.groupBy("d").agg(F.sum("y").alias("total")), "d").select("id", "d", r(F.try_divide("y", "total"), 10).alias("share"))
 
 
 @_simple("j20_summing_matrix", "WITH y AS (SELECT l_suppkey AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1), b AS (SELECT s_suppkey AS k, 'nation' AS level, n_name AS g FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey, 'total', 'Total_X' FROM supplier) SELECT level, g, sum(q) AS q FROM y JOIN b USING (k) GROUP BY ALL")

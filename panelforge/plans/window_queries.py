@@ -70,24 +70,24 @@ def w14_long(spark, sf_dir):
     return W.ewm_long(_events_series(spark, sf_dir).select("id", "d", F.col("n").cast("double").alias("n")), ["id"], "d", "n", "e", 0.3).select("id", "d", r("e").alias("ewm"))
 
 
-@register("w15_ewm_recursive", "WITH ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)" + _EWM.format(expr="round(sum(b.n * power(0.7, a.i - b.i) * CASE WHEN b.i = 1 THEN 1.0 ELSE 0.3 END), 6)"))
+@register("w15_ewm_recursive", "WITH ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)" + _EWM.format(expr="round(sum(b.n * power(5.0::DOUBLE / 7, a.i - b.i) * CASE WHEN b.i = 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE / 7 END), 6)"))
 def w15(spark, sf_dir):
-    return _events_series(spark, sf_dir).select("id", "d", r(W.ewm_recursive("n", series(), 0.3)).alias("ewm"))
+    return _events_series(spark, sf_dir).select("id", "d", r(W.ewm_recursive("n", series(), 2 / 7)).alias("ewm"))
 
 
 UNTIL = f"({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _panel("w16_expanding_count", lambda: [W.expanding(F.count, "y", series()).alias("n")], f"count(y) OVER {UNTIL} AS n", fill=False)
 
 
-@register("w17_expanding_volatility", f"WITH {BRAND}, s AS (SELECT id, d, abs(y - lag(y) OVER ({O})) AS a FROM panel0) SELECT id, d, round(avg(a) OVER {UNTIL}, 6) AS vol FROM s")
+@register("w17_expanding_volatility", f"WITH {BRAND}, s AS (SELECT id, d, abs(y - lag(y) OVER ({O})) AS a FROM panel0) SELECT id, d, round(avg(a) OVER {UNTIL}, 12) AS vol FROM s")
 def w17(spark, sf_dir):
     steps = brand_panel(spark, sf_dir, True).select("id", "d", F.abs(F.col("y") - F.lag("y").over(series())).alias("a"))
-    return steps.select("id", "d", r(W.expanding(F.avg, "a", series())).alias("vol"))
+    return steps.select("id", "d", r(W.expanding(F.avg, "a", series()), 12).alias("vol"))
 
 
-_panel("w18_cumulative_mean", lambda: [r(F.try_divide(W.expanding(F.sum, "y", series()), W.expanding(F.count, "y", series()) - 1)).alias("scale")], f"round(sum(y) OVER {UNTIL} / nullif(count(y) OVER {UNTIL} - 1, 0), 6) AS scale")
+_panel("w18_cumulative_mean", lambda: [r(F.try_divide(W.expanding(F.sum, "y", series()), W.expanding(F.count, "y", series()) - 1), 12).alias("scale")], f"round(sum(y) OVER {UNTIL} / nullif(count(y) OVER {UNTIL} - 1, 0), 12) AS scale")
 _panel("w19_running_index", lambda: [F.row_number().over(series()).cast("long").alias("i"), W.expanding(F.sum, "y", series()).alias("total")], f"row_number() OVER ({O}) AS i, sum(y) OVER {UNTIL} AS total")
-_panel("w20_relative_position", lambda: [r((F.col("y") - W.expanding(F.min, "y", series())) / (1 + W.expanding(F.max, "y", series()) - W.expanding(F.min, "y", series()))).alias("rel")], f"round((y - min(y) OVER {UNTIL}) / (1 + max(y) OVER {UNTIL} - min(y) OVER {UNTIL}), 6) AS rel")
+_panel("w20_relative_position", lambda: [r((F.col("y") - W.expanding(F.min, "y", series())) / (1 + W.expanding(F.max, "y", series()) - W.expanding(F.min, "y", series())), 12).alias("rel")], f"round((y - min(y) OVER {UNTIL}) / (1 + max(y) OVER {UNTIL} - min(y) OVER {UNTIL}), 12) AS rel")
 _panel("w21_changes", lambda: [(F.col("y") - F.lag("y").over(series())).alias("diff"), r(F.try_divide(F.col("y") - F.lag("y").over(series()), F.lag("y").over(series()))).alias("pct"), r(F.try_divide("y", F.lag("y").over(series()))).alias("ratio")], f"y - lag(y) OVER ({O}) AS diff, round((y - lag(y) OVER ({O})) / nullif(lag(y) OVER ({O}), 0), 6) AS pct, round(y / nullif(lag(y) OVER ({O}), 0), 6) AS ratio")
 _panel("w22_group_broadcast", lambda: [F.max("y").over(W.by("id")).alias("hi"), F.min("y").over(W.by("id")).alias("lo"), r(F.stddev_samp("y").over(W.by("id")), 4).alias("std"), r(F.avg("y").over(W.by("id"))).alias("mean"), F.sum("y").over(W.by("id")).alias("total")], "max(y) OVER p AS hi, min(y) OVER p AS lo, round(stddev_samp(y) OVER p, 4) AS std, round(avg(y) OVER p, 6) AS mean, sum(y) OVER p AS total".replace("OVER p", "OVER (PARTITION BY id)"), fill=False)
 _panel("w23_distinct_in_group", lambda: [W.distinct_in("y", W.by("id")).alias("n")], "count(DISTINCT y) OVER (PARTITION BY id) AS n", fill=False)
@@ -113,11 +113,15 @@ def w29(spark, sf_dir):
 _panel("w30_last_days_mean", lambda: [r(W.rolling(F.avg, "y", series(), n)).alias(f"days_{n}") for n in (1, 2, 3, 4)], ", ".join(_roll("avg(y)", n, name=f"days_{n}") for n in (1, 2, 3, 4)))
 
 
-@register("w31_rolling_trend", f"WITH {BRAND}, s AS (SELECT id, d, {_roll('avg(y)', 7, name='m')} FROM panel0) SELECT id, d, round(m / CASE WHEN lag(m, 7) OVER ({O}) = 0 THEN 1 ELSE lag(m, 7) OVER ({O}) END, 6) AS trend FROM s")
+_WEEK = f"({O} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+
+
+@register("w31_rolling_trend", f"WITH {BRAND}, s AS (SELECT id, d, CASE WHEN count(y) OVER {_WEEK} >= 7 THEN sum(y) OVER {_WEEK} END AS m FROM panel0) SELECT id, d, round(m / CASE WHEN lag(m, 7) OVER ({O}) = 0 THEN 7 ELSE lag(m, 7) OVER ({O}) END, 10) AS trend FROM s")
 def w31(spark, sf_dir):
-    s = brand_panel(spark, sf_dir, True).select("id", "d", r(W.rolling(F.avg, "y", series(), 7)).alias("m"))
+    """Mean of 7 days by that of the 7 before (0 counts as 1), from sums: the common divisor cancels."""
+    s = brand_panel(spark, sf_dir, True).select("id", "d", W.rolling(F.sum, "y", series(), 7).alias("m"))
     past = F.lag("m", 7).over(series())
-    return s.select("id", "d", r(F.col("m") / F.when(past == 0, 1.0).otherwise(past)).alias("trend"))
+    return s.select("id", "d", r(F.col("m") / F.when(past == 0, 7.0).otherwise(past), 10).alias("trend"))
 
 
 @register("w32_days_since_last_sale", f"WITH {BRAND} SELECT id, d, date_diff('day', lag(d) OVER ({O}), d) AS gap FROM daily WHERE y > 0")
