@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,15 @@ SIMILARITY = 0.8
 #: Lines of fewer tokens are left alone.
 MIN_TOKENS = 3
 #: Cells of the token counts, a byte each: what is broadcast, whatever the vocabulary.
-CELLS = 1 << 23
+CELLS = 1 << 22
+#: Cells of a slice.
+SLICE = 1 << 15
 #: Pairs of posting lists that are held at a time, rows of an Arrow batch of narrow rows, and postings of a partition.
-PAIRS, ROWS, PART = 1 << 21, 1 << 14, 400_000
+PAIRS, ROWS, PART = 1 << 18, 1 << 14, 200_000
 FIRST_ID = -(1 << 63)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bytes that are hashed at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 ODD_A, ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -119,26 +122,39 @@ def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Colu
 
 
 def token_rarity(docs: DataFrame, cells: int) -> np.ndarray:
-    """Of each hashed cell 8 times the binary logarithm of its tokens' occurrences over all texts, as a byte: 0 for one occurrence."""
+    """Of each hashed cell 8 times the binary logarithm of its tokens' occurrences over all texts, as a byte: 0 for one occurrence.
+
+    Every task counts all its tokens, up to 255 a cell; tasks' counts travel as
+    slices of bytes and are summed as a stream. A cell that reaches 255 in a
+    task is common, and its exact place among common ones doesn't matter.
+    """
+    width = min(cells, SLICE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, hasher = np.zeros(cells, np.int64), Hasher()
+        total, hasher, some = np.zeros(cells, np.uint32), Hasher(), False
         for b in batches:
             _, h = hasher.tokens(*_buffer(b.column(0)))
-            np.add.at(total, (h & np.uint64(cells - 1)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        for k in range(0, len(used), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(used[k : k + ROWS]), pa.array(total[used[k : k + ROWS]])], names=["cell", "n"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            np.add.at(total, (h & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
+            some = some or len(h) > 0
+        for k in range(0, cells if some else 0, width):
+            part = np.minimum(total[k : k + width], 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k // width], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            level = np.minimum(np.round(8 * np.log2(b.column("n").to_numpy())), 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([b.column("cell").to_numpy().astype(np.int32).tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], names=["cells", "levels"])
-
-    summed = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(cells, np.uint8)
-    for r in narrow(summed.mapInArrow(pack, "cells binary, levels binary"), "token-rarity").toLocalIterator():
-        out[np.frombuffer(r["cells"], np.int32)] = np.frombuffer(r["levels"], np.uint8)
+            for k, counts in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist()):
+                x = np.frombuffer(counts, np.uint8)
+                sums[k] = sums[k] + x if k in sums else x.astype(np.int64)
+        for k, x in sums.items():
+            level = np.where(x > 0, np.minimum(np.round(8 * np.log2(np.maximum(x, 1))), 255), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
+
+    n = min(cells // width, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    levels = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(n, "slice").mapInArrow(add, "slice int, levels binary")
+    out = np.full(cells, 255, np.uint8)
+    for r in written(levels, "token-rarity").toLocalIterator():
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
@@ -173,8 +189,14 @@ def _line_sets(hasher: Hasher, column: pa.Array, rarity: np.ndarray, t: float, m
     line = np.cumsum(head) - 1
     # the order of tokens: rarity level, then the hash's upper 56 bits
     code = rarity[(h & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
-    order = np.lexsort((code, line))
-    code, h = code[order], h[order]
+    # one sort by line and the code's upper bits; equal ones of different tokens, which hardly occur, take the exact sort
+    bits = np.uint64(max(1, int(line[-1]).bit_length()))
+    both = line.astype(np.uint64) << (np.uint64(64) - bits) | code >> bits
+    order = np.argsort(both)
+    both, code, h = both[order], code[order], h[order]
+    if ((both[1:] == both[:-1]) & (h[1:] != h[:-1])).any():
+        exact = np.lexsort((code, line[order]))
+        code, h = code[exact], h[exact]
     new = np.concatenate(([True], (code[1:] != code[:-1]) | (line[1:] != line[:-1])))
     code, h, line = code[new], h[new], line[new]
     n = len(text)
@@ -324,20 +346,22 @@ def repeated_lines(docs: DataFrame, t: float = SIMILARITY, min_tokens: int = MIN
     if n_open := open_lines.count():
         asked = maybe_broadcast(open_lines.withColumn("asked", F.lit(True)), n_open, 40)
         marked = posts.drop("ask").join(asked, [*LINE_OF], "left").withColumn("ask", F.coalesce("asked", F.lit(False))).drop("asked")
-        lists = marked.where("ask").select("token").distinct()
+        lists = written(marked.where("ask").select("token").distinct(), "open-lists")
+        lists = maybe_broadcast(lists, lists.count(), 24)
         rest = narrow(candidates(marked.join(lists, "token", "left_semi"), n_posts, t, True).drop("apart", "n").distinct(), "line-candidates")
         good = good.unionByName(written(_verified(rest, docs, t), "similar-lines")).distinct()
     again = lines.join(classes.where("times > 1").select("key_a", "key_b", place.alias("first")), ["key_a", "key_b"]).where(place != F.col("first")).select(*LINE_OF)
     return again.unionByName(good).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "deduped", t: float = SIMILARITY, min_tokens: int = MIN_TOKENS, cells: int = CELLS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "deduped", t: float = SIMILARITY, min_tokens: int = MIN_TOKENS, cells: int = CELLS, digest: bool = False) -> DataFrame:
     """Adds ``deduped`` (the text without its repeated lines), n_lines, n_removed and removed_lines (their numbers from 0).
 
     Lines are ordered by id, then line number; the first one of similar lines
     stays. Lines of fewer than ``min_tokens`` words stay. Null texts count as
     empty; null ids come first. Rows with one id and equal texts are one
     document: both lose the same lines. Input columns named like added ones are replaced.
+    With ``digest`` the sha256 of the text is added instead of the text.
     """
     small_batches(docs.sparkSession)
     d, th = _identity(docs, id_col, text_col)
@@ -361,7 +385,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if gone:
                     out = set(gone)
                     text = "\n".join([x for k, x in enumerate(text.split("\n")) if k not in out])
-                texts.append(text)
+                texts.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.string())], names=[*keep, *added])
 
     return source.mapInArrow(run, schema)
@@ -370,4 +394,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines and the digest of what is left of every document."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return dedup_lines(source).select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2(F.col("deduped").cast("binary"), 256).alias("deduped_sha256"))
+    return dedup_lines(source, out_col="deduped_sha256", digest=True).select("doc_id", "n_lines", "n_removed", "removed_lines", "deduped_sha256")
