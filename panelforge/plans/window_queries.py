@@ -203,4 +203,5 @@ def w48(spark, sf_dir):
     return s.select("id", "v", W.average_rank_desc("v", Window.partitionBy(F.lit(0))).alias("rnk"))
 
 
-_panel("w49_ratio_to_trailing_mean", lambda: [r(F.try_divide("y", W.rolling(F.avg, "y", series(), 28, 1))).alias("ratio")], f"round(y / nullif({_roll('avg(y)', 28, 1, name='x', digits=12).rsplit(' AS ', 1)[0]}, 0), 6) AS ratio")
+_BEFORE = f"({O} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)"
+_panel("w49_ratio_to_trailing_mean", lambda: [r(F.try_divide(28 * F.col("y"), W.rolling(F.sum, "y", series(), 28, 1)), 10).alias("ratio")], f"CASE WHEN count(y) OVER {_BEFORE} >= 28 THEN round(28 * y / nullif(sum(y) OVER {_BEFORE}, 0), 10) END AS ratio")
