@@ -19,7 +19,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,9 +121,11 @@ def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Colu
     return F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("d"), th.alias("th")
 
 
-def token_rarity(docs: DataFrame, cells: int) -> np.ndarray:
+def token_rarity(docs: DataFrame, cells: int, hashes: Callable[[Hasher, pa.Array], np.ndarray] | None = None) -> np.ndarray:
     """Of each hashed cell 8 times the binary logarithm of its tokens' occurrences over all texts, as a byte: 0 for one occurrence.
 
+    hashes: those of a column of texts, where they aren't those of its words.
+
     Every task counts all its tokens, up to 255 a cell; tasks' counts travel as
     slices of bytes and are summed as a stream. A cell that reaches 255 in a
     task is common, and its exact place among common ones doesn't matter.
@@ -133,7 +135,7 @@ def token_rarity(docs: DataFrame, cells: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hasher, some = np.zeros(cells, np.uint32), Hasher(), False
         for b in batches:
-            _, h = hasher.tokens(*_buffer(b.column(0)))
+            h = hashes(hasher, b.column(0)) if hashes else hasher.tokens(*_buffer(b.column(0)))[1]
             np.add.at(total, (h & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
             some = some or len(h) > 0
         for k in range(0, cells if some else 0, width):
