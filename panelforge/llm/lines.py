@@ -9,7 +9,7 @@
    that any similar line must share one of. Lines with equal sets form one
    class, standing at its first occurrence; every other occurrence goes.
 3. Classes meet in the posting lists of prefix tokens (of their 32-bit hashes:
-   tokens that share one only add candidates). Length, positional and
+   tokens that share one only add candidates, never the line itself). Length, positional and
    signature filters leave candidates; of them each line passes on the one with
    the nearest signature, for one earlier match is enough to remove it. Lines
    that fail with it, and had more, pass on all of them in a second round.
@@ -253,7 +253,7 @@ def _search(rows: dict[str, np.ndarray], t: float, every: bool) -> Iterator[pa.R
         a, b, sa, sb = a[near], b[near], sa[near], sb[near]
         need = overlap_needed(sa, sb, t)
         apart = np.bitwise_count((rows["sig"][a] ^ rows["sig"][b]).view(np.uint64))
-        ok = (apart <= sa + sb - 2 * need) & (np.minimum(sa - rows["pos"][a], sb - rows["pos"][b]) >= need)
+        ok = (apart <= sa + sb - 2 * need) & np.logical_or.reduce([rows[c][a] != rows[c][b] for c in ("d", "th", "line")]) & (np.minimum(sa - rows["pos"][a], sb - rows["pos"][b]) >= need)
         a, b, apart = a[ok], b[ok], apart[ok]
         if not len(a):
             continue

@@ -75,3 +75,17 @@ def test_hashes_depend_on_the_token_only(monkeypatch):
     words = [w for x in texts for w in L.tokens(x)]
     assert len(h) == len(words) and len(set(h.tolist())) == len(set(words)) == len(set(zip(words, h.tolist())))
     assert starts[:2].tolist() == [0, 3]
+
+
+def test_tokens_of_a_line_that_share_their_posting_key(spark):
+    import numpy as np
+
+    words = [f"t{i}" for i in range(400_000)]
+    data = " ".join(words).encode()
+    _, h = L.Hasher().tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    order = np.argsort(h)
+    k = int(np.flatnonzero(h[order][1:] >> np.uint64(32) == h[order][:-1] >> np.uint64(32))[0])
+    one, two = words[order[k]], words[order[k + 1]]
+    common = [f"c{i}" for i in range(10)]
+    rows = [(1, " ".join([one, two, *common])), (2, f"{one} p q"), (3, f"{two} r s"), *((10 + k, "\n".join(f"{c} x{k}{c} y{k}{c}" for c in common)) for k in range(5))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
