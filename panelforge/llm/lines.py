@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import maybe_broadcast, passing, small_batches, text_or_empty, written
 
 SIMILARITY = 0.8
-#: Lines of fewer tokens are left alone.
+#: Lines of fewer tokens are left alone, where the caller doesn't ask for shorter ones.
 MIN_TOKENS = 3
+#: Lines with at least one word: what the query and the pipeline join.
+ALL_LINES = 1
 #: Cells of the token counts, a byte each: what is broadcast, whatever the vocabulary.
 CELLS = 1 << 22
 #: Cells of a slice.
@@ -396,4 +398,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines and the digest of what is left of every document."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return dedup_lines(source, out_col="deduped_sha256", digest=True).select("doc_id", "n_lines", "n_removed", "removed_lines", "deduped_sha256")
+    return dedup_lines(source, out_col="deduped_sha256", min_tokens=ALL_LINES, digest=True).select("doc_id", "n_lines", "n_removed", "removed_lines", "deduped_sha256")

@@ -89,3 +89,10 @@ def test_tokens_of_a_line_that_share_their_posting_key(spark):
     common = [f"c{i}" for i in range(10)]
     rows = [(1, " ".join([one, two, *common])), (2, f"{one} p q"), (3, f"{two} r s"), *((10 + k, "\n".join(f"{c} x{k}{c} y{k}{c}" for c in common)) for k in range(5))]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_query_joins_lines_of_one_and_two_words(spark):
+    rows = [(1, "One\ntwo words\n\nthree words here"), (2, "one\n\nwords TWO\nother"), (3, "two words more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["removed_lines"] for r in L.line_digests(docs).collect()} == {1: "", 2: "0,2", 3: ""}
+    assert got(docs, min_tokens=L.ALL_LINES) == brute(rows, least=1)
