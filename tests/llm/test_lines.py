@@ -59,11 +59,25 @@ def test_repeated_rows_empty_table_and_clashing_columns(spark):
     rows = [(5, "one two three\nfour five six"), (5, "one two three\nfour five six"), (6, "one two three\nseven eight nine")]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
     assert got(spark.createDataFrame([], "doc_id long, text string")) == []
-    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, d string, deduped string")
-    assert L.dedup_lines(df.withColumnRenamed("d", "other")).columns == ["doc_id", "text", "other", "deduped", "n_lines", "n_removed", "removed_lines"]
+    clash = ("d", "th", "line", "lines", "gone_d", "gone_lines", "deduped", "Words")
+    df = spark.createDataFrame([(*r, *clash) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    out = L.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *(c for c in clash if c != "deduped"), "deduped", "n_lines", "n_removed", "removed_lines"]
+    assert got(df) == brute(rows) and out.first()["th"] == "th"
     assert sorted(r["n_removed"] for r in L.line_digests(df).collect()) == [0, 0, 1]
 
 
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 3)
+    monkeypatch.setattr(L, "HELD", 20)
+    monkeypatch.setattr(L, "PAIRS", 5)
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(14)]
+    # one group of similar lines that all share their tokens, and others that only look alike
+    rows = [(k, " ".join(rng.sample(base, rng.randint(7, 12)) + [f"u{k % 4}"] * (k % 3 > 0))) for k in range(70)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+
+
 def test_hashes_depend_on_the_token_only(monkeypatch):
     import numpy as np
 
