@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import small_batches, text_or_empty
+from panelforge.llm.common import small_batches, text_or_empty, unused
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -297,13 +297,14 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids
     small_batches(spark)
     shared = share_tokenizer(spark, tokenizer_path)
     keep = [c for c in docs.columns if c != ids_col]
-    source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    (own,) = unused(docs.columns, "own_text")
+    source = docs.select(*keep, text_or_empty(text_col).alias(own))
     schema = docs.select(*keep).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared)
         for b in batches:
-            bpe.warm(texts := b.column("__text").to_pylist())
+            bpe.warm(texts := b.column(own).to_pylist())
             ids = pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, ids_col])
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import small_batches, text_or_empty
+from panelforge.llm.common import small_batches, text_or_empty, unused
 
 LEAST, NORMAL, MOST = 32, 96, 512
 #: Low bits of the gear hash that must be zero before and after the normal size.
@@ -118,11 +118,12 @@ def fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fingerp
     """Adds each whole text's fingerprint in its text form. Null and empty texts: the empty string."""
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != fp_col]
-    source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    (own,) = unused(docs.columns, "own_text")
+    source = docs.select(*keep, text_or_empty(text_col).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([shown(fingerprint(t)) for t in b.column("__text").to_pylist()], pa.string())
+            fp = pa.array([shown(fingerprint(t)) for t in b.column(own).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), fp], names=[*keep, fp_col])
 
     return source.mapInArrow(run, docs.select(*keep).schema.add(fp_col, "string"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm import bpe
-from panelforge.llm.common import small_batches, text_or_empty
+from panelforge.llm.common import small_batches, text_or_empty, unused
 
 #: The pattern looks at most two code points behind a pre-token's end; one more is left as room.
 CONTEXT = 3
@@ -183,7 +183,8 @@ def count_edited(docs: DataFrame, tokenizer_path: str, edits_col: str = "edits",
     shared = bpe.share_tokenizer(spark, tokenizer_path)
     added = ("n_chars", "n_tokens", "n_tokens_edited", "n_encoded")
     keep = [c for c in docs.columns if c not in (*added, edits_col, text_col)]
-    source = docs.select(*keep, text_or_empty(text_col).alias("__text"), F.col(edits_col).alias("__edits"))
+    own, own_edits = unused(docs.columns, "own_text", "own_edits")
+    source = docs.select(*keep, text_or_empty(text_col).alias(own), F.col(edits_col).alias(own_edits))
     schema = docs.select(*keep).schema
     for c in added:
         schema = schema.add(c, T.LongType())
@@ -192,8 +193,8 @@ def count_edited(docs: DataFrame, tokenizer_path: str, edits_col: str = "edits",
         encoder = bpe.loaded(shared)
         for b in batches:
             rows = []
-            encoder.warm(texts := b.column("__text").to_pylist())
-            for text, edits in zip(texts, b.column("__edits").to_pylist()):
+            encoder.warm(texts := b.column(own).to_pylist())
+            for text, edits in zip(texts, b.column(own_edits).to_pylist()):
                 tree = TokenTree(encoder, text)
                 before = tree.n_tokens
                 for e in edits or ():

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm import bpe
-from panelforge.llm.common import small_batches, text_or_empty, written
+from panelforge.llm.common import small_batches, text_or_empty, unused, written
 
 SEQUENCE, BUCKETS, BUDGET = 2048, 8, 65_536
 #: Rows of a slice, so that a task's share doesn't grow with the input.
@@ -90,12 +90,13 @@ def token_counts(docs: DataFrame, ranks_path: str, text_col: str = "text", count
     small_batches(spark)
     shared = bpe.share_tokenizer(spark, ranks_path)
     keep = [c for c in docs.columns if c not in (count_col, text_col)]
-    source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    (own,) = unused(docs.columns, "own_text")
+    source = docs.select(*keep, text_or_empty(text_col).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _counter(shared).count
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([of(t) for t in b.column("__text").to_pylist()], pa.int64())], names=[*keep, count_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([of(t) for t in b.column(own).to_pylist()], pa.int64())], names=[*keep, count_col])
 
     return source.mapInArrow(run, docs.select(*keep).schema.add(count_col, T.LongType()))
 

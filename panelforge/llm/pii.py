@@ -4,10 +4,14 @@ Patterns propose candidate spans. Labelers of three kinds vote on each: regular
 expressions (shape and checksums), gazetteers (domains, names, number prefixes)
 and context (words and signs around). The counts of vote patterns over the
 whole corpus go through expectation-maximisation, which estimates how reliable
-each labeler is and how likely each pattern is personal data; on these
-posteriors a final classifier of spans is trained, which decides each candidate
-in a second pass. The counts of patterns are bounded by the number of patterns,
-so nothing that grows with the corpus reaches the driver.
+each labeler is and how likely each pattern is personal data. On these
+posteriors a final classifier of spans is trained, which sees the span itself
+(length, classes and variety of characters, shape of its ends), the words around
+it, its kind and what its shape, checksum and edges told; it decides each candidate in a second pass. Counts of
+patterns cover all texts; the classifier is fitted on a bounded sample, at most
+``EXAMPLES`` spans of each kind and pattern, those with the least hashes. Both
+are bounded by the number of patterns, so nothing that grows with the corpus
+reaches the driver.
 
 Four kinds have fixed definitions (email, ip, card, phone); their spans always
 stay. The method adds spans of the same kinds in other forms, and of further
@@ -17,21 +21,27 @@ kinds: secret tokens, account numbers, postal-like identifiers and names.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import small_batches, text_or_empty
+from panelforge.llm.common import passing, small_batches, text_or_empty, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Numbers joined by dots, as far as they go.
+CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -53,13 +63,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         out += [(m.start(), 0, m.end()) for m in _emails(text)]
     if DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
+        if "." in text:
+            out += _ips(text)
         out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return sorted(out)
 
 
+def _ips(text: str) -> Iterator[tuple[int, int, int]]:
+    """The matches of IP, in one walk over chains of numbers: each four in turn are a match."""
+    for m in CHAIN.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(map(_octet, four)):
+                yield at, 1, end
+            at = end + 1
+
+
 def _octet(p: str) -> bool:
     p = p.lstrip("0")
     return len(p) <= 3 and int(p or "0") <= 255
@@ -84,7 +108,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 #: Candidates beyond the fixed kinds, with the name of their kind.
 PROPOSALS = (
-    ("secret", re.compile(r"""(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|(?:sk|pk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,64}|AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{4,}){1,2})(?![A-Za-z0-9])""")),
+    ("secret", re.compile(r"""(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|(?:sk|pk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,64}|AKIA[0-9A-Z]{16}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{4,}){1,2})(?![A-Za-z0-9])""")),
     ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)[ -]?|[0-9]{2,4}[ -])[0-9]{3}[ -][0-9]{4}(?![0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
@@ -116,18 +140,34 @@ LABELERS = ("shape", "checksum", "gazetteer", "context", "against", "edges")
 VOTE = {1: "+", -1: "-", 0: "0"}
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates: the fixed spans and proposals that don't overlap them or each other."""
     out = [(s, e, KINDS[k]) for s, k, e in base]
     if not (DIGIT.search(text) or any(map(text.__contains__, HINTS))):
         return out
-    taken = sorted((s, e) for s, e, _ in out)
+    taken = _merged([(s, e) for s, e, _ in out])
     for kind, pattern in PROPOSALS:
+        ends = [e for _, e in taken]
+        free = []
         for m in pattern.finditer(text):
             s, e = m.span()
-            if not any(a < e and s < b for a, b in taken):
-                taken.append((s, e))
-                out.append((s, e, kind))
+            k = bisect_right(ends, s)  # the first taken span that ends behind the match's start
+            if k == len(taken) or taken[k][0] >= e:
+                free.append((s, e))
+        if free:
+            out += [(s, e, kind) for s, e in free]
+            taken = _merged(taken + free)
     return sorted(out)
 
 
@@ -172,10 +212,35 @@ def votes(text: str, start: int, end: int, kind: str) -> str:
     return "".join(VOTE[v] for v in (shape, checksum, gazetteer, context, against, edges))
 
 
+#: Most sampled spans of a kind and vote pattern: the bound of the classifier's training rows.
+EXAMPLES = 8
+#: Cells of the hashed words before and after a span.
+CONTEXT_CELLS = 64
+LAST_WORD, FIRST_WORD = re.compile(r"([^\W\d_]+)[\W\d_]{0,4}$"), re.compile(r"^[\W\d_]{0,4}([^\W\d_]+)")
+OWN = ("shape", "checksum", "edges")
+CLASSES = (str.isdigit, str.isupper, str.islower, lambda c: not c.isalnum())
+
+
+def span_features(kind: str, pattern: str, span: str, before: str, after: str) -> list[str]:
+    """The names of the features that a span has: what the labelers that read the span alone found, and what no
+    labeler sees. Gazetteers and context take part through the posteriors only, or a classifier would repeat the votes."""
+    out = ["all", f"kind={kind}", f"{kind} length={min(len(span).bit_length(), 8)}", f"{kind} variety={4 * len(set(span)) // len(span)}"]
+    out += [f"{name}{vote}" for name, vote in zip(LABELERS, pattern) if vote != "0" and name in OWN]
+    out += [f"class{k}={4 * sum(map(f, span)) // len(span)}" for k, f in enumerate(CLASSES)]
+    out += [f"{end}={next((k for k, f in enumerate(CLASSES) if f(c)), 9)}" for end, c in (("first", span[0]), ("last", span[-1]))]
+    for name, m in (("before", LAST_WORD.search(before)), ("after", FIRST_WORD.search(after))):
+        if m:
+            out.append(f"{name}={zlib.crc32(m[1].lower().encode()) % CONTEXT_CELLS}")
+    return out
+
+
 class SpanModel:
-    """Labelers' reliabilities by EM and a logistic classifier of vote patterns that is trained on the posteriors."""
+    """Labelers' reliabilities by EM over vote patterns, and a logistic classifier of spans that is trained on the posteriors.
+
+    patterns: (kind, votes) -> occurrences. examples: (kind, votes, span, text before, text after), a sample.
+    """
 
-    def __init__(self, patterns: dict[tuple[str, str], int], rounds: int = 100):
+    def __init__(self, patterns: dict[tuple[str, str], int], examples: list[tuple[str, str, str, str, str]] = (), rounds: int = 100):
         self.kinds = sorted({k for k, _ in patterns})
         keys, n = list(patterns), np.array(list(patterns.values()), float)
         votes_of = np.array([["-0+".index(v) for v in p] for _, p in keys], int).reshape(len(keys), len(LABELERS))
@@ -200,65 +265,90 @@ class SpanModel:
             if np.abs(new - post).max(initial=0) < 1e-9:
                 break
             post = new
-        self.theta = self._train(keys, n, post)
-
-    def _design(self, kind: str, pattern: str) -> list[float]:
-        return [1.0, *(float(v == "+") for v in pattern), *(float(v == "-") for v in pattern), *(float(kind == k) for k in self.kinds)]
-
-    def _train(self, keys, n, post) -> np.ndarray:
-        width = 1 + 2 * len(LABELERS) + len(self.kinds)
-        theta = np.zeros(width)
-        if not keys:
-            return theta
-        x, weight = np.array([self._design(*k) for k in keys]), n / n.sum() * min(n.sum(), 1000.0)
-        for _ in range(100):
+        self.posterior = dict(zip(keys, post.tolist()))
+        self.weights = self._train(patterns, sorted(examples))
+
+    def _train(self, patterns, examples) -> dict[str, float]:
+        """Newton's method with a light penalty; a pattern's occurrences are shared by its examples."""
+        names: dict[str, int] = {}
+        rows = [[names.setdefault(f, len(names)) for f in span_features(*x)] for x in examples]
+        if not rows:
+            return {}
+        x, sampled = np.zeros((len(rows), len(names))), Counter(e[:2] for e in examples)
+        for k, found in enumerate(rows):
+            x[k, found] = 1.0
+        y = np.array([self.posterior[e[:2]] for e in examples])
+        # by the square root, so that a frequent pattern doesn't silence the others; the sum is the number of examples
+        weight = np.sqrt([patterns[e[:2]] / sampled[e[:2]] for e in examples])
+        weight *= len(rows) / weight.sum()
+        theta, penalty = np.zeros(len(names)), np.full(len(names), 0.3)
+        penalty[names["all"]] = 1e-3
+        for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(width) * 0.1, x.T @ (weight * (post - p)) - 0.1 * theta)
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * theta)
             theta += step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
             if np.abs(step).max() < 1e-8:
                 break
-        return theta
+        return {name: float(theta[k]) for name, k in names.items()}
 
-    def probability(self, kind: str, pattern: str) -> float:
-        if kind not in self.kinds:
-            return 0.5
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self._design(kind, pattern), self.theta), -30, 30))))
+    def probability(self, kind: str, pattern: str, span: str, before: str, after: str) -> float:
+        """Of a span; without any example the posterior of its votes, or an even chance."""
+        if not self.weights:
+            return self.posterior.get((kind, pattern), 0.5)
+        x = sum(self.weights.get(f, 0.0) for f in span_features(kind, pattern, span, before, after))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _patterns(docs: DataFrame) -> dict[tuple[str, str], int]:
-    """How often each kind and vote pattern occurs over all texts: at most kinds times 3**labelers rows."""
+def _around(text: str, start: int, end: int) -> tuple[str, str, str]:
+    return text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]
+
+
+def _observed(docs: DataFrame) -> tuple[dict[tuple[str, str], int], list[tuple[str, str, str, str, str]]]:
+    """How often each kind and vote pattern occurs over all texts (at most kinds times 3**labelers rows), and
+    the ``EXAMPLES`` spans of each with the least hashes."""
+    names = ["kind", "pattern", "n", "h", "span", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        least: dict[tuple[str, str], list[tuple]] = {}
         for b in batches:
-            for text in b.column("__text").to_pylist():
+            for text in b.column(0).to_pylist():
                 for s, e, kind in candidates(text, base_spans(text)):
-                    total[kind, votes(text, s, e, kind)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["kind", "pattern", "n"])
-
-    rows = docs.select("__text").mapInArrow(run, "kind string, pattern string, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect()
-    return {(r["kind"], r["pattern"]): r["n"] for r in rows}
+                    key = kind, votes(text, s, e, kind)
+                    total[key] += 1
+                    seen = _around(text, s, e)
+                    row = (xxhash.xxh64_intdigest("\0".join(seen)) >> 1, *seen)
+                    best = least.setdefault(key, [])
+                    if (len(best) < EXAMPLES or row < best[-1]) and row not in best:
+                        best.append(row)
+                        best.sort()
+                        del best[EXAMPLES:]
+        rows = [(*key, n, 0, "", "", "") for key, n in total.items()] + [(*key, 0, *row) for key, best in least.items() for row in best]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    seen = written(docs.mapInArrow(run, "kind string, pattern string, n long, h long, span string, before string, after string"), "vote-patterns")
+    patterns = {(r["kind"], r["pattern"]): r["n"] for r in seen.where("n > 0").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect()}
+    place = F.row_number().over(Window.partitionBy("kind", "pattern").orderBy("h", "span", "before", "after"))
+    sample = seen.where("n = 0").select("kind", "pattern", "h", "span", "before", "after").distinct().withColumn("place", place).where(F.col("place") <= EXAMPLES)
+    return patterns, [tuple(r) for r in sample.select("kind", "pattern", "span", "before", "after").collect()]
 
 
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
+    """The model of all texts. Null texts count as empty; without any candidate no span is added to the fixed ones."""
     small_batches(docs.sparkSession)
-    return SpanModel(_patterns(docs.select(text_or_empty(text_col).alias("__text"))))
+    with passing():
+        return SpanModel(*_observed(docs.select(text_or_empty(text_col).alias("text"))))
 
 
-def spans(text: str, model: SpanModel, cut: float = 0.5, known: dict | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
+def spans(text: str, model: SpanModel, cut: float = 0.5) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
     """The fixed spans, and all spans: fixed ones and candidates that the classifier takes."""
     base = base_spans(text)
     fixed = {(s, e) for s, _, e in base}
-    known = {} if known is None else known
     out = []
     for s, e, kind in candidates(text, base):
-        if (s, e) not in fixed:
-            key = kind, votes(text, s, e, kind)
-            if key not in known:
-                known[key] = model.probability(*key) >= cut
-            if not known[key]:
-                continue
-        out.append((s, e, kind))
+        if (s, e) in fixed or model.probability(kind, votes(text, s, e, kind), *_around(text, s, e)) >= cut:
+            out.append((s, e, kind))
     return base, out
 
 
@@ -275,17 +365,17 @@ def find_spans(docs: DataFrame, model: SpanModel, text_col: str = "text", spans_
     small_batches(docs.sparkSession)
     added = [spans_col, *([masked_col] if masked_col else [])]
     keep = [c for c in docs.columns if c not in added]
-    source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    (own,) = unused(docs.columns, "own_text")
+    source = docs.select(*keep, text_or_empty(text_col).alias(own))
     schema = docs.select(*keep).schema.add(spans_col, SPAN)
     if masked_col:
         schema = schema.add(masked_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for b in batches:
             found, masked = [], []
-            for text in b.column("__text").to_pylist():
-                _, all_spans = spans(text, model, known=known)
+            for text in b.column(own).to_pylist():
+                _, all_spans = spans(text, model)
                 found.append([{"start": s, "end": e, "kind": k} for s, e, k in all_spans])
                 if masked_col:
                     masked.append(mask(text, all_spans))
@@ -310,11 +400,10 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for b in batches:
             counts, digests, shown = [[] for _ in KINDS], [], []
             for text in b.column("text").to_pylist():
-                base, found = spans(text, model, known=known)
+                base, found = spans(text, model)
                 for k, out in enumerate(counts):
                     out.append(sum(x[1] == k for x in base))
                 digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import small_batches, text_or_empty
+from panelforge.llm.common import small_batches, text_or_empty, unused
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -129,7 +129,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", cleaned_col: str | No
     small_batches(docs.sparkSession)
     added = [f.split()[0] for f in FIGURES.split(", ")] + ([cleaned_col] if cleaned_col else [])
     keep = [c for c in docs.columns if c not in added]
-    source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    (own,) = unused(docs.columns, "own_text")
+    source = docs.select(*keep, text_or_empty(text_col).alias(own))
     schema = docs.select(*keep).schema
     for f in FIGURES.split(", "):
         schema = schema.add(*f.split())
@@ -140,7 +141,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", cleaned_col: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [assess(t, rules) for t in b.column("__text").to_pylist()]
+            rows = [assess(t, rules) for t in b.column(own).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds))], names=[*keep, *added])
 
     return source.mapInArrow(run, schema)

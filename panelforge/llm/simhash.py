@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import passing, small_batches, text_or_empty, written
+from panelforge.llm.common import passing, small_batches, text_or_empty, unused, written
 from panelforge.llm.components import components
 
 #: Fingerprints with at most so many differing bits are linked.
@@ -65,11 +65,12 @@ def fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp") ->
     """Adds ``fp``, the fingerprint as a signed long, to every row and drops the text. Null texts count as empty."""
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (fp_col, text_col)]
-    source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    (own,) = unused(docs.columns, "own_text")
+    source = docs.select(*keep, text_or_empty(text_col).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t) for t in b.column("__text").to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([simhash(t) for t in b.column(own).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp, pa.int64())], names=[*keep, fp_col])
 
     return source.mapInArrow(run, docs.select(*keep).schema.add(fp_col, "long"))

@@ -16,9 +16,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import small_batches, text_or_empty
+from panelforge.llm.common import small_batches, text_or_empty, unused
 
 MAX_TRAIN = 30_000
 #: Lengths of the word beginnings that may become entries.
@@ -125,7 +127,13 @@ class Model:
                 apart.append((start, end))
             elif start not in found or len(found[start][0]) < len(entry):
                 found[start] = (entry, w)
-        return [(s, e, w) for s, (e, w) in found.items() if not any(a <= s and s + len(e) - 1 <= b for a, b in apart)]
+        if not apart:
+            return [(s, e, w) for s, (e, w) in found.items()]
+        apart.sort()
+        starts, reach = [a for a, _ in apart], list(accumulate((b for _, b in apart), max))
+        # a hit lies in a phrase if one of those that begin at or before it reaches its end
+        inside = lambda s, last: (k := bisect_right(starts, s)) > 0 and reach[k - 1] >= last
+        return [(s, e, w) for s, (e, w) in found.items() if not inside(s, s + len(e) - 1)]
 
     def strength(self, text: str) -> tuple[float, float, float, float]:
         """What the curve sees: the log of the summed weights, their density, the log of the length if there is a match, and 1."""
@@ -165,16 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns entries and curve from labelled rows; beyond ``max_train`` rows from a sample by the hash of the id.
 
     Rows with null ids, or labels other than 0 and 1, are left out; equal texts
-    count once. Without a label of either kind the lexicon is empty and scores
+    count once. Of an id's or a text's different labels 1 counts. Without a label of either kind the lexicon is empty and scores
     are the share of toxic labels (0 without labels).
     """
     small_batches(docs.sparkSession)
-    good = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isin(0, 1)).dropDuplicates(["__id"])
+    good = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isin(0, 1)).groupBy("__id").agg(F.max("y").alias("y"))
     n = good.count()
     if n > max_train:
         good = good.where(F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1_000_000)) < int(1e6 * max_train / n))
     # at most about max_train rows of an id and a label: a bounded broadcast
-    sample = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text")).join(F.broadcast(good), "__id").select("text", "y").dropDuplicates(["text"]).cache()
+    sample = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text")).join(F.broadcast(good), "__id").groupBy("text").agg(F.max("y").alias("y")).cache()
     try:
         size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
         na, nb = size.get(1, 0), size.get(0, 0)
@@ -248,12 +256,13 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col
     small_batches(docs.sparkSession)
     out = raw or score_col
     keep = [c for c in docs.columns if c != out]
-    source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    (own,) = unused(docs.columns, "own_text")
+    source = docs.select(*keep, text_or_empty(text_col).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = model.strength if raw else model.score
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([f(t) for t in b.column("__text").to_pylist()], pa.list_(pa.float64()) if raw else pa.float64())], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([f(t) for t in b.column(own).to_pylist()], pa.list_(pa.float64()) if raw else pa.float64())], names=[*keep, out])
 
     return source.mapInArrow(run, docs.select(*keep).schema.add(out, T.ArrayType(T.DoubleType()) if raw else T.DoubleType()))
 
@@ -264,7 +273,12 @@ def held_out(id_col: str) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; learned from labels of rows that aren't held out."""
+    """doc_id, held_out, score, predicted of every document; learned from labels of rows that aren't held out.
+
+    Null texts count as empty. Rows with a null id are held out. Repeated rows
+    stay and are scored alike. No documents: no rows; no labels: see ``train``.
+    Columns besides doc_id, text and the labels' doc_id and toxic aren't read.
+    """
     model = train(docs, labels.where(~held_out("doc_id")))
     source = docs.select(F.col("doc_id"), held_out("doc_id").alias("held_out"), F.col("text"))
     return score_texts(source, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

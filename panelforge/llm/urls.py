@@ -1,8 +1,8 @@
 """URL filters: a blocked Bloom filter passes possible hits to an exact hash join.
 
 Listed entries are canonical URLs, either whole ones or a host with a path
-prefix. A URL's candidates are its host's suffixes (it and every parent domain)
-with the prefixes of its path that have a listed length. Each candidate probes
+prefix. A URL's candidates are its host's suffixes (it and parent domains, of the numbers
+of labels that the list holds) with the prefixes of its path that have a listed length. Each candidate probes
 one 512-bit block of a Bloom filter, an array of longs in a scalar subquery;
 only URLs with a possible hit go on, as distinct ones, to an exact join with
 the list, which removes the filter's false positives. All of it is built-in
@@ -71,10 +71,11 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(host, F.lit(" "), path)
 
 
-def _candidates(host: Column, path: Column, lengths: Column, hosts_only: bool = False) -> Column:
-    """Keys of every suffix of the host with every path prefix of a listed length."""
+def _candidates(host: Column, path: Column, lengths: Column, depths: Column) -> Column:
+    """Keys of the host's suffixes of a listed number of labels with every path prefix of a listed length."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.lit(1 << 30)), "."))
+    deep = F.filter(depths, lambda n: n <= F.size(labels))
+    suffixes = F.transform(deep, lambda n: F.array_join(F.slice(labels, -n, n), "."))
     fits = F.filter(lengths, lambda n: n <= F.length(path))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(fits, lambda n: canonical(s, F.substr(path, F.lit(1), n)))))
 
@@ -98,14 +99,14 @@ def url_filter(urls: DataFrame, entries: DataFrame, url_col: str = "url", defaul
         .select(F.translate("host", UPPER, LOWER).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict")
         .groupBy("h", "p")
         .agg(F.max("verdict").alias("listed_verdict"))
-        .select(canonical(F.col("h"), F.col("p")).alias("key"), F.concat("h", "p").alias("listed_rule"), F.length("p").alias("n"), (F.length("h") + F.length("p")).alias("long"), "listed_verdict")
+        .select(canonical(F.col("h"), F.col("p")).alias("key"), F.concat("h", "p").alias("listed_rule"), F.length("p").alias("n"), F.size(F.split("h", r"\.")).alias("depth"), (F.length("h") + F.length("p")).alias("long"), "listed_verdict")
     )
-    facts = listed.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("n")).alias("lengths")).first()
+    facts = listed.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("n")).alias("lengths"), F.sort_array(F.collect_set("depth")).alias("depths")).first()
     if not facts["n"]:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     words, n_blocks = bloom_filter(listed, "key", facts["n"])
-    lengths = F.array(*map(F.lit, facts["lengths"]))
-    probed = rows.where(F.col("host") != "").select("host", "path").distinct().select("host", "path", words.scalar().alias("words"), _candidates(F.col("host"), F.col("path"), lengths).alias("keys"))
+    lengths, depths = (F.array(*map(F.lit, facts[c])) for c in ("lengths", "depths"))
+    probed = rows.where(F.col("host") != "").select("host", "path").distinct().select("host", "path", words.scalar().alias("words"), _candidates(F.col("host"), F.col("path"), lengths, depths).alias("keys"))
     possible = probed.select("host", "path", F.explode(F.filter("keys", lambda k: might_contain(F.col("words"), k, n_blocks))).alias("key"))
     best = F.max(F.struct("long", "listed_verdict", "listed_rule"))
     judged = possible.join(listed, "key").groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.col("best.listed_rule").alias("rule"), F.col("best.listed_verdict").alias("verdict"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 from panelforge.llm import toxicity as T
 
@@ -46,3 +47,46 @@ def test_empty_tables_and_one_kind_of_label(spark):
     assert [r["predicted"] for r in T.toxicity(docs, none).collect()] == [0, 0]
     assert T.toxicity(docs.limit(0), none).collect() == []
     assert [r["predicted"] for r in T.toxicity(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int")).collect()] == [0, 0]
+
+
+def plain_hits(m, folded):
+    """Every entry at every place, then of those at one place the longest, then those inside phrases left out."""
+    inside = [(i, i + len(p)) for p in map(T.fold, m.exceptions) for i in range(len(folded)) if folded.startswith(p, i) and not (i and folded[i - 1].isalnum())]
+    out = []
+    for i in range(len(folded)):
+        if i and folded[i - 1].isalnum():
+            continue
+        at = [e for e in m.weights if folded.startswith(e.rstrip(" "), i) and not (e.endswith(" ") and folded[i + len(e) - 1 : i + len(e)].isalnum())]
+        if at:
+            e = max(at, key=lambda e: len(e.rstrip(" ")))
+            if not any(a <= i and i + len(e.rstrip(" ")) <= b for a, b in inside):
+                out.append((i, e.rstrip(" "), m.weights[e]))
+    return out
+
+
+def test_hits_against_a_plain_scan():
+    rng = random.Random(6)
+    m = T.Model({"tra": 1.0, T.fold("trash") + " ": 2.0, "ab": 0.5, "abba ": 3.0, "can": 0.25}, ("trash can", "abba ab", "can can"))
+    for _ in range(3000):
+        text = "".join(rng.choice(["trash", "tra", " ", " ", "can", "ab", "ba", "abba", "!", "x", "TR4SH", "\u0430b"]) for _ in range(rng.randint(0, 14)))
+        folded = T.fold(text)
+        assert sorted(m.hits(folded)) == plain_hits(m, folded), text
+
+
+def test_many_phrases_take_linear_time():
+    m = T.Model({T.fold("trash") + " ": 2.0})
+    folded = T.fold("trash can trash " * 50_000)
+    began = time.process_time()
+    assert len(m.hits(folded)) == 50_000 and time.process_time() - began < 10
+
+
+def test_labels_that_disagree_and_clashing_columns(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows + rows[10:14], "doc_id long, text string")
+    toxic = [i for i, y in labels if y][3:9]
+    odd = labels + [(i, 0) for i in toxic] * 2
+    one, two = (spark.createDataFrame(x, "doc_id long, toxic int") for x in (odd, odd[::-1]))
+    assert T.train(docs, one) == T.train(docs, two) == T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    df = spark.createDataFrame([("fine", "a", "b", "c")], "text string, own_text string, __text string, score string")
+    row = T.score_texts(df, T.Model({})).first()
+    assert (row["own_text"], row["__text"]) == ("a", "b") and 0 <= row["score"] <= 1
