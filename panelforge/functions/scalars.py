@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import checkpoint
+
 
 def cyclic(c: Column, period: int) -> tuple[Column, Column]:
     angle = 2 * math.pi * c / period
@@ -20,17 +22,31 @@ def week_of_month(d: Column) -> dict[str, Column]:
     return {"ceil": F.ceil(day / 7), "floor": F.floor(day / 7), "clipped": F.least(F.floor((day - 1) / 7), F.lit(3))}
 
 
+def dense_codes(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The distinct rows with ``out``, the place of their value of ``column`` (one row per value; null first) from 0.
+
+    Values are dealt to ranges, which are written with their number; each range
+    is numbered on its own and begins where those before it end. Only ranges'
+    sizes meet in one place, so the values may be of any number.
+    """
+    ranges = checkpoint(df.distinct().repartitionByRange(F.col(column).asc_nulls_first()).withColumn("__range", F.spark_partition_id()), "codes")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__size"))
+    begins = sizes.select("__range", (F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).alias("__begin"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(column).asc_nulls_first())) - 1
+    return ranges.join(F.broadcast(begins), "__range").withColumn(out, (F.col("__begin") + place).cast("long")).drop("__range", "__begin")
+
+
 def label_encode(df: DataFrame, column: str, out: str, missing: str = "NA") -> DataFrame:
     """Codes 0.. in the order of the values as text; null counts as ``missing``. The dictionary is a dimension of distinct values."""
     key = F.coalesce(F.col(column).cast("string"), F.lit(missing))
-    codes = df.select(key.alias("__k")).distinct().select("__k", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("__k")) - 1).cast("long").alias(out))
+    codes = dense_codes(df.select(key.alias("__k")), "__k", out)
     return df.withColumn("__k", key).join(codes, "__k").drop("__k")
 
 
 def factorize(df: DataFrame, column: str, order: list[str], out: str) -> DataFrame:
     """Codes 0.. in the order of first appearance under an explicit order; null is -1."""
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("__first"))
-    codes = first.select(column, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__first")) - 1).cast("long").alias(out))
+    codes = dense_codes(first, "__first", out).select(column, out)
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1).cast("long")))
 
 
@@ -67,6 +83,7 @@ def periodic(a: Column, b: Column, amplitude: float, scale: float, period: float
 def moon_phase(d: Column) -> Column:
     """Eighths of the lunation (0 to 7) since the new moon of 2001-01-01 in the usual approximation."""
     days = F.date_diff(d, F.lit("2001-01-01").cast("date")).cast("double")
+    # fixed values: the phase on that day, and lunations a day
     cycles = F.lit(0.20439731) + days * 0.03386319269
     return (F.floor((cycles - F.floor(cycles)) * 8 + 0.5) % 8).cast("long")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import normal_quantile
-from panelforge.sources.files import checkpoint
+from panelforge.session import checkpoint
 
 
 def seasonal_naive(history: DataFrame, key: str, day: str, value: str, season: int, horizon: int) -> DataFrame:
@@ -28,7 +28,9 @@ def recursive_mean(history: DataFrame, key: str, day: str, value: str, window: i
     Only the last ``window`` rows are kept, and each block of seven steps is
     written, so that the plan doesn't grow with the horizon.
     """
-    state = history.groupBy(key).agg(F.max(day).alias("__last"), F.slice(F.transform(F.sort_array(F.collect_list(F.struct(day, value))), lambda x: x[value]), -window, window).alias("__xs"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.col(day).desc()))
+    last = history.select(key, day, value).withColumn("__back", back).where(F.col("__back") <= window)
+    state = last.groupBy(key).agg(F.max(day).alias("__last"), F.transform(F.sort_array(F.collect_list(F.struct(day, value))), lambda x: x[value]).alias("__xs"))
     out = []
     for step in range(1, horizon + 1):
         mean = F.aggregate("__xs", F.lit(0.0), lambda a, x: a + x) / F.size("__xs")
@@ -40,7 +42,12 @@ def recursive_mean(history: DataFrame, key: str, day: str, value: str, window: i
 
 
 def naive_2(history: DataFrame, key: str, day: str, value: str, season: int, horizon: int) -> DataFrame:
-    """Last value, after a multiplicative seasonal decomposition where the series' autocorrelation is seasonal (90 %)."""
+    """Last value, after a multiplicative seasonal decomposition where the series' autocorrelation is seasonal (90 %).
+
+    The test holds twice the squared autocorrelation at the season against
+    Bartlett's limit up to and with that lag. Series of fewer than three seasons
+    and ones with values that aren't positive have no seasons.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(day)[value].astype(float).to_numpy()
@@ -48,8 +55,8 @@ def naive_2(history: DataFrame, key: str, day: str, value: str, season: int, hor
         if season > 1 and n >= 3 * season and y.std() > 0 and (y > 0).all():
             z = y - y.mean()
             ac = [float((z[k:] * z[:-k]).sum() / (z * z).sum()) for k in range(1, season + 1)]
-            limit = 1.645 * ((1 + 2 * sum(a * a for a in ac[:-1])) / n) ** 0.5
-            if abs(ac[-1]) > limit:
+            limit = 1.645 * ((1 + 2 * sum(a * a for a in ac)) / n) ** 0.5
+            if 2 * ac[-1] ** 2 > limit:
                 trend = pd.Series(y).rolling(season, center=True).mean()
                 if season % 2 == 0:
                     trend = trend.rolling(2).mean().shift(-1)

@@ -10,16 +10,19 @@ LEVELS = [
     [], ["region"], ["store"], ["cat"], ["dept"], ["region", "cat"], ["region", "dept"], ["store", "cat"], ["store", "dept"], ["item"], ["region", "item"], ["store", "item"],
 ]
 
+DIMENSIONS = ("region", "store", "cat", "dept", "item")
+
 
 def level_name(level: list[str]) -> str:
     return "_".join(level) or "total"
 
 
-def aggregate(df: DataFrame, levels: list[list[str]], also: list[str], aggs: list[Column]) -> DataFrame:
+def aggregate(df: DataFrame, levels: list[list[str]], also: list[str], aggs: list[Column], keep_keys: bool = False) -> DataFrame:
     """One pass over all levels with grouping sets; ``level`` names the set and ``group_id`` joins its keys (total: Total_X, one key: key_X).
 
     ``also`` are keys of every level (the day). Levels are told apart by
-    grouping_id, not by nulls, so null keys form groups of their own.
+    grouping_id, not by nulls, so null keys form groups of their own. With
+    ``keep_keys`` the keys stay as columns, null where a level doesn't have them.
     """
     dims = list(dict.fromkeys(k for level in levels for k in level))
     sets = [[F.col(c) for c in [*also, *level]] for level in levels]
@@ -29,7 +32,7 @@ def aggregate(df: DataFrame, levels: list[list[str]], also: list[str], aggs: lis
         bits = sum(1 << (len(dims) - 1 - k) for k, c in enumerate(dims) if c not in level)
         text = F.lit("Total_X") if not level else F.concat(F.col(level[0]).cast("string"), F.lit("_X")) if len(level) == 1 else F.concat_ws("_", *level)
         name, group = F.when(F.col("__g") == bits, level_name(level)).otherwise(name), F.when(F.col("__g") == bits, text).otherwise(group)
-    return out.select(name.alias("level"), group.alias("group_id"), *[c for c in out.columns if c not in (*dims, "__g")])
+    return out.select(name.alias("level"), group.alias("group_id"), *[c for c in out.columns if c != "__g" and (keep_keys or c not in dims)])
 
 
 def depends(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -44,6 +47,15 @@ def top_down(child: DataFrame, parent: DataFrame, keys: list[str], day: str, val
     return joined.withColumn("adjusted", F.coalesce(F.try_divide(F.col(value) * F.col("__parent"), "__sum"), F.lit(0.0))).drop("__sum", "__parent")
 
 
+def cascade(top: DataFrame, steps: list[tuple[DataFrame, list[str]]], day: str, value: str) -> DataFrame:
+    """Top-down through several levels: each step's children (a frame, and the keys of its parents) are scaled to their parents as those were adjusted before."""
+    parent = top
+    for child, keys in steps:
+        adjusted = top_down(child, parent, keys, day, value)
+        parent = adjusted.drop(value).withColumnRenamed("adjusted", value)
+    return parent
+
+
 def leave_one_out(df: DataFrame, group: list[str], part: str, value: str) -> DataFrame:
     """For each group and part the mean over the group's other parts, by the algebra of sums and counts."""
     each = df.groupBy(*group, part).agg(F.sum(value).alias("s"), F.count(value).alias("n"))

@@ -30,17 +30,33 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], payload: lis
     """Backward as-of join: each left row gets the payload of the last right row of its group at or before its time.
 
     One exchange by the group, one sort, one pass; ``tie`` orders right rows of
-    the same time (the largest wins). Without a match the payload is null.
+    the same time by its own type (the largest wins, null is the smallest).
+    Without a match the payload is null. Null times and null keys match nothing:
+    such right rows are left out, such left rows stay with a null payload.
     """
-    held = F.struct(*payload)
     none = F.lit(None)
-    lhs = left.select("*", *[none.cast(right.schema[c].dataType).alias(f"__{c}") for c in payload], F.lit(1).alias("__side"), none.cast("string").alias("__tie"), none.cast(right.select(held.alias("h")).schema["h"].dataType).alias("__held"))
+    h, side, order, at, last = (f"__{c}" for c in ("held", "side", "tie", "known", "last"))
+    held = F.struct(*payload)
+    kind = right.select(held.alias("h")).schema["h"].dataType
+    tie_kind = right.schema[tie].dataType if tie else "string"
+    known = F.lit(True)
+    for c in (on, *by):
+        known = known & F.col(c).isNotNull()
+    lhs = left.select("*", F.lit(1).alias(side), none.cast(tie_kind).alias(order), known.alias(at), none.cast(kind).alias(h))
     rest = [c for c in left.columns if c not in (on, *by)]
-    rhs = right.select(on, *by, *[none.cast(left.schema[c].dataType).alias(c) for c in rest], F.lit(0).alias("__side"), (F.lpad(F.col(tie).cast("string"), 40, "0") if tie else none.cast("string")).alias("__tie"), held.alias("__held"))
-    both = lhs.drop(*[f"__{c}" for c in payload]).unionByName(rhs)
-    w = Window.partitionBy(*by).orderBy(on, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__last", F.last("__held", ignorenulls=True).over(w)).where("__side = 1")
-    return found.select(*left.columns, *[F.col(f"__last.{c}").alias(c) for c in payload])
+    rhs = right.where(known).select(on, *by, *[none.cast(left.schema[c].dataType).alias(c) for c in rest], F.lit(0).alias(side), (F.col(tie) if tie else none.cast(tie_kind)).alias(order), F.lit(True).alias(at), held.alias(h))
+    w = Window.partitionBy(*by).orderBy(on, side, F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = lhs.unionByName(rhs).withColumn(last, F.when(F.col(at), F.last(h, ignorenulls=True).over(w))).where(f"{side} = 1")
+    return found.select(*left.columns, *[F.col(f"{last}.{c}").alias(c) for c in payload])
+
+
+def shifted(df: DataFrame, keys: list[str], day: str, value: str, days: int, out: str) -> DataFrame:
+    """The inner self-join of each row with the row of its keys ``days`` later, as a range of one window: one exchange, no join.
+
+    A day has one row per key at most; rows without a later one go.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))).rangeBetween(days, days)
+    return df.withColumn("__there", F.count(F.lit(1)).over(w)).withColumn(out, F.first(value).over(w)).where("__there > 0").drop("__there")
 
 
 def full_outer_all(frames: list[DataFrame], keys: list[str]) -> DataFrame:

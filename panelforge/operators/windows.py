@@ -42,6 +42,12 @@ def quantile(q: float) -> Callable[[Column], Column]:
     return lambda c: F.percentile(c, F.lit(q))
 
 
+def rolling_quantiles(c: str, w: WindowSpec, n: int, levels: dict[str, float], shift: int = 0) -> dict[str, Column]:
+    """Several quantiles of one frame by name: the frame's values are counted once for all of them."""
+    all_of = rolling(lambda x: F.percentile(x, F.array(*map(F.lit, levels.values()))), c, w, n, shift)
+    return {name: all_of[k] for k, name in enumerate(levels)}
+
+
 def rolling_skew(c: str, w: WindowSpec, n: int, shift: int = 0) -> Column:
     """Bias-corrected skewness; needs three values."""
     f, k = frame(w, n, shift), F.lit(float(n))

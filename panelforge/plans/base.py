@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.operators import hierarchy as H
 from panelforge.operators import panel
 
 
@@ -60,3 +61,12 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS = "ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n, sum(value) AS v FROM events GROUP BY ALL)"
+
+
+def levels_sql(aggs: str) -> str:
+    """The sums of a table ``s`` on all levels of the hierarchy."""
+    parts = []
+    for level in H.LEVELS:
+        group = "'Total_X'" if not level else f"{level[0]} || '_X'" if len(level) == 1 else " || '_' || ".join(f"CAST({c} AS VARCHAR)" for c in level)
+        parts.append(f"SELECT '{H.level_name(level)}' AS level, {group} AS group_id, {aggs} FROM s GROUP BY ALL")
+    return " UNION ALL ".join(parts)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelforge.functions import distributions as D
 from panelforge.functions.scalars import logit_ratio, normal_quantile
 from panelforge.operators import forecast as B
 from panelforge.operators import hierarchy as H
 from panelforge.operators import joins as J
 from panelforge.operators import windows as W
-from panelforge.plans.base import BRAND, EVENTS, SALES, brand_panel, events_daily, r, sales, t
+from panelforge.plans.base import BRAND, EVENTS, SALES, brand_panel, events_daily, levels_sql, r, sales, t
 from panelforge.plans.registry import register
 from panelforge.plans.window_queries import series
 
@@ -24,19 +25,34 @@ def forecasts(spark, sf_dir, lag: int = 28):
     return p.where("d >= '2001-01-01'")
 
 
-@register("h01_bottom_up", f"WITH {SALES}, b AS (SELECT store, item, cat, region, sum(qty) AS q FROM sales GROUP BY ALL) SELECT 'total' AS level, 'Total_X' AS group_id, sum(q) AS q FROM b UNION ALL SELECT 'region', region || '_X', sum(q) FROM b GROUP BY region UNION ALL SELECT 'region_cat', region || '_' || cat, sum(q) FROM b GROUP BY region, cat")
+@register("h01_bottom_up", f"WITH {SALES}, s AS (SELECT region, store, cat, dept, item, qty FROM sales) {levels_sql('sum(qty) AS q')}")
 def h01(spark, sf_dir):
-    bottom = sales(spark, sf_dir).groupBy("store", "item", "cat", "region").agg(F.sum("qty").alias("q"))
-    return H.aggregate(bottom, [[], ["region"], ["region", "cat"]], [], [F.sum("q").alias("q")])
+    bottom = sales(spark, sf_dir).groupBy(*H.DIMENSIONS).agg(F.sum("qty").alias("q"))
+    return H.aggregate(bottom, H.LEVELS, [], [F.sum("q").alias("q")])
 
 
-@register("h02_top_down_cascade", f"WITH {SALES}, p AS (SELECT region, year(d) AS yr, sum(qty) * 1.1 AS q FROM sales GROUP BY ALL), c AS (SELECT region, nation, year(d) AS yr, sum(qty) AS q FROM sales GROUP BY ALL), a AS (SELECT region, nation, yr, c.q * p.q / sum(c.q) OVER (PARTITION BY region, yr) AS q FROM c JOIN p USING (region, yr)), g AS (SELECT region, nation, store, year(d) AS yr, sum(qty) AS q FROM sales GROUP BY ALL) SELECT nation, store, yr, round(g.q * a.q / sum(g.q) OVER (PARTITION BY g.nation, yr), 5) AS adjusted FROM g JOIN a USING (region, nation, yr)")
+#: The cascade's levels from the top to the bottom, by the keys that each adds; every level's forecast is its own sum in whole tens.
+_CASCADE = ([], ["region"], ["store"], ["cat"], ["dept"], ["item"])
+
+
+def _cascade_sql() -> str:
+    keys, parts = [], [f"WITH {SALES}", "a0 AS (SELECT year(d) AS yr, ceil(sum(qty) / 10) * 10 * 1.1 AS q FROM sales GROUP BY 1)"]
+    for k, added in enumerate(_CASCADE[1:], 1):
+        parent, keys = ["yr", *keys], [*keys, *added]
+        parts.append(f"v{k} AS (SELECT {', '.join(keys)}, year(d) AS yr, ceil(sum(qty) / 10) * 10 AS q FROM sales GROUP BY ALL)")
+        parts.append(f"a{k} AS (SELECT {', '.join(keys)}, yr, v.q * a.q / sum(v.q) OVER (PARTITION BY {', '.join(parent)}) AS q FROM v{k} v JOIN a{k - 1} a USING ({', '.join(parent)}))")
+    return ", ".join(parts) + f" SELECT store, item, yr, round(q, 5) AS adjusted FROM a{len(_CASCADE) - 1}"
+
+
+@register("h02_top_down_cascade", _cascade_sql())
 def h02(spark, sf_dir):
-    s = sales(spark, sf_dir).withColumn("yr", F.year("d").cast("long"))
-    parent = s.groupBy("region", "yr").agg((F.sum("qty") * 1.1).alias("q"))
-    middle = H.top_down(s.groupBy("region", "nation", "yr").agg(F.sum("qty").alias("q")), parent, ["region"], "yr", "q")
-    bottom = s.groupBy("nation", "store", "yr").agg(F.sum("qty").alias("q"))
-    return H.top_down(bottom, middle.select("nation", "yr", F.col("adjusted").alias("q")), ["nation"], "yr", "q").select("nation", "store", "yr", r("adjusted", 5).alias("adjusted"))
+    bottom = sales(spark, sf_dir).groupBy(*H.DIMENSIONS, F.year("d").cast("long").alias("yr")).agg(F.sum("qty").alias("qty"))
+    tens = F.ceil(F.sum("qty") / 10) * 10.0
+    steps, keys = [], []
+    for added in _CASCADE[1:]:
+        parent, keys = keys, [*keys, *added]
+        steps.append((bottom.groupBy(*keys, "yr").agg(tens.alias("q")), parent))
+    return H.cascade(bottom.groupBy("yr").agg((tens * 1.1).alias("q")), steps, "yr", "q").select("store", "item", "yr", r("q", 5).alias("adjusted"))
 
 
 @register("h03_trailing_share", f"WITH {BRAND}, x AS (SELECT id, avg(y) AS m FROM panel0, bounds WHERE d > hi - 28 GROUP BY id) SELECT id, round(m / sum(m) OVER (), 6) AS share FROM x")
@@ -50,21 +66,30 @@ def h03(spark, sf_dir):
 def h04(spark, sf_dir):
     f = forecasts(spark, sf_dir)
     k = f.where("d < '2001-06-01'").groupBy("id").agg(F.try_divide(F.avg("y"), F.avg("f")).alias("k"))
-    return f.where("d >= '2001-06-01'").join(F.broadcast(k), "id").select("id", "d", r(F.col("f") * F.col("k")).alias("f"))
+    return f.where("d >= '2001-06-01'").join(k, "id").select("id", "d", r(F.col("f") * F.col("k")).alias("f"))
+
 
+_TOP = "tp AS (SELECT d, y, lag(y, 35) OVER (ORDER BY d) AS top, lag(y) OVER (ORDER BY d) AS before FROM (SELECT d, sum(y) AS y FROM panel0 GROUP BY d))"
 
-@register("h05_alignment_errors", f"WITH {FC}, x AS (SELECT d, sum(f) AS s, sum(y) AS top FROM fc GROUP BY d) SELECT round(avg(s - top), 6) AS bias, round(avg(abs(s - top)), 6) AS mae, round(sqrt(avg(pow(s - top, 2))), 6) AS rmse FROM x")
+
+@register("h05_alignment_errors", f"WITH {FC}, {_TOP}, b AS (SELECT d, sum(f) AS s FROM fc GROUP BY d), sc AS (SELECT avg(pow(y - before, 2)) AS scale FROM tp WHERE d < DATE '2001-01-01') SELECT round(avg(s - top), 6) AS bias, round(avg(abs(s - top)), 6) AS mae, round(sqrt(avg(pow(s - top, 2))), 6) AS rmse, round(sqrt(avg(pow(s - top, 2)) / (SELECT scale FROM sc)), 6) AS rmsse FROM b JOIN tp USING (d)")
 def h05(spark, sf_dir):
-    x = forecasts(spark, sf_dir).groupBy("d").agg(F.sum("f").alias("s"), F.sum("y").alias("top"))
+    """How far the summed bottom forecasts are from the total's own forecast (its value five weeks before)."""
+    days = brand_panel(spark, sf_dir, True).groupBy("d").agg(F.sum("y").alias("y"))
+    moved = days.select(F.date_add("d", 35).alias("d"), F.col("y").alias("top"))
+    before = days.select(F.date_add("d", 1).alias("d"), F.col("y").alias("before"))
+    scale = days.join(before, "d").where("d < '2001-01-01'").agg(F.avg((F.col("y") - F.col("before")) ** 2).alias("scale"))
+    x = forecasts(spark, sf_dir).groupBy("d").agg(F.sum("f").alias("s")).join(moved, "d")
     e = F.col("s") - F.col("top")
-    return x.agg(r(F.avg(e)).alias("bias"), r(F.avg(F.abs(e))).alias("mae"), r(F.sqrt(F.avg(e * e))).alias("rmse"))
+    out = x.agg(F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse")).crossJoin(scale)
+    return out.select(r("bias").alias("bias"), r("mae").alias("mae"), r(F.sqrt("mse")).alias("rmse"), r(F.sqrt(F.col("mse") / F.col("scale"))).alias("rmsse"))
 
 
 @register("h06_parent_features", f"WITH {BRAND}, a AS (SELECT d, avg(y) AS m FROM panel0 GROUP BY d) SELECT id, d, y, round(avg(m) OVER ({O} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS parent_7 FROM panel0 JOIN a USING (d)")
 def h06(spark, sf_dir):
     p = brand_panel(spark, sf_dir, True)
     parent = p.groupBy("d").agg(F.avg("y").alias("m"))
-    return p.join(F.broadcast(parent), "d").select("id", "d", "y", r(F.avg("m").over(W.frame(series(), 7))).alias("parent_7"))
+    return p.join(parent, "d").select("id", "d", "y", r(F.avg("m").over(W.frame(series(), 7))).alias("parent_7"))
 
 
 @register("h07_out_of_fold_year", f"WITH {BRAND} SELECT id, yr, round((sum(s) OVER (PARTITION BY id) - s) / nullif(sum(n) OVER (PARTITION BY id) - n, 0), 6) AS mean_out FROM (SELECT id, year(d) AS yr, sum(y) AS s, count(y) AS n FROM panel0 GROUP BY ALL)")
@@ -123,12 +148,13 @@ def b04(spark, sf_dir):
     return p.crossJoin(F.broadcast(p.agg(F.max("d").alias("hi")))).groupBy("id").agg(r(F.sum(w * F.col("y")) / F.sum(w)).alias("expected"))
 
 
-_REC = f"""WITH RECURSIVE {BRAND}, l AS (SELECT id, list(y ORDER BY d) AS xs, max(d) AS hi FROM panel0, bounds WHERE d > bounds.hi - 7 GROUP BY id),
-rec AS (SELECT id, hi, xs, 0 AS k FROM l UNION ALL SELECT id, hi, list_append(xs[2:], list_sum(xs) / len(xs)), k + 1 FROM rec WHERE k < 28)
-SELECT id, CAST(hi + k AS DATE) AS d, round(xs[-1], 6) AS forecast FROM rec WHERE k > 0"""
+def recursive_sql(window: int) -> str:
+    """The recursion over the last ``window`` values: id, k (the step), hi (the last day), xs."""
+    return f"""WITH RECURSIVE {BRAND}, l AS (SELECT id, list(y ORDER BY d) AS xs, max(d) AS hi FROM panel0, bounds WHERE d > bounds.hi - {window} GROUP BY id),
+rec AS (SELECT id, hi, xs, 0 AS k FROM l UNION ALL SELECT id, hi, list_append(xs[2:], list_sum(xs) / len(xs)), k + 1 FROM rec WHERE k < 28)"""
 
 
-@register("b05_recursive", _REC)
+@register("b05_recursive", recursive_sql(7) + " SELECT id, CAST(hi + k AS DATE) AS d, round(xs[-1], 6) AS forecast FROM rec WHERE k > 0")
 def b05(spark, sf_dir):
     return B.recursive_mean(brand_panel(spark, sf_dir, True), "id", "d", "y", 7, 28).select("id", "d", r("forecast").alias("forecast"))
 
@@ -151,20 +177,62 @@ def b08(spark, sf_dir):
     return forecasts(spark, sf_dir).select("id", "d", F.coalesce(F.nullif("f", F.lit(0.0)), F.lit(1.0)).alias("f"))
 
 
-_LEVELS = (0.025, 0.165, 0.5, 0.835, 0.975)
+#: The nine levels of a quantile forecast.
+_LEVELS = (0.005, 0.025, 0.165, 0.25, 0.5, 0.75, 0.835, 0.975, 0.995)
 
 
-@register("q01_residual_quantiles", f"WITH {FC} SELECT (dayofyear(d) - 1) % 28 + 1 AS step, " + ", ".join(f"round(quantile_cont(y - f, {q}), 6) AS q{k}" for k, q in enumerate(_LEVELS)) + " FROM fc GROUP BY 1")
+@register("q01_residual_quantiles", f"WITH {FC} SELECT date_diff('day', DATE '2001-01-01', d) % 28 + 1 AS step, " + ", ".join(f"round(quantile_cont(y - f, {q}), 6) AS q{k}" for k, q in enumerate(_LEVELS)) + " FROM fc GROUP BY 1")
 def q01(spark, sf_dir):
-    f = forecasts(spark, sf_dir).groupBy(((F.dayofyear("d") - 1) % 28 + 1).cast("long").alias("step")).agg(F.percentile(F.col("y") - F.col("f"), F.array(*map(F.lit, _LEVELS))).alias("q"))
+    """By the step of the horizon: forecasts of 28 days are made at 2001-01-01 and every 28 days after it."""
+    step = (F.date_diff("d", F.lit("2001-01-01").cast("date")) % 28 + 1).cast("long")
+    f = forecasts(spark, sf_dir).groupBy(step.alias("step")).agg(F.percentile(F.col("y") - F.col("f"), F.array(*map(F.lit, _LEVELS))).alias("q"))
     return f.select("step", *[r(F.col("q")[k]).alias(f"q{k}") for k in range(len(_LEVELS))])
 
 
+@register(
+    "q06_quantile_regression",
+    f"WITH {FC}, x AS (SELECT id, y / f AS k, sum(f) OVER (PARTITION BY id ORDER BY y / f ROWS UNBOUNDED PRECEDING) AS upto, sum(f) OVER (PARTITION BY id) AS total FROM fc WHERE f > 0) SELECT id, "
+    + ", ".join(f"round(min(CASE WHEN upto >= {q} * total THEN k END), 6) AS q{k}" for k, q in enumerate(_LEVELS)) + " FROM x GROUP BY id",
+)
+def q06(spark, sf_dir):
+    """For each series the factors k of y = k f with the least pinball loss: quantiles of y / f with weights f, which is the regression's exact solution."""
+    f = forecasts(spark, sf_dir).where("f > 0").select("id", "f", (F.col("y") / F.col("f")).alias("k"))
+    x = f.select("id", "k", F.sum("f").over(W.ordered(["id"], "k").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("f").over(W.by("id")).alias("total"))
+    return x.groupBy("id").agg(*[r(F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("k")))).alias(f"q{k}") for k, q in enumerate(_LEVELS)])
+
+
+_MOMENTS = "mo AS (SELECT id, avg(y) AS m, stddev_samp(y) AS s, max(y) AS top FROM panel0 GROUP BY id)"
+_HEADS = {
+    "gaussian": "-0.5 * pow((y - m) / s, 2) - ln(s) - 0.5 * ln(2 * pi())",
+    "laplace": "-abs(y - m) / s - ln(2 * s)",
+    "student_t": "lgamma(3) - lgamma(2.5) - 0.5 * ln(5 * pi()) - ln(s) - 3 * ln(1 + pow((y - m) / s, 2) / 5)",
+    "poisson": "y * ln(m) - m - lgamma(y + 1)",
+    "negative_binomial": "lgamma(y + 2) - lgamma(2) - lgamma(y + 1) - 2 * ln(1 + 0.5 * m) + y * ln(0.5 * m / (1 + 0.5 * m))",
+    "gamma": "2 * ln(2 / m) - lgamma(2) + ln(y + 1) - 2 / m * (y + 1)",
+    "beta": "ln((y + 1) / (top + 2)) + 2 * ln(1 - (y + 1) / (top + 2)) - lgamma(2) - lgamma(3) + lgamma(5)",
+    "mixture": "ln(0.7 * exp(-0.5 * pow((y - m) / s, 2) - ln(s) - 0.5 * ln(2 * pi())) + 0.3 * exp(-abs(y - m) / s - ln(2 * s)))",
+}
+
+
+@register("q08_distribution_heads", f"WITH {BRAND}, {_MOMENTS} SELECT id, " + ", ".join(f"round(avg({e}), 6) AS {name}" for name, e in _HEADS.items()) + " FROM panel0 JOIN mo USING (id) GROUP BY id")
+def q08(spark, sf_dir):
+    """Mean log density of each series' days under distributions with its moments."""
+    p = brand_panel(spark, sf_dir, True)
+    x = p.join(p.groupBy("id").agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s"), F.max("y").alias("top")), "id")
+    y, m, s, two = F.col("y"), F.col("m"), F.col("s"), F.lit(2.0)
+    heads = {
+        "gaussian": D.gaussian(y, m, s), "laplace": D.laplace(y, m, s), "student_t": D.student_t(y, m, s, F.lit(5.0)), "poisson": D.poisson(y, m),
+        "negative_binomial": D.negative_binomial(y, m, F.lit(0.5)), "gamma": D.gamma(y + 1, two, two / m), "beta": D.beta((y + 1) / (F.col("top") + 2), two, F.lit(3.0)),
+        "mixture": D.mixture([D.gaussian(y, m, s), D.laplace(y, m, s)], [0.7, 0.3]),
+    }
+    return x.groupBy("id").agg(*[r(F.avg(c)).alias(name) for name, c in heads.items()])
+
+
 @register("q02_normal_intervals", f"WITH {FC}, s AS (SELECT id, stddev_samp(y - f) AS sd FROM fc GROUP BY id) SELECT id, d, round(f + {normal_quantile(0.025)!r} * sd, 5) AS lo, round(f + {normal_quantile(0.975)!r} * sd, 5) AS hi FROM fc JOIN s USING (id)")
 def q02(spark, sf_dir):
     f = forecasts(spark, sf_dir)
     sd = f.groupBy("id").agg(F.stddev_samp(F.col("y") - F.col("f")).alias("sd"))
-    return f.join(F.broadcast(sd), "id").select("id", "d", *[r(B.normal_interval(F.col("f"), F.col("sd"), q), 5).alias(n) for q, n in ((0.025, "lo"), (0.975, "hi"))])
+    return f.join(sd, "id").select("id", "d", *[r(B.normal_interval(F.col("f"), F.col("sd"), q), 5).alias(n) for q, n in ((0.025, "lo"), (0.975, "hi"))])
 
 
 @register("q03_empirical_intervals", f"WITH {FC}, s AS (SELECT id, list_sort(list(abs(y - f))) AS e FROM fc GROUP BY id) SELECT id, e[CAST(ceil(0.5 * len(e)) AS BIGINT)] AS half, e[CAST(ceil(0.95 * len(e)) AS BIGINT)] AS wide FROM s")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelforge.functions import scalars as S
 from panelforge.operators import hierarchy as H
 from panelforge.operators import joins as J
 from panelforge.operators import metrics as M
+from panelforge.operators import sampling
 from panelforge.operators import windows as W
-from panelforge.plans.base import BRAND, EVENTS, SALES, brand_daily, brand_panel, events_daily, r, sales, t
+from panelforge.plans.base import BRAND, EVENTS, SALES, brand_daily, brand_panel, events_daily, levels_sql, r, sales, t
 from panelforge.plans.registry import register
 
 
@@ -120,13 +122,12 @@ def j16(spark, sf_dir):
 @_simple("j17_parent_to_children", f"WITH {SALES}, c AS (SELECT cat, round(avg(qty), 6) AS cat_mean FROM sales GROUP BY cat), i AS (SELECT item, cat, sum(qty) AS q FROM sales GROUP BY ALL) SELECT item, q, cat_mean FROM i JOIN c USING (cat)")
 def j17(spark, sf_dir):
     s = sales(spark, sf_dir)
-    return s.groupBy("item", "cat").agg(F.sum("qty").alias("q")).join(F.broadcast(s.groupBy("cat").agg(r(F.avg("qty")).alias("cat_mean"))), "cat").select("item", "q", "cat_mean")
+    return s.groupBy("item", "cat").agg(F.sum("qty").alias("q")).join((s.groupBy("cat").agg(r(F.avg("qty")).alias("cat_mean"))), "cat").select("item", "q", "cat_mean")
 
 
-@_simple("j18_shifted_self_join", f"WITH {BRAND} SELECT a.id, a.d, b.y AS y_7 FROM panel0 a JOIN panel0 b ON a.id = b.id AND b.d = a.d + 7")
+@_simple("j18_shifted_self_join", f"WITH {BRAND} SELECT id, d, y_7 FROM (SELECT id, d, lead(y, 7) OVER (PARTITION BY id ORDER BY d) AS y_7 FROM panel0) WHERE y_7 IS NOT NULL")
 def j18(spark, sf_dir):
-    p = brand_panel(spark, sf_dir, True)
-    return p.select("id", "d").join(p.select("id", F.date_sub("d", 7).alias("d"), F.col("y").alias("y_7")), ["id", "d"])
+    return J.shifted(brand_panel(spark, sf_dir, True), ["id"], "d", "y", 7, "y_7").select("id", "d", "y_7")
 
 
 @_simple("j19_parent_child", f"WITH {BRAND}, tot AS (SELECT d, sum(y) AS total FROM panel0 GROUP BY d) SELECT id, d, round(y / nullif(total, 0), 10) AS share FROM panel0 JOIN tot USING (d)")
@@ -184,24 +185,16 @@ def ag07(spark, sf_dir):
     return t(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n"))
 
 
-def _levels_sql(aggs: str) -> str:
-    parts = []
-    for level in H.LEVELS:
-        group = "'Total_X'" if not level else f"{level[0]} || '_X'" if len(level) == 1 else " || '_' || ".join(f"CAST({c} AS VARCHAR)" for c in level)
-        parts.append(f"SELECT '{H.level_name(level)}' AS level, {group} AS group_id, {aggs} FROM s GROUP BY ALL")
-    return " UNION ALL ".join(parts)
-
-
 _YEARLY = f"WITH {SALES}, s AS (SELECT year(d) AS yr, region, store, cat, dept, item, qty, price FROM sales)"
 
 
-@_simple("ag08_hierarchy", f"{_YEARLY} {_levels_sql('yr, sum(qty) AS qty, count(*) AS n')}")
+@_simple("ag08_hierarchy", f"{_YEARLY} {levels_sql('yr, sum(qty) AS qty, count(*) AS n')}")
 def ag08(spark, sf_dir):
     s = sales(spark, sf_dir).withColumn("yr", F.year("d").cast("long"))
     return H.aggregate(s, H.LEVELS, ["yr"], [F.sum("qty").alias("qty"), F.count("*").alias("n")])
 
 
-@_simple("ag09_mean_price_hierarchy", f"{_YEARLY} {_levels_sql('round(avg(price / qty), 8) AS price')}")
+@_simple("ag09_mean_price_hierarchy", f"{_YEARLY} {levels_sql('round(avg(price / qty), 8) AS price')}")
 def ag09(spark, sf_dir):
     return H.aggregate(sales(spark, sf_dir), H.LEVELS, [], [r(F.avg(F.col("price") / F.col("qty")), 8).alias("price")])
 
@@ -296,7 +289,7 @@ def ag24(spark, sf_dir):
 def ag25(spark, sf_dir):
     p = brand_panel(spark, sf_dir, True)
     m = p.groupBy("id").agg(F.percentile("y", 0.5).alias("q"))
-    return p.join(F.broadcast(m), "id").select("id", "d", r(F.col("y") / F.when(F.col("q") == 0, 1.0).otherwise(F.col("q"))).alias("norm"))
+    return p.join(m, "id").select("id", "d", r(F.col("y") / F.when(F.col("q") == 0, 1.0).otherwise(F.col("q"))).alias("norm"))
 
 
 @_simple("ag26_level_weight", f"WITH {SALES}, w AS (SELECT dept, sum(price) AS p FROM sales WHERE d > DATE '2001-08-01' GROUP BY dept), s AS (SELECT dept, p / sum(p) OVER () AS share FROM w) SELECT dept, round(share / avg(share) OVER (), 6) AS weight FROM s")
@@ -306,17 +299,33 @@ def ag26(spark, sf_dir):
     return w.crossJoin(total).select("dept", r(F.col("p") / F.col("total") * F.col("k")).alias("weight"))
 
 
-@_simple("ag27_codes_at_levels", f"WITH {SALES}, c AS (SELECT cat, dense_rank() OVER (ORDER BY cat) - 1 AS code FROM (SELECT DISTINCT cat FROM sales)) SELECT 'cat' AS level, code, sum(qty) AS qty FROM sales JOIN c USING (cat) GROUP BY code UNION ALL SELECT 'total', (SELECT count(*) FROM c), sum(qty) FROM sales")
-def ag27(spark, sf_dir):
-    s = sales(spark, sf_dir)
-    codes = s.select("cat").distinct().select("cat", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("cat")) - 1).cast("long").alias("code"))
-    by_cat = s.join(F.broadcast(codes), "cat").groupBy("code").agg(F.sum("qty").alias("qty")).select(F.lit("cat").alias("level"), "code", "qty")
-    return by_cat.unionByName(s.agg(F.sum("qty").alias("qty")).crossJoin(codes.agg(F.count("*").alias("code"))).select(F.lit("total").alias("level"), "code", "qty"))
+def _coded_sql() -> str:
+    codes = [f"c_{k} AS (SELECT {k} AS v, dense_rank() OVER (ORDER BY {k}) - 1 AS code FROM (SELECT DISTINCT {k} FROM sales))" for k in H.DIMENSIONS]
+    parts = []
+    for level in H.LEVELS:
+        columns = [f"c_{k}.code AS {k}_code" if k in level else f"(SELECT count(*) FROM c_{k}) AS {k}_code" for k in H.DIMENSIONS]
+        joins = "".join(f" JOIN c_{k} ON c_{k}.v = s.{k}" for k in level)
+        parts.append(f"SELECT '{H.level_name(level)}' AS level, {', '.join(columns)}, sum(qty) AS qty FROM sales s{joins} GROUP BY ALL")
+    return f"WITH {SALES}, {', '.join(codes)} " + " UNION ALL ".join(parts)
 
 
-@_simple("o01_multi_key_sort", "SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_regionkey, n_name) AS i FROM nation")
+@_simple("ag27_codes_at_levels", _coded_sql())
+def ag27(spark, sf_dir):
+    """Every level's sums under integer codes; a key that a level doesn't have gets the number of its codes ("all")."""
+    s, sizes = sales(spark, sf_dir).select(*H.DIMENSIONS, "qty"), {}
+    bottom = s.groupBy(*H.DIMENSIONS).agg(F.sum("qty").alias("qty"))
+    for k in H.DIMENSIONS:
+        codes = S.dense_codes(s.select(k), k, f"{k}_code")
+        sizes[k] = codes.count()
+        bottom = bottom.join(codes, k)
+    coded = bottom.select(*[F.col(f"{k}_code").alias(k) for k in H.DIMENSIONS], "qty")
+    out = H.aggregate(coded, H.LEVELS, [], [F.sum("qty").alias("qty")], keep_keys=True)
+    return out.select("level", *[F.coalesce(F.col(k), F.lit(sizes[k])).alias(f"{k}_code") for k in H.DIMENSIONS], "qty")
+
+
+@_simple("o01_multi_key_sort", "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey, n_name")
 def o01(spark, sf_dir):
-    return t(spark, sf_dir, "nation").select("n_name", "n_regionkey", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n_regionkey", "n_name")).cast("long").alias("i"))
+    return t(spark, sf_dir, "nation").select("n_name", "n_regionkey").orderBy("n_regionkey", "n_name")
 
 
 @_simple("o02_top_k", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
@@ -341,38 +350,88 @@ def o05(spark, sf_dir):
     return ids.join(events_daily(spark, sf_dir).groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("pos", "id", "n")
 
 
-@register("o06_shuffle_rows")
+def _draw(seed: str, *keys: str):
+    """A uniform number below 2^48 from the hash of a seed and keys, and the same in SQL."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("-", F.lit(seed), *[F.col(k).cast("string") for k in keys]), 256), 1, 12), 16, 10).cast("long")
+
+
+def _draw_sql(seed: str, *keys: str) -> str:
+    return f"('0x' || substr(sha256(concat_ws('-', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 12))::BIGINT"
+
+
+@_simple("o06_shuffle_rows", f"SELECT c_custkey, {_draw_sql('shuffle', 'c_custkey')} AS place FROM customer ORDER BY place")
 def o06(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select("c_custkey").orderBy(F.xxhash64(F.lit(42), "c_custkey"))
+    return t(spark, sf_dir, "customer").select("c_custkey", _draw("shuffle", "c_custkey").alias("place")).orderBy("place", "c_custkey")
+
 
+_CENTS = "CAST(round(p_retailprice * 100) AS BIGINT)"
 
-@register("o07_weighted_sample")
+
+@_simple(
+    "o07_weighted_sample",
+    f"WITH c AS (SELECT p_partkey, {_CENTS} AS w, sum({_CENTS}) OVER (ORDER BY p_partkey % 64, p_partkey) AS hi FROM part), k AS (SELECT CAST(k AS BIGINT) AS k FROM range(100) r(k)), "
+    f"u AS (SELECT k, {_draw_sql('weighted', 'k')} % (SELECT max(hi) FROM c) AS u FROM k) SELECT k, p_partkey FROM u JOIN c ON u >= hi - w AND u < hi",
+)
 def o07(spark, sf_dir):
-    u = (F.pmod(F.xxhash64(F.lit(7), "p_partkey"), F.lit(1_000_000)) + 1) / 1_000_001
-    return t(spark, sf_dir, "part").select("p_partkey", (-F.log(u) / F.col("p_retailprice")).alias("key")).orderBy("key", "p_partkey").limit(100).select("p_partkey")
+    """A hundred draws with replacement, by weight: the inverse of the cumulative weights, which are summed by bucket first."""
+    w = t(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("w"))
+    draws = spark.range(100).select(F.col("id").alias("k"), _draw("weighted", "id").alias("u"))
+    return sampling.draw_by_weight(w, "p_partkey", "w", draws).select("k", "p_partkey")
 
 
-@register("o08_oversample")
+@_simple(
+    "o08_oversample",
+    f"WITH {BRAND}, w AS (SELECT id, d, y, least(CAST(y AS BIGINT) * 10, 3000) AS w, {_draw_sql('over', 'id', 'd')} % 1000 AS u FROM daily) "
+    "SELECT id, d, y, CAST(unnest(range(1, greatest(w // 1000 + CASE WHEN u < w % 1000 THEN 1 ELSE 0 END, 1) + 1)) AS BIGINT) AS copy FROM w",
+)
 def o08(spark, sf_dir):
-    d = brand_daily(spark, sf_dir).withColumn("w", F.least(F.col("y") / 100, F.lit(3.0)))
-    copies = F.floor("w") + F.when(F.pmod(F.xxhash64("id", "d"), F.lit(1000)) / 1000 < F.col("w") - F.floor("w"), 1).otherwise(0)
+    d = brand_daily(spark, sf_dir).withColumn("w", F.least(F.col("y").cast("long") * 10, F.lit(3000).cast("long")))
+    copies = F.floor(F.col("w") / 1000) + F.when(_draw("over", "id", "d") % 1000 < F.col("w") % 1000, 1).otherwise(0)
     return d.select("id", "d", "y", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(1)).cast("long"))).alias("copy"))
 
 
+_LENGTHS = "WITH n AS (SELECT p_partkey AS id, count(l_orderkey) AS n FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1), m AS (SELECT max(n) AS most FROM n)"
+
+
+@_simple("o08_balanced_lengths", f"{_LENGTHS} SELECT id, n, most // n + CASE WHEN {_draw_sql('length', 'id')} % n < most % n THEN 1 ELSE 0 END AS copies FROM n, m")
+def o08_lengths(spark, sf_dir):
+    """How often each series is taken so that short ones give as many rows as the longest, in the mean."""
+    n = t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n")).join(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "id")
+    both = n.crossJoin(n.agg(F.max("n").alias("most")))
+    return both.select("id", "n", (F.floor(F.col("most") / F.col("n")) + F.when(_draw("length", "id") % F.col("n") < F.col("most") % F.col("n"), 1).otherwise(0)).cast("long").alias("copies"))
+
+
 @_simple("o09_hash_downsample", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (('0x' || substr(sha256(CAST(l_orderkey AS VARCHAR)), 1, 8))::BIGINT) % 2 = 0")
 def o09(spark, sf_dir):
     even = F.conv(F.substring(F.sha2(F.col("l_orderkey").cast("string"), 256), 1, 8), 16, 10).cast("long") % 2 == 0
     return t(spark, sf_dir, "lineitem").where(even).select("l_orderkey", "l_linenumber")
 
 
-@register("o10_row_sample")
+@_simple("o10_row_sample", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_draw_sql('row', 'l_orderkey', 'l_linenumber')} % 10 = 0")
 def o10(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").sample(0.1, 42).select("l_orderkey", "l_linenumber")
+    return t(spark, sf_dir, "lineitem").where(_draw("row", "l_orderkey", "l_linenumber") % 10 == 0).select("l_orderkey", "l_linenumber")
 
 
-@register("o11_instance_sampler")
+@_simple("o11_instance_sampler", f"WITH {BRAND} SELECT id, d, y FROM panel0 WHERE {_draw_sql('point', 'id', 'd')} % 1000 < 10")
 def o11(spark, sf_dir):
-    return brand_panel(spark, sf_dir, True).where(F.pmod(F.xxhash64(F.lit(3), "id", "d"), F.lit(1000)) < 10)
+    return brand_panel(spark, sf_dir, True).where(_draw("point", "id", "d") % 1000 < 10)
+
+
+@_simple("o11_expected_count", f"WITH {BRAND}, n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM daily) SELECT id, d, y FROM n WHERE {_draw_sql('expected', 'id', 'd')} % n < 5")
+def o11_expected(spark, sf_dir):
+    """Five points of each series in the mean, whatever its length."""
+    n = brand_daily(spark, sf_dir).withColumn("n", F.count("*").over(W.by("id")))
+    return n.where(_draw("expected", "id", "d") % F.col("n") < 5).select("id", "d", "y")
+
+
+@_simple(
+    "o11_bucket_sampler",
+    f"WITH {BRAND}, b AS (SELECT *, CAST(floor(ln(y + 1)) AS BIGINT) AS bucket FROM daily), n AS (SELECT *, count(*) OVER (PARTITION BY bucket) AS n FROM b) SELECT id, d, y, bucket FROM n WHERE {_draw_sql('bucket', 'id', 'd')} % n < 20",
+)
+def o11_bucket(spark, sf_dir):
+    """Points of all scales alike: of each bucket of the logarithm of the scale twenty in the mean. Sizes are counted apart, so a large bucket isn't one task."""
+    b = brand_daily(spark, sf_dir).withColumn("bucket", F.floor(F.log(F.col("y") + 1)).cast("long"))
+    return b.join(b.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").where(_draw("bucket", "id", "d") % F.col("n") < 20).select("id", "d", "y", "bucket")
 
 
 @_simple("so1_union_by_name", "SELECT s_name AS name, s_acctbal AS bal, NULL::VARCHAR AS seg FROM supplier UNION ALL SELECT c_name, c_acctbal, c_mktsegment FROM customer")

@@ -17,6 +17,9 @@ from panelforge.sources import files
 NATION = "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation"
 
 
+files.DATASETS.update(events_daily=events_daily, brand_panel=brand_panel)
+
+
 @register("s01_csv_scan", NATION)
 def s01(spark, sf_dir):
     path = shared_path(spark, "csv")

@@ -32,7 +32,7 @@ def _part_query(name: str, columns, oracle: str) -> None:
 
 
 _part_query("f01_math", lambda: [r(F.sqrt(F.col("p_retailprice"))).alias("a"), r(F.abs(F.col("p_retailprice") - 1000)).alias("b"), r(F.log1p(F.col("p_retailprice"))).alias("c"), r(F.expm1(F.col("p_retailprice") / 1000)).alias("d"), r(F.log(F.col("p_retailprice"))).alias("e"), r(F.log10(F.col("p_retailprice"))).alias("f"), r(F.pow(F.col("p_retailprice"), F.lit(0.3))).alias("g")], "round(sqrt(p_retailprice), 6) AS a, round(abs(p_retailprice - 1000), 6) AS b, round(ln(1 + p_retailprice), 6) AS c, round(exp(p_retailprice / 1000) - 1, 6) AS d, round(ln(p_retailprice), 6) AS e, round(log10(p_retailprice), 6) AS f, round(pow(p_retailprice, 0.3), 6) AS g")
-_day_query("f02_cyclic", lambda: [r(S.cyclic(F.month("d"), 12)[0]).alias("s"), r(S.cyclic(F.month("d"), 12)[1]).alias("c"), F.day(F.last_day("d")).cast("long").alias("n")], "round(sin(2 * pi() * month(d) / 12), 6) AS s, round(cos(2 * pi() * month(d) / 12), 6) AS c, day(last_day(d)) AS n")
+_day_query("f02_cyclic", lambda: [(r(S.cyclic(F.month("d"), 12)[0]) + 0.0).alias("s"), (r(S.cyclic(F.month("d"), 12)[1]) + 0.0).alias("c"), F.day(F.last_day("d")).cast("long").alias("n")], "round(sin(2 * pi() * month(d) / 12), 6) + 0.0 AS s, round(cos(2 * pi() * month(d) / 12), 6) + 0.0 AS c, day(last_day(d)) AS n")
 _day_query("f03_week_of_month", lambda: [c.cast("long").alias(k) for k, c in S.week_of_month(F.col("d")).items()], "CAST(ceil(day(d) / 7) AS BIGINT) AS ceil, day(d) // 7 AS floor, least((day(d) - 1) // 7, 3) AS clipped")
 _day_query("f04_date_parts", lambda: [F.day("d").cast("long").alias("day"), F.weekofyear("d").cast("long").alias("week"), F.month("d").cast("long").alias("month"), F.quarter("d").cast("long").alias("quarter"), F.year("d").cast("long").alias("year"), F.dayofyear("d").cast("long").alias("doy"), F.weekday("d").cast("long").alias("dow")], "day(d) AS day, week(d) AS week, month(d) AS month, quarter(d) AS quarter, year(d) AS year, dayofyear(d) AS doy, isodow(d) - 1 AS dow")
 _day_query("f05_weekend", lambda: [(F.weekday("d") >= 5).alias("weekend")], "isodow(d) >= 6 AS weekend")
@@ -67,7 +67,7 @@ def f15(spark, sf_dir):
 def f16(spark, sf_dir):
     pairs = t(spark, sf_dir, "nation").join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
     both = pairs.select(F.col("n_name").alias("x")).unionByName(pairs.select(F.col("r_name").alias("x"))).distinct()
-    codes = both.select("x", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("x")) - 1).cast("long").alias("code"))
+    codes = S.dense_codes(both.select("x"), "x", "code")
     a, b = codes.select(F.col("x").alias("n_name"), F.col("code").alias("nation_code")), codes.select(F.col("x").alias("r_name"), F.col("code").alias("region_code"))
     return pairs.join(a, "n_name").join(b, "r_name").select("n_name", "nation_code", "region_code")
 
@@ -167,6 +167,12 @@ def f34(spark, sf_dir):
 _part_query("f35_quantise", lambda: [F.width_bucket(F.col("p_retailprice") / 1000, F.lit(0.0), F.lit(3.0), F.lit(16)).alias("bin")], "CAST(least(greatest(floor(p_retailprice / 1000 / 3.0 * 16), -1), 16) + 1 AS BIGINT) AS bin")
 
 
-@register("f36_noise")
+_HASHED = "(('0x' || substr(sha256('{seed}-' || CAST(p_partkey AS VARCHAR)), 1, 12))::BIGINT + 1) / 281474976710657.0::DOUBLE"
+
+
+@register("f36_noise", f"SELECT p_partkey, round(p_retailprice * (1 + 0.01 * sqrt(-2 * ln({_HASHED.format(seed='a')})) * cos(2 * pi() * {_HASHED.format(seed='b')})), 6) AS noisy FROM part")
 def f36(spark, sf_dir):
-    return t(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * (1 + 0.01 * F.randn(42))).alias("noisy"))
+    """Normal noise of one percent; both uniform numbers come from the key's hash, so a run repeats."""
+    u = [(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}-"), F.col("p_partkey").cast("string")), 256), 1, 12), 16, 10).cast("long") + 1) / F.lit(281474976710657.0) for seed in "ab"]
+    normal = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+    return t(spark, sf_dir, "part").select("p_partkey", r(F.col("p_retailprice") * (1 + 0.01 * normal)).alias("noisy"))

@@ -6,12 +6,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelforge.operators import forecast as B
 from panelforge.operators import hierarchy as H
 from panelforge.operators import metrics as M
 from panelforge.operators import panel
 from panelforge.operators import windows as W
-from panelforge.plans.base import BRAND, EVENTS, brand_panel, events_daily, r, t
-from panelforge.plans.forecast_queries import FC, forecasts
+from panelforge.operators.boosting import boosted
+from panelforge.plans.base import BRAND, EVENTS, SALES, brand_panel, events_daily, levels_sql, r, sales, t
+from panelforge.plans.forecast_queries import FC, forecasts, recursive_sql
 from panelforge.plans.registry import register
 from panelforge.plans.window_queries import series
 from panelforge.streaming import events as E
@@ -61,16 +63,57 @@ _M2 = f"WITH {FC}, {_SCALE}, {_WEIGHT}, {_TOTAL}, m AS (SELECT id, avg(pow(y - f
 
 
 def total_rmsse(spark, sf_dir):
-    day = Window.partitionBy(F.lit(0)).orderBy("d")
-    total = brand_panel(spark, sf_dir, True).groupBy("d").agg(F.sum("y").alias("y")).select("d", (F.col("y") - F.lag("y").over(day)).alias("e"))
-    scale = total.where("d < '2001-01-01'").agg(F.avg(F.col("e") ** 2).alias("scale"))
+    days = brand_panel(spark, sf_dir, True).groupBy("d").agg(F.sum("y").alias("y"))
+    before = days.select(F.date_add("d", 1).alias("d"), F.col("y").alias("z"))
+    scale = days.join(before, "d").where("d < '2001-01-01'").agg(F.avg((F.col("y") - F.col("z")) ** 2).alias("scale"))
     top = forecasts(spark, sf_dir).groupBy("d").agg(F.sum("y").alias("y"), F.sum("f").alias("f")).agg(F.avg((F.col("y") - F.col("f")) ** 2).alias("mse"))
     return top.crossJoin(scale).select(F.sqrt(F.col("mse") / F.col("scale")).alias("x"))
 
 
-@register("m03_wrmsse", f"{_M2} SELECT round((a.x + b.x) / 2, 6) AS wrmsse FROM a, b")
+_MONTHS = f"WITH {SALES}, s AS (SELECT region, store, cat, dept, item, year(d) * 12 + month(d) - (SELECT min(year(d) * 12 + month(d)) FROM sales) AS m, qty, price FROM sales), lv AS ({levels_sql('m, sum(qty) AS q, sum(price) AS p')}), span AS (SELECT max(m) AS hi FROM s)"
+_LEVEL_SCORES = (
+    f"{_MONTHS}, ids AS (SELECT level, group_id, min(m) AS lo FROM lv GROUP BY ALL), dense AS (SELECT level, group_id, lo, hi, CAST(k AS BIGINT) AS m FROM ids, span, range(200) x(k) WHERE k <= hi), "
+    "z AS (SELECT d.*, coalesce(q, 0) AS q, coalesce(p, 0) AS p FROM dense d LEFT JOIN lv USING (level, group_id, m)), w AS (SELECT *, lag(q) OVER o AS before, lag(q, 12) OVER o AS f FROM z WINDOW o AS (PARTITION BY level, group_id ORDER BY m)), "
+    "per AS (SELECT level, group_id, avg(pow(q - f, 2)) FILTER (m > hi - 12) AS mse, avg(pow(q - before, 2)) FILTER (m > lo AND m <= hi - 12) AS scale, sum(p) FILTER (m > hi - 24 AND m <= hi - 12) AS revenue FROM w GROUP BY ALL), "
+    "x AS (SELECT level, group_id, coalesce(revenue / sum(revenue) OVER (PARTITION BY level), 0) AS w, sqrt(mse / nullif(scale, 0)) AS rmsse FROM per), by_level AS (SELECT level, sum(w * rmsse) AS x FROM x GROUP BY level)"
+)
+
+
+def level_scores(spark, sf_dir):
+    """level, group_id, w, rmsse on all twelve levels, by month: the last year against the year before it.
+
+    Series are few numbers each (one a month), so a row holds one as an array and nothing is joined with a spine.
+    Weights are shares of the revenue of the year before the test and sum to 1 on each level; series that never change before it have no rmsse.
+    """
+    month = F.year("d") * 12 + F.month("d")
+    bottom = sales(spark, sf_dir).groupBy(*H.DIMENSIONS, month.alias("m")).agg(F.sum("qty").alias("q"), F.sum("price").alias("p"))
+    span = bottom.agg(F.min("m").alias("first"), (F.max("m") - F.min("m")).alias("hi"))
+    sums = H.aggregate(bottom, H.LEVELS, ["m"], [F.sum("q").alias("q"), F.sum("p").alias("p")])
+    held = sums.groupBy("level", "group_id").agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("q", "p")))).alias("of"), F.min("m").alias("lo")).crossJoin(F.broadcast(span))
+    value = lambda name: F.transform(F.sequence(F.lit(0), F.col("hi")), lambda k: F.coalesce(F.try_element_at("of", F.col("first") + k)[name], F.lit(0.0)))
+    rows = held.select("level", "group_id", (F.col("lo") - F.col("first")).alias("lo"), "hi", value("q").alias("q"), value("p").alias("p"))
+    mean = lambda xs: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs))
+    squares = lambda a, b, step: F.transform(F.sequence(a, b), lambda k: (F.col("q")[k] - F.col("q")[k - step]) ** 2)
+    hi, lo, none = F.col("hi"), F.col("lo"), F.array().cast("array<double>")
+    scored = rows.select(
+        "level", "group_id",
+        mean(F.when(hi >= 23, squares(hi - 11, hi, 12)).otherwise(none)).alias("mse"),
+        mean(F.when(lo + 1 <= hi - 12, squares(lo + 1, hi - 12, 1)).otherwise(none)).alias("scale"),
+        F.aggregate(F.slice("p", hi - 22, 12), F.lit(0.0), lambda a, x: a + x).alias("revenue"),
+    )
+    total = scored.groupBy("level").agg(F.sum("revenue").alias("all"))
+    return scored.join(total, "level").select("level", "group_id", F.coalesce(F.try_divide("revenue", "all"), F.lit(0.0)).alias("w"), F.sqrt(F.try_divide("mse", F.nullif("scale", F.lit(0.0)))).alias("rmsse"))
+
+
+@register("m03_wrmsse", f"{_LEVEL_SCORES} SELECT round(avg(x), 6) AS wrmsse, count(*) AS levels FROM by_level")
 def m03(spark, sf_dir):
-    return wrmsse(spark, sf_dir).unionByName(total_rmsse(spark, sf_dir)).agg(r(F.avg("x")).alias("wrmsse"))
+    by_level = level_scores(spark, sf_dir).groupBy("level").agg(F.sum(F.col("w") * F.col("rmsse")).alias("x"))
+    return by_level.agg(r(F.avg("x")).alias("wrmsse"), F.count("*").alias("levels"))
+
+
+@register("m03_wrmsse_by_level", f"{_LEVEL_SCORES} SELECT x.level, round(sum(w), 6) AS w, round(sum(w * rmsse), 6) AS wrmsse FROM x GROUP BY 1")
+def m03_levels(spark, sf_dir):
+    return level_scores(spark, sf_dir).groupBy("level").agg(r(F.sum("w")).alias("w"), r(F.sum(F.col("w") * F.col("rmsse"))).alias("wrmsse"))
 
 
 @register("m04_weights", f"WITH {BRAND}, {_WEIGHT} SELECT id, round(w, 8) AS w FROM w")
@@ -196,7 +239,7 @@ def v08(spark, sf_dir):
 def v09(spark, sf_dir):
     p = brand_panel(spark, sf_dir)
     m = p.where("d < '2001-01-01'").groupBy("id").agg(F.avg("y").alias("m"))
-    return p.join(F.broadcast(m), "id").select("id", "d", r(F.coalesce("y", F.when(F.col("d") < "2001-01-01", F.col("m")).otherwise(0.0))).alias("y"))
+    return p.join(m, "id").select("id", "d", r(F.coalesce("y", F.when(F.col("d") < "2001-01-01", F.col("m")).otherwise(0.0))).alias("y"))
 
 
 @register("v10_backtest", f"WITH {BRAND}, l AS (SELECT id, y, row_number() OVER (PARTITION BY id ORDER BY d DESC) - 1 AS back FROM panel0, bounds WHERE d <= hi - 28 QUALIFY back < 7), f AS (SELECT id, k AS step, y AS f FROM l JOIN range(1, 29) s(k) ON back = 6 - (k - 1) % 7), a AS (SELECT id, date_diff('day', hi - 28, d) AS step, y FROM panel0, bounds WHERE d > hi - 28) SELECT id, round(sqrt(avg(pow(y - f, 2))), 6) AS rmse, sum(abs(y - f)) AS abs_error FROM f JOIN a USING (id, step) GROUP BY id")
@@ -226,16 +269,28 @@ def v12(spark, sf_dir):
     return out.select("id", "d", r(F.abs(F.col("p")[0]), 4).alias("pc1"), r(F.abs(F.col("p")[1]), 4).alias("pc2"))
 
 
-@register("t01_recursive_steps", f"WITH {BRAND} SELECT id, count(*) AS n FROM ids, range(28) GROUP BY id")
+@register("t01_recursive_steps", recursive_sql(14) + " SELECT id, CAST(k AS INTEGER) AS step, round(xs[-1], 6) AS forecast FROM rec WHERE k > 0")
 def t01(spark, sf_dir):
-    from panelforge.operators.forecast import recursive_mean
+    steps = B.recursive_mean(brand_panel(spark, sf_dir, True), "id", "d", "y", 14, 28)
+    first = steps.groupBy("id").agg(F.min("d").alias("first"))
+    return steps.join(first, "id").select("id", (F.date_diff("d", "first") + 1).alias("step"), r("forecast").alias("forecast"))
+
+
+#: Twelve levels of the stream's three dimensions.
+_STREAM_KEYS = {"type": "event_type", "seg": "CAST(user_id % 3 AS {text})", "user": "CAST(user_id % 50 AS {text})", "day": "CAST(CAST(ts AS DATE) AS {text})"}
+_STREAM_LEVELS = [[], ["type"], ["seg"], ["user"], ["day"], ["type", "seg"], ["type", "user"], ["type", "day"], ["seg", "day"], ["user", "day"], ["type", "seg", "day"], ["type", "user", "day"]]
+
 
-    return recursive_mean(brand_panel(spark, sf_dir, True), "id", "d", "y", 7, 28).groupBy("id").agg(F.count("*").alias("n"))
+def _stream_levels_sql() -> str:
+    keys = ", ".join(f"{e.format(text='VARCHAR')} AS \"{k}\"" for k, e in _STREAM_KEYS.items())
+    group = lambda level: "'Total_X'" if not level else f"\"{level[0]}\" || '_X'" if len(level) == 1 else " || '_' || ".join(f'"{k}"' for k in level)
+    return f"WITH e AS (SELECT {keys} FROM events) " + " UNION ALL ".join(f"SELECT '{H.level_name(x)}' AS level, {group(x)} AS group_id, count(*) AS n FROM e GROUP BY ALL" for x in _STREAM_LEVELS)
 
 
-@register("t02_level_deltas", "SELECT 'type' AS level, event_type AS group_id, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'total', 'Total_X', count(*) FROM events")
+@register("t02_level_deltas", _stream_levels_sql())
 def t02(spark, sf_dir):
-    return E.level_deltas(E.stream(spark, sf_dir), {"type": lambda: F.col("event_type"), "total": lambda: F.lit("Total_X")})
+    events = E.stream(spark, sf_dir).selectExpr(*[f"{e.format(text='STRING')} AS {k}" for k, e in _STREAM_KEYS.items()])
+    return E.level_deltas(events, _STREAM_LEVELS)
 
 
 @register("t03_interval_instances", "SELECT a.user_id, a.event_id, count(b.event_id) AS n FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts - INTERVAL 24 HOUR AND b.ts < a.ts GROUP BY ALL")
@@ -300,13 +355,17 @@ def x08(spark, sf_dir):
 
 @register("x10_boosted_trees")
 def x10(spark, sf_dir):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+    """One boosted model for each series, fitted before the test span."""
+    lags = ["y_lag_7", "y_lag_14", "y_lag_28"]
     s = brand_panel(spark, sf_dir, True).select("id", "d", "y", *W.lags("y", [7, 14, 28], series())).dropna()
-    v = VectorAssembler(inputCols=["y_lag_7", "y_lag_14", "y_lag_28"], outputCol="v").transform(s)
-    model = GBTRegressor(featuresCol="v", labelCol="y", maxIter=3, maxDepth=3, seed=1).fit(v.where("d < '2001-01-01'"))
-    return model.transform(v.where("d >= '2001-01-01'")).select("id", "d", r("prediction", 4).alias("forecast"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("d")
+        old = pd.to_datetime(pdf["d"]) < "2001-01-01"
+        new = pdf[~old]
+        return pd.DataFrame({"id": new["id"], "d": new["d"], "forecast": boosted(pdf[old][lags].to_numpy(float), pdf[old]["y"].to_numpy(float), new[lags].to_numpy(float)).round(4)})
+
+    return s.groupBy("id").applyInPandas(run, "id string, d date, forecast double")
 
 
 FLAGSHIP_SQL = """WITH s AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), b AS (SELECT min(d) AS lo, max(d) AS hi FROM s),

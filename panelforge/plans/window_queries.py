@@ -43,7 +43,7 @@ _panel("w05_rolling_of_lag", lambda: [r(W.rolling(F.avg, "y", series(), n, k)).a
 _panel("w06_min_periods", lambda: [r(W.rolling(F.avg, "y", series(), n, 0, m)).alias(f"mean_{n}") for n, m in ((56, 14), (84, 28))], ", ".join(_roll("avg(y)", n, 0, m, f"mean_{n}") for n, m in ((56, 14), (84, 28))), fill=False)
 _panel("w07_rolling_min_max", lambda: [W.rolling(F.min, "y", series(), 7, 1).alias("low"), W.rolling(F.max, "y", series(), 7, 1).alias("high")], f"{_roll('min(y)', 7, 1, name='low')}, {_roll('max(y)', 7, 1, name='high')}")
 _panel("w08_rolling_median", lambda: [r(W.rolling(W.quantile(0.5), "y", series(), 15)).alias("median")], _roll("quantile_cont(y, 0.5)", 15, name="median"))
-_panel("w09_rolling_quantiles", lambda: [r(W.rolling(W.quantile(q), "y", series(), 28)).alias(f"q{int(q * 1000)}") for q in (0.005, 0.165, 0.5, 0.9)], ", ".join(_roll(f"quantile_cont(y, {q})", 28, name=f"q{int(q * 1000)}") for q in (0.005, 0.165, 0.5, 0.9)))
+_panel("w09_rolling_quantiles", lambda: [r(q).alias(name) for name, q in W.rolling_quantiles("y", series(), 28, {f"q{int(q * 1000)}": q for q in (0.005, 0.165, 0.5, 0.9)}).items()], ", ".join(_roll(f"quantile_cont(y, {q})", 28, name=f"q{int(q * 1000)}") for q in (0.005, 0.165, 0.5, 0.9)))
 _panel("w10_rolling_std", lambda: [r(W.rolling(F.stddev_samp, "y", series(), 14), 4).alias("std")], _roll("stddev_samp(y)", 14, name="std", digits=4))
 _panel("w11_rolling_skew", lambda: [r(F.nanvl(W.rolling_skew("y", series(), 28), F.lit(None)), 4).alias("skew")], f"CASE WHEN count(y) OVER x >= 28 AND stddev_pop(y) OVER x > 0 THEN round(skewness(y) OVER x, 4) END AS skew".replace(" x ", f" ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ").replace("OVER x,", f"OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),"))
 _panel("w12_rolling_kurt", lambda: [r(F.nanvl(W.rolling_kurt("y", series(), 28), F.lit(None)), 3).alias("kurt")], f"CASE WHEN count(y) OVER x >= 28 AND stddev_pop(y) OVER x > 0 THEN round(kurtosis(y) OVER x, 3) END AS kurt".replace(" x ", f" ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ").replace("OVER x,", f"OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),"))

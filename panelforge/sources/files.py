@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.plans.base import brand_panel, events_daily
-from panelforge.session import shared_path
+from panelforge.session import checkpoint, shared_path  # noqa: F401  checkpoints are a source and a sink too
 
 ITEM = "id string, start date, target array<double>"
 
@@ -39,13 +39,6 @@ def read_tagged(spark: SparkSession, paths: dict[str, str], tag: str) -> DataFra
     return out
 
 
-def checkpoint(df: DataFrame, name: str) -> DataFrame:
-    """Writes to the shared folder as Parquet and reads back: later reads prune columns and survive lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -70,7 +63,8 @@ def list_dataset(spark: SparkSession, items: list[tuple[str, str, list[float]]])
     return spark.createDataFrame(items, "item string, start string, target array<double>").withColumn("start", F.to_date("start"))
 
 
-DATASETS = {"events_daily": events_daily, "brand_panel": brand_panel}
+#: Named datasets: name -> function of (spark, folder); plans add theirs.
+DATASETS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def dataset(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,21 @@
 """Operators on hand-written series: nulls, ties, short groups, zero denominators; against pandas where it defines the result."""
 
+import math
+import random
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from panelforge.functions import distributions as D
+from panelforge.functions import scalars as S
 from panelforge.operators import forecast as B
 from panelforge.operators import hierarchy as H
 from panelforge.operators import joins as J
 from panelforge.operators import metrics as M
-from panelforge.operators import panel
+from panelforge.operators import panel, sampling
 from panelforge.operators import windows as W
 
 Y = [3.0, 1.0, None, 4.0, 1.0, 5.0, 9.0, 2.0]
@@ -63,7 +69,27 @@ def test_asof_ties_and_null_payload(spark):
     left = spark.createDataFrame([("u", 5), ("u", 0), ("v", 9), (None, 3)], "k string, ts int")
     right = spark.createDataFrame([("u", 5, 1, None), ("u", 4, 2, "x"), ("u", 5, 0, "y"), ("v", 10, 3, "z"), (None, 1, 4, "n")], "k string, ts int, seq int, p string")
     got = {(r["k"], r["ts"]): (r["seq"], r["p"]) for r in J.asof(left, right, "ts", ["k"], ["seq", "p"], "seq").collect()}
-    assert got == {("u", 5): (1, None), ("u", 0): (None, None), ("v", 9): (None, None), (None, 3): (4, "n")}
+    assert got == {("u", 5): (1, None), ("u", 0): (None, None), ("v", 9): (None, None), (None, 3): (None, None)}
+
+
+def test_asof_equals_pandas(spark):
+    rng = random.Random(5)
+    pick = lambda xs: [rng.choice(xs) for _ in range(80)]
+    left = pd.DataFrame({"k": pick(["a", "b", "c"]), "ts": pick(range(40)), "i": range(80)}).sort_values("ts", kind="stable")
+    right = pd.DataFrame({"k": pick(["a", "b", "d"]), "ts": pick(range(40)), "seq": [(-1) ** k * k * 10 for k in range(80)]}).sort_values(["ts", "seq"])
+    want = pd.merge_asof(left, right, on="ts", by="k").sort_values("i")["seq"]
+    extra = [("a", None, 90), (None, 3, 91), (None, None, 92)]
+    lhs = spark.createDataFrame([*left.itertuples(index=False, name=None), *extra], "k string, ts int, i int")
+    rhs = spark.createDataFrame([*right.itertuples(index=False, name=None), ("a", None, 5), (None, 1, 6), ("b", None, 7)], "k string, ts int, seq int")
+    got = {r["i"]: r["seq"] for r in J.asof(lhs, rhs, "ts", ["k"], ["seq"], "seq").collect()}
+    assert [got[k] for k in (90, 91, 92)] == [None] * 3
+    same([got[k] for k in range(80)], want)
+
+
+def test_shifted_is_the_self_join(spark):
+    df = spark.sql("select id, date_add(date'2024-01-01', d) as d, y from values ('a', 0, 1.0D), ('a', 7, 2.0D), ('a', 8, 3.0D), ('a', 14, null), ('b', 7, 5.0D) t(id, d, y)")
+    got = sorted((r["id"], r["d"].day, r["z"]) for r in J.shifted(df, ["id"], "d", "y", 7, "z").collect())
+    assert got == [("a", 1, 2.0), ("a", 8, None)]
 
 
 def test_validated_join_fails_on_repeated_keys(spark):
@@ -113,3 +139,41 @@ def test_seasonal_naive_of_short_series_is_its_mean(spark):
     df = spark.createDataFrame([("a", k, float(k)) for k in range(7)] + [("b", 0, 1.0), ("b", 1, 3.0)], "id string, d int, y double")
     out = {(r["id"], r["step"]): r["forecast"] for r in B.seasonal_naive(df, "id", "d", "y", 7, 8).collect()}
     assert out["a", 1] == 0.0 and out["a", 8] == 0.0 and out["b", 5] == 2.0
+
+
+def test_cascade_sums_to_the_adjusted_parents(spark):
+    top = spark.createDataFrame([(1, 100.0)], "d int, y double")
+    middle = spark.createDataFrame([("p", 1, 3.0), ("q", 1, 1.0)], "k string, d int, y double")
+    bottom = spark.createDataFrame([("p", "a", 1, 1.0), ("p", "b", 1, 1.0), ("q", "c", 1, 7.0)], "k string, id string, d int, y double")
+    out = H.cascade(top, [(middle, []), (bottom, ["k"])], "d", "y").collect()
+    assert {r["id"]: r["y"] for r in out} == {"a": 37.5, "b": 37.5, "c": 25.0}
+
+
+def test_codes_of_ranges_are_dense_and_ordered(spark):
+    values = [None, "b", "a", "zz", "a", *(f"k{k:04d}" for k in range(500))]
+    out = S.dense_codes(spark.createDataFrame([(v,) for v in values], "v string"), "v", "code").collect()
+    assert [r["v"] for r in sorted(out, key=lambda r: r["code"])] == [None, *sorted(set(values) - {None})]
+    assert sorted(r["code"] for r in out) == list(range(len(set(values))))
+    assert S.dense_codes(spark.createDataFrame([], "v string"), "v", "code").collect() == []
+
+
+def test_draws_follow_the_cumulative_weights(spark):
+    weights = [(k, (k * 7) % 5 if k != 3 else None) for k in range(200)]
+    draws = [(k, k * 37) for k in range(300)]
+    order = sorted((k for k, w in weights if w), key=lambda k: (k % 8, k))
+    line = [k for k in order for _ in range(dict(weights)[k])]
+    got = sampling.draw_by_weight(spark.createDataFrame(weights, "id long, w long"), "id", "w", spark.createDataFrame(draws, "k long, u long"), 8).collect()
+    assert {r["k"]: r["id"] for r in got} == {k: line[u % len(line)] for k, u in draws}
+
+
+def test_log_gamma_and_densities_that_sum_to_one(spark):
+    xs = [0.01, 0.5, 1.0, 2.0, 3.7, 10.0, 171.0, 1e4]
+    got = [r["g"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(D.log_gamma(F.col("x")).alias("g")).collect()]
+    assert got == pytest.approx([math.lgamma(x) for x in xs], rel=1e-9, abs=1e-9)
+    k = spark.range(2000).select(F.col("id").cast("double").alias("x"))
+    step = spark.range(1, 4000).select((F.col("id") / 100).alias("x"), (F.col("id") / 4000).alias("u"))
+    lit = F.lit
+    x = F.col("x")
+    whole = k.agg(*[F.sum(F.exp(c)).alias(n) for n, c in (("poisson", D.poisson(x, lit(4.0))), ("nb", D.negative_binomial(x, lit(5.0), lit(0.4))))]).first()
+    parts = step.agg(F.sum(F.exp(D.gamma(x, lit(2.5), lit(1.0))) / 100).alias("gamma"), F.sum(F.exp(D.beta(F.col("u"), lit(2.0), lit(3.0))) / 4000).alias("beta"), F.sum(F.exp(D.mixture([D.gaussian(x, lit(20.0), lit(2.0)), D.student_t(x, lit(20.0), lit(0.5), lit(9.0))], [0.4, 0.6])) / 100).alias("mix")).first()
+    assert [*whole, *parts] == pytest.approx([1.0] * 5, abs=2e-3)
