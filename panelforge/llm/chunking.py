@@ -153,8 +153,8 @@ def _result(last: tuple, following: str, next_fp: dict[int, int]) -> tuple:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Rows of a range of ids, so that a task's share doesn't grow with the input.
-RANGE_ROWS = 4096
+#: Rows of a range of ids, and most ranges: beyond 80 million rows ranges grow, and are streamed and sorted with spilling as any.
+RANGE_ROWS, RANGES = 4096, 20_000
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -162,10 +162,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The next document is that of the next id; after the last comes the first.
     Ids are dealt to ranges; each range also gets the first document of the
-    next one, so texts are shuffled once and no task sees more than a range.
-    Only two ids for each ``range_rows`` rows reach the driver.
+    next one, so texts are shuffled once and a task is one range, read as a
+    stream. Two ids for each range, of at most ``RANGES``, reach the driver.
     Null texts count as empty. Rows with a null id come first. Of rows with the
-    same id, texts in order follow each other. A single row follows itself.
+    same id, which are one range, texts in order follow each other, repeated rows
+    too. A single row follows itself. An empty table gives none. Very long texts
+    are hashed in blocks. Columns besides id and text aren't read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -174,7 +176,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = source.count()
     if not n:
         return spark.createDataFrame([], RESULT)
-    n_ranges = -(-n // range_rows)
+    n_ranges = min(-(-n // range_rows), RANGES)
     shares = [k / n_ranges for k in range(1, n_ranges)]
     cuts = np.unique(source.agg(F.percentile_approx(order, shares, 100 * n_ranges).alias("c")).first()["c"] if shares else np.empty(0, np.int64)).astype(np.int64)
     place = _place(spark.sparkContext.broadcast(cuts), None)
@@ -186,7 +188,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = placed.select("doc_id", "text", F.explode(F.when(F.col("p.closes").isNull(), F.array("p.own")).otherwise(F.array("p.own", -1 - F.col("p.closes")))).alias("place"))
     own = F.col("place") >= 0
     dealt = dealt.select("doc_id", "text", own.alias("own"), F.when(own, F.col("place")).otherwise(-1 - F.col("place")).alias("place"))
-    ordered = dealt.repartition(n_ranges, "place").sortWithinPartitions("place", F.col("own").desc(), order, "text")
+    ordered = dealt.repartitionById(n_ranges, "place").sortWithinPartitions("place", F.col("own").desc(), order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

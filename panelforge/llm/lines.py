@@ -252,22 +252,36 @@ def _ragged(rows: Columns, prefix: np.ndarray, which: np.ndarray) -> tuple[Colum
     return take(rows, which), prefix[spans(begins[which], rows["count"][which].astype(np.int64))]
 
 
-SETS = "part int, rows binary, prefix binary"
+def _firsts(rows: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """The first line of each set, and all others."""
+    order = np.lexsort([rows[c] for c in ("line", "th", "d", "key_b", "key_a")])
+    a, b = rows["key_a"][order], rows["key_b"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[new], order[~new]
+
+
+SETS = "part int, rows binary, prefix binary, again binary"
 
 
 def _dealt_sets(docs: DataFrame, rarity: np.ndarray, t: float, min_tokens: int, n_parts: int) -> DataFrame:
-    """Blocks of lines' sets, by the part of their key."""
+    """Blocks of lines' sets, by the part of their key. Of equal sets that a task holds at a time only the first goes on
+    by its key, so that a line that is in a third of all documents is no hot key; the places of the others go to any part."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     enough = min(max(1 << 15, 8 * n_parts), 1 << 20)
 
     def flush(held: list[tuple[Columns, np.ndarray]]) -> pa.RecordBatch:
         rows, prefix = joined([r for r, _ in held]), np.concatenate([p for _, p in held])
-        part = rows["key_a"].view(np.uint64) % np.uint64(n_parts)
+        first, again = _firsts(rows)
+        again = take(rows, again)
+        part = rows["key_a"][first].view(np.uint64) % np.uint64(n_parts)
         order = np.argsort(part, kind="stable")
-        rows, prefix = _ragged(rows, prefix, order)
+        rows, prefix = _ragged(rows, prefix, first[order])
         ends = np.cumsum(rows["count"], dtype=np.int64)
-        out = [(k, LINE.pack(take(rows, slice(a, b))), TOKEN.pack({"token": prefix[ends[a] - rows["count"][a] : ends[b - 1]]})) for k, a, b in runs(part[order])]
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "rows", "prefix"])
+        out = [(k, LINE.pack(take(rows, slice(a, b))), TOKEN.pack({"token": prefix[ends[a] - rows["count"][a] : ends[b - 1]]}), None) for k, a, b in runs(part[order])]
+        if len(again["d"]):
+            out.append((int(_cell(*(again[c][:1] for c in LINE_OF))[0]) % n_parts, None, None, PLACE.pack(again)))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "rows", "prefix", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, n = Hasher(), [], 0
@@ -290,14 +304,12 @@ def _classes(sets: DataFrame) -> DataFrame:
     """Blocks of the first line of each class, n_posts: their prefix tokens, and blocks of the places of all other lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(list(buffers(b.column("rows"))), list(buffers(b.column("prefix")))) for b in batches]
-        rows, prefix = LINE.unpack(x for xs, _ in blocks for x in xs), TOKEN.unpack(x for _, xs in blocks for x in xs)["token"]
-        order = np.lexsort([rows[c] for c in ("line", "th", "d", "key_b", "key_a")])
-        a, b = rows["key_a"][order], rows["key_b"][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first, again = order[new], take(rows, order[~new])
-        for k in range(0, max(len(first), len(order) - len(first)), CLASSES):
+        blocks = [[list(buffers(b.column(c))) for c in ("rows", "prefix", "again")] for b in batches]
+        rows, prefix, places = (layout.unpack(x for b in blocks for x in b[k]) for k, layout in enumerate((LINE, TOKEN, PLACE)))
+        prefix = prefix["token"]
+        first, other = _firsts(rows)
+        again = joined([places, {c: rows[c][other] for c in LINE_OF}])
+        for k in range(0, max(len(first), len(again["d"])), CLASSES):
             some, tokens_of = _ragged(rows, prefix, first[k : k + CLASSES])
             yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((LINE.pack(some), pa.binary()), (TOKEN.pack({"token": tokens_of}), pa.binary()), (len(tokens_of), pa.int64()), (PLACE.pack(take(again, slice(k, k + CLASSES))), pa.binary()))], names=["rows", "prefix", "n_posts", "again"])
 

@@ -122,6 +122,9 @@ FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def quality_rules(docs: DataFrame, text_col: str = "text", cleaned_col: str | None = "cleaned", rules: Rules = Rules()) -> DataFrame:
     """Adds the figures of ``assess`` and the cleaned text to every row; removes no rows.
 
+    The boilerplate and navigation rules judge short lines by design: a line of
+    over 160 characters, or with over 80 after "licensed under", is prose to them.
+
     Null and empty texts have no words: figures 0, base_failed true, kept false.
     Rows are judged on their own, so ties, repeats, null ids and an empty table
     need no rule; input columns with the names of added ones are replaced.

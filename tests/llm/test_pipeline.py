@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as C
 from panelforge.llm import pii, quality
 from tests.llm.test_lines import brute as brute_lines
-from tests.llm.test_simhash import brute as brute_groups
+from tests.llm.test_shingles import brute as brute_near
 
 
 def write(spark, rows, folder):
@@ -34,14 +34,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     key = lambda r: (r[0] is not None, r)
     before = pairs(docs)
     first = pairs(C.quality_stage(spark, docs, ""))
-    assert sorted(first, key=key) == sorted(((d, a["cleaned"]) for d, t in before if (a := quality.assess(t or ""))["kept"]), key=key)
-    assert {300, 301, 302, 303}.isdisjoint({d for d, _ in first}) and not any("Home |" in t for _, t in first)
+    assert sorted(first, key=key) == sorted(((d, a["cleaned"]) for d, t in before if (a := quality.assess(t or "", C.RULES))["kept"]), key=key)
+    assert {301, 302, 303}.isdisjoint({d for d, _ in first}) and 300 in {d for d, _ in first} and not any("Home |" in t for _, t in first)
     frame = lambda rows: spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], docs.schema)
     second = pairs(C.line_stage(spark, frame(first), ""))
     assert sorted((str(d), t) for d, t in second) == [(d, t) for d, t in brute_lines(first) if t.strip()]
-    near = first + [(900, first[3][1] + " tail")]  # near copies that line dedup would have taken
+    near = first + [(900, max(first, key=lambda r: len(r[1]))[1] + " tail")]  # near copies that line dedup would have taken
     third = pairs(C.near_duplicate_stage(spark, frame(near), ""))
-    assert {d for d, _ in third if d is not None} == {d for d, _, c in brute_groups(near) if d is not None and d == c}
+    assert {d for d, _ in third} == {near[i][0] for i, first_row in enumerate(brute_near(near)) if first_row == i}
     assert len({d for d, _ in near}) > len(third)
     fourth = C.personal_data_stage(spark, frame(second), "")
     assert fourth.columns == list(C.COLUMNS) and not any(pii.base_spans(r["text"]) or r["n_chars"] != len(r["text"]) for r in fourth.collect())
