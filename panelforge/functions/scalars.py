@@ -91,3 +91,54 @@ def moon_phase(d: Column) -> Column:
 def lag_list(season: int, delta: int, n_seasons: int) -> list[int]:
     """Lags around multiples of a season, plus the first seven steps."""
     return sorted({k for k in range(1, 8)} | {s * season + e for s in range(1, n_seasons + 1) for e in range(-delta, delta + 1) if s * season + e > 0})
+
+
+def yeo_johnson(y: Column, lam: Column) -> Column:
+    """The power transform of values of either sign."""
+    a, rest = F.abs(y) + 1, 2 - lam
+    up = F.when(lam == 0, F.log(a)).otherwise(F.try_divide(F.pow(a, lam) - 1, lam))
+    down = F.when(rest == 0, F.log(a)).otherwise(F.try_divide(F.pow(a, rest) - 1, rest))
+    return F.when(y >= 0, up).otherwise(-down)
+
+
+def fit_yeo_johnson(df: DataFrame, column: str, grid: list[float]) -> DataFrame:
+    """One row with ``lam``: the exponent of the grid under which the transformed values are likeliest normal (null of an empty table)."""
+    y = F.col(column)
+    z = df.where(y.isNotNull()).select(y.alias("y"), F.explode(F.array(*map(F.lit, grid))).alias("lam")).select("lam", "y", yeo_johnson(F.col("y"), F.col("lam")).alias("z"))
+    facts = z.groupBy("lam").agg(F.count("*").alias("n"), F.var_pop("z").alias("v"), F.sum(F.signum("y") * F.log(F.abs("y") + 1)).alias("j"))
+    return facts.agg(F.max_by("lam", (F.col("lam") - 1) * F.col("j") - F.col("n") / 2 * F.log("v")).alias("lam"))
+
+
+def midpoints(centres: Column) -> Column:
+    """The edges between neighbouring bin centres."""
+    n = F.size(centres)
+    return F.transform(F.arrays_zip(F.slice(centres, F.lit(1), n - 1).alias("a"), F.slice(centres, F.lit(2), n - 1).alias("b")), lambda p: (p["a"] + p["b"]) / 2)
+
+
+def digitise(y: Column, edges: Column) -> Column:
+    """The bin of a value, from 1: one more than the edges at or below it."""
+    return (F.size(F.filter(edges, lambda e: e <= y)) + 1).cast("long")
+
+
+# fixed values: coefficients of the published rational approximation of the normal quantile (relative error below 1.2e-9)
+_CENTRE = ((-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00), (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0))
+_TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00), (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0))
+_TAIL_BELOW = 0.02425
+
+
+def normal_score(u: Column) -> Column:
+    """The normal quantile of a level above 0 and below 1, as an expression."""
+
+    def polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    def tail(p: Column) -> Column:
+        q = F.sqrt(-2 * F.log(p))
+        return polynomial(q, _TAIL[0]) / polynomial(q, _TAIL[1])
+
+    q = u - 0.5
+    centre = q * polynomial(q * q, _CENTRE[0]) / polynomial(q * q, _CENTRE[1])
+    return F.when(u < _TAIL_BELOW, tail(u)).when(u > 1 - _TAIL_BELOW, -tail(1 - u)).otherwise(centre)

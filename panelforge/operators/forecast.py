@@ -89,3 +89,30 @@ def complete_mean(frames: list[DataFrame], keys: list[str], value: str) -> DataF
 def weighted_blend(frames: list[DataFrame], weights: list[float], keys: list[str], value: str) -> DataFrame:
     tagged = [f.select(*keys, (F.col(value) * w).alias(value)) for f, w in zip(frames, weights)]
     return reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def kernel_forecast(df: DataFrame, key: str, day: str, value: str, steps: int, age: float, width: float, quantiles: dict[str, float]) -> DataFrame:
+    """key, step, expected and weighted quantiles of past values; a value weighs exp(-age) by exp(-distance of its weekday to the step's).
+
+    The age up to a step is a factor that all weights of the step share, so steps
+    of one weekday have one forecast. Weights are summed by value and weekday
+    before the seven target weekdays are formed. Null values don't weigh.
+    """
+    last = df.agg(F.max(day).alias("__hi"))
+    w = F.exp(-F.date_diff("__hi", day) / age)
+    sums = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(last)).groupBy(key, F.col(value).alias("__y"), F.weekday(day).alias("__dow")).agg(F.sum(w).alias("__w"))
+    each = sums.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(6)))).groupBy(key, "__k", "__y").agg(F.sum(F.col("__w") * F.exp(-F.abs(F.col("__dow") - F.col("__k")) / width)).alias("__w"))
+    group = Window.partitionBy(key, "__k")
+    upto = each.select(key, "__k", "__y", "__w", F.sum("__w").over(group.orderBy("__y").rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"), F.sum("__w").over(group).alias("__total"))
+    levels = [F.min(F.when(F.col("__upto") >= q * F.col("__total"), F.col("__y"))).alias(name) for name, q in quantiles.items()]
+    of_day = upto.groupBy(key, "__k").agg((F.sum(F.col("__w") * F.col("__y")) / F.first("__total")).alias("expected"), *levels)
+    ahead = last.select("__hi", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).select("step", F.weekday(F.date_add("__hi", F.col("step"))).alias("__k"))
+    return of_day.join(ahead, "__k").select(key, "step", "expected", *quantiles)
+
+
+def stack_two(df: DataFrame, keys: list[str], y: str, a: str, b: str) -> DataFrame:
+    """keys, weight_a, weight_b: least squares of y on two forecasts without an intercept; rows with a null are left out, proportional forecasts have null weights."""
+    s = df.dropna(subset=[y, a, b]).groupBy(*keys).agg(*[F.sum(F.col(p) * F.col(q)).alias(n) for n, p, q in (("__aa", a, a), ("__ab", a, b), ("__bb", b, b), ("__ya", y, a), ("__yb", y, b))])
+    aa, ab, bb, ya, yb = (F.col(c) for c in ("__aa", "__ab", "__bb", "__ya", "__yb"))
+    det = aa * bb - ab * ab
+    return s.select(*keys, F.try_divide(bb * ya - ab * yb, det).alias("weight_a"), F.try_divide(aa * yb - ab * ya, det).alias("weight_b"))

@@ -110,3 +110,18 @@ def average_rank_desc(c: str, w: WindowSpec | None = None) -> Column:
     """Descending rank with the average of ties."""
     base = w or Window.partitionBy()
     return F.rank().over(base.orderBy(F.col(c).desc())) + (F.count("*").over((w or Window.partitionBy()).orderBy(F.col(c).desc()).rangeBetween(0, 0)) - 1) / 2
+
+
+def encoding(n: str, s: str, s2: str, w: WindowSpec) -> tuple[Column, Column]:
+    """Mean and sample deviation over a window of counts, sums and sums of squares; null of no value, the deviation of one as well."""
+    n, s, s2 = (F.sum(c).over(w) for c in (n, s, s2))
+    return F.try_divide(s, n), F.when(n > 1, F.sqrt(F.greatest(F.try_divide(n * s2 - s * s, n * (n - 1)), F.lit(0.0))))
+
+
+def same_weekday_means(c: str, w: WindowSpec, sizes: tuple[int, ...]) -> dict[int, Column]:
+    """Means of the last n same weekdays of a daily series; where one of them lacks, that of the next smaller n."""
+    out, smaller = {}, None
+    for n in sizes:
+        mean = sum((F.lag(c, 7 * k).over(w) for k in range(2, n + 1)), F.lag(c, 7).over(w)) / n
+        smaller = out[n] = mean if smaller is None else F.coalesce(mean, smaller)
+    return out

@@ -141,11 +141,16 @@ def b03(spark, sf_dir):
     return last.groupBy("id").agg(r(F.avg("y")).alias("mean_28"), F.lit(0.0).alias("constant"), F.max_by("y", "d").alias("identity"))
 
 
-@register("b04_kernel_sampler", f"WITH {BRAND}, w AS (SELECT id, y, exp(-date_diff('day', d, hi) / 28.0) AS w FROM panel0, bounds) SELECT id, round(sum(w * y) / sum(w), 6) AS expected FROM w GROUP BY id")
+@register(
+    "b04_kernel_sampler",
+    f"""WITH {BRAND}, w AS (SELECT id, y, isodow(d) - 1 AS dow, exp(-date_diff('day', d, hi) / 28.0::DOUBLE) AS w FROM panel0, bounds), x AS (SELECT id, k, y, sum(w * exp(-abs(dow - k) / 2.0::DOUBLE)) AS w FROM w, range(7) g(k) GROUP BY ALL),
+c AS (SELECT *, sum(w) OVER (PARTITION BY id, k ORDER BY y) AS upto, sum(w) OVER (PARTITION BY id, k) AS total FROM x), e AS (SELECT id, k, sum(w * y) / any_value(total) AS expected, min(CASE WHEN upto >= 0.1::DOUBLE * total THEN y END) AS q10, min(CASE WHEN upto >= 0.5::DOUBLE * total THEN y END) AS q50, min(CASE WHEN upto >= 0.9::DOUBLE * total THEN y END) AS q90 FROM c GROUP BY id, k)
+SELECT id, CAST(s AS INTEGER) AS step, round(expected, 6) AS expected, q10, q50, q90 FROM e JOIN (SELECT s, isodow(CAST(hi + CAST(s AS INTEGER) AS DATE)) - 1 AS k FROM bounds, range(1, 29) g(s)) USING (k)""",
+)
 def b04(spark, sf_dir):
-    p = brand_panel(spark, sf_dir, True)
-    w = F.exp(-F.date_diff("hi", "d") / 28.0)
-    return p.crossJoin(F.broadcast(p.agg(F.max("d").alias("hi")))).groupBy("id").agg(r(F.sum(w * F.col("y")) / F.sum(w)).alias("expected"))
+    """What sampling past values by the kernel of their age and weekday converges to: expectation and quantiles of each step."""
+    f = B.kernel_forecast(brand_panel(spark, sf_dir, True), "id", "d", "y", 28, 28.0, 2.0, {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    return f.select("id", "step", r("expected").alias("expected"), "q10", "q50", "q90")
 
 
 def recursive_sql(window: int) -> str:
@@ -298,6 +303,19 @@ def e04(spark, sf_dir):
     return scores.groupBy("id").agg(F.min_by("m", F.struct("e", "m")).alias("best"))
 
 
+_SUMS = {"aa": "a * a", "ab": "a * b", "bb": "b * b", "ya": "p.y * a", "yb": "p.y * b"}
+
+
+@register(
+    "e04_linear_stack",
+    f"WITH {_MODELS}, s AS (SELECT id, " + ", ".join(f"sum({e}) AS {n}" for n, e in _SUMS.items()) + " FROM m JOIN panel0 p USING (id, d) GROUP BY id) SELECT id, round((bb * ya - ab * yb) / nullif(aa * bb - ab * ab, 0), 6) AS weight_a, round((aa * yb - ab * ya) / nullif(aa * bb - ab * ab, 0), 6) AS weight_b FROM s",
+)
+def e04_stack(spark, sf_dir):
+    """For each series the least-squares weights of two models, from sums of products; null where the models are proportional."""
+    x = brand_panel(spark, sf_dir, True).select("id", "d", "y", *W.lags("y", [28, 35], series())).where("d >= '2001-01-01'")
+    return B.stack_two(x, ["id"], "y", "y_lag_28", "y_lag_35").select("id", r("weight_a").alias("weight_a"), r("weight_b").alias("weight_b"))
+
+
 @register("e05_store_and_product", f"WITH {SALES}, a AS (SELECT store, sum(qty) AS s FROM sales GROUP BY store), b AS (SELECT store, sum(x) AS s FROM (SELECT store, item, avg(qty) * count(*) AS x FROM sales GROUP BY ALL) GROUP BY store) SELECT store, round((a.s + b.s) / 2, 4) AS f FROM a JOIN b USING (store)")
 def e05(spark, sf_dir):
     s = sales(spark, sf_dir)

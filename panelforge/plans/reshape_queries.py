@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import combinations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -48,13 +49,13 @@ def s04(spark, sf_dir):
     return text.select("event_id", files.parse_date("s", ["yyyy-MM-dd", "dd-MM-yy"]).alias("d"))
 
 
-@register("s05_tagged_multi_file_scan", "SELECT event_id, event_type AS tag FROM events WHERE event_type IN ('click', 'view', 'error')")
+@register("s05_tagged_multi_file_scan", "SELECT event_id, event_type AS tag FROM events")
 def s05(spark, sf_dir):
-    paths = {}
-    for kind in ("click", "view", "error"):
-        paths[kind] = shared_path(spark, f"tag-{kind}")
-        t(spark, sf_dir, "events").where(F.col("event_type") == kind).select("event_id").write.parquet(paths[kind])
-    return files.read_tagged(spark, paths, "tag")
+    """One folder for each event type of the table, all written in one pass; types are a dimension, so they are few."""
+    source, root = t(spark, sf_dir, "events").select("event_id", "event_type"), shared_path(spark, "tags")
+    source.write.partitionBy("event_type").parquet(root)
+    kinds = [row[0] for row in source.select("event_type").distinct().collect()]
+    return files.read_tagged(spark, {k: f"{root}/event_type={k}" for k in kinds}, "tag")
 
 
 @register("s06_glob_concat", "SELECT r_regionkey, r_name FROM region")
@@ -324,11 +325,12 @@ def p32(spark, sf_dir):
     return o.join(head.agg(F.max("o_orderkey").alias("cut")), F.col("o_orderkey") > F.col("cut")).select("o_orderkey")
 
 
-@register("p33_pairwise_crosses", "SELECT p_partkey, CAST(p_size AS DOUBLE) - p_retailprice AS a_minus_c, round(p_size / nullif(p_retailprice, 0), 8) AS a_by_c FROM part")
+_PAIRS = list(combinations(WIDE, 2))
+
+
+@register("p33_pairwise_crosses", f"WITH {_WIDE_SQL} SELECT p_partkey, " + ", ".join(f"{x} - {y} AS {x}_minus_{y}, round({x} / nullif({y}, 0), 8) AS {x}_by_{y}" for x, y in _PAIRS) + " FROM wide")
 def p33(spark, sf_dir):
-    w = _wide(spark, sf_dir)
-    pairs = [("a", "c")]
-    return w.select("p_partkey", *[c for x, y in pairs for c in ((F.col(x) - F.col(y)).alias(f"{x}_minus_{y}"), r(F.try_divide(x, y), 8).alias(f"{x}_by_{y}"))])
+    return _wide(spark, sf_dir).select("p_partkey", *[c for x, y in _PAIRS for c in ((F.col(x) - F.col(y)).alias(f"{x}_minus_{y}"), r(F.try_divide(x, y), 8).alias(f"{x}_by_{y}"))])
 
 
 @register("p34_drop_season", f"WITH {BRAND} SELECT id, d, y FROM panel0 WHERE year(d) > 1995 AND NOT (month(d) = 12 AND day(d) > 20)")

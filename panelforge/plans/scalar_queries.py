@@ -80,11 +80,24 @@ def f17(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", *[(F.col("o_orderstatus") == s).cast("int").alias(f"is_{s}") for s in _STATUS])
 
 
-@register("f18_scaling", "SELECT p_partkey, round((p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) FROM part), 6) AS mm, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 5) AS z FROM part")
+_GRID = [k / 10 for k in range(-20, 41)]
+_POWER = "CASE WHEN y >= 0 THEN CASE WHEN lam = 0 THEN ln(abs(y) + 1) ELSE (pow(abs(y) + 1, lam) - 1) / lam END ELSE -CASE WHEN lam = 2 THEN ln(abs(y) + 1) ELSE (pow(abs(y) + 1, 2 - lam) - 1) / (2 - lam) END END"
+
+
+@register(
+    "f18_scaling",
+    f"""WITH x AS (SELECT *, (p_size - 25)::DOUBLE AS y FROM part), z AS (SELECT lam, y, {_POWER} AS z FROM x, (SELECT k / 10 AS lam FROM range(-20, 41) g(k))),
+l AS (SELECT lam, (lam - 1) * sum(sign(y) * ln(abs(y) + 1)) - count(*) / 2 * ln(var_pop(z)) AS ll FROM z GROUP BY lam), b AS (SELECT arg_max(lam, ll) AS lam FROM l)
+SELECT p_partkey, round((p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) FROM part), 6) AS mm, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 5) AS z,
+  lam, round({_POWER}, 6) AS power FROM x, b""",
+)
 def f18(spark, sf_dir):
-    p = t(spark, sf_dir, "part")
-    facts = p.agg(F.min(F.col("p_retailprice")).alias("lo"), F.max(F.col("p_retailprice")).alias("hi"), F.avg(F.col("p_retailprice")).alias("m"), F.stddev_pop(F.col("p_retailprice")).alias("s"))
-    return p.crossJoin(F.broadcast(facts)).select("p_partkey", r((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("mm"), r((F.col("p_retailprice") - F.col("m")) / F.col("s"), 5).alias("z"))
+    """Min-max, standard and power scaling; the power's exponent is fitted by likelihood over a grid."""
+    price = F.col("p_retailprice")
+    p = t(spark, sf_dir, "part").withColumn("y", (F.col("p_size") - 25).cast("double"))
+    facts = p.agg(F.min(price).alias("lo"), F.max(price).alias("hi"), F.avg(price).alias("m"), F.stddev_pop(price).alias("s"))
+    one = facts.crossJoin(S.fit_yeo_johnson(p, "y", _GRID))  # one row
+    return p.crossJoin(F.broadcast(one)).select("p_partkey", r((price - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("mm"), r((price - F.col("m")) / F.col("s"), 5).alias("z"), "lam", r(S.yeo_johnson(F.col("y"), F.col("lam"))).alias("power"))
 
 
 @register("f19_scale_nonzero_mean", f"WITH {BRAND} SELECT id, d, round(y / avg(CASE WHEN y <> 0 THEN y END) OVER (PARTITION BY id), 6) AS scaled FROM panel0")
@@ -153,6 +166,31 @@ def f30(spark, sf_dir):
 
 _EDGES = (5.0, 10.0, 20.0, 40.0)
 _part_query("f31_binning", lambda: [S.bin_index(F.col("p_size"), list(_EDGES)).alias("bin")], " + ".join(f"CAST(p_size >= {e} AS BIGINT)" for e in _EDGES) + " AS bin")
+
+
+_LOCAL, _GLOBAL = [k / 4 for k in range(5)], [0.99 * k / 4 for k in range(5)]
+_EDGES_SQL = "list_transform([1, 2, 3, 4], lambda k: ({c}[k] + {c}[k + 1]) / 2)"
+_BIN_SQL = "len(list_filter({e}, lambda e: e <= {y})) + 1"
+
+
+@register(
+    "f31_panel_binning",
+    f"""WITH {BRAND}, a AS (SELECT avg(abs(y)) AS m FROM panel0), s AS (SELECT id, coalesce(nullif(avg(abs(y)), 0), any_value(m)) AS scale, quantile_cont(y, {_LOCAL}) AS c FROM panel0, a GROUP BY id),
+x AS (SELECT p.id, d, y, y / scale AS scaled, {_EDGES_SQL.format(c="c")} AS own FROM panel0 p JOIN s ON p.id = s.id), g AS (SELECT quantile_cont(scaled, {_GLOBAL}) AS c FROM x), h AS (SELECT {_EDGES_SQL.format(c="c")} AS every FROM g)
+SELECT id, d, round(scaled, 6) AS scaled, {_BIN_SQL.format(e="own", y="y")} AS own_bin, {_BIN_SQL.format(e="every", y="scaled")} AS global_bin, ({_BIN_SQL.format(e="own", y="y")}) / 5 AS pit FROM x, h""",
+)
+def f31_panel(spark, sf_dir):
+    """Scaling by the mean absolute value (of all series where a series has none but 0), bins around quantiles of the own series and of all scaled ones, and the discrete probability integral transform."""
+    p = brand_panel(spark, sf_dir, True)
+    size = F.avg(F.abs("y"))
+    own = p.groupBy("id").agg(size.alias("size"), F.percentile("y", F.array(*map(F.lit, _LOCAL))).alias("c")).crossJoin(F.broadcast(p.agg(size.alias("m"))))
+    own = own.select("id", F.coalesce(F.nullif("size", F.lit(0.0)), "m").alias("scale"), S.midpoints(F.col("c")).alias("own"))
+    x = p.join(own, "id").select("id", "d", "y", F.try_divide("y", "scale").alias("scaled"), "own")
+    every = x.agg(F.percentile("scaled", F.array(*map(F.lit, _GLOBAL))).alias("c")).select(S.midpoints(F.col("c")).alias("every"))
+    b = S.digitise(F.col("y"), F.col("own"))
+    return x.crossJoin(F.broadcast(every)).select("id", "d", r("scaled").alias("scaled"), b.alias("own_bin"), S.digitise(F.col("scaled"), F.col("every")).alias("global_bin"), (b / 5).alias("pit"))
+
+
 _part_query("f32_box_cox", lambda: [r(S.box_cox(F.col("p_retailprice"), 0.4)).alias("z"), r(S.inverse_box_cox(S.box_cox(F.col("p_retailprice"), 0.4), 0.4), 3).alias("back"), r(S.box_cox(F.col("p_retailprice"), 0)).alias("z0")], "round((pow(p_retailprice, 0.4) - 1) / 0.4, 6) AS z, round(p_retailprice, 3) AS back, round(ln(p_retailprice), 6) AS z0")
 _day_query("f33_fourier", lambda: [c for k in (1, 2) for c in (r(F.cos(2 * math.pi * k * F.dayofyear("d") / 365)).alias(f"c{k}"), r(F.sin(2 * math.pi * k * F.dayofyear("d") / 365)).alias(f"s{k}"))], ", ".join(f"round(cos(2 * pi() * {k} * dayofyear(d) / 365), 6) AS c{k}, round(sin(2 * pi() * {k} * dayofyear(d) / 365), 6) AS s{k}" for k in (1, 2)))
 

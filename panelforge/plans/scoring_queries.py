@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelforge.functions import scalars as S
 from panelforge.operators import forecast as B
 from panelforge.operators import hierarchy as H
 from panelforge.operators import metrics as M
@@ -181,7 +184,15 @@ def m14(spark, sf_dir):
 
 
 _score("m15_quantile_loss_coverage", lambda: [r(2 * F.sum(F.abs((F.col("f") - F.col("y")) * (F.when(F.col("y") <= F.col("f"), 1.0).otherwise(0.0) - 0.9)))).alias("ql"), r(F.avg(F.when(F.col("y") < F.col("f"), 1.0).otherwise(0.0))).alias("coverage"), r(F.abs(F.avg(F.when(F.col("y") < F.col("f"), 1.0).otherwise(0.0)) - 0.5)).alias("mae_coverage")], "round(2 * sum(abs((f - y) * (CASE WHEN y <= f THEN 1.0 ELSE 0.0 END - 0.9))), 6) AS ql, round(avg(CASE WHEN y < f THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(abs(avg(CASE WHEN y < f THEN 1.0 ELSE 0.0 END) - 0.5), 6) AS mae_coverage")
-_score("m16_multivariate", lambda: [r(M.rmse("y", "f")).alias("rmse"), r(M.nd("y", "f")).alias("nd")], "round(sqrt(avg(pow(y - f, 2))), 6) AS rmse, round(sum(abs(y - f)) / nullif(sum(abs(y)), 0), 6) AS nd", ())
+
+
+@register("m16_multivariate", f"WITH {FC} SELECT CASE WHEN grouping(id) = 1 THEN 'all' ELSE id END AS dimension, round(sqrt(avg(pow(y - f, 2))), 6) AS rmse, round(sum(abs(y - f)) / nullif(sum(abs(y)), 0), 6) AS nd FROM fc GROUP BY ROLLUP (id)")
+def m16(spark, sf_dir):
+    """Scores of each dimension and of all together, in one pass."""
+    f = forecasts(spark, sf_dir).rollup("id").agg(F.grouping("id").alias("g"), r(M.rmse("y", "f")).alias("rmse"), r(M.nd("y", "f")).alias("nd"))
+    return f.select(F.when(F.col("g") == 1, "all").otherwise(F.col("id")).alias("dimension"), "rmse", "nd")
+
+
 _score("m17_asymmetric", lambda: [r(F.avg(M.asymmetric_squared("y", "f", 1.15))).alias("loss")], "round(avg(CASE WHEN y > f THEN 1.15 * pow(y - f, 2) ELSE pow(y - f, 2) END), 6) AS loss")
 
 
@@ -252,9 +263,34 @@ def v10(spark, sf_dir):
     return f.join(actual, ["id", "step"]).groupBy("id").agg(r(M.rmse("y", "forecast")).alias("rmse"), F.sum(F.abs(F.col("y") - F.col("forecast"))).alias("abs_error"))
 
 
-@register("v11_cdf_transform", f"WITH {BRAND} SELECT id, d, round(cume_dist() OVER (PARTITION BY id ORDER BY y), 8) AS u FROM panel0")
+def _score_sql(u: str) -> str:
+    """SQL twin of the normal score: the same published approximation."""
+
+    def polynomial(x, coefficients):
+        out = f"{coefficients[0]!r}::DOUBLE"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        return out
+
+    def tail(p):
+        q = f"sqrt(-2 * ln({p}))"
+        return f"{polynomial(q, S._TAIL[0])} / {polynomial(q, S._TAIL[1])}"
+
+    q = f"({u} - 0.5::DOUBLE)"
+    return f"CASE WHEN {u} < {S._TAIL_BELOW}::DOUBLE THEN {tail(u)} WHEN {u} > 1 - {S._TAIL_BELOW}::DOUBLE THEN -({tail(f'(1 - {u})')}) ELSE {q} * {polynomial(f'({q} * {q})', S._CENTRE[0])} / {polynomial(f'({q} * {q})', S._CENTRE[1])} END"
+
+
+@register(
+    "v11_cdf_transform",
+    f"WITH {BRAND}, c AS (SELECT id, d, y, cume_dist() OVER (PARTITION BY id ORDER BY y) AS u, count(*) OVER (PARTITION BY id) AS n FROM panel0), k AS (SELECT id, d, y, u, least(greatest(u, cut), 1 - cut) AS v FROM (SELECT *, 1 / (4 * pow(n, 0.25) * sqrt(pi() * ln(n))) AS cut FROM c))"
+    f" SELECT id, d, round(u, 8) AS u, round({_score_sql('v')}, 6) AS z, min(y) OVER (PARTITION BY id, v) AS back FROM k",
+)
 def v11(spark, sf_dir):
-    return brand_panel(spark, sf_dir, True).select("id", "d", r(F.cume_dist().over(Window.partitionBy("id").orderBy("y")), 8).alias("u"))
+    """Empirical distribution function, cut off at both ends by the sample's size, to normal scores; the inverse gives the least value of a score."""
+    n = F.count("*").over(W.by("id")).cast("double")
+    c = brand_panel(spark, sf_dir, True).select("id", "d", "y", F.cume_dist().over(Window.partitionBy("id").orderBy("y")).alias("u"), (1 / (4 * F.pow(n, F.lit(0.25)) * F.sqrt(math.pi * F.log(n)))).alias("cut"))
+    k = c.select("id", "d", "y", "u", F.least(F.greatest("u", "cut"), 1 - F.col("cut")).alias("v"))
+    return k.select("id", "d", r("u", 8).alias("u"), r(S.normal_score(F.col("v"))).alias("z"), F.min("y").over(W.by("id", "v")).alias("back"))
 
 
 @register("v12_pca")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelforge.operators import hierarchy as H
 from panelforge.operators import windows as W
-from panelforge.plans.base import BRAND, brand_panel, r, t
+from panelforge.plans.base import BRAND, SALES, brand_panel, r, sales, t
 from panelforge.plans.registry import register
 
 def series():
@@ -94,7 +95,26 @@ _panel("w23_distinct_in_group", lambda: [W.distinct_in("y", W.by("id")).alias("n
 _panel("w24_ratio_to_month_mean", lambda: [r(F.try_divide("y", F.avg("y").over(Window.partitionBy("id", F.year("d"), F.month("d"))))).alias("ratio")], "round(y / nullif(avg(y) OVER (PARTITION BY id, year(d), month(d)), 0), 6) AS ratio")
 _panel("w25_ratio_to_max", lambda: [r(F.try_divide("y", F.max("y").over(W.by("id")))).alias("norm"), r(F.try_divide("y", F.avg("y").over(Window.partitionBy("d")))).alias("in_day")], "round(y / nullif(max(y) OVER (PARTITION BY id), 0), 6) AS norm, round(y / nullif(avg(y) OVER (PARTITION BY d), 0), 6) AS in_day")
 _CUT = "d <= DATE '2001-06-30'"
-_panel("w26_target_encoding", lambda: [r(F.avg(F.when(F.expr(_CUT), F.col("y"))).over(W.by("id"))).alias("enc_mean"), r(F.stddev_samp(F.when(F.expr(_CUT), F.col("y"))).over(W.by("id")), 4).alias("enc_std")], f"round(avg(CASE WHEN {_CUT} THEN y END) OVER (PARTITION BY id), 6) AS enc_mean, round(stddev_samp(CASE WHEN {_CUT} THEN y END) OVER (PARTITION BY id), 4) AS enc_std")
+_SETS = {H.level_name(level): level for level in H.LEVELS[1:]}
+
+
+@register(
+    "w26_target_encoding",
+    f"WITH {SALES} SELECT DISTINCT store, item, "
+    + ", ".join(f"round(avg(CASE WHEN {_CUT} THEN qty END) OVER (PARTITION BY {', '.join(k)}), 6) AS {n}_mean, round(stddev_samp(CASE WHEN {_CUT} THEN qty END) OVER (PARTITION BY {', '.join(k)}), 4) AS {n}_std" for n, k in _SETS.items())
+    + " FROM sales",
+)
+def w26(spark, sf_dir):
+    """Mean and deviation of the target up to the cut-off under eleven key sets for every item of a store: the facts are summed first, so that windows see one row a pair."""
+    q = F.when(F.expr(_CUT), F.col("qty"))
+    pairs = sales(spark, sf_dir).groupBy(*H.DIMENSIONS).agg(F.count(q).alias("n"), F.sum(q).alias("s"), F.sum(q * q).alias("s2"))
+    columns = []
+    for name, keys in _SETS.items():
+        mean, std = W.encoding("n", "s", "s2", W.by(*keys))
+        columns += [r(mean).alias(f"{name}_mean"), r(std, 4).alias(f"{name}_std")]
+    return pairs.select("store", "item", *columns)
+
+
 _panel("w27_encoding_by_weekday", lambda: [r(F.avg(F.when(F.expr(_CUT), F.col("y"))).over(Window.partitionBy("id", F.weekday("d")))).alias("enc_dow"), r(F.avg(F.when(F.expr(_CUT), F.col("y"))).over(Window.partitionBy("id", F.day("d")))).alias("enc_day")], f"round(avg(CASE WHEN {_CUT} THEN y END) OVER (PARTITION BY id, isodow(d)), 6) AS enc_dow, round(avg(CASE WHEN {_CUT} THEN y END) OVER (PARTITION BY id, day(d)), 6) AS enc_day")
 
 
@@ -131,7 +151,13 @@ def w32(spark, sf_dir):
 
 
 _panel("w33_days_since_nonzero", lambda: [W.days_since_nonzero("y", "d", series()).alias("gap")], f"date_diff('day', last_value(CASE WHEN y <> 0 THEN d END IGNORE NULLS) OVER {UNTIL}, d) AS gap")
-_panel("w34_same_weekday_mean", lambda: [r(F.coalesce((F.lag("y", 7).over(series()) + F.lag("y", 14).over(series())) / 2, F.lag("y", 7).over(series()), F.lit(0.0))).alias("m")], f"round(coalesce((lag(y, 7) OVER ({O}) + lag(y, 14) OVER ({O})) / 2, lag(y, 7) OVER ({O}), 0.0), 6) AS m")
+
+
+def _weekdays_sql(n: int) -> str:
+    return "(" + " + ".join(f"lag(y, {7 * k}) OVER ({O})" for k in range(1, n + 1)) + f") / {n}"
+
+
+_panel("w34_same_weekday_mean", lambda: [r(c).alias(f"m{n}") for n, c in W.same_weekday_means("y", series(), (2, 4, 8)).items()], f"round({_weekdays_sql(2)}, 6) AS m2, round(coalesce({_weekdays_sql(4)}, {_weekdays_sql(2)}), 6) AS m4, round(coalesce({_weekdays_sql(8)}, {_weekdays_sql(4)}, {_weekdays_sql(2)}), 6) AS m8")
 
 
 @register("w35_first_sale", f"WITH {BRAND} SELECT id, min(CASE WHEN y <> 0 THEN d END) AS first_d FROM panel0 GROUP BY id")
@@ -178,9 +204,9 @@ def w42(spark, sf_dir):
     return near.select("d", F.when(F.col("nx").isNull(), 0).otherwise(30 - F.date_diff("nx", "d")).cast("long").alias("countdown"))
 
 
-@register("w43_shift_event_names", "WITH c AS (SELECT DISTINCT CAST(ts AS DATE) AS d, event_type AS e FROM events WHERE event_type IN ('signup', 'error')), m AS (SELECT d, min(e) AS e FROM c GROUP BY d) SELECT d, lag(e) OVER (ORDER BY d) || '_1' AS after_1, lead(e) OVER (ORDER BY d) || '_m1' AS before_1 FROM m")
+@register("w43_shift_event_names", "WITH c AS (SELECT DISTINCT CAST(ts AS DATE) AS d, event_type AS e FROM events), m AS (SELECT d, min(e) AS e FROM c GROUP BY d) SELECT d, lag(e) OVER (ORDER BY d) || '_1' AS after_1, lead(e) OVER (ORDER BY d) || '_m1' AS before_1 FROM m")
 def w43(spark, sf_dir):
-    m = t(spark, sf_dir, "events").where("event_type in ('signup', 'error')").groupBy(F.to_date("ts").alias("d")).agg(F.min("event_type").alias("e"))
+    m = t(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.min("event_type").alias("e"))
     w = Window.partitionBy(F.lit(0)).orderBy("d")
     return m.select("d", F.concat(F.lag("e").over(w), F.lit("_1")).alias("after_1"), F.concat(F.lead("e").over(w), F.lit("_m1")).alias("before_1"))
 

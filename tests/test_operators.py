@@ -1,5 +1,6 @@
 """Operators on hand-written series: nulls, ties, short groups, zero denominators; against pandas where it defines the result."""
 
+import datetime
 import math
 import random
 
@@ -177,3 +178,60 @@ def test_log_gamma_and_densities_that_sum_to_one(spark):
     whole = k.agg(*[F.sum(F.exp(c)).alias(n) for n, c in (("poisson", D.poisson(x, lit(4.0))), ("nb", D.negative_binomial(x, lit(5.0), lit(0.4))))]).first()
     parts = step.agg(F.sum(F.exp(D.gamma(x, lit(2.5), lit(1.0))) / 100).alias("gamma"), F.sum(F.exp(D.beta(F.col("u"), lit(2.0), lit(3.0))) / 4000).alias("beta"), F.sum(F.exp(D.mixture([D.gaussian(x, lit(20.0), lit(2.0)), D.student_t(x, lit(20.0), lit(0.5), lit(9.0))], [0.4, 0.6])) / 100).alias("mix")).first()
     assert [*whole, *parts] == pytest.approx([1.0] * 5, abs=2e-3)
+
+
+def test_normal_scores_equal_the_library(spark):
+    levels = [1e-9, 0.001, 0.02424, 0.02425, 0.3, 0.5, 0.8, 0.97575, 0.9999]
+    got = spark.createDataFrame([(u,) for u in levels], "u double").select(S.normal_score(F.col("u"))).collect()
+    assert [row[0] for row in got] == pytest.approx([S.normal_quantile(u) for u in levels], rel=1e-8, abs=1e-8)
+
+
+def test_power_scaling_is_fitted_and_keeps_nulls(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=500) * 0.5
+    y = [(float(np.exp(x) - 1) if x >= 0 else float(1 - (1 - 2 * x) ** 0.5),) for x in z]  # normal under exponent 0
+    df = spark.createDataFrame(y + [(None,)], "y double")
+    assert abs(S.fit_yeo_johnson(df, "y", [k / 10 for k in range(-20, 41)]).first()["lam"]) <= 0.2
+    assert S.fit_yeo_johnson(df.limit(0), "y", [0.0, 1.0]).first()["lam"] is None
+    both = df.select(S.yeo_johnson(F.col("y"), F.lit(1.0)).alias("same"), "y").collect()
+    assert all(a is None and b is None or a == pytest.approx(b) for a, b in both)
+
+
+def test_bins_equal_digitise(spark):
+    centres, values = [0.0, 0.0, 1.0, 4.0], [-1.0, 0.0, 0.4, 0.5, 2.5, 9.0]
+    edges = np.convolve(centres, [0.5, 0.5], "valid")
+    df = spark.createDataFrame([(v, centres) for v in values], "y double, c array<double>")
+    assert [row[0] for row in df.select(S.digitise(F.col("y"), S.midpoints(F.col("c")))).collect()] == (np.digitize(values, edges) + 1).tolist()
+
+
+def test_encoding_from_sums_and_weekday_means(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 8.0), ("b", 5.0), ("c", None)], "k string, y double")
+    sums = df.groupBy("k", "y").agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") ** 2).alias("s2"))
+    mean, std = W.encoding("n", "s", "s2", W.by("k"))
+    got = {row["k"]: (row["m"], row["d"]) for row in sums.select("k", mean.alias("m"), std.alias("d")).collect()}
+    assert got["a"] == pytest.approx((4.0, np.std([1, 3, 8], ddof=1))) and got["b"] == (5.0, None) and got["c"] == (None, None)
+    days = spark.createDataFrame([("a", k, float(k)) for k in range(30)], "k string, d int, y double")
+    means = W.same_weekday_means("y", W.ordered(["k"], "d"), (2, 4))
+    got = {row["d"]: (row["m2"], row["m4"]) for row in days.select("d", *[c.alias(f"m{n}") for n, c in means.items()]).collect()}
+    assert got[13] == (None, None) and got[14] == (3.5, 3.5) and got[28] == (17.5, 10.5)
+
+
+def test_kernel_forecast_and_stack_equal_plain_versions(spark):
+    rng = np.random.default_rng(5)
+    start = datetime.date(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(i), float(rng.integers(0, 9))) for k in "ab" for i in range(40)] + [("a", start, None)]
+    got = B.kernel_forecast(spark.createDataFrame(rows, "k string, d date, y double"), "k", "d", "y", 9, 10.0, 2.0, {"q50": 0.5}).collect()
+    assert len(got) == 18
+    last = start + datetime.timedelta(39)
+    for row in got:
+        to = last + datetime.timedelta(row["step"])
+        w = sorted((y, math.exp(-(last - d).days / 10) * math.exp(-abs(d.weekday() - to.weekday()) / 2)) for k, d, y in rows if k == row["k"] and y is not None)
+        total = sum(x for _, x in w)
+        assert row["expected"] == pytest.approx(sum(y * x for y, x in w) / total)
+        cumulative = np.cumsum([x for _, x in w])
+        assert row["q50"] == w[int(np.argmax(cumulative >= 0.5 * total))][0]
+    x = rng.normal(size=(50, 2))
+    y = x @ [0.3, 0.6] + rng.normal(size=50) / 10
+    df = spark.createDataFrame([(0, *map(float, (t, *p))) for t, p in zip(y, x)] + [(1, 1.0, 2.0, 4.0), (1, 2.0, 3.0, 6.0), (0, None, 1.0, 1.0)], "k int, y double, a double, b double")
+    weights = {row["k"]: row[1:] for row in B.stack_two(df, ["k"], "y", "a", "b").collect()}
+    assert weights[0] == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0].tolist()) and weights[1] == (None, None)
