@@ -47,8 +47,8 @@ ALL_LINES = 1
 CELLS = 1 << 22
 #: Cells of a slice.
 SLICE = 1 << 15
-#: Pairs of posting lists that are compared at a time, and rows of an Arrow batch of narrow rows.
-PAIRS, ROWS = 1 << 18, 1 << 14
+#: Pairs of posting lists that are compared at a time, and rows of an Arrow batch of narrow rows and of packed blocks.
+PAIRS, ROWS, BLOCK_ROWS = 1 << 18, 1 << 14, 16
 #: Tokens of the lines of a partition, postings of one, classes of a row of packed ones, postings of a block, and postings that are held before long lists are cut.
 TOKENS, PART, CLASSES, BLOCK, HELD = 3_000_000, 500_000, 1 << 14, 4096, 2_000_000
 #: Candidates of a list that a line passes on grow by this factor from round to round.
@@ -56,7 +56,7 @@ WIDER = 8
 FIRST_ID = -(1 << 63)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bytes that are hashed at a time.
-BLOCK = 1 << 19
+HASHED = 1 << 19
 ODD_A, ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -111,7 +111,7 @@ class Hasher:
         out = np.empty(len(starts), np.uint64)
         k = 0
         while k < len(starts):
-            n = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK, "right")))
+            n = max(k + 1, int(np.searchsorted(ends, starts[k] + HASHED, "right")))
             lo, hi = int(starts[k]), int(ends[n - 1])
             self._grow(hi - lo)
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.of_byte[data[lo:hi]] * self.power[: hi - lo])))
@@ -184,11 +184,12 @@ def token_rarity(docs: DataFrame, cells: int, hashes: Callable[[Hasher, pa.Array
     return out, n_all
 
 
-def narrow(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table whose Python step has narrow rows, and so gets larger Arrow batches."""
+def narrow(df: DataFrame, name: str, rows: int = ROWS) -> DataFrame:
+    """Writes a table whose Python step has narrow rows, and so gets larger Arrow batches; or, with ``BLOCK_ROWS``, rows of
+    packed blocks of up to some MB, of which the JVM and the worker hold few at a time."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
-    conf.set(key, str(ROWS))
+    conf.set(key, str(rows))
     try:
         return written(df, name)
     finally:
@@ -480,11 +481,11 @@ def candidates(classes: DataFrame, n_posts: int, t: float, most: int = 1, ask: n
             yield from _blocks(away, begun, n_block)
             yield from _search(rows, t, most, n_pairs)
 
-    found = narrow(classes.select("rows", "prefix").mapInArrow(deal, "part int, posts binary").repartitionById(n_parts, "part").mapInArrow(run, FOUND), "line-candidates")
+    found = narrow(classes.select("rows", "prefix").mapInArrow(deal, "part int, posts binary").repartitionById(n_parts, "part").mapInArrow(run, FOUND), "line-candidates", BLOCK_ROWS)
     pairs = found.where("block is null").drop("block", "lo", "hi", "posts")
     blocks = found.where("block is not null").select("token", "block", "lo", "hi", "posts")
     if blocks.count():
-        pairs = pairs.unionByName(narrow(_in_blocks(blocks, t, most), "line-candidates"))
+        pairs = pairs.unionByName(narrow(_in_blocks(blocks, t, most), "line-candidates", BLOCK_ROWS))
     return pairs
 
 
