@@ -176,19 +176,20 @@ _BIN_SQL = "len(list_filter({e}, lambda e: e <= {y})) + 1"
 @register(
     "f31_panel_binning",
     f"""WITH {BRAND}, a AS (SELECT avg(abs(y)) AS m FROM panel0), s AS (SELECT id, coalesce(nullif(avg(abs(y)), 0), any_value(m)) AS scale, quantile_cont(y, {_LOCAL}) AS c FROM panel0, a GROUP BY id),
-x AS (SELECT p.id, d, y, y / scale AS scaled, {_EDGES_SQL.format(c="c")} AS own FROM panel0 p JOIN s ON p.id = s.id), g AS (SELECT quantile_cont(scaled, {_GLOBAL}) AS c FROM x), h AS (SELECT {_EDGES_SQL.format(c="c")} AS every FROM g)
-SELECT id, d, round(scaled, 6) AS scaled, {_BIN_SQL.format(e="own", y="y")} AS own_bin, {_BIN_SQL.format(e="every", y="scaled")} AS global_bin, ({_BIN_SQL.format(e="own", y="y")}) / 5 AS pit FROM x, h""",
+x AS (SELECT p.id, d, y, y / scale AS scaled, {_EDGES_SQL.format(c="c")} AS own FROM panel0 p JOIN s ON p.id = s.id), g AS (SELECT quantile_cont(scaled, {_GLOBAL}) AS c FROM x), h AS (SELECT list_transform({_EDGES_SQL.format(c="c")}, lambda e: round(e, 6)) AS every FROM g)
+SELECT id, d, round(scaled, 6) AS scaled, {_BIN_SQL.format(e="own", y="y")} AS own_bin, {_BIN_SQL.format(e="every", y="round(scaled, 6)")} AS global_bin, ({_BIN_SQL.format(e="own", y="y")}) / 5 AS pit FROM x, h""",
 )
 def f31_panel(spark, sf_dir):
-    """Scaling by the mean absolute value (of all series where a series has none but 0), bins around quantiles of the own series and of all scaled ones, and the discrete probability integral transform."""
+    """Scaling by the mean absolute value (of all series where a series has none but 0), bins around quantiles of the own series and of all scaled ones, and the discrete probability integral transform.
+    Scaled values and their edges are compared at six digits, so that equal ones are equal whatever their last bits."""
     p = brand_panel(spark, sf_dir, True)
     size = F.avg(F.abs("y"))
     own = p.groupBy("id").agg(size.alias("size"), F.percentile("y", F.array(*map(F.lit, _LOCAL))).alias("c")).crossJoin(F.broadcast(p.agg(size.alias("m"))))
     own = own.select("id", F.coalesce(F.nullif("size", F.lit(0.0)), "m").alias("scale"), S.midpoints(F.col("c")).alias("own"))
     x = p.join(own, "id").select("id", "d", "y", F.try_divide("y", "scale").alias("scaled"), "own")
-    every = x.agg(F.percentile("scaled", F.array(*map(F.lit, _GLOBAL))).alias("c")).select(S.midpoints(F.col("c")).alias("every"))
+    every = x.agg(F.percentile("scaled", F.array(*map(F.lit, _GLOBAL))).alias("c")).select(F.transform(S.midpoints(F.col("c")), lambda e: F.round(e, 6)).alias("every"))
     b = S.digitise(F.col("y"), F.col("own"))
-    return x.crossJoin(F.broadcast(every)).select("id", "d", r("scaled").alias("scaled"), b.alias("own_bin"), S.digitise(F.col("scaled"), F.col("every")).alias("global_bin"), (b / 5).alias("pit"))
+    return x.crossJoin(F.broadcast(every)).select("id", "d", r("scaled").alias("scaled"), b.alias("own_bin"), S.digitise(F.round("scaled", 6), F.col("every")).alias("global_bin"), (b / 5).alias("pit"))
 
 
 _part_query("f32_box_cox", lambda: [r(S.box_cox(F.col("p_retailprice"), 0.4)).alias("z"), r(S.inverse_box_cox(S.box_cox(F.col("p_retailprice"), 0.4), 0.4), 3).alias("back"), r(S.box_cox(F.col("p_retailprice"), 0)).alias("z0")], "round((pow(p_retailprice, 0.4) - 1) / 0.4, 6) AS z, round(p_retailprice, 3) AS back, round(ln(p_retailprice), 6) AS z0")
