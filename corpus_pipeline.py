@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages over ``documents``: quality rules, line dedup, near-dedup, personal data, packing.
+"""A corpus pipeline of five stages over ``documents``: quality rules, line dedup, SimHash near-dedup, personal data, packing.
 
 Each stage gets what its predecessor kept, as rows that were written and read
 again, and returns the columns of documents; the last one returns packed
@@ -42,7 +42,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row, by id (null ones last) and text, of each component of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """Keeps the first row, by id (null ones last) and text, of each component of near-duplicates: five-word shingles, Jaccard 0.8 or more.
+
+    SimHash fingerprints meet by positional bytes, pairs are checked on whole sets; links that
+    fingerprints miss are joined exactly afterwards.
+    """
     found = shingles.near_duplicates(docs.select("doc_id", "text")).groupBy("doc_id", "th", "is_first").agg(F.count("*").alias("n"))
     rows = written(found.where("not is_first or n > 1").select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "is_first"), "near-duplicates")
     gone, again = rows.where("not is_first"), rows.where("is_first")
@@ -70,7 +74,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
-    ("near-dedup", near_duplicate_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
     ("personal data", personal_data_stage),
     ("packing", packing_stage),
 ]

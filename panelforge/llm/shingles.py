@@ -1,14 +1,20 @@
-"""Near-duplicate documents as an exact set-similarity join: documents are linked if their shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicate documents by SimHash and a byte-position index, checked exactly: documents are linked if their shingles have a Jaccard similarity of 0.8 or more.
 
 1. A document becomes the set of 64-bit hashes of its shingles (five words; all
-   words of a shorter one). Documents with equal sets form one class.
-2. Shingles are ordered by rarity (see ``lines``). Two similar sets share one of
+   words of a shorter one), and a SimHash fingerprint of the same shingles.
+   Documents with equal sets form one class.
+2. Fingerprints meet in posting lists of positional bytes, where the bytes that
+   a pair shares are tallied (see ``simhash.nearest_similar``). Each class's
+   nearest one is verified on whole sets; verified links make groups.
+3. Similar sets may have fingerprints that share too few bytes: 64 bits can't
+   promise a similarity. What is left open is joined exactly, across groups only.
+   Shingles are ordered by rarity (see ``lines``). Two similar sets share one of
    the first ``size - ceil(t * size) + 1`` shingles of either, so classes meet in
    the posting lists of these. Length and positional filters leave candidates.
-3. Each class verifies on whole sets the earlier one that most of its lists
+4. Each class verifies on whole sets the earlier one that most of its lists
    pass on. Classes that had more candidates pass on all of them in a second
    round, but for those that are in their component already.
-4. Verified links make components. No link between components is left out, so
+5. Verified links make components. No link between components is left out, so
    the components are those of all pairs, not of a sample of them.
 """
 
@@ -22,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm import simhash
 from panelforge.llm.common import maybe_broadcast, passing, small_batches, text_or_empty, written
 from panelforge.llm.components import components
 from panelforge.llm.lines import CELLS, ODD_A, ODD_B, PAIRS, PART, Hasher, _buffer, _mix, narrow, overlap_needed, token_rarity
@@ -50,11 +57,11 @@ def hashes(hasher: Hasher, column: pa.Array, width: int) -> tuple[np.ndarray, np
     return text[begins], _mix(out, ODD_A)
 
 
-SETS = "rid long, no_id boolean, d long, th long, key_a long, key_b long, size int, prefix array<long>, at array<int>"
+SETS = "rid long, no_id boolean, d long, th long, key_a long, key_b long, size int, fp long, prefix array<long>, at array<int>"
 
 
 def _sets(docs: DataFrame, rarity: np.ndarray, width: int, t: float) -> DataFrame:
-    """Every row's number, keys and size of its set, and its prefix with places."""
+    """Every row's number, keys and size of its set, its fingerprint, and its prefix with places."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +85,7 @@ def _sets(docs: DataFrame, rarity: np.ndarray, width: int, t: float) -> DataFram
             # a shingle that occurs once can't be shared
             held = (pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[text]) & (level > 0)
             offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(text[held], minlength=n)))).astype(np.int32))
-            arrays = [pa.array(x) for x in (*keys, size.astype(np.int32))]
+            arrays = [pa.array(x) for x in (*keys, size.astype(np.int32), simhash.simhashes(b.column("text"), width))]
             prefix = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[held].view(np.int64), pos[held].astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + n)), *(b.column(c) for c in ROW), *arrays, *prefix], names=[f.split()[0] for f in SETS.split(", ")])
             rid += n
@@ -166,26 +173,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int,
     return both.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long")
 
 
-def _links(posts: DataFrame, n_posts: int, docs: DataFrame, firsts: DataFrame, width: int, t: float) -> DataFrame:
+def by_simhash(prints: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, t: float) -> DataFrame:
+    """a, b: links between each class and its nearest one by fingerprint, where whole sets have Jaccard t or more."""
+    near = narrow(simhash.nearest_similar(prints, prints.count(), t), "simhash-candidates")
+    return written(_verified(near, docs, firsts, width, t), "simhash-links")
+
+
+def _links(prints: DataFrame, posts: DataFrame, n_posts: int, docs: DataFrame, firsts: DataFrame, width: int, t: float) -> DataFrame:
     """a, b: links whose components are those of all pairs of classes with Jaccard t or more."""
-    fresh = posts.withColumn("group", F.col("node")).withColumn("ask", F.lit(True))
+    links = by_simhash(prints, docs, firsts, width, t)
+    fresh = _grouped(posts, links).withColumn("ask", F.lit(True))
     found = narrow(candidates(fresh, n_posts, t), "near-candidates")
     by_pair = found.groupBy("a", "b").agg(F.count("*").alias("lists"), F.max("n").alias("n"))
     best = written(by_pair.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"), F.max("n").alias("n"), F.count("*").alias("others")), "nearest-documents")
-    links = written(_verified(best, docs, firsts, width, t), "near-links")
+    links = links.unionByName(written(_verified(best, docs, firsts, width, t), "near-links"))
     asked = written(best.where("n > 1 or others > 1").select(F.col("a").alias("node")), "open-documents")
     if not (n_asked := asked.count()):
         return links
-    groups = written(components(links), "near-groups")
-    lists = written(posts.join(maybe_broadcast(asked, n_asked, 16), "node", "left_semi").select("token").distinct(), "open-lists")
-    open_posts = posts.join(maybe_broadcast(lists, lists.count(), 16), "token", "left_semi")
-    marked = open_posts.join(maybe_broadcast(groups, groups.count(), 32), "node", "left").join(maybe_broadcast(asked.withColumn("asked", F.lit(True)), n_asked, 24), "node", "left")
-    marked = marked.select("token", "node", "size", "pos", F.coalesce("component", "node").alias("group"), F.coalesce("asked", F.lit(False)).alias("ask"))
+    lists = written(_exploded(posts.join(maybe_broadcast(asked, n_asked, 16), "node", "left_semi")).select("token").distinct(), "open-lists")
+    marked = _grouped(posts, links).join(maybe_broadcast(lists, lists.count(), 16), "token", "left_semi")
+    marked = marked.join(maybe_broadcast(asked.withColumn("asked", F.lit(True)), n_asked, 24), "node", "left")
+    marked = marked.select("token", "node", "size", "pos", "group", F.coalesce("asked", F.lit(False)).alias("ask"))
     rest = narrow(candidates(marked, n_posts, t, True).select("a", "b").distinct(), "near-candidates")
     rest = written(rest.join(best.select("a", "b"), ["a", "b"], "left_anti"), "near-candidates")
     return links.unionByName(written(_verified(rest, docs, firsts, width, t), "near-links"))
 
 
+def _exploded(posts: DataFrame, *more: str) -> DataFrame:
+    """A row a posting of rows a class."""
+    return posts.select("node", "size", *more, F.explode(F.arrays_zip("prefix", "at")).alias("p")).select("node", "size", *more, F.col("p.prefix").alias("token"), F.col("p.at").alias("pos"))
+
+
+def _grouped(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings with the component that their class has by these links; itself if it has none."""
+    groups = written(components(links), "near-groups")
+    of = posts.join(maybe_broadcast(groups, groups.count(), 32), "node", "left")
+    return _exploded(of.withColumn("group", F.coalesce("component", "node")), "group")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, t: float = SIMILARITY, cells: int = CELLS) -> DataFrame:
     """doc_id, th (the text's hash), component_id (the smallest doc_id reachable) and is_first of every row.
 
@@ -203,11 +228,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with passing():
         rarity, _ = token_rarity(known, cells, lambda hasher, column: hashes(hasher, column, width)[1])
         sets = written(_sets(known, rarity, width, t), "shingle-sets")
-        classes = written(sets.groupBy("key_a", "key_b").agg(F.min(F.struct(*ROW, "rid")).alias("f")).select("key_a", "key_b", "f.*"), "shingle-classes")
+        classes = written(sets.groupBy("key_a", "key_b").agg(F.min(F.struct(*ROW, "rid", "fp", "size")).alias("f")).select("key_a", "key_b", "f.*"), "shingle-classes")
         firsts = classes.select(F.col("rid").alias("node"), *ROW)
-        posts = sets.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "size", F.explode(F.arrays_zip("prefix", "at")).alias("p")).select("node", "size", F.col("p.prefix").alias("token"), F.col("p.at").alias("pos"))
+        prints = classes.where("size > 0").select(F.col("rid").alias("node"), "fp", "size")
+        posts = sets.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "size", "prefix", "at")
         n_posts = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        groups = components(_links(posts, n_posts, known, firsts, width, t))
+        groups = components(_links(prints, posts, n_posts, known, firsts, width, t))
         of_class = classes.join(groups, classes["rid"] == groups["node"], "left").withColumn("component", F.coalesce("component", "rid"))
         first = of_class.groupBy("component").agg(F.min(F.struct(*ROW)).alias("first"))
         roots = written(of_class.join(first, "component").select("key_a", "key_b", "first"), "shingle-roots")

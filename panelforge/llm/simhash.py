@@ -14,6 +14,11 @@ A list longer than ``LIST`` goes on to lists of five positional bytes, which
 any linked pair shares. Their members differ in three bytes only, so such a
 list has at most 2**24 members of 3 bytes, whatever the corpus; a longer one
 looks up each member's 2,324 neighbours in a bitmap and doesn't compare pairs.
+
+``nearest_similar`` is the same index for similar texts, whose fingerprints differ
+in more bits than five shared bytes allow for: keys are two positional bytes, the
+tally must reach two, and up to ``WIDE_BITS`` bits may differ. It finds most pairs,
+not all of them: its callers check pairs exactly and find the rest another way.
 """
 
 from __future__ import annotations
@@ -41,6 +46,9 @@ FIVES = tuple(combinations(range(8), SHARED))
 LIST = 2048
 #: Members of a five-byte list from which neighbours are looked up instead of compared.
 LOOKUP = 8192
+#: The index of similar texts: lists of two positional bytes, and bits in which their members may differ.
+TWOS = tuple(combinations(range(8), 2))
+WIDE_BITS = 12
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -61,6 +69,11 @@ def simhash(text: str, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def simhashes(texts: pa.Array, words_per_shingle: int = 3) -> np.ndarray:
+    """The fingerprints of a column of texts as signed longs."""
+    return np.array([simhash(t, words_per_shingle) for t in texts.to_pylist()], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp") -> DataFrame:
     """Adds ``fp``, the fingerprint as a signed long, to every row and drops the text. Null texts count as empty."""
     small_batches(docs.sparkSession)
@@ -70,8 +83,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t) for t in b.column(own).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp, pa.int64())], names=[*keep, fp_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(simhashes(b.column(own)), pa.int64())], names=[*keep, fp_col])
 
     return source.mapInArrow(run, docs.select(*keep).schema.add(fp_col, "long"))
 
@@ -156,6 +168,63 @@ def _forest_udf(by_lookup: bool = False):
     return two
 
 
+_POST = ("key", "node", "fp", "size")
+
+
+def _nearest(rows: dict[str, np.ndarray], t: float, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Of whole posting lists that are sorted by key and fingerprint: each member's nearest one of the ``LIST`` before it."""
+    n = len(rows["key"])
+    new = np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))
+    earlier = np.minimum(np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0)), LIST)
+    number = np.full((8, 8), -1)
+    number[tuple(zip(*TWOS))] = np.arange(len(TWOS))
+    asking = np.flatnonzero(earlier)
+    at, upto = 0, np.cumsum(earlier[asking])
+    while at < len(asking):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, "right")))
+        some = asking[at:end]
+        at = end
+        a = np.repeat(some, earlier[some])
+        b = a - 1 - (np.arange(len(a)) - np.repeat(np.cumsum(earlier[some]) - earlier[some], earlier[some]))
+        apart = rows["fp"][a] ^ rows["fp"][b]
+        bits = np.bitwise_count(apart.view(np.uint64))
+        sa, sb = rows["size"][a], rows["size"][b]
+        ok = np.flatnonzero((bits <= WIDE_BITS) & (np.minimum(sa, sb) >= t * np.maximum(sa, sb) - 1e-9))
+        # a pair with a tally of two or more counts in the list of its first two shared positions only
+        shared = apart[ok].view(np.uint8).reshape(-1, 8) == 0
+        tally = np.cumsum(shared, axis=1)
+        ok = ok[(tally[:, -1] >= 2) & (number[(tally == 1).argmax(1), (tally == 2).argmax(1)] == rows["key"][a[ok]] >> 16)]
+        a, b, bits = a[ok], b[ok], bits[ok]
+        order = np.lexsort((rows["node"][b], bits, a))
+        a, b, bits = a[order], b[order], bits[order]
+        head = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(rows["node"][a[head]]), pa.array(rows["node"][b[head]]), pa.array(bits[head].astype(np.int32))], names=["a", "b", "bits"])
+
+
+def nearest_similar(prints: DataFrame, n_prints: int, t: float, part: int = 500_000, at_once: int = 1 << 18) -> DataFrame:
+    """a, b: of each node the nearest one before it in lists of two positional bytes, if at most ``WIDE_BITS`` bits differ.
+
+    prints: node, fp, size (of the set; the smaller one of a pair must have t
+    times the larger one's). Equal fingerprints are near each other. A list's
+    member is compared with the ``LIST`` before it, in order of fingerprints.
+    """
+    byte = lambda p: F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255))
+    keys = F.array(*[F.lit(k << 16) + byte(p) * 256 + byte(q) for k, (p, q) in enumerate(TWOS)])
+    n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_prints * len(TWOS) // part))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in _POST] for b in batches]
+        if parts:
+            rows = {c: np.concatenate([x[k] for x in parts]) for k, c in enumerate(_POST)}
+            parts.clear()
+            order = np.lexsort([rows[c] for c in ("node", "fp", "key")])
+            yield from _nearest({c: v[order] for c, v in rows.items()}, t, at_once)
+
+    posts = prints.select(F.explode(keys).alias("key"), "node", "fp", "size").repartition(n, "key")
+    return posts.mapInArrow(run, "a long, b long, bits int").groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row.
 

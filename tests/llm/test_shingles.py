@@ -59,6 +59,33 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch):
         assert result(S.near_duplicates(df, cells=64 if seed == 1 else S.CELLS)) == result(want)
 
 
+def test_links_come_from_simhash_and_the_join_gets_the_rest(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        copy = [*words[:150], "other", *words[151:]]
+        rows += [(k, " ".join(words)), (100 + k, " ".join(copy))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    linked, joined, by_simhash, candidates = [], [], S.by_simhash, S.candidates
+
+    def seen(counts, f):
+        def run(*args):
+            out = f(*args)
+            counts.append(out.count())
+            return out
+
+        return run
+
+    monkeypatch.setattr(S, "by_simhash", seen(linked, by_simhash))
+    monkeypatch.setattr(S, "candidates", seen(joined, candidates))
+    kept = lambda: sorted(r["doc_id"] for r in C.near_duplicate_stage(spark, docs, "").collect())
+    assert kept() == list(range(20)) and linked == [20] and joined == [0]
+    # without any link by fingerprint the join gives all of them
+    monkeypatch.setattr(S, "by_simhash", lambda *args: by_simhash(*args).limit(0))
+    assert kept() == list(range(20)) and joined[1] > 0
+
+
 def test_empty_table(spark):
     assert result(S.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))) == []
 

@@ -85,6 +85,31 @@ def test_lookup_equals_comparison():
     assert classes(S.forest(fps)) == classes(S.forest_by_lookup(fps, free))
 
 
+def test_nearest_similar_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            fp = base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 16)))
+            rows.append((len(rows), fp - (1 << 64) if fp >> 63 else fp, rng.randint(80, 120)))
+    rows += [(len(rows) + k, rows[k][1], rows[k][2]) for k in range(5)]  # equal fingerprints
+
+    def before(a):
+        """Of each list the members before a, in order of fingerprints and nodes, as bits and node."""
+        for d, fp, size in rows:
+            apart = (fp ^ a[1]) % (1 << 64)
+            shared = sum(apart >> 8 * p & 255 == 0 for p in range(8))
+            if (fp, d) < (a[1], a[0]) and shared >= 2 and apart.bit_count() <= 12 and min(size, a[2]) >= 0.9 * max(size, a[2]):
+                yield apart.bit_count(), d
+
+    want = {(a[0], min(before(a))[1]) for a in rows if any(before(a))}
+    df = spark.createDataFrame(rows, "node long, fp long, size int").repartition(3)
+    found = lambda **more: {tuple(r) for r in S.nearest_similar(df, len(rows), 0.9, **more).select("a", "b").collect()}
+    assert len(want) > 100 and found() == want == found(part=500, at_once=7)
+    assert S.nearest_similar(df.limit(0), 0, 0.9).collect() == []
+
+
 def test_every_five_positions_hold_a_triple():
     assert all(any(set(t) <= set(f) for t in S.TRIPLES) for f in S.FIVES)
 
