@@ -52,11 +52,14 @@ def passing() -> Iterator[None]:
             forget(df)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, keep: bool = False, max_rows: int = 0, codec: str = "snappy") -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    ``max_rows`` bounds the rows of a file (0: no bound), for tables of very wide rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", max_rows).parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     if _OPEN and not keep:
@@ -93,3 +96,10 @@ def unused(taken: list[str], *names: str) -> list[str]:
         lower.add(name.lower())
         out.append(name)
     return out
+
+
+def crc32_sql(octets: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a list of bytes."""
+    bits = "[0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]"
+    one = f"list_reduce(list_prepend(xor(c, b), {bits}), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, ({octets})::BIGINT[]), lambda c, b: {one}), 4294967295::BIGINT)"

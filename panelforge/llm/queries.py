@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import bpe, chunking, edits, lines, packing, pii, quality, simhash, toxicity, urls
+from panelforge.llm import bpe, chunking, edits, lines, merkle, packing, pii, quality, simhash, spelling, substrings, toxicity, urls
 from panelforge.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,6 +54,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.span_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -66,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_token_counts": op9_token_counts,
         "op10_url_filter": op10_url_filter,
+        "op11_merkle": op11_merkle,
+        "op12_substrings": op12_substrings,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -73,4 +88,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_quality": quality.ORACLE,
         "op10_url_filter": urls.ORACLE,
+        "op11_merkle": merkle.ORACLE,
+        "op12_substrings": substrings.ORACLE,
+        "op13_spelling": spelling.ORACLE,
     }
