@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,13 @@ WINDOW = 13
 #: Words of an anchor; a window of w words has w - GRAM + 1 of them to choose from.
 GRAM = 7
 #: Text of a reference block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Blocks of a file and of an Arrow batch, so that neither holds more than this many in memory.
 FILE_BLOCKS = 4
 #: Bytes of keys that meet in one group, about.
 BUCKET_BYTES = 16 << 20
-#: Words whose hashes a task remembers, and bytes of them.
-WORDS, WORD_BYTES = 1 << 20, 64 << 20
+#: Text that is hashed at once, and the longest word that its running hash tells apart; longer ones are hashed one by one.
+CHUNK, LONG_WORD = 1 << 18, 64
 NO_ID = np.iinfo(np.int64).max
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -64,65 +65,98 @@ def rolled(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     return mix(out)
 
 
-class _Hashes(dict):
-    """Hash of a word, remembered within bounds."""
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
-    held = 0
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS or self.held > WORD_BYTES:
-            self.clear()
-            self.held = 0
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        self.held += len(word)
-        return h
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64."""
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))]) for base in (A, np.uint64(pow(int(A), -1, 1 << 64))))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of some texts, from running sums over their bytes, and each text's number of words."""
+    joined = b"\n".join(texts)
+    octets = np.frombuffer(joined, np.uint8)
+    up, down = _powers(1 << max(19, len(octets).bit_length()))
+    space = SPACE[octets]
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((octets.astype(np.uint64) + np.uint64(1)) * up[: len(octets)])])
+    h = mix((sums[end] - sums[begin]) * down[begin] + mix((end - begin).astype(np.uint64)))
+    for k in np.flatnonzero(end - begin > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(joined[begin[k] : end[k]])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return h, np.diff(np.searchsorted(begin, np.concatenate([[0], ends])))
 
 
 @dataclass
 class Index:
-    """The windows of a block: first and second hash by window, groups of equal ones, and what a group has."""
+    """The windows of a block: their texts, anchors and, for some of them, groups of equal ones."""
 
-    texts: list[list[bytes]]
+    h: np.ndarray  # hash of each word
     starts: np.ndarray  # of each text's words among all
     at: np.ndarray  # first word of each window
     ids: np.ndarray  # id of each window's text
-    group: np.ndarray  # of each window
-    first: np.ndarray  # smallest id of each group
-    h1: np.ndarray  # of each group, ascending
-    h2: np.ndarray
+    window: int
     anchors: np.ndarray  # distinct anchors, ascending
-    anchor: np.ndarray  # of each group, an index of anchors
-
-
-def index_of(ids: list, texts: list, window: int, hashes: _Hashes) -> Index:
-    words = [(t or b"").split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
+    anchor: np.ndarray  # of each window, an index of anchors
+    again: np.ndarray  # whether an anchor stands at two places
+
+    def groups(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows whose anchor is told to be in another block, or stands twice in this one: the windows, the group
+        of equal ones of each, and for each group its two hashes (ascending), its smallest id and whether its anchor is told."""
+        some = np.flatnonzero((told | self.again)[self.anchor])
+        at = self.at[some]
+        h1, h2 = (_windows(h, at, self.window, base) for h, base in ((self.h, A), (mix(self.h), B)))
+        order = np.argsort(h1)
+        a, b = h1[order], h2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if (new[1:] & (a[1:] == a[:-1])).any():  # two windows of one first hash
+            order = np.lexsort((h2, h1))
+            a, b = h1[order], h2[order]
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        heads = np.flatnonzero(new)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        first = np.minimum.reduceat(self.ids[some][order], heads) if len(heads) else self.ids[:0]
+        return some, group, a[heads], b[heads], first, told[self.anchor[some[order[heads]]]]
+
+
+def _windows(h: np.ndarray, at: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
+    return rolled(h, n, base)[at]
+
+
+def index_of(ids: list, texts: list, window: int) -> Index:
+    parts, sizes, held, size = [], [], [], 0
+    for t in [*texts, None, ...]:
+        if t is ... or size > CHUNK:
+            h, n = word_hashes(held)
+            parts.append(h)
+            sizes.append(n)
+            held, size = [], 0
+        held.append(b"" if t is ... else t or b"")
+        size += len(held[-1])
+    h, sizes = np.concatenate(parts), np.concatenate(sizes)[: len(texts)]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    h = np.fromiter((x for w in words for x in map(hashes.__getitem__, w)), np.uint64, int(starts[-1]))
-    # windows inside one text only
-    inside = np.zeros(max(len(h) - window + 1, 0), bool)
-    for s, n in zip(starts, sizes):
-        if n >= window:
-            inside[s : s + n - window + 1] = True
-    at = np.flatnonzero(inside)
-    h1, h2 = rolled(h, window, A)[at], rolled(mix(h), window, B)[at]
+    windows = np.maximum(sizes - window + 1, 0)  # inside one text only
+    at = np.repeat(starts[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    own = np.repeat(np.array([NO_ID if i is None else i for i in ids], np.int64), windows)
     gram = min(GRAM, window)
     grams = rolled(h, gram, B)
     best = grams[at]
     for k in range(1, window - gram + 1):
         np.minimum(best, grams[at + k], out=best)
-    doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - window + 1, 0))
-    own = np.array([NO_ID if i is None else i for i in ids], np.int64)[doc]
-    order = np.lexsort((h2, h1))
-    a, b = h1[order], h2[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    heads = np.flatnonzero(new)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    first = np.minimum.reduceat(own[order], heads) if len(heads) else own[:0]
-    anchors, anchor = np.unique(best[order][heads], return_inverse=True)
-    return Index(words, starts, at, own, group, first, a[heads], b[heads], anchors, anchor)
+    run = np.ones(len(best), bool)
+    run[1:] = best[1:] != best[:-1]  # neighbours share their anchor
+    anchors, inverse, times = np.unique(best[run], return_inverse=True, return_counts=True)
+    # runs end at a text's end as well: an anchor that goes on in the next text stands twice
+    again = times > 1
+    over = np.flatnonzero(~run[1:] & (np.diff(at) > 1)) + 1
+    anchor = inverse[np.cumsum(run) - 1] if len(best) else np.zeros(0, np.int64)
+    again[anchor[over]] = True
+    return Index(h, starts, at, own, window, anchors, anchor, again)
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -204,15 +238,14 @@ def _answer(t: pa.Table, sizes: np.ndarray, hit: np.ndarray) -> pa.Table:
     return pa.table({"block": t["block"], "bucket": t["bucket"], "n": t["n"], "bits": pa.array(bits, pa.binary())})
 
 
-def spans_of(hit: np.ndarray, starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy factors of one text from the starts of its windows and whether each is found: [first word, end) of the words they cover."""
-    out: list[list[int]] = []
-    for s in starts[hit].tolist():
-        if out and s <= out[-1][1]:
-            out[-1][1] = s + window  # the factor goes on, or the next one begins inside or at its end
-        else:
-            out.append([s, s + window])
-    return [(a, b) for a, b in out]
+def spans_of(found: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Greedy factors of one text from the first words of its windows that are found: [first word, end) of the words they cover."""
+    if not len(found):
+        return []
+    # a factor goes on, or the next one begins inside it or at its end, while starts are at most a window apart
+    last = np.append(np.diff(found) > window, True)
+    first = np.append(True, last[:-1])
+    return list(zip(found[first].tolist(), (found[last] + window).tolist()))
 
 
 def _joined(blocks: DataFrame, answers: DataFrame, name: str, n: int) -> DataFrame:
@@ -272,7 +305,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     added = ["n_words", "n_removed", "spans", *([deduped_col] if deduped_col else [])]
     docs = docs.drop(*[c for c in added if c not in (id_col, text_col)])
     names = text, block, rows, number = unused(docs.columns, "words_text", "block", "block_rows", "own_number")
-    source = docs.select("*", F.col(text_col).cast("string").cast("binary").alias(text), F.col(id_col).cast("long").alias(number))
+    # a text travels once: as bytes, from which its column is made again
+    source = docs.select(*[c for c in docs.columns if c != text_col], F.col(text_col).cast("string").cast("binary").alias(text), F.col(id_col).cast("long").alias(number))
     cut = _cut(source, names[:3])
     # few blocks a file, since a reader may hold a whole file's rows at once
     path = written(cut.select(F.col(block).alias("block"), F.col(text).alias("texts"), F.col(f"{rows}.{number}").alias("ids"), F.col(rows).alias("rows")), "reference-blocks", max_rows=FILE_BLOCKS, codec="zstd")
@@ -282,50 +316,48 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * n_bytes // BUCKET_BYTES))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for row in _rows(batches):
-            index = index_of(row["ids"], row["texts"], window, hashes)
-            low = (index.anchors & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out = [(k, row["block"], s.stop - s.start, low[s].tobytes(), b"") for k, s in _parts(index.anchors, buckets)]
+            anchors = index_of(row["ids"], row["texts"], window).anchors
+            low = (anchors & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            out = [(k, row["block"], s.stop - s.start, low[s].tobytes(), b"") for k, s in _parts(anchors, buckets)]
             if out:
                 yield _keys(out)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for row in _rows(batches):
-            index = index_of(row["ids"], row["texts"], window, hashes)
-            asked = _unpacked(_bits(row["anchors"]), len(index.anchors))[index.anchor]
-            h1, h2, ids = index.h1[asked], index.h2[asked], index.first[asked]
-            out = [(k, row["block"], s.stop - s.start, h1[s].tobytes() + h2[s].astype(np.uint32).tobytes(), _narrow(ids[s])) for k, s in _parts(h1, buckets)]
+            index = index_of(row["ids"], row["texts"], window)
+            _, _, h1, h2, first, told = index.groups(_unpacked(_bits(row["anchors"]), len(index.anchors)))
+            h1, h2, first = h1[told], h2[told], first[told]
+            out = [(k, row["block"], s.stop - s.start, h1[s].tobytes() + h2[s].astype(np.uint32).tobytes(), _narrow(first[s])) for k, s in _parts(h1, buckets)]
             if out:
                 yield _keys(out)
 
-    keep = [c for c in docs.columns]
-    out_schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), *([T.StructField(deduped_col, T.StringType())] if deduped_col else [])])
+    keep = docs.columns
+    out_schema = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), *([T.StructField(deduped_col, T.StringType())] if deduped_col else [])])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
             for k in range(b.num_rows):
                 row = b.select(["ids", "texts", "anchors", "windows"]).slice(k, 1).to_pylist()[0]
-                index = index_of(row["ids"], row["texts"], window, hashes)
-                asked = _unpacked(_bits(row["anchors"]), len(index.anchors))[index.anchor]
-                elsewhere = np.zeros(len(asked), bool)
-                elsewhere[asked] = _unpacked(_bits(row["windows"]), int(asked.sum()))
-                hit = elsewhere[index.group] | (index.ids > index.first[index.group])
-                cuts = np.searchsorted(index.at, index.starts)
+                index = index_of(row["ids"], row["texts"], window)
+                some, group, _, _, first, told = index.groups(_unpacked(_bits(row["anchors"]), len(index.anchors)))
+                elsewhere = np.zeros(len(told), bool)
+                elsewhere[told] = _unpacked(_bits(row["windows"]), int(told.sum()))
+                found = index.at[some[elsewhere[group] | (index.ids[some] > first[group])]]
+                cuts = np.searchsorted(found, index.starts)
                 spans, removed, kept = [], [], []
-                for d, words in enumerate(index.texts):
-                    s = slice(cuts[d], cuts[d + 1])
-                    found = spans_of(hit[s], index.at[s] - index.starts[d], window) if hit[s].any() else []
-                    spans.append([{"start": x, "end": y} for x, y in found])
-                    removed.append(sum(y - x for x, y in found))
+                for d, text in enumerate(row["texts"]):
+                    own = spans_of(found[cuts[d] : cuts[d + 1]] - index.starts[d], window)
+                    spans.append([{"start": x, "end": y} for x, y in own])
+                    removed.append(sum(y - x for x, y in own))
                     if deduped_col:
-                        ends = [0, *(e for span in found for e in span), len(words)]
-                        kept.append(b" ".join(words[ends[0] : ends[1]] if not found else [w for x, y in zip(ends[::2], ends[1::2]) for w in words[x:y]]))
-                inner = b.column("rows").slice(k, 1).flatten()
-                arrays = [inner.field(c) for c in keep] + [pa.array(map(len, index.texts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type)] + ([pa.array(kept, pa.binary()).cast(pa.string())] if deduped_col else [])
+                        words = (text or b"").split()
+                        for x, y in reversed(own):
+                            del words[x:y]
+                        kept.append(b" ".join(words))
+                inner, texts = b.column("rows").slice(k, 1).flatten(), b.column("texts").slice(k, 1).flatten()
+                arrays = [texts.cast(pa.string()) if c == text_col else inner.field(c) for c in keep] + [pa.array(np.diff(index.starts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type)] + ([pa.array(kept, pa.binary()).cast(pa.string())] if deduped_col else [])
                 for x in range(0, len(inner), 512):
                     yield pa.RecordBatch.from_arrays([a.slice(x, 512) for a in arrays], out_schema.names)
 
