@@ -80,15 +80,15 @@ def order_statistic(xs: Column, q: float) -> Column:
     return F.element_at(ordered, F.greatest(F.lit(1), F.ceil(q * F.size(xs)).cast("int")))
 
 
-def complete_mean(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
-    """Mean over models of the keys that all models have."""
-    both = reduce(DataFrame.unionByName, frames)
-    return both.groupBy(*keys).agg(F.avg(value).alias(value), F.count("*").alias("__n")).where(F.col("__n") == len(frames)).drop("__n")
+def complete_mean(df: DataFrame, models: list[str], out: str) -> DataFrame:
+    """The rows that all models have a forecast for, with their mean instead of them."""
+    return df.dropna(subset=models).select(*[c for c in df.columns if c not in models], (sum((F.col(m) for m in models[1:]), F.col(models[0])) / len(models)).alias(out))
 
 
-def weighted_blend(frames: list[DataFrame], weights: list[float], keys: list[str], value: str) -> DataFrame:
-    tagged = [f.select(*keys, (F.col(value) * w).alias(value)) for f, w in zip(frames, weights)]
-    return reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(F.sum(value).alias(value))
+def weighted_blend(weights: dict[str, float]) -> Column:
+    """The weighted sum of models; one that has no forecast adds nothing, and a row without any has none."""
+    total = sum((F.coalesce(F.col(m) * w, F.lit(0.0)) for m, w in weights.items()), F.lit(0.0))
+    return F.when(F.coalesce(*weights).isNotNull(), total)
 
 
 def kernel_forecast(df: DataFrame, key: str, day: str, value: str, steps: int, age: float, width: float, quantiles: dict[str, float]) -> DataFrame:

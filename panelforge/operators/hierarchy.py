@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import checkpoint
+
 #: Twelve levels of two dimensions: total; region, store; category, department; their crossings; item; item by region; item by store.
 LEVELS = [
     [], ["region"], ["store"], ["cat"], ["dept"], ["region", "cat"], ["region", "dept"], ["store", "cat"], ["store", "dept"], ["item"], ["region", "item"], ["store", "item"],
@@ -30,11 +34,54 @@ def aggregate(df: DataFrame, levels: list[list[str]], also: list[str], aggs: lis
     name, group = F.lit(None).cast("string"), F.lit(None).cast("string")
     for level in levels:
         bits = sum(1 << (len(dims) - 1 - k) for k, c in enumerate(dims) if c not in level)
-        text = F.lit("Total_X") if not level else F.concat(F.col(level[0]).cast("string"), F.lit("_X")) if len(level) == 1 else F.concat_ws("_", *level)
-        name, group = F.when(F.col("__g") == bits, level_name(level)).otherwise(name), F.when(F.col("__g") == bits, text).otherwise(group)
+        name, group = F.when(F.col("__g") == bits, level_name(level)).otherwise(name), F.when(F.col("__g") == bits, group_id(level)).otherwise(group)
     return out.select(name.alias("level"), group.alias("group_id"), *[c for c in out.columns if c != "__g" and (keep_keys or c not in dims)])
 
 
+#: Keys that follow from others: a store lies in one region; an item has one category and one department.
+DEPENDS = {"store": ("region",), "item": ("cat", "dept")}
+
+
+def level_parents(levels: list[list[str]], sizes: dict[tuple, int], depends: dict[str, tuple[str, ...]] = DEPENDS) -> list[tuple[list[str], list[str] | None]]:
+    """Levels from the finest up, each with the smallest level before it that holds all its keys (None: the facts).
+
+    A level holds its keys and those that follow from them. ``sizes`` has the number of groups of each level.
+    """
+    holds = lambda level: {*level, *(d for k in level for d in depends.get(k, ()))}
+    out: list[tuple[list[str], list[str] | None]] = []
+    for level in sorted(levels, key=lambda x: (-sizes[tuple(x)], -len(holds(x)))):
+        finer = [x for x, _ in out if holds(level) <= holds(x)]
+        out.append((level, min(finer, key=lambda x: sizes[tuple(x)], default=None)))
+    return out
+
+
+def rollup(df: DataFrame, levels: list[list[str]], also: list[str], sums: dict[str, Column], depends: dict[str, tuple[str, ...]] = DEPENDS) -> DataFrame:
+    """level, group_id, ``also`` and ``sums`` (columns to be summed) on all levels, each summed from its smallest finer level.
+
+    Facts are summed once, over all keys of the levels, and written; a level then reads the groups
+    of another level, not the facts, so that no row is expanded by the number of levels. Which level that is depends on
+    the numbers of groups, estimated in one pass over the written sums. Means are sums and counts, divided afterwards. Null
+    keys are groups; a key that ``depends`` on another one must have one value for each of it (``depends()`` tells).
+    """
+    dims = list(dict.fromkeys(k for level in levels for k in level))
+    base = checkpoint(df.groupBy(*dims, *also).agg(*[F.sum(c).alias(name) for name, c in sums.items()]), "rollup")
+    keyed = [F.approx_count_distinct(F.xxhash64(*level)) if level else F.lit(1) for level in levels]
+    found = base.agg(F.count("*"), *keyed).first()
+    parents = level_parents(levels, {tuple(level): n for level, n in zip(levels, found[1:])}, depends)
+    again = [F.sum(name).alias(name) for name in sums]
+    frames: dict[tuple, DataFrame] = {}
+    for level, parent in parents:
+        own = [*level, *(d for k in level for d in depends.get(k, ()) if d in dims and d not in level)]
+        own = list(dict.fromkeys(own))
+        frames[tuple(level)] = (base if parent is None else frames[tuple(parent)]).groupBy(*own, *also).agg(*again)
+    return reduce(DataFrame.unionByName, [frames[tuple(level)].select(F.lit(level_name(level)).alias("level"), group_id(level).alias("group_id"), *also, *sums) for level in levels])
+
+
+def group_id(level: list[str]) -> Column:
+    """The keys of a group as one text (total: Total_X, one key: key_X)."""
+    return F.lit("Total_X") if not level else F.concat(F.col(level[0]).cast("string"), F.lit("_X")) if len(level) == 1 else F.concat_ws("_", *level)
+
+
 def depends(df: DataFrame, key: str, column: str) -> DataFrame:
     """One row: whether each key has one value of the column."""
     return df.groupBy(key).agg(F.count_distinct(column).alias("n")).agg((F.max("n") <= 1).alias("holds"))

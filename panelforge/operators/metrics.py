@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,42 @@ def msis(y, lo, hi, scale, alpha: float) -> Column:
 
 def weighted_mean(x, w) -> Column:
     return F.try_divide(F.sum(_c(x) * _c(w)), F.sum(F.when(_c(x).isNotNull(), _c(w))))
+
+
+def sparse_scores(sums: DataFrame, keys: list[str], t: str, q: str, p: str, horizon: int, lag: int) -> DataFrame:
+    """keys, mse, scale, revenue of each series against its values ``lag`` periods before, over the last ``horizon`` periods.
+
+    ``sums`` has the periods in which a series isn't zero (``t`` a whole number); the rest counts as zero and is never
+    made. ``scale`` is the mean squared first difference from the first period to the test: between two neighbours one
+    difference, before a gap the value's fall to zero, after it its rise. A value of the test meets the one ``lag`` periods before
+    it through a range of the same window; one that nothing follows there is an error of its own. ``revenue`` sums ``p`` over the
+    ``horizon`` periods before the test. One exchange and one sort, linear in the rows; ``lag`` is at least the horizon.
+    """
+    if lag < horizon:
+        raise ValueError("the forecast would need values of the test")
+    w = Window.partitionBy(*keys).orderBy(t)
+    at = lambda k: F.sum(q).over(w.rangeBetween(k, k))
+    x = sums.crossJoin(F.broadcast(sums.agg(F.max(t).alias("__hi")))).select(
+        *keys, q, p, F.col(t).alias("__t"), (F.col("__hi") - horizon).alias("__end"),
+        F.lag(t).over(w).alias("__prev"), F.lag(q).over(w).alias("__before"), F.lead(t).over(w).alias("__next"),
+        at(-lag).alias("__f"), F.count("*").over(w.rangeBetween(lag, lag)).alias("__met"),
+    )
+    v, first = F.col(q), F.col("__prev").isNull()
+    test, joins = F.col("__t") > F.col("__end"), F.col("__prev") == F.col("__t") - 1
+    rise = F.when(first, 0.0).when(joins, (v - F.col("__before")) ** 2).otherwise(v**2)
+    falls = (F.col("__t") < F.col("__end")) & (F.col("__next").isNull() | (F.col("__next") > F.col("__t") + 1))
+    error = F.when(test, (v - F.coalesce("__f", F.lit(0.0))) ** 2).when((F.col("__t") + lag > F.col("__end")) & (F.col("__t") + lag <= F.col("__end") + horizon) & (F.col("__met") == 0), v**2).otherwise(0.0)
+    out = x.groupBy(*keys).agg(
+        F.sum(error).alias("__e"),
+        F.sum(F.when(~test, rise).otherwise(0.0) + F.when(falls, v**2).otherwise(0.0)).alias("__d"),
+        (F.max("__end") - F.min("__t")).alias("__n"),
+        F.sum(F.when(~test & (F.col("__t") > F.col("__end") - horizon), F.col(p)).otherwise(0.0)).alias("revenue"),
+    )
+    return out.select(*keys, (F.col("__e") / horizon).alias("mse"), F.when(F.col("__n") > 0, F.col("__d") / F.col("__n")).alias("scale"), "revenue")
+
+
+def level_weights(scores: DataFrame, level: str = "level") -> DataFrame:
+    """Adds w (a series' share of its level's revenue, 0 where there is none) and rmsse (null where the scale is null or 0)."""
+    total = scores.groupBy(level).agg(F.sum("revenue").alias("__all"))
+    joined = scores.join(F.broadcast(total), level)  # a row for each level
+    return joined.withColumn("w", F.coalesce(F.try_divide("revenue", "__all"), F.lit(0.0))).withColumn("rmsse", F.sqrt(F.try_divide("mse", F.nullif("scale", F.lit(0.0))))).drop("__all")

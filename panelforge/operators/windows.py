@@ -1,4 +1,4 @@
-"""Window expressions over panels: lags, guarded rolling statistics, expanding and exponentially weighted ones.
+"""Window expressions over panels: lags, guarded rolling statistics and expanding ones (exponentially weighted means: scan.py).
 
 Builders return columns, so that a feature set is one ``select``; all that
 share keys and order share one exchange and one sort.
@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def by(*keys: str) -> WindowSpec:
@@ -64,35 +62,6 @@ def expanding(agg: Callable[[Column], Column], c: Column | str, w: WindowSpec) -
     return agg(F.col(c) if isinstance(c, str) else c).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ewm_adjusted(c: str, w: WindowSpec, alpha: float, min_periods: int = 1) -> Column:
-    """Adjusted exponentially weighted mean for short series (quadratic in their length); nulls decay the weights."""
-    f = w.rowsBetween(Window.unboundedPreceding, 0)
-    xs = F.collect_list(F.struct(F.col(c).cast("double").alias("x"))).over(f)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
-    total = F.aggregate(
-        xs, start,
-        lambda acc, v: F.struct((acc["s"] * (1 - alpha) + F.coalesce(v["x"], F.lit(0.0))).alias("s"), (acc["n"] * (1 - alpha) + F.when(v["x"].isNull(), 0.0).otherwise(1.0)).alias("n")),
-        lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]),
-    )
-    return F.when(F.count(c).over(f) >= min_periods, total)
-
-
-def ewm_recursive(c: str, w: WindowSpec, alpha: float) -> Column:
-    """Recursive exponentially weighted mean of a series without nulls: the first value, then a * x + (1 - a) * last."""
-    xs = F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.aggregate(F.slice(xs, 2, F.size(xs)), xs[0], lambda acc, x: acc * (1 - alpha) + x * alpha)
-
-
-def ewm_long(df: DataFrame, keys: list[str], order: str, c: str, out: str, alpha: float) -> DataFrame:
-    """The adjusted mean for long series, linear in their length, one series at a time in Python."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{out: pdf[c].ewm(alpha=alpha, adjust=True).mean()})
-
-    return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
-
-
 def forward_fill(c: str, w: WindowSpec) -> Column:
     return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 

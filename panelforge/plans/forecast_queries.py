@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import distributions as D
 from panelforge.functions.scalars import logit_ratio, normal_quantile
+from panelforge.operators import folds
 from panelforge.operators import forecast as B
 from panelforge.operators import hierarchy as H
 from panelforge.operators import joins as J
+from panelforge.operators import metrics as M
+from panelforge.operators import panel
+from panelforge.operators import regression as R
 from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, EVENTS, SALES, brand_panel, events_daily, levels_sql, r, sales, t
 from panelforge.plans.registry import register
 from panelforge.plans.window_queries import series
+from panelforge.session import checkpoint
 
 O = "PARTITION BY id ORDER BY d"  # noqa: E741
 #: Actuals and a forecast by the value four weeks before, over the last year.
@@ -46,7 +51,7 @@ def _cascade_sql() -> str:
 
 @register("h02_top_down_cascade", _cascade_sql())
 def h02(spark, sf_dir):
-    bottom = sales(spark, sf_dir).groupBy(*H.DIMENSIONS, F.year("d").cast("long").alias("yr")).agg(F.sum("qty").alias("qty"))
+    bottom = checkpoint(sales(spark, sf_dir).groupBy(*H.DIMENSIONS, F.year("d").cast("long").alias("yr")).agg(F.sum("qty").alias("qty")), "cascade")
     tens = F.ceil(F.sum("qty") / 10) * 10.0
     steps, keys = [], []
     for added in _CASCADE[1:]:
@@ -104,6 +109,56 @@ def h08(spark, sf_dir):
     return H.leave_one_out(p, ["id", "dow", "nth"], "yr", "y").select("id", "dow", "nth", "yr", r("mean_out").alias("mean_out"))
 
 
+def _group_days(spark, sf_dir, levels):
+    """level, group_id, d, y on every day."""
+    sums = H.rollup(sales(spark, sf_dir).select(*H.DIMENSIONS, "d", "qty"), levels, ["d"], {"y": F.col("qty")})
+    return panel.densify(sums, ["level", "group_id"], "d", ["y"], 0.0)
+
+
+_GROUP_DAYS = f"""{SALES}, gd AS (SELECT 'total' AS level, 'Total_X' AS group_id, d, sum(qty) AS y FROM sales GROUP BY d UNION ALL SELECT 'region', region || '_X', d, sum(qty) FROM sales GROUP BY region, d),
+span AS (SELECT level, group_id, CAST(unnest(generate_series((SELECT min(d) FROM gd)::TIMESTAMP, (SELECT max(d) FROM gd)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT DISTINCT level, group_id FROM gd)),
+dense AS (SELECT level, group_id, d, coalesce(y, 0.0) AS y FROM span LEFT JOIN gd USING (level, group_id, d)),
+m AS (SELECT *, """ + ", ".join(f"CASE WHEN count(*) OVER w{n} >= {n} THEN avg(y) OVER w{n} END AS m{n}" for n in (7, 28)) + " FROM dense WINDOW " + ", ".join(f"w{n} AS (PARTITION BY level, group_id ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (7, 28)) + ")"
+
+
+def _out_sql(keys: str) -> str:
+    return f" SELECT {keys}, f.yr, count(*) AS n_out, round(avg(ratio), 6) AS mean_out, round(median(ratio), 6) AS median_out FROM x JOIN (SELECT DISTINCT yr FROM x) f ON x.yr <> f.yr GROUP BY ALL"
+
+
+@register(
+    "h07_day_of_year_trend",
+    f"WITH {_GROUP_DAYS}, b AS (SELECT level, group_id, d AS made, {{'measure': 'mean_28', 'v': m28}} AS v FROM m), "
+    "x AS (SELECT t.level, t.group_id, v.measure AS measure, h AS horizon, dayofyear(t.d) AS doy, year(t.d) AS yr, t.target / v.v AS ratio FROM (SELECT level, group_id, d, lag(m7, 4) OVER (PARTITION BY level, group_id ORDER BY d) AS target FROM m) t, range(1, 29) g(h), b WHERE b.level = t.level AND b.group_id = t.group_id AND b.made = t.d - CAST(h AS INTEGER) AND t.target IS NOT NULL AND v.v > 0)"
+    + _out_sql("level, group_id, measure, doy, horizon"),
+)
+def h07_day_of_year(spark, sf_dir):
+    """How the week around a day of the year compares with the means known 1 to 28 days before it, in all other years: mean and exact median."""
+    p = _group_days(spark, sf_dir, [[], ["region"]])
+    p = p.withColumn("m7", W.rolling(F.avg, "y", W.ordered(["level", "group_id"], "d"), 7))
+    target = F.lag("m7", 4).over(W.ordered(["level", "group_id"], "d"))
+    x = folds.trend_ratios(p, ["level", "group_id"], "d", "y", {"mean_28": 28}, target, range(1, 29))
+    x = x.select("level", "group_id", "measure", F.dayofyear("d").cast("long").alias("doy"), F.col("horizon").cast("long").alias("horizon"), F.year("d").cast("long").alias("yr"), "ratio")
+    out = folds.out_of_fold(x, ["level", "group_id", "measure", "doy", "horizon"], "yr", "ratio")
+    return out.withColumns({c: r(c) for c in ("mean_out", "median_out")})
+
+
+@register(
+    "h08_nth_weekday_trend",
+    f"WITH {_GROUP_DAYS}, k AS (SELECT t.level, t.group_id, t.d, b.d AS made, t.y / b.m28 AS ratio FROM m t, range(-2, 32) g(h), m b WHERE t.level = 'total' AND b.level = t.level AND b.group_id = t.group_id AND b.d = t.d - CAST(h AS INTEGER) AND b.m28 > 0), "
+    "x AS (SELECT level, group_id, month(made) AS from_month, CASE WHEN month(made) = 2 AND day(made) = 29 THEN 28 ELSE day(made) END AS from_day, month(d) AS month, isodow(d) - 1 AS weekday, CAST(ceil(day(d) / 7) AS BIGINT) AS month_week, year(d) AS yr, ratio FROM k)"
+    + _out_sql("level, group_id, from_month, from_day, month, weekday, month_week"),
+)
+def h08_nth_weekday(spark, sf_dir):
+    """The ratio of a day's units to the monthly mean at the day its forecast was made, by that day of the year and the day's weekday of the month, in all other years."""
+    p = _group_days(spark, sf_dir, [[]])
+    x = folds.trend_ratios(p, ["level", "group_id"], "d", "y", {"mean_28": 28}, F.col("y"), range(-2, 32))
+    keys = folds.nth_weekday_keys(F.col("d"), F.col("horizon"))
+    names = ["from_month", "from_day", "month", "weekday", "month_week"]
+    x = x.select("level", "group_id", *keys, F.year("d").cast("long").alias("yr"), "ratio").withColumns({c: F.col(c).cast("long") for c in names})
+    out = folds.out_of_fold(x, ["level", "group_id", *names], "yr", "ratio")
+    return out.withColumns({c: r(c) for c in ("mean_out", "median_out")})
+
+
 @register("h09_event_effect", f"WITH {BRAND}, e AS (SELECT id, d, year(d) AS yr, y / nullif(avg(y) OVER (PARTITION BY id, year(d)), 0) AS x FROM panel0), x AS (SELECT id, yr, sum(x) AS s, count(x) AS n FROM e WHERE month(d) = 12 AND day(d) BETWEEN 20 AND 26 GROUP BY ALL) SELECT id, yr, round((sum(s) OVER (PARTITION BY id) - s) / nullif(sum(n) OVER (PARTITION BY id) - n, 0), 6) AS effect FROM x")
 def h09(spark, sf_dir):
     p = brand_panel(spark, sf_dir, True).withColumn("yr", F.year("d").cast("long"))
@@ -171,6 +226,33 @@ def b06(spark, sf_dir):
     return last.select("id", "d", "y", "hi", F.explode(F.array(*map(F.lit, (7, 14, 21, 28)))).alias("h")).where("d > date_sub(hi, h)").groupBy("id", "h").agg(r(F.avg("y")).alias("f"))
 
 
+_H = range(1, 29)
+
+
+@register(
+    "b06_direct_models",
+    f"WITH {BRAND}, x AS (SELECT id, d, y, CASE WHEN count(*) OVER w28 >= 28 THEN avg(y) OVER w28 END AS x FROM panel0 WINDOW w28 AS ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW)), "
+    f"e AS (SELECT a.id, h, a.x, b.y FROM x a, range(1, 29) g(h), x b WHERE b.id = a.id AND b.d = a.d + CAST(h AS INTEGER) AND a.x IS NOT NULL), "
+    "k AS (SELECT id, h, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM e GROUP BY id, h), l AS (SELECT id, arg_max(x, d) AS x FROM x GROUP BY id) "
+    "SELECT id, h AS horizon, n, round(slope, 5) AS slope, round(base + slope * x, 4) AS forecast FROM k JOIN l USING (id)",
+)
+def b06_models(spark, sf_dir):
+    """28 models for each series, one a horizon: the value h days later from the mean of 28 days, fitted from one scan."""
+    features = {"one": F.lit(1.0), "mean_28": W.rolling(F.avg, "y", series(), 28)}
+    models, made = R.direct_models(brand_panel(spark, sf_dir, True), ["id"], "d", "y", features, _H)
+    out = made.join(models, ["id", "horizon"])
+    return out.select("id", F.col("horizon").cast("long").alias("horizon"), "n", r(F.col("weights")[1], 5).alias("slope"), r("forecast", 4).alias("forecast"))
+
+
+@register("b06_direct_features")
+def b06_features(spark, sf_dir):
+    """The same with seven features: the last value, means of a week and four weeks, the yearly cycle and the weekend."""
+    angle = F.dayofyear("d") * (2 * 3.141592653589793 / 365.25)
+    features = {"one": F.lit(1.0), "last": F.col("y"), "mean_7": W.rolling(F.avg, "y", series(), 7), "mean_28": W.rolling(F.avg, "y", series(), 28), "sin": F.sin(angle), "cos": F.cos(angle), "weekend": (F.weekday("d") >= 5).cast("double")}
+    _, made = R.direct_models(brand_panel(spark, sf_dir, True), ["id"], "d", "y", features, _H)
+    return made.select("id", "horizon", r("forecast", 4).alias("forecast"))
+
+
 @register("b07_multiplier_blend", f"WITH {FC} SELECT id, d, round((f * 1.035 + f * 1.03 + f * 1.025) / 3, 6) AS f FROM fc")
 def b07(spark, sf_dir):
     f = F.col("f")
@@ -233,6 +315,49 @@ def q08(spark, sf_dir):
     return x.groupBy("id").agg(*[r(F.avg(c)).alias(name) for name, c in heads.items()])
 
 
+#: Distribution functions of the heads below by other formulas: finite sums of whole parameters, and the series of the normal curve.
+_PHI = "(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(80), lambda k: z * exp(k * ln(nullif(z * z, 0)) - list_sum(list_transform(range(0, k + 1), lambda j: ln(2.0 * j + 1)))))))"
+_SUM = "list_sum(list_transform(range(0, CAST(y AS BIGINT) + 1), lambda k: exp({})))"
+_CDFS = {
+    "gaussian": f"CASE WHEN z > 6 THEN 1 WHEN z < -6 THEN 0 WHEN z = 0 THEN 0.5 ELSE {_PHI} END",
+    "laplace": "CASE WHEN y < m THEN exp((y - m) / s) / 2 ELSE 1 - exp((m - y) / s) / 2 END",
+    "student_t": "0.5 + (atan(z / sqrt(5)) + sqrt(5) * z / (5 + z * z) * (1 + 2.0 / 3 * 5 / (5 + z * z))) / pi()",
+    "poisson": _SUM.format("k * ln(m) - m - lgamma(k + 1)"),
+    "negative_binomial": _SUM.format("ln(k + 1) - 2 * ln(1 + 0.5 * m) + k * ln(0.5 * m / (1 + 0.5 * m))"),
+    "gamma": "1 - exp(-2 / m * (y + 1)) * (1 + 2 / m * (y + 1))",
+    "beta": "6 * pow(b, 2) - 8 * pow(b, 3) + 3 * pow(b, 4)",
+}
+
+
+@register("q08_distribution_functions", f"WITH {BRAND}, {_MOMENTS}, x AS (SELECT id, y, m, s, (y - m) / s AS z, (y + 1) / (top + 2) AS b FROM panel0 JOIN mo USING (id)) SELECT id, " + ", ".join(f"round(avg({e}), 6) AS {name}" for name, e in _CDFS.items()) + " FROM x GROUP BY id")
+def q08_cdf(spark, sf_dir):
+    """Mean probability integral transform of each series' days (0.5 if a head fits); each distinct value is asked for once."""
+    x, heads = _heads(spark, sf_dir)
+    values = x.groupBy("id", "y", "m", "s", "top").agg(F.count("*").alias("n"))
+    return values.groupBy("id").agg(*[r(F.sum(h.cdf(v) * F.col("n")) / F.sum("n")).alias(name) for name, (h, v) in heads.items() if name in _CDFS])
+
+
+@register("q08_quantiles_and_scores")
+def q08_quantiles(spark, sf_dir):
+    """Three quantiles of every series' heads and the mean score (CRPS) of its last 28 days."""
+    x, heads = _heads(spark, sf_dir)
+    last = x.crossJoin(F.broadcast(x.agg(F.max("d").alias("hi")))).where("d > date_sub(hi, 28)")
+    score = last.groupBy("id", "m", "s", "top").agg(*[F.avg(h.crps(v)).alias(name) for name, (h, v) in heads.items()])
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("head"), *[r(h.quantile(p), 5).alias(f"q{int(p * 100)}") for p in (0.1, 0.5, 0.9)], r(name, 5).alias("crps")) for name, (h, _) in heads.items()]))
+    return score.select("id", each)
+
+
+def _heads(spark, sf_dir):
+    """Days with the moments of their series, and heads by name with the value that they are asked for."""
+    p = brand_panel(spark, sf_dir, True)
+    x = p.join(p.groupBy("id").agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s"), F.max("y").alias("top")), "id")
+    y, m, s, two = F.col("y"), F.col("m"), F.col("s"), F.lit(2.0)
+    return x, {
+        "gaussian": (D.Gaussian(m, s), y), "laplace": (D.Laplace(m, s), y), "student_t": (D.StudentT(m, s, F.lit(5.0)), y), "poisson": (D.Poisson(m), y), "negative_binomial": (D.NegativeBinomial(m, F.lit(0.5)), y),
+        "gamma": (D.Gamma(two, two / m), y + 1), "beta": (D.Beta(two, F.lit(3.0)), (y + 1) / (F.col("top") + 2)), "mixture": (D.Mixture((D.Gaussian(m, s), D.Gaussian(m * 1.5, s)), (0.7, 0.3)), y),
+    }
+
+
 @register("q02_normal_intervals", f"WITH {FC}, s AS (SELECT id, stddev_samp(y - f) AS sd FROM fc GROUP BY id) SELECT id, d, round(f + {normal_quantile(0.025)!r} * sd, 5) AS lo, round(f + {normal_quantile(0.975)!r} * sd, 5) AS hi FROM fc JOIN s USING (id)")
 def q02(spark, sf_dir):
     f = forecasts(spark, sf_dir)
@@ -269,8 +394,9 @@ def q07(spark, sf_dir):
 
 
 def _models(spark, sf_dir):
-    p = brand_panel(spark, sf_dir, True).select("id", "d", *W.lags("y", [28, 35, 42], series())).where("d >= '2001-01-01'")
-    return [p.select("id", "d", F.col(f"y_lag_{k}").alias("f")) for k in (28, 35, 42)]
+    """id, d, y and three models' forecasts of the last year, in one pass over each series."""
+    lags = {"a": 28, "b": 35, "c": 42}
+    return brand_panel(spark, sf_dir, True).select("id", "d", "y", *[F.lag("y", k).over(series()).alias(name) for name, k in lags.items()]).where("d >= '2001-01-01'")
 
 
 _MODELS = f"{BRAND}, m AS (SELECT id, d, lag(y, 28) OVER ({O}) AS a, lag(y, 35) OVER ({O}) AS b, lag(y, 42) OVER ({O}) AS c FROM panel0 QUALIFY d >= DATE '2001-01-01')"
@@ -278,29 +404,66 @@ _MODELS = f"{BRAND}, m AS (SELECT id, d, lag(y, 28) OVER ({O}) AS a, lag(y, 35)
 
 @register("e01_mean_of_models", f"WITH {_MODELS} SELECT id, d, round((a + b + c) / 3, 6) AS f FROM m")
 def e01(spark, sf_dir):
-    return B.complete_mean(_models(spark, sf_dir), ["id", "d"], "f").select("id", "d", r("f").alias("f"))
+    return B.complete_mean(_models(spark, sf_dir), ["a", "b", "c"], "f").select("id", "d", r("f").alias("f"))
 
 
 @register("e02_complete_cases", f"WITH {_MODELS} SELECT id, d, round((a + b + c) / 3, 6) AS f FROM m WHERE day(d) % 2 = 0")
 def e02(spark, sf_dir):
-    a, b, c = _models(spark, sf_dir)
-    return B.complete_mean([a, b.where("day(d) % 2 = 0"), c], ["id", "d"], "f").select("id", "d", r("f").alias("f"))
+    m = _models(spark, sf_dir).withColumn("b", F.when(F.day("d") % 2 == 0, F.col("b")))
+    return B.complete_mean(m, ["a", "b", "c"], "f").select("id", "d", r("f").alias("f"))
 
 
 @register("e03_weighted_blend", f"WITH {_MODELS}, x AS (SELECT id, d, 0.5 * a + 0.3 * b + 0.2 * c AS f FROM m) SELECT id, d, round(CASE WHEN f < 0.5 THEN 0 ELSE f * 1.02 END, 6) AS f FROM x")
 def e03(spark, sf_dir):
-    x = B.weighted_blend(_models(spark, sf_dir), [0.5, 0.3, 0.2], ["id", "d"], "f")
+    x = _models(spark, sf_dir).select("id", "d", B.weighted_blend({"a": 0.5, "b": 0.3, "c": 0.2}).alias("f"))
     return x.select("id", "d", r(F.when(F.col("f") < 0.5, 0.0).otherwise(F.col("f") * 1.02)).alias("f"))
 
 
 @register("e04_best_strategy", f"WITH {_MODELS}, x AS (SELECT id, avg(abs(p.y - a)) AS a, avg(abs(p.y - b)) AS b, avg(abs(p.y - c)) AS c FROM m JOIN panel0 p USING (id, d) GROUP BY id) SELECT id, CASE WHEN a <= b AND a <= c THEN 'lag_28' WHEN b <= c THEN 'lag_35' ELSE 'lag_42' END AS best FROM x")
 def e04(spark, sf_dir):
-    y = brand_panel(spark, sf_dir, True)
-    scores = None
-    for k, m in zip((28, 35, 42), _models(spark, sf_dir)):
-        s = m.join(y, ["id", "d"]).groupBy("id").agg(F.avg(F.abs(F.col("y") - F.col("f"))).alias("e")).withColumn("m", F.lit(f"lag_{k}"))
-        scores = s if scores is None else scores.unionByName(s)
-    return scores.groupBy("id").agg(F.min_by("m", F.struct("e", "m")).alias("best"))
+    names = {"a": "lag_28", "b": "lag_35", "c": "lag_42"}
+    losses = _models(spark, sf_dir).groupBy("id").agg(*[F.avg(F.abs(F.col("y") - F.col(c))).alias(c) for c in names])
+    return losses.select("id", F.array_min(F.array(*[F.struct(F.col(c).alias("e"), F.lit(name).alias("m")) for c, name in names.items()]))["m"].alias("best"))
+
+
+_STRATEGIES = ("last_month", "last_year", "last_quarter")
+
+
+@register(
+    "e04_best_per_level",
+    f"WITH {SALES}, s AS (SELECT region, store, cat, dept, item, year(d) * 12 + month(d) AS m, qty, price FROM sales), lv AS ({levels_sql('m, sum(qty) AS q, sum(price) AS p')}), hi AS (SELECT max(m) AS hi FROM s), "
+    "full_ AS (SELECT level, group_id, m, sum(q) AS q, sum(p) AS p FROM (SELECT * FROM lv UNION ALL SELECT level, group_id, CAST(hi - k AS BIGINT), 0, 0 FROM (SELECT DISTINCT level, group_id FROM lv), hi, range(12) g(k)) GROUP BY ALL), "
+    "f AS (SELECT level, group_id, m, q, p, coalesce(sum(q) OVER (PARTITION BY level, group_id ORDER BY m RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) AS last_month, coalesce(sum(q) OVER (PARTITION BY level, group_id ORDER BY m RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING), 0) AS last_year, coalesce(sum(q) OVER (PARTITION BY level, group_id ORDER BY m RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) / 3 AS last_quarter FROM full_), "
+    "w AS (SELECT level, group_id, sum(p) AS w FROM f, hi WHERE m > hi - 24 AND m <= hi - 12 GROUP BY ALL), "
+    "e AS (SELECT level, w, " + ", ".join("(" + " + ".join(f"greatest({q} * (q - {s_} * {x!r}), ({q} - 1) * (q - {s_} * {x!r}))" for q, x in _RATIOS) + f") / 9 AS {s_}" for s_ in _STRATEGIES) + " FROM f JOIN w USING (level, group_id), hi WHERE m > hi - 12), "
+    "a AS (SELECT level, " + ", ".join(f"sum(w * {x}) / sum(w) AS {x}" for x in _STRATEGIES) + " FROM e GROUP BY level) "
+    "SELECT level, " + ", ".join(f"round({x}, 5) AS {x}" for x in _STRATEGIES) + ", CASE WHEN last_month <= last_year AND last_month <= last_quarter THEN 'last_month' WHEN last_year <= last_quarter THEN 'last_year' ELSE 'last_quarter' END AS best FROM a",
+)
+def e04_levels(spark, sf_dir):
+    """On each of the twelve levels the strategy with the least mean pinball loss of nine quantiles, series weighted by last year's revenue."""
+    facts = sales(spark, sf_dir).select(*H.DIMENSIONS, (F.year("d") * 12 + F.month("d")).alias("m"), "qty", "price")
+    sums = checkpoint(H.rollup(facts, H.LEVELS, ["m"], {"q": F.col("qty"), "p": F.col("price")}), "level-months")
+    hi = sums.agg(F.max("m").alias("hi"))
+    keys = ["level", "group_id"]
+    blank = sums.select(*keys).distinct().crossJoin(F.broadcast(hi)).select(*keys, F.explode(F.sequence(F.col("hi") - 11, F.col("hi"))).alias("m"), F.lit(0.0).alias("q"), F.lit(0.0).alias("p"))
+    w = W.ordered(keys, "m")
+    before = lambda a, b: F.coalesce(F.sum("q").over(w.rangeBetween(-a, -b)), F.lit(0.0))
+    f = sums.unionByName(blank).groupBy(*keys, "m").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).crossJoin(F.broadcast(hi))
+    f = f.select(*keys, "m", "hi", "q", before(1, 1).alias("last_month"), before(12, 12).alias("last_year"), (before(3, 1) / 3).alias("last_quarter"), F.sum(F.when((F.col("m") > F.col("hi") - 24) & (F.col("m") <= F.col("hi") - 12), F.col("p"))).over(W.by(*keys)).alias("w"))
+    loss = {s: sum((M.pinball(F.col("q"), F.col(s) * x, q) for q, x in _RATIOS[1:]), M.pinball(F.col("q"), F.col(s) * _RATIOS[0][1], _RATIOS[0][0])) / len(_RATIOS) for s in _STRATEGIES}
+    a = f.where("m > hi - 12 and w is not null").groupBy("level").agg(*[M.weighted_mean(loss[s], F.col("w")).alias(s) for s in _STRATEGIES])
+    best = F.array_min(F.array(*[F.struct(F.col(s).alias("e"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(_STRATEGIES)]))["s"]
+    return a.select("level", *[r(s, 5).alias(s) for s in _STRATEGIES], best.alias("best"))
+
+
+@register("e04_quantile_stack")
+def e04_quantiles(spark, sf_dir):
+    """For the total and the brands: linear combinations of three models with the least pinball loss at five quantiles, brands weighted by their units."""
+    m = _models(spark, sf_dir)
+    total = m.groupBy("d").agg(*[F.sum(c).alias(c) for c in ("y", "a", "b", "c")]).select(F.lit("total").alias("level"), "y", "a", "b", "c", F.lit(1.0).alias("w"))
+    brands = m.select(F.lit("dept").alias("level"), "y", "a", "b", "c", F.avg("y").over(W.by("id")).alias("w"))
+    out = R.quantile_weights(total.unionByName(brands), ["level"], "y", ["a", "b", "c"], [0.025, 0.25, 0.5, 0.75, 0.975], "w", rounds=16, tolerance=1e-4, smooth=1e-3)
+    return out.select("level", "q", "n", *[r(F.col("weights")[k], 4).alias(f"weight_{c}") for k, c in enumerate("abc")])
 
 
 _SUMS = {"aa": "a * a", "ab": "a * b", "bb": "b * b", "ya": "p.y * a", "yb": "p.y * b"}

@@ -191,12 +191,14 @@ _YEARLY = f"WITH {SALES}, s AS (SELECT year(d) AS yr, region, store, cat, dept,
 @_simple("ag08_hierarchy", f"{_YEARLY} {levels_sql('yr, sum(qty) AS qty, count(*) AS n')}")
 def ag08(spark, sf_dir):
     s = sales(spark, sf_dir).withColumn("yr", F.year("d").cast("long"))
-    return H.aggregate(s, H.LEVELS, ["yr"], [F.sum("qty").alias("qty"), F.count("*").alias("n")])
+    return H.rollup(s, H.LEVELS, ["yr"], {"qty": F.col("qty"), "n": F.lit(1)})
 
 
 @_simple("ag09_mean_price_hierarchy", f"{_YEARLY} {levels_sql('round(avg(price / qty), 8) AS price')}")
 def ag09(spark, sf_dir):
-    return H.aggregate(sales(spark, sf_dir), H.LEVELS, [], [r(F.avg(F.col("price") / F.col("qty")), 8).alias("price")])
+    price = F.col("price") / F.col("qty")
+    sums = H.rollup(sales(spark, sf_dir), H.LEVELS, [], {"s": price, "n": F.when(price.isNotNull(), 1).otherwise(0)})
+    return sums.select("level", "group_id", r(F.try_divide("s", "n"), 8).alias("price"))
 
 
 @_simple("ag10_functional_dependency", "SELECT (SELECT max(c) <= 1 FROM (SELECT count(DISTINCT n_regionkey) AS c FROM nation GROUP BY n_nationkey)) AS nation_region, (SELECT max(c) <= 1 FROM (SELECT count(DISTINCT p_type) AS c FROM part GROUP BY p_brand)) AS brand_type")

@@ -13,7 +13,7 @@ from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, EVENTS, brand_daily, brand_panel, events_daily, r, t
 from panelforge.plans.registry import register
 from panelforge.session import shared_path
-from panelforge.sources import files
+from panelforge.sources import files, jsonl, recipes
 
 NATION = "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation"
 
@@ -89,6 +89,16 @@ def s10(spark, sf_dir):
     return files.read_json_lines(spark, path, "s_suppkey long, s_name string")
 
 
+@register("s10_json_lines_with_place", "SELECT CASE WHEN s_suppkey % 10 <> 3 THEN s_suppkey END AS s_suppkey, CASE WHEN s_suppkey % 10 <> 3 THEN s_name END AS s_name, CASE WHEN s_suppkey % 10 = 3 THEN 12 ELSE strlen('{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\"}') END AS bytes, s_suppkey % 10 = 3 AS bad FROM supplier")
+def s10_place(spark, sf_dir):
+    """Every tenth line is cut short; the reader gives it its place instead of values, from files that are split into byte ranges."""
+    path = shared_path(spark, "jsonl")
+    line = F.to_json(F.struct("s_suppkey", "s_name"))
+    t(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 10 == 3, F.substring(line, 1, 12)).otherwise(line)).write.text(path)
+    rows = jsonl.read_json_lines(spark, path, "s_suppkey long, s_name string", bad="keep", split_bytes=1 << 16)
+    return rows.select("s_suppkey", "s_name", (F.col("end") - F.col("start")).alias("bytes"), F.col("error").isNotNull().alias("bad"))
+
+
 @register("s11_dataset_directory", f"WITH {BRAND} SELECT id, count(*) AS n, sum(y) AS total FROM panel0 GROUP BY id")
 def s11(spark, sf_dir):
     root = shared_path(spark, "dataset")
@@ -121,6 +131,36 @@ def s15(spark, sf_dir):
     return files.synthetic(spark, 5, 60, level=10.0, trend=0.5, season=7, amplitude=3.0, noise=0.0)
 
 
+def _u(name: str, at: str = "step") -> str:
+    return f"((('0x' || substr(sha256('11:{name}:' || id || ':' || {at}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def _n(name: str, at: str = "step") -> str:
+    return f"(sqrt(-2 * ln({_u(name + '/r', at)})) * cos(2 * pi() * {_u(name + '/a', at)}))"
+
+
+@register(
+    "s15_recipe",
+    f"""WITH RECURSIVE g AS (SELECT p_brand AS id, CAST(k AS BIGINT) AS step FROM (SELECT DISTINCT p_brand FROM part), range(100) x(k)),
+a AS (SELECT id, step, 5 + 0.1::DOUBLE * step AS base, 3 * sin(2 * pi() * step / 7) AS week, {_u('promo/0/0')} AS u, CASE WHEN {_u('level/0/0')} < 0.05::DOUBLE THEN 1 ELSE 0 END AS ch, {_n('noise')} * 0.5::DOUBLE AS noise, 0.5::DOUBLE + {_u('scale', "'series'")} AS scale, CASE WHEN {_u('y/1')} < 0.1::DOUBLE THEN 1 ELSE 0 END AS gone FROM g),
+m AS (SELECT id, -1::BIGINT AS step, 0 AS promo FROM (SELECT DISTINCT id FROM g) UNION ALL SELECT m.id, a.step, CASE WHEN m.promo = 0 THEN CASE WHEN u < 0.2::DOUBLE THEN 1 ELSE 0 END ELSE CASE WHEN u < 0.5::DOUBLE THEN 0 ELSE 1 END END FROM m JOIN a ON a.id = m.id AND a.step = m.step + 1),
+b AS (SELECT a.*, promo, sum(ch) OVER (PARTITION BY a.id ORDER BY a.step ROWS UNBOUNDED PRECEDING) AS c FROM a JOIN m USING (id, step)),
+c AS (SELECT *, {_n('level', 'CAST(c AS BIGINT)')} * 2 AS level FROM b),
+d AS (SELECT *, (base + week + 4 * promo + level + noise) * scale AS clean FROM c)
+SELECT id, step, CAST(promo AS DOUBLE) AS promo, round(level, 6) AS level, round(clean, 6) AS clean, CASE WHEN gone = 0 THEN round(clean + 0.5::DOUBLE * coalesce(lag(clean, 2) OVER (PARTITION BY id ORDER BY step), 0), 6) END AS y FROM d""",
+)
+def s15_recipe(spark, sf_dir):
+    """A series for each brand of the table: trend, week, promotions that come and go, a level that jumps, noise, a scale of its own, an echo and gaps."""
+    R = recipes
+    recipe = {
+        "base": R.trend(0.1, 5.0), "week": R.seasonality(7, 3.0), "promo": R.markov_chain(0.2, 0.5), "level": R.change_points(0.05, 2.0), "noise": R.gaussian(0.5), "scale": R.per_series(0.5, 1.5),
+        "clean": (R.ref("base") + R.ref("week") + 4 * R.ref("promo") + R.ref("level") + R.ref("noise")) * R.ref("scale"),
+        "y": R.missing_where(R.ref("clean") + 0.5 * R.lag(R.ref("clean"), 2), R.binary(0.1)),
+    }
+    out = R.generate(t(spark, sf_dir, "part"), "p_brand", 100, recipe, seed=11)
+    return out.select("id", "step", "promo", *[r(c).alias(c) for c in ("level", "clean", "y")])
+
+
 @register("s16_csv_rounded_sink", "SELECT o_orderkey, round(o_totalprice, 1) AS price FROM orders")
 def s16(spark, sf_dir):
     path = shared_path(spark, "csv")

@@ -12,7 +12,8 @@ from panelforge.functions import scalars as S
 from panelforge.operators import forecast as B
 from panelforge.operators import hierarchy as H
 from panelforge.operators import metrics as M
-from panelforge.operators import panel
+from panelforge.operators import flatmap, panel
+from panelforge.operators import splits as SP
 from panelforge.operators import windows as W
 from panelforge.operators.boosting import boosted
 from panelforge.plans.base import BRAND, EVENTS, SALES, brand_panel, events_daily, levels_sql, r, sales, t
@@ -20,6 +21,7 @@ from panelforge.plans.forecast_queries import FC, forecasts, recursive_sql
 from panelforge.plans.registry import register
 from panelforge.plans.window_queries import series
 from panelforge.streaming import events as E
+from panelforge.streaming import timers
 
 O = "PARTITION BY id ORDER BY d"  # noqa: E741
 
@@ -82,30 +84,15 @@ _LEVEL_SCORES = (
 )
 
 
-def level_scores(spark, sf_dir):
-    """level, group_id, w, rmsse on all twelve levels, by month: the last year against the year before it.
+def level_scores(spark, sf_dir, daily: bool = False):
+    """level, group_id, w, rmsse on all twelve levels: the last year by month against the year before it, or the last 28 days against the 28 before.
 
-    Series are few numbers each (one a month), so a row holds one as an array and nothing is joined with a spine.
-    Weights are shares of the revenue of the year before the test and sum to 1 on each level; series that never change before it have no rmsse.
+    Weights are shares of the revenue of the year (the 28 days) before the test and sum to 1 on each level; series that never change before it have no rmsse.
     """
-    month = F.year("d") * 12 + F.month("d")
-    bottom = sales(spark, sf_dir).groupBy(*H.DIMENSIONS, month.alias("m")).agg(F.sum("qty").alias("q"), F.sum("price").alias("p"))
-    span = bottom.agg(F.min("m").alias("first"), (F.max("m") - F.min("m")).alias("hi"))
-    sums = H.aggregate(bottom, H.LEVELS, ["m"], [F.sum("q").alias("q"), F.sum("p").alias("p")])
-    held = sums.groupBy("level", "group_id").agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("q", "p")))).alias("of"), F.min("m").alias("lo")).crossJoin(F.broadcast(span))
-    value = lambda name: F.transform(F.sequence(F.lit(0), F.col("hi")), lambda k: F.coalesce(F.try_element_at("of", F.col("first") + k)[name], F.lit(0.0)))
-    rows = held.select("level", "group_id", (F.col("lo") - F.col("first")).alias("lo"), "hi", value("q").alias("q"), value("p").alias("p"))
-    mean = lambda xs: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs))
-    squares = lambda a, b, step: F.transform(F.sequence(a, b), lambda k: (F.col("q")[k] - F.col("q")[k - step]) ** 2)
-    hi, lo, none = F.col("hi"), F.col("lo"), F.array().cast("array<double>")
-    scored = rows.select(
-        "level", "group_id",
-        mean(F.when(hi >= 23, squares(hi - 11, hi, 12)).otherwise(none)).alias("mse"),
-        mean(F.when(lo + 1 <= hi - 12, squares(lo + 1, hi - 12, 1)).otherwise(none)).alias("scale"),
-        F.aggregate(F.slice("p", hi - 22, 12), F.lit(0.0), lambda a, x: a + x).alias("revenue"),
-    )
-    total = scored.groupBy("level").agg(F.sum("revenue").alias("all"))
-    return scored.join(total, "level").select("level", "group_id", F.coalesce(F.try_divide("revenue", "all"), F.lit(0.0)).alias("w"), F.sqrt(F.try_divide("mse", F.nullif("scale", F.lit(0.0)))).alias("rmsse"))
+    period, n = (F.date_diff("d", F.lit("1970-01-01").cast("date")), 28) if daily else (F.year("d") * 12 + F.month("d"), 12)
+    facts = sales(spark, sf_dir).select(*H.DIMENSIONS, period.alias("m"), "qty", "price")
+    sums = H.rollup(facts, H.LEVELS, ["m"], {"q": F.col("qty"), "p": F.col("price")})
+    return M.level_weights(M.sparse_scores(sums, ["level", "group_id"], "m", "q", "p", n, n)).select("level", "group_id", "w", "rmsse")
 
 
 @register("m03_wrmsse", f"{_LEVEL_SCORES} SELECT round(avg(x), 6) AS wrmsse, count(*) AS levels FROM by_level")
@@ -119,6 +106,23 @@ def m03_levels(spark, sf_dir):
     return level_scores(spark, sf_dir).groupBy("level").agg(r(F.sum("w")).alias("w"), r(F.sum(F.col("w") * F.col("rmsse"))).alias("wrmsse"))
 
 
+_DAILY = (
+    f"WITH {SALES}, s AS (SELECT region, store, cat, dept, item, date_diff('day', DATE '1970-01-01', d) AS m, qty, price FROM sales), lv AS ({levels_sql('m, sum(qty) AS q, sum(price) AS p')}), span AS (SELECT max(m) AS hi FROM s), "
+    "near AS (SELECT *, lag(m) OVER o AS pm, lag(q) OVER o AS pq, lead(m) OVER o AS nm FROM lv WINDOW o AS (PARTITION BY level, group_id ORDER BY m)), "
+    "steps AS (SELECT level, group_id, min(m) AS lo, sum(CASE WHEN m > hi - 28 OR pm IS NULL THEN 0 WHEN pm = m - 1 THEN pow(q - pq, 2) ELSE q * q END) + sum(CASE WHEN m < hi - 28 AND (nm IS NULL OR nm > m + 1) THEN q * q ELSE 0 END) AS moved, "
+    "coalesce(sum(p) FILTER (m > hi - 56 AND m <= hi - 28), 0) AS revenue FROM near, span GROUP BY ALL), "
+    "test AS (SELECT level, group_id, m, q FROM lv, span WHERE m > hi - 28), fc AS (SELECT level, group_id, m + 28 AS m, q AS f FROM lv, span WHERE m > hi - 56 AND m <= hi - 28), "
+    "err AS (SELECT level, group_id, sum(pow(coalesce(q, 0) - coalesce(f, 0), 2)) AS e FROM test FULL JOIN fc USING (level, group_id, m) GROUP BY ALL), "
+    "x AS (SELECT level, group_id, coalesce(revenue / sum(revenue) OVER (PARTITION BY level), 0) AS w, sqrt(coalesce(e, 0) / 28 / nullif(moved / nullif(greatest(hi - 28 - lo, 0), 0), 0)) AS rmsse FROM span, steps LEFT JOIN err USING (level, group_id))"
+)
+
+
+@register("m03_wrmsse_daily", f"{_DAILY} SELECT level, round(sum(w), 6) AS w, round(sum(w * rmsse), 6) AS wrmsse, count(rmsse) AS scored FROM x GROUP BY 1")
+def m03_daily(spark, sf_dir):
+    """The score on the daily horizon of 28 days, by level."""
+    return level_scores(spark, sf_dir, daily=True).groupBy("level").agg(r(F.sum("w")).alias("w"), r(F.sum(F.col("w") * F.col("rmsse"))).alias("wrmsse"), F.count("rmsse").alias("scored"))
+
+
 @register("m04_weights", f"WITH {BRAND}, {_WEIGHT} SELECT id, round(w, 8) AS w FROM w")
 def m04(spark, sf_dir):
     return weights(spark, sf_dir).select("id", r("w", 8).alias("w"))
@@ -246,6 +250,36 @@ def v08(spark, sf_dir):
     return s.where("h3 is not null")
 
 
+_CANON = f"{BRAND}, n AS (SELECT id, d, y, row_number() OVER (PARTITION BY id ORDER BY d) AS i, isodow(d) AS dow FROM panel0)"
+
+
+@register(
+    "v08_canonical_training",
+    f"WITH {_CANON}, ends AS (SELECT id, d, i FROM n WHERE ('0x' || substr(sha256('3:' || id || ':' || strftime(d, '%Y-%m-%d')), 1, 8))::BIGINT % 20 = 0) "
+    "SELECT e.id, e.d, greatest(30 - e.i, 0) AS pad, sum(x.y) AS total, sum(CASE WHEN x.i % 2 = e.i % 2 THEN x.y ELSE 0 END) AS even, sum(x.dow) AS dows, count(*) AS observed FROM ends e JOIN n x ON x.id = e.id AND x.i BETWEEN e.i - 29 AND e.i GROUP BY ALL",
+)
+def v08_canonical(spark, sf_dir):
+    """Instances of 30 days that end at every twentieth day, drawn by hash; the first ones are filled on the left."""
+    p = brand_panel(spark, sf_dir, True).withColumn("dow", F.weekday("d") + 1)
+    drawn = F.conv(F.substring(F.sha2(F.concat(F.lit("3:"), "id", F.lit(":"), F.date_format("d", "yyyy-MM-dd")), 256), 1, 8), 16, 10).cast("long") % 20 == 0
+    x = SP.canonical_instances(p, ["id"], "d", "y", 30, ["dow"], sample=drawn)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
+    return x.select("id", "d", (30 - F.aggregate("observed", F.lit(0), lambda a, v: a + v)).cast("long").alias("pad"), total("target").alias("total"), total(F.filter("target", lambda v, k: k % 2 == 1)).alias("even"), total("dow").cast("long").alias("dows"), F.aggregate("observed", F.lit(0), lambda a, v: a + v).cast("long").alias("observed"))
+
+
+@register(
+    "v08_canonical_prediction",
+    f"WITH {_CANON}, l AS (SELECT id, max(i) AS i, max(d) AS d FROM n GROUP BY id), a AS (SELECT l.id, l.d, sum(y) AS total, count(*) AS observed FROM l JOIN n ON n.id = l.id AND n.i > l.i - 30 GROUP BY ALL) SELECT id, d, total, observed, (SELECT sum(isodow(CAST(d + CAST(k AS INTEGER) AS DATE)) * k) FROM range(1, 15) g(k)) AS ahead FROM a",
+)
+def v08_prediction(spark, sf_dir):
+    """The last 30 days of each series with the weekdays of the 14 days after them."""
+    p = brand_panel(spark, sf_dir, True).withColumn("dow", F.weekday("d") + 1)
+    future = panel.future_rows(p, ["id"], "d", 14).withColumn("dow", F.weekday("d") + 1)
+    x = SP.canonical_instances(p, ["id"], "d", "y", 30, ["dow"], future=future, tail=14)
+    ahead = F.aggregate(F.transform("next_dow", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v)
+    return x.select("id", "d", F.aggregate("target", F.lit(0.0), lambda a, v: a + v).alias("total"), F.aggregate("observed", F.lit(0), lambda a, v: a + v).cast("long").alias("observed"), ahead.cast("long").alias("ahead"))
+
+
 @register("v09_multivariate_fill", f"WITH {BRAND}, m AS (SELECT id, avg(y) AS m FROM panel WHERE d < DATE '2001-01-01' GROUP BY id) SELECT id, d, round(coalesce(y, CASE WHEN d < DATE '2001-01-01' THEN m ELSE 0 END), 6) AS y FROM panel JOIN m USING (id)")
 def v09(spark, sf_dir):
     p = brand_panel(spark, sf_dir)
@@ -336,6 +370,12 @@ def t03(spark, sf_dir):
     return t(spark, sf_dir, "events").select("user_id", "event_id", F.count("event_id").over(w).alias("n"))
 
 
+@register("t04_closed_sessions", "WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s), x AS (SELECT user_id, min(date_trunc('millisecond', ts)) AS start, max(date_trunc('millisecond', ts)) + INTERVAL 12 HOUR AS end_, count(*) AS n FROM k GROUP BY user_id, k) SELECT user_id, start, end_, n FROM x WHERE end_ <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
+def t04_closed(spark, sf_dir):
+    """Sessions of users, each handed out once when its timer has run out."""
+    return timers.closed_sessions(E.stream(spark, sf_dir), 12 * 3_600_000).withColumnRenamed("end", "end_")
+
+
 @register("t04_tumbling", "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, round(sum(value), 6) AS v FROM events GROUP BY ALL")
 def t04(spark, sf_dir):
     return E.tumbling(E.stream(spark, sf_dir), "6 hours").withColumn("v", r("v"))
@@ -389,6 +429,12 @@ def x08(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", "event_type", "value").mapInPandas(run, "event_id long, v double")
 
 
+@register("x08_flat_map", f"WITH {BRAND}, n AS (SELECT id, d, row_number() OVER ({O}) AS i, " + ", ".join(f"lag(y, {4 - k}) OVER ({O}) AS value_{k}" for k in range(5)) + " FROM panel0) SELECT id, d, " + ", ".join(f"value_{k}" for k in range(5)) + " FROM n WHERE i >= 5 AND (i - 5) % 3 = 0")
+def x08_flat_map(spark, sf_dir):
+    """A table function that yields windows of five values every third day; its columns follow from its arguments."""
+    return flatmap.windows(brand_panel(spark, sf_dir, True).select("id", "d", "y"), ["id"], "d", "y", 5, 3)
+
+
 @register("x10_boosted_trees")
 def x10(spark, sf_dir):
     """One boosted model for each series, fitted before the test span."""

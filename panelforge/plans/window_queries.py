@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import hierarchy as H
+from panelforge.operators import order_statistics as OS
+from panelforge.operators import scan as S
 from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, SALES, brand_panel, r, sales, t
 from panelforge.plans.registry import register
@@ -45,6 +47,16 @@ _panel("w06_min_periods", lambda: [r(W.rolling(F.avg, "y", series(), n, 0, m)).a
 _panel("w07_rolling_min_max", lambda: [W.rolling(F.min, "y", series(), 7, 1).alias("low"), W.rolling(F.max, "y", series(), 7, 1).alias("high")], f"{_roll('min(y)', 7, 1, name='low')}, {_roll('max(y)', 7, 1, name='high')}")
 _panel("w08_rolling_median", lambda: [r(W.rolling(W.quantile(0.5), "y", series(), 15)).alias("median")], _roll("quantile_cont(y, 0.5)", 15, name="median"))
 _panel("w09_rolling_quantiles", lambda: [r(q).alias(name) for name, q in W.rolling_quantiles("y", series(), 28, {f"q{int(q * 1000)}": q for q in (0.005, 0.165, 0.5, 0.9)}).items()], ", ".join(_roll(f"quantile_cont(y, {q})", 28, name=f"q{int(q * 1000)}") for q in (0.005, 0.165, 0.5, 0.9)))
+_LONG = {180: {"q10_180": 0.1, "median_180": 0.5, "q90_180": 0.9}, 1000: {"median_1000": 0.5, "q90_1000": 0.9}}
+
+
+@register("w09_long_quantiles", f"WITH {BRAND} SELECT id, d, " + ", ".join(_roll(f"quantile_cont(y, {q})", n, name=name) for n, qs in _LONG.items() for name, q in qs.items()) + " FROM panel0")
+def w09_long(spark, sf_dir):
+    """Quantiles of frames of 180 and 1,000 days, linear in the rows: one pass with sliding ordered lists."""
+    out = OS.rolling_quantiles(brand_panel(spark, sf_dir, True), ["id"], ["d"], "y", _LONG)
+    return out.select("id", "d", *[r(name).alias(name) for qs in _LONG.values() for name in qs])
+
+
 _panel("w10_rolling_std", lambda: [r(W.rolling(F.stddev_samp, "y", series(), 14), 4).alias("std")], _roll("stddev_samp(y)", 14, name="std", digits=4))
 _panel("w11_rolling_skew", lambda: [r(F.nanvl(W.rolling_skew("y", series(), 28), F.lit(None)), 4).alias("skew")], f"CASE WHEN count(y) OVER x >= 28 AND stddev_pop(y) OVER x > 0 THEN round(skewness(y) OVER x, 4) END AS skew".replace(" x ", f" ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ").replace("OVER x,", f"OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),"))
 _panel("w12_rolling_kurt", lambda: [r(F.nanvl(W.rolling_kurt("y", series(), 28), F.lit(None)), 3).alias("kurt")], f"CASE WHEN count(y) OVER x >= 28 AND stddev_pop(y) OVER x > 0 THEN round(kurtosis(y) OVER x, 3) END AS kurt".replace(" x ", f" ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) ").replace("OVER x,", f"OVER ({O} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),"))
@@ -63,17 +75,53 @@ SELECT a.id, a.d, {expr} AS ewm FROM n a JOIN n b ON a.id = b.id AND b.i <= a.i
 
 @register("w14_ewm_adjusted", "WITH ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)" + _EWM.format(expr="CASE WHEN count(*) >= 4 THEN round(sum(b.n * power(0.7, a.i - b.i)) / sum(power(0.7, a.i - b.i)), 6) END"))
 def w14(spark, sf_dir):
-    return _events_series(spark, sf_dir).select("id", "d", r(W.ewm_adjusted("n", series(), 0.3, 4)).alias("ewm"))
+    return S.ewm_mean(_events_series(spark, sf_dir), ["id"], ["d"], "n", "e", 0.3, min_periods=4, gaps=False).select("id", "d", r("e").alias("ewm"))
 
 
 @register("w14_ewm_long", "WITH ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)" + _EWM.format(expr="round(sum(b.n * power(0.7, a.i - b.i)) / sum(power(0.7, a.i - b.i)), 6)"))
 def w14_long(spark, sf_dir):
-    return W.ewm_long(_events_series(spark, sf_dir).select("id", "d", F.col("n").cast("double").alias("n")), ["id"], "d", "n", "e", 0.3).select("id", "d", r("e").alias("ewm"))
+    return S.ewm_mean(_events_series(spark, sf_dir), ["id"], ["d"], "n", "e", 0.3, gaps=False).select("id", "d", r("e").alias("ewm"))
 
 
 @register("w15_ewm_recursive", "WITH ev AS (SELECT event_type AS id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)" + _EWM.format(expr="round(sum(b.n * power(5.0::DOUBLE / 7, a.i - b.i) * CASE WHEN b.i = 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE / 7 END), 6)"))
 def w15(spark, sf_dir):
-    return _events_series(spark, sf_dir).select("id", "d", r(W.ewm_recursive("n", series(), 2 / 7)).alias("ewm"))
+    return S.ewm_mean(_events_series(spark, sf_dir), ["id"], ["d"], "n", "e", 2 / 7, adjust=False, gaps=False).select("id", "d", r("e").alias("ewm"))
+
+
+#: Spans of the store x item feature set, with their least numbers of values.
+_SPANS = {3: 3, 7: 5, 30: 16}
+
+
+def _item_days(spark, sf_dir):
+    """item, d, y: one series for each item over its days with sales and the days between them, null where nothing was sold on an even day before the next sale."""
+    days = sales(spark, sf_dir).groupBy("item", "d").agg(F.sum("qty").alias("y"))
+    w = W.ordered(["item"], "d")
+    gaps = days.select("item", "d", "y", F.lead("d").over(w).alias("next"))
+    holes = gaps.where("date_diff(next, d) > 1").select("item", F.date_add("d", 1).alias("d"), F.lit(None).cast("double").alias("y"))
+    return days.unionByName(holes)
+
+
+_ITEM_DAYS = f"{SALES}, days AS (SELECT item, d, sum(qty) AS y FROM sales GROUP BY ALL), gaps AS (SELECT *, lead(d) OVER (PARTITION BY item ORDER BY d) AS nxt FROM days), it AS (SELECT item, d, y FROM days UNION ALL SELECT item, d + 1, NULL FROM gaps WHERE nxt - d > 1), n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY d) AS i FROM it)"
+
+
+@register(
+    "w14_ewm_spans_with_gaps",
+    f"WITH {_ITEM_DAYS}, " + ", ".join(f"e{k} AS (SELECT a.item, a.d, CASE WHEN count(b.y) >= {m} THEN round(sum(b.y * pow({1 - S.ewm_span(k)!r}, a.i - b.i)) / sum(CASE WHEN b.y IS NOT NULL THEN pow({1 - S.ewm_span(k)!r}, a.i - b.i) END), 6) END AS ewm_{k} FROM n a JOIN n b ON a.item = b.item AND b.i <= a.i GROUP BY a.item, a.d, a.i)" for k, m in _SPANS.items())
+    + " SELECT item, d, " + ", ".join(f"ewm_{k}" for k in _SPANS) + " FROM " + " JOIN ".join(f"e{k}" + (" USING (item, d)" if n else "") for n, k in enumerate(_SPANS)),
+)
+def w14_spans(spark, sf_dir):
+    """Several spans over the series of every item, with a null after each sale that the next day doesn't follow; all spans ride on one scan."""
+    out = _item_days(spark, sf_dir)
+    return S.ewm_means(out, ["item"], ["d"], "y", {f"ewm_{k}": (S.ewm_span(k), m) for k, m in _SPANS.items()}).select("item", "d", *[r(f"ewm_{k}").alias(f"ewm_{k}") for k in _SPANS])
+
+
+@register(
+    "w15_ewm_recursive_with_gaps",
+    f"WITH RECURSIVE {_ITEM_DAYS}, walk AS (SELECT item, d, i, CAST(y AS DOUBLE) AS e, 1 AS gap FROM n WHERE i = 1 UNION ALL SELECT n.item, n.d, n.i, "
+    "CASE WHEN y IS NULL THEN e WHEN e IS NULL THEN y ELSE (pow(0.7::DOUBLE, gap) * e + 0.3::DOUBLE * y) / (pow(0.7::DOUBLE, gap) + 0.3::DOUBLE) END, CASE WHEN y IS NULL THEN gap + 1 ELSE 1 END FROM walk JOIN n ON n.item = walk.item AND n.i = walk.i + 1) SELECT item, d, round(e, 6) AS ewm FROM walk",
+)
+def w15_gaps(spark, sf_dir):
+    return S.ewm_mean(_item_days(spark, sf_dir), ["item"], ["d"], "y", "e", 0.3, adjust=False).select("item", "d", r("e").alias("ewm"))
 
 
 UNTIL = f"({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

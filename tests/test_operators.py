@@ -16,7 +16,7 @@ from panelforge.operators import forecast as B
 from panelforge.operators import hierarchy as H
 from panelforge.operators import joins as J
 from panelforge.operators import metrics as M
-from panelforge.operators import panel, sampling
+from panelforge.operators import panel, sampling, scan
 from panelforge.operators import windows as W
 
 Y = [3.0, 1.0, None, 4.0, 1.0, 5.0, 9.0, 2.0]
@@ -41,7 +41,7 @@ def same(got, want):
 def test_rolling_equals_pandas(series):
     w, s = W.ordered(["id"], "d"), pd.Series(Y)
     out = series.select(
-        "id", "d", W.rolling(F.avg, "y", w, 3).alias("mean"), W.rolling(F.avg, "y", w, 3, min_periods=1).alias("loose"), W.rolling(F.stddev_samp, "y", w, 4, 1).alias("std"), W.rolling_skew("y", w, 5).alias("skew"), W.rolling_kurt("y", w, 5).alias("kurt"), W.rolling(W.quantile(0.5), "y", w, 3).alias("median"), W.ewm_adjusted("y", w, 0.4).alias("ewm"), W.forward_fill("y", w).alias("ffill"),
+        "id", "d", W.rolling(F.avg, "y", w, 3).alias("mean"), W.rolling(F.avg, "y", w, 3, min_periods=1).alias("loose"), W.rolling(F.stddev_samp, "y", w, 4, 1).alias("std"), W.rolling_skew("y", w, 5).alias("skew"), W.rolling_kurt("y", w, 5).alias("kurt"), W.rolling(W.quantile(0.5), "y", w, 3).alias("median"), W.forward_fill("y", w).alias("ffill"),
     )
     same(column(out, "mean"), s.rolling(3).mean())
     same(column(out, "loose"), s.rolling(3, min_periods=1).mean())
@@ -49,16 +49,16 @@ def test_rolling_equals_pandas(series):
     same(column(out, "skew"), s.rolling(5).skew())
     same(column(out, "kurt"), s.rolling(5).kurt())
     same(column(out, "median"), s.rolling(3).median())
-    same(column(out, "ewm"), s.ewm(alpha=0.4).mean())
+    same(column(scan.ewm_mean(series, ["id"], ["d"], "y", "ewm", 0.4), "ewm"), s.ewm(alpha=0.4).mean())
     same(column(out, "ffill"), s.ffill())
     assert column(out, "std", "b") == [None]
 
 
-def test_long_and_short_ewm_agree(series):
+def test_ewm_of_full_series_needs_no_gaps(series):
     full = series.where("y is not null")
-    long = {(r["id"], r["d"]): r["e"] for r in W.ewm_long(full, ["id"], "d", "y", "e", 0.3).collect()}
-    short = {(r["id"], r["d"]): r["e"] for r in full.select("id", "d", W.ewm_adjusted("y", W.ordered(["id"], "d"), 0.3).alias("e")).collect()}
-    assert long == pytest.approx(short)
+    values = [y for y in Y if y is not None and not pd.isna(y)]
+    same(column(scan.ewm_mean(full, ["id"], ["d"], "y", "e", 0.3, gaps=False), "e"), pd.Series(values).ewm(alpha=0.3).mean())
+    same(column(scan.ewm_mean(full, ["id"], ["d"], "y", "e", 0.3, adjust=False), "e"), pd.Series(values).ewm(alpha=0.3, adjust=False).mean())
 
 
 def test_average_rank_of_ties(spark):
