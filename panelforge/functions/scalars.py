@@ -142,3 +142,17 @@ def normal_score(u: Column) -> Column:
     q = u - 0.5
     centre = q * polynomial(q * q, _CENTRE[0]) / polynomial(q * q, _CENTRE[1])
     return F.when(u < _TAIL_BELOW, tail(u)).when(u > 1 - _TAIL_BELOW, -tail(1 - u)).otherwise(centre)
+
+
+def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
+    """The n-th weekday (Monday 0) of a month; n = -1 is its last one."""
+    first = F.make_date(year, F.lit(month), F.lit(1))
+    if n > 0:
+        return F.date_add(first, (weekday - F.weekday(first) + 7) % 7 + 7 * (n - 1))
+    last = F.last_day(first)
+    return F.date_sub(last, (F.weekday(last) - weekday + 7) % 7)
+
+
+def observed(day: Column) -> Column:
+    """A holiday on Saturday is kept on Friday, one on Sunday on Monday."""
+    return F.when(F.weekday(day) == 5, F.date_sub(day, 1)).when(F.weekday(day) == 6, F.date_add(day, 1)).otherwise(day)

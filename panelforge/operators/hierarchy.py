@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,21 +60,21 @@ def rollup(df: DataFrame, levels: list[list[str]], also: list[str], sums: dict[s
     """level, group_id, ``also`` and ``sums`` (columns to be summed) on all levels, each summed from its smallest finer level.
 
     Facts are summed once, over all keys of the levels, and written; a level then reads the groups
-    of another level, not the facts, so that no row is expanded by the number of levels. Which level that is depends on
-    the numbers of groups, estimated in one pass over the written sums. Means are sums and counts, divided afterwards. Null
+    of another level, not the facts, so that no row is expanded by the number of levels; a level of all keys is what was written. Which level
+    another one reads depends on the numbers of groups, estimated from those of single keys in one pass. Means are sums and counts, divided afterwards. Null
     keys are groups; a key that ``depends`` on another one must have one value for each of it (``depends()`` tells).
     """
     dims = list(dict.fromkeys(k for level in levels for k in level))
     base = checkpoint(df.groupBy(*dims, *also).agg(*[F.sum(c).alias(name) for name, c in sums.items()]), "rollup")
-    keyed = [F.approx_count_distinct(F.xxhash64(*level)) if level else F.lit(1) for level in levels]
-    found = base.agg(F.count("*"), *keyed).first()
-    parents = level_parents(levels, {tuple(level): n for level, n in zip(levels, found[1:])}, depends)
+    rows, *found = base.agg(F.count("*"), *[F.approx_count_distinct(k) for k in dims]).first()
+    counts = dict(zip(dims, found))
+    parents = level_parents(levels, {tuple(level): min(rows, prod(counts[k] for k in level)) for level in levels}, depends)
     again = [F.sum(name).alias(name) for name in sums]
     frames: dict[tuple, DataFrame] = {}
     for level, parent in parents:
         own = [*level, *(d for k in level for d in depends.get(k, ()) if d in dims and d not in level)]
         own = list(dict.fromkeys(own))
-        frames[tuple(level)] = (base if parent is None else frames[tuple(parent)]).groupBy(*own, *also).agg(*again)
+        frames[tuple(level)] = base if set(own) == set(dims) else (base if parent is None else frames[tuple(parent)]).groupBy(*own, *also).agg(*again)
     return reduce(DataFrame.unionByName, [frames[tuple(level)].select(F.lit(level_name(level)).alias("level"), group_id(level).alias("group_id"), *also, *sums) for level in levels])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import checkpoint
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -88,6 +90,20 @@ def sparse_scores(sums: DataFrame, keys: list[str], t: str, q: str, p: str, hori
 
 def level_weights(scores: DataFrame, level: str = "level") -> DataFrame:
     """Adds w (a series' share of its level's revenue, 0 where there is none) and rmsse (null where the scale is null or 0)."""
+    scores = checkpoint(scores, "level-scores")  # read twice: a row a series
     total = scores.groupBy(level).agg(F.sum("revenue").alias("__all"))
     joined = scores.join(F.broadcast(total), level)  # a row for each level
     return joined.withColumn("w", F.coalesce(F.try_divide("revenue", "__all"), F.lit(0.0))).withColumn("rmsse", F.sqrt(F.try_divide("mse", F.nullif("scale", F.lit(0.0))))).drop("__all")
+
+
+def contributions(by_level: DataFrame, level: str, loss: str, weight: str, augmented: int, sampled: int, large: tuple[str, ...], items: str = "item") -> DataFrame:
+    """level, loss, weight, share: what each level adds to the whole loss, as if no row had been copied or left out.
+
+    Levels whose name lacks ``items`` have every row ``augmented`` times, so their weight is divided by it; of those in ``large`` one
+    row in ``sampled`` was kept, so theirs is multiplied. A row for each level.
+    """
+    name = F.col(level)
+    corrected = F.col(weight) * F.when(name.contains(items), 1.0).otherwise(1.0 / augmented) * F.when(name.isin(*large), float(sampled)).otherwise(1.0)
+    each = by_level.select(level, loss, corrected.alias("weight"))
+    total = each.agg(F.sum(F.col(loss) * F.col("weight")).alias("__total"))
+    return each.crossJoin(F.broadcast(total)).select(level, loss, "weight", F.try_divide(F.col(loss) * F.col("weight"), "__total").alias("share"))

@@ -429,18 +429,18 @@ def e04(spark, sf_dir):
 _STRATEGIES = ("last_month", "last_year", "last_quarter")
 
 
-@register(
-    "e04_best_per_level",
+#: Losses of the last twelve months on all levels: one row a series and month, with the weight of its series.
+_LEVEL_LOSSES = (
     f"WITH {SALES}, s AS (SELECT region, store, cat, dept, item, year(d) * 12 + month(d) AS m, qty, price FROM sales), lv AS ({levels_sql('m, sum(qty) AS q, sum(price) AS p')}), hi AS (SELECT max(m) AS hi FROM s), "
     "full_ AS (SELECT level, group_id, m, sum(q) AS q, sum(p) AS p FROM (SELECT * FROM lv UNION ALL SELECT level, group_id, CAST(hi - k AS BIGINT), 0, 0 FROM (SELECT DISTINCT level, group_id FROM lv), hi, range(12) g(k)) GROUP BY ALL), "
     "f AS (SELECT level, group_id, m, q, p, coalesce(sum(q) OVER (PARTITION BY level, group_id ORDER BY m RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) AS last_month, coalesce(sum(q) OVER (PARTITION BY level, group_id ORDER BY m RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING), 0) AS last_year, coalesce(sum(q) OVER (PARTITION BY level, group_id ORDER BY m RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) / 3 AS last_quarter FROM full_), "
     "w AS (SELECT level, group_id, sum(p) AS w FROM f, hi WHERE m > hi - 24 AND m <= hi - 12 GROUP BY ALL), "
-    "e AS (SELECT level, w, " + ", ".join("(" + " + ".join(f"greatest({q} * (q - {s_} * {x!r}), ({q} - 1) * (q - {s_} * {x!r}))" for q, x in _RATIOS) + f") / 9 AS {s_}" for s_ in _STRATEGIES) + " FROM f JOIN w USING (level, group_id), hi WHERE m > hi - 12), "
-    "a AS (SELECT level, " + ", ".join(f"sum(w * {x}) / sum(w) AS {x}" for x in _STRATEGIES) + " FROM e GROUP BY level) "
-    "SELECT level, " + ", ".join(f"round({x}, 5) AS {x}" for x in _STRATEGIES) + ", CASE WHEN last_month <= last_year AND last_month <= last_quarter THEN 'last_month' WHEN last_year <= last_quarter THEN 'last_year' ELSE 'last_quarter' END AS best FROM a",
-)
-def e04_levels(spark, sf_dir):
-    """On each of the twelve levels the strategy with the least mean pinball loss of nine quantiles, series weighted by last year's revenue."""
+    "e AS (SELECT level, w, " + ", ".join("(" + " + ".join(f"greatest({q} * (q - {s_} * {x!r}), ({q} - 1) * (q - {s_} * {x!r}))" for q, x in _RATIOS) + f") / 9 AS {s_}" for s_ in _STRATEGIES) + " FROM f JOIN w USING (level, group_id), hi WHERE m > hi - 12)"
+)
+
+
+def level_losses(spark, sf_dir):
+    """level, w and the mean pinball loss of nine quantiles under each strategy, for every series and month of the last year."""
     facts = sales(spark, sf_dir).select(*H.DIMENSIONS, (F.year("d") * 12 + F.month("d")).alias("m"), "qty", "price")
     sums = checkpoint(H.rollup(facts, H.LEVELS, ["m"], {"q": F.col("qty"), "p": F.col("price")}), "level-months")
     hi = sums.agg(F.max("m").alias("hi"))
@@ -451,11 +451,37 @@ def e04_levels(spark, sf_dir):
     f = sums.unionByName(blank).groupBy(*keys, "m").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).crossJoin(F.broadcast(hi))
     f = f.select(*keys, "m", "hi", "q", before(1, 1).alias("last_month"), before(12, 12).alias("last_year"), (before(3, 1) / 3).alias("last_quarter"), F.sum(F.when((F.col("m") > F.col("hi") - 24) & (F.col("m") <= F.col("hi") - 12), F.col("p"))).over(W.by(*keys)).alias("w"))
     loss = {s: sum((M.pinball(F.col("q"), F.col(s) * x, q) for q, x in _RATIOS[1:]), M.pinball(F.col("q"), F.col(s) * _RATIOS[0][1], _RATIOS[0][0])) / len(_RATIOS) for s in _STRATEGIES}
-    a = f.where("m > hi - 12 and w is not null").groupBy("level").agg(*[M.weighted_mean(loss[s], F.col("w")).alias(s) for s in _STRATEGIES])
+    return f.where("m > hi - 12 and w is not null").select("level", "w", *[loss[s].alias(s) for s in _STRATEGIES])
+
+
+@register(
+    "e04_best_per_level",
+    f"{_LEVEL_LOSSES}, a AS (SELECT level, " + ", ".join(f"sum(w * {x}) / sum(w) AS {x}" for x in _STRATEGIES) + " FROM e GROUP BY level) "
+    "SELECT level, " + ", ".join(f"round({x}, 5) AS {x}" for x in _STRATEGIES) + ", CASE WHEN last_month <= last_year AND last_month <= last_quarter THEN 'last_month' WHEN last_year <= last_quarter THEN 'last_year' ELSE 'last_quarter' END AS best FROM a",
+)
+def e04_levels(spark, sf_dir):
+    """On each of the twelve levels the strategy with the least mean pinball loss of nine quantiles, series weighted by last year's revenue."""
+    a = level_losses(spark, sf_dir).groupBy("level").agg(*[M.weighted_mean(s, "w").alias(s) for s in _STRATEGIES])
     best = F.array_min(F.array(*[F.struct(F.col(s).alias("e"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(_STRATEGIES)]))["s"]
     return a.select("level", *[r(s, 5).alias(s) for s in _STRATEGIES], best.alias("best"))
 
 
+#: Copies of a row by augmentation on levels without items, and the share of rows that sampling keeps on the two largest.
+_AUGMENTED, _SAMPLED, _LARGE = 28, 2, ("region_item", "store_item")
+
+
+@register(
+    "m09_level_contribution",
+    f"{_LEVEL_LOSSES}, a AS (SELECT level, sum(w * last_year) / sum(w) AS pinball, sum(w) * CASE WHEN contains(level, 'item') THEN 1 ELSE 1.0 / {_AUGMENTED} END * CASE WHEN level IN {_LARGE} THEN {_SAMPLED} ELSE 1 END AS weight FROM e GROUP BY level) "
+    "SELECT level, round(pinball, 5) AS pinball, round(weight, 2) AS weight, round(pinball * weight / sum(pinball * weight) OVER (), 6) AS share FROM a",
+)
+def m09_levels(spark, sf_dir):
+    """Each level's share of the loss: weights are divided by the copies that augmentation makes and multiplied where rows were sampled."""
+    a = level_losses(spark, sf_dir).groupBy("level").agg(M.weighted_mean("last_year", "w").alias("pinball"), F.sum("w").alias("s"))
+    out = M.contributions(a.select("level", "pinball", "s"), "level", "pinball", "s", _AUGMENTED, _SAMPLED, _LARGE)
+    return out.select("level", r("pinball", 5).alias("pinball"), r("weight", 2).alias("weight"), r("share").alias("share"))
+
+
 @register("e04_quantile_stack")
 def e04_quantiles(spark, sf_dir):
     """For the total and the brands: linear combinations of three models with the least pinball loss at five quantiles, brands weighted by their units."""

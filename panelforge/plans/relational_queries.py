@@ -392,6 +392,18 @@ def o08(spark, sf_dir):
     return d.select("id", "d", "y", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(1)).cast("long"))).alias("copy"))
 
 
+@_simple(
+    "o08_oversample_unbounded",
+    f"WITH {BRAND}, w AS (SELECT id, d, y, CAST(y AS BIGINT) * 10 AS w, {_draw_sql('over', 'id', 'd')} % 1000 AS u FROM daily) "
+    "SELECT id, d, y, CAST(unnest(range(1, greatest(w // 1000 + CASE WHEN u < w % 1000 THEN 1 ELSE 0 END, 1) + 1)) AS BIGINT) AS copy FROM w",
+)
+def o08_unbounded(spark, sf_dir):
+    """As o08_oversample without its limit: a day of any weight has its whole number of copies, and one more with the probability of the rest."""
+    d = brand_daily(spark, sf_dir).withColumn("w", F.col("y").cast("long") * 10)
+    copies = F.floor(F.col("w") / 1000) + F.when(_draw("over", "id", "d") % 1000 < F.col("w") % 1000, 1).otherwise(0)
+    return d.select("id", "d", "y", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(1)).cast("long"))).alias("copy"))
+
+
 _LENGTHS = "WITH n AS (SELECT p_partkey AS id, count(l_orderkey) AS n FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1), m AS (SELECT max(n) AS most FROM n)"
 
 

@@ -13,6 +13,7 @@ from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, EVENTS, brand_daily, brand_panel, events_daily, r, t
 from panelforge.plans.registry import register
 from panelforge.session import shared_path
+from panelforge.operators import reshape
 from panelforge.sources import files, jsonl, recipes
 
 NATION = "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation"
@@ -224,6 +225,12 @@ def p05(spark, sf_dir):
     return s.groupBy("id").pivot("i", ["F1", "F2", "F3"]).agg(F.first("n"))
 
 
+@register("p05_unstack_all_positions", f"WITH {EVENTS}, s AS (SELECT id, n, 'F' || row_number() OVER (PARTITION BY id ORDER BY d) AS f FROM ev) SELECT * FROM (PIVOT s ON f USING max(n) GROUP BY id)")
+def p05_all(spark, sf_dir):
+    """A column for each position that any series has: as many as the longest series has days."""
+    return reshape.unstack(events_daily(spark, sf_dir), ["id"], "d", "n")
+
+
 @register("p06_stack_with_nulls", f"WITH {_WIDE_SQL} {_LONG}")
 def p06(spark, sf_dir):
     return _wide(spark, sf_dir).unpivot("p_partkey", WIDE, "d", "y")

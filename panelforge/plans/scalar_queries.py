@@ -112,6 +112,37 @@ def f20(spark, sf_dir):
     return s.select("id", "d", r("n").alias("n"), r(F.col("n") * F.col("s")).alias("back"))
 
 
+#: Holidays by state. (name, month, day, observed when at the weekend) or (name, month, weekday from Monday 0, which of the month; -1 the last); None: all states.
+_FIXED = [("new_year", 1, 1, True, None), ("independence_day", 7, 4, True, None), ("veterans_day", 11, 11, True, None), ("christmas", 12, 25, True, None), ("cesar_chavez_day", 3, 31, False, "AMERICA"), ("christmas_eve", 12, 24, False, "EUROPE"), ("early_spring_day", 3, 2, False, "ASIA")]
+_FLOATING = [("martin_luther_king", 1, 0, 3, None), ("washington", 2, 0, 3, None), ("memorial_day", 5, 0, -1, None), ("labor_day", 9, 0, 1, None), ("thanksgiving", 11, 3, 4, None), ("columbus_day", 10, 0, 2, "AMERICA")]
+
+
+def _holiday_sql() -> str:
+    shift = "CASE isodow({0}) WHEN 6 THEN {0} - 1 WHEN 7 THEN {0} + 1 ELSE {0} END"
+    parts = []
+    for name, m, d, moved, state in _FIXED:
+        day = f"make_date(yr, {m}, {d})"
+        parts.append((name, shift.format(day) if moved else day, state))
+    for name, m, wd, n, state in _FLOATING:
+        first, last = f"make_date(yr, {m}, 1)", f"last_day(make_date(yr, {m}, 1))"
+        parts.append((name, f"{first} + CAST(({wd + 1} - isodow({first}) + 7) % 7 + {7 * (n - 1)} AS INTEGER)" if n > 0 else f"{last} - CAST((isodow({last}) - {wd + 1} + 7) % 7 AS INTEGER)", state))
+    return " UNION ALL ".join(f"SELECT r_name AS state, CAST({day} AS DATE) AS d, '{name}' AS name FROM yrs, region" + (f" WHERE r_name = '{state}'" if state else "") for name, day, state in parts)
+
+
+@register("f21_holidays_by_state", f"WITH {DAYS}, yrs AS (SELECT unnest(range(min(year(d)), max(year(d)) + 2)) AS yr FROM days), h AS ({_holiday_sql()}) SELECT d, r_name AS state, min(name) AS holiday, count(name) > 0 AS is_holiday FROM days CROSS JOIN region LEFT JOIN h ON h.d = days.d AND state = r_name GROUP BY days.d, r_name".replace("SELECT d, r_name AS state, min", "SELECT days.d AS d, r_name AS state, min"))
+def f21_states(spark, sf_dir):
+    """Every day of the calendar in every state: holidays on fixed days, kept on the next working day, and on n-th weekdays, some of them in one state only."""
+    days = _days(spark, sf_dir).select("d")
+    years = days.agg(F.min(F.year("d")).alias("lo"), F.max(F.year("d")).alias("hi")).select(F.explode(F.sequence(F.col("lo"), F.col("hi") + 1)).alias("yr"))
+    yr = F.col("yr")
+    fixed = [(n, S.observed(F.make_date(yr, F.lit(m), F.lit(d))) if moved else F.make_date(yr, F.lit(m), F.lit(d)), state) for n, m, d, moved, state in _FIXED]
+    rows = fixed + [(n, S.nth_weekday(yr, m, wd, k), state) for n, m, wd, k, state in _FLOATING]
+    table = years.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), day.alias("d"), F.lit(state).alias("only")) for n, day, state in rows])))
+    states = t(spark, sf_dir, "region").select(F.col("r_name").alias("state"))
+    h = table.join(F.broadcast(states), F.col("only").isNull() | (F.col("only") == F.col("state"))).groupBy("d", "state").agg(F.min("name").alias("holiday"))  # a few rows a year and state
+    return days.crossJoin(F.broadcast(states)).join(F.broadcast(h), ["d", "state"], "left").select("d", "state", "holiday", F.col("holiday").isNotNull().alias("is_holiday"))
+
+
 @register("f21_holiday_table", f"WITH {DAYS}, h(m, dd, name) AS (VALUES (1, 1, 'new_year'), (7, 4, 'independence'), (12, 25, 'christmas')) SELECT d, name IS NOT NULL AS is_holiday FROM days LEFT JOIN h ON month(d) = m AND day(d) = dd")
 def f21(spark, sf_dir):
     h = spark.createDataFrame([(1, 1, "new_year"), (7, 4, "independence"), (12, 25, "christmas")], "m int, dd int, name string")
