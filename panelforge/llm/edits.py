@@ -176,7 +176,10 @@ def count_edited(docs: DataFrame, tokenizer_path: str, edits_col: str = "edits",
     edits: array of (start, end, new) in code points, applied one after the
     other to the text as it then is; null edits, bounds outside the text (cut to
     it) and null ``new`` (nothing) are allowed. Null texts count as empty.
-    Strings of special tokens are ordinary text.
+    Strings of special tokens are ordinary text. Rows are judged on their own:
+    repeated ones get the same counts, an empty table gives none. A very long
+    text is held whole by its task, with one tree; input columns named like
+    added ones are replaced, all others are passed on.
     """
     spark = docs.sparkSession
     small_batches(spark)

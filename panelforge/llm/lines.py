@@ -591,6 +591,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty; null ids come first. Rows with one id and equal texts are one
     document: both lose the same lines. Input columns named like added ones are replaced.
     With ``digest`` the sha256 of the text is added instead of the text.
+    An empty table gives an empty result. A very long text is split into lines
+    by one task; a very long line is one set of words, joined like any other.
     """
     small_batches(docs.sparkSession)
     d, th, repeated = _identity(docs, id_col, text_col)

@@ -128,6 +128,9 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", count_col: str = "n_tokens"
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Counts tokens of every whole text once, writes the counts, and packs them."""
+    """Counts tokens of every whole text once, writes the counts, and packs them.
+
+    A very long text is counted whole, in its task, and its tokens fill as many segments as they need.
+    """
     counts = token_counts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ranks_path)
     return pack(written(counts, "token-counts"), **options)

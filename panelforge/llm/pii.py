@@ -360,7 +360,8 @@ def find_spans(docs: DataFrame, model: SpanModel, text_col: str = "text", spans_
     """Adds ``spans`` (start, end in code points, kind; by start) and, if named, the text with each span as ``[KIND]``.
 
     Null and empty texts have no spans. Rows are judged on their own; input
-    columns named like added ones are replaced.
+    columns named like added ones are replaced. Very long texts are read whole,
+    in linear time.
     """
     small_batches(docs.sparkSession)
     added = [spans_col, *([masked_col] if masked_col else [])]

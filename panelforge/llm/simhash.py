@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint 0 and are linked like any other. Rows
     with a null id get a component like others; null is never the smallest id
     unless it is the only one. Repeated rows stay. An empty table gives none.
+    Very long texts are read whole by their task.
     """
     prints = written(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints", True)
     with passing():

@@ -278,6 +278,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts count as empty. Rows with a null id are held out. Repeated rows
     stay and are scored alike. No documents: no rows; no labels: see ``train``.
     Columns besides doc_id, text and the labels' doc_id and toxic aren't read.
+    Very long texts are scored whole, in linear time.
     """
     model = train(docs, labels.where(~held_out("doc_id")))
     source = docs.select(F.col("doc_id"), held_out("doc_id").alias("held_out"), F.col("text"))

@@ -90,6 +90,7 @@ def url_filter(urls: DataFrame, entries: DataFrame, url_col: str = "url", defaul
     of repeated ones the blocking one counts. The list may be empty or large:
     it is joined by hash, broadcast only where Spark's own size check allows.
     Copies of a URL are judged once. Input columns named like added ones are replaced.
+    Very long URLs and hosts of very many labels are judged whole.
     """
     added = ("host", "path", "rule", "verdict")
     host, path = url_parts(F.col(url_col))

@@ -94,6 +94,21 @@ def test_revised_counts(spark, encoder):
     assert edits.revised_counts(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).collect() == []
 
 
+def test_edits_of_long_texts_repeats_and_clashing_columns(spark, encoder):
+    long = "many words, and numbers like 1234 and so on. " * 6000
+    cut = [(5, 9, "X"), (200_000, 200_050, None), (len(long) - 3, len(long) + 99, " end")]
+    rows = [(1, long, cut, "a", "b"), (2, "same text", [(0, 4, "this")], "a", "b"), (2, "same text", [(0, 4, "this")], "a", "b"), (3, "no edits", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,new:string>>, n_tokens string, own_text string")
+    got = edits.count_edited(df, TOKENIZER)
+    assert got.columns == ["doc_id", "own_text", "n_chars", "n_tokens", "n_tokens_edited", "n_encoded"]
+    out = sorted(map(tuple, got.collect()), key=lambda r: r[0])
+    edited = long
+    for a, b, new in cut:
+        edited = edited[: min(a, len(edited))] + (new or "") + edited[min(b, len(edited)) :]
+    assert out[0][3:5] == (len(encoder.encode_plain(long)), len(encoder.encode_plain(edited))) and out[0][5] < 5000
+    assert out[1] == out[2] and out[1][4] == len(encoder.encode_plain("this text")) and out[3][1] is None and out[3][3] == out[3][4]
+
+
 def test_bounds_are_optimal():
     rng = random.Random(2)
     for _ in range(200):
