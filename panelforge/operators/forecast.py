@@ -74,10 +74,14 @@ def normal_interval(f: Column, std: Column, q: float) -> Column:
     return f + normal_quantile(q) * std
 
 
-def order_statistic(xs: Column, q: float) -> Column:
-    """Nearest-rank quantile of an array of samples."""
-    ordered = F.sort_array(xs)
-    return F.element_at(ordered, F.greatest(F.lit(1), F.ceil(q * F.size(xs)).cast("int")))
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """keys and the nearest-rank quantiles of each group by name: the least value with at least that share of values up to it.
+
+    Values are sorted and ranked by a window, so a group is never held as one array. Null values don't count; a group of nulls has null quantiles.
+    """
+    w = Window.partitionBy(*keys)
+    ranked = df.select(*keys, F.col(value).alias("__v"), F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())).alias("__k"), F.count(value).over(w).alias("__n"))
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("__k") >= F.greatest(F.lit(1), F.ceil(q * F.col("__n"))), F.col("__v"))).alias(name) for name, q in levels.items()])
 
 
 def complete_mean(df: DataFrame, models: list[str], out: str) -> DataFrame:

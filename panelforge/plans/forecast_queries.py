@@ -367,8 +367,8 @@ def q02(spark, sf_dir):
 
 @register("q03_empirical_intervals", f"WITH {FC}, s AS (SELECT id, list_sort(list(abs(y - f))) AS e FROM fc GROUP BY id) SELECT id, e[CAST(ceil(0.5 * len(e)) AS BIGINT)] AS half, e[CAST(ceil(0.95 * len(e)) AS BIGINT)] AS wide FROM s")
 def q03(spark, sf_dir):
-    s = forecasts(spark, sf_dir).groupBy("id").agg(F.collect_list(F.abs(F.col("y") - F.col("f"))).alias("e"))
-    return s.select("id", B.order_statistic(F.col("e"), 0.5).alias("half"), B.order_statistic(F.col("e"), 0.95).alias("wide"))
+    errors = forecasts(spark, sf_dir).select("id", F.abs(F.col("y") - F.col("f")).alias("e"))
+    return B.nearest_ranks(errors, ["id"], "e", {"half": 0.5, "wide": 0.95})
 
 
 _RATIOS = [(q, logit_ratio(q, 0.6) / logit_ratio(0.5, 0.6)) for q in _LEVELS]
@@ -389,8 +389,8 @@ def q05(spark, sf_dir):
 
 @register("q07_samples_to_quantiles", f"WITH {EVENTS}, s AS (SELECT id, list_sort(list(v)) AS xs FROM ev GROUP BY id) SELECT id, round(xs[CAST(ceil(0.1 * len(xs)) AS BIGINT)], 6) AS q10, round(xs[CAST(ceil(0.9 * len(xs)) AS BIGINT)], 6) AS q90 FROM s")
 def q07(spark, sf_dir):
-    s = events_daily(spark, sf_dir).groupBy("id").agg(F.collect_list("v").alias("xs"))
-    return s.select("id", r(B.order_statistic(F.col("xs"), 0.1)).alias("q10"), r(B.order_statistic(F.col("xs"), 0.9)).alias("q90"))
+    out = B.nearest_ranks(events_daily(spark, sf_dir), ["id"], "v", {"q10": 0.1, "q90": 0.9})
+    return out.select("id", r("q10").alias("q10"), r("q90").alias("q90"))
 
 
 def _models(spark, sf_dir):
