@@ -16,7 +16,7 @@ from panelforge.operators import forecast as B
 from panelforge.operators import hierarchy as H
 from panelforge.operators import joins as J
 from panelforge.operators import metrics as M
-from panelforge.operators import panel, sampling, scan
+from panelforge.operators import panel, reshape, sampling, scan
 from panelforge.operators import windows as W
 
 Y = [3.0, 1.0, None, 4.0, 1.0, 5.0, 9.0, 2.0]
@@ -235,3 +235,28 @@ def test_kernel_forecast_and_stack_equal_plain_versions(spark):
     df = spark.createDataFrame([(0, *map(float, (t, *p))) for t, p in zip(y, x)] + [(1, 1.0, 2.0, 4.0), (1, 2.0, 3.0, 6.0), (0, None, 1.0, 1.0)], "k int, y double, a double, b double")
     weights = {row["k"]: row[1:] for row in B.stack_two(df, ["k"], "y", "a", "b").collect()}
     assert weights[0] == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0].tolist()) and weights[1] == (None, None)
+
+
+def test_nearest_ranks_and_unstack(spark, monkeypatch):
+    rows = [(g, k, v) for g, vs in (("a", [5.0, 1.0, None, 3.0, 3.0]), ("b", [2.0]), ("c", [None])) for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {r["g"]: (r["low"], r["mid"], r["top"]) for r in B.nearest_ranks(df, ["g"], "v", {"low": 0.0, "mid": 0.5, "top": 1.0}).collect()}
+    assert got == {"a": (1.0, 3.0, 5.0), "b": (2.0, 2.0, 2.0), "c": (None, None, None)}
+    wide = reshape.unstack(df, ["g"], "k", "v")
+    assert wide.columns == ["g", "F1", "F2", "F3", "F4", "F5"]
+    assert sorted(map(tuple, wide.collect())) == [("a", 5.0, 1.0, None, 3.0, 3.0), ("b", 2.0, None, None, None, None), ("c", None, None, None, None, None)]
+    assert reshape.unstack(df.limit(0), ["g"], "k", "v").columns == ["g"]
+    monkeypatch.setattr(reshape, "MAX_COLUMNS", 4)
+    with pytest.raises(ValueError):
+        reshape.unstack(df, ["g"], "k", "v")
+
+
+def test_holidays_by_rule_and_contributions(spark):
+    one = spark.range(1)
+    day = lambda c: one.select(c.alias("d")).first()["d"]
+    year = F.lit(2024)
+    assert day(S.nth_weekday(year, 11, 3, 4)) == datetime.date(2024, 11, 28) and day(S.nth_weekday(year, 5, 0, -1)) == datetime.date(2024, 5, 27) and day(S.nth_weekday(year, 9, 0, 1)) == datetime.date(2024, 9, 2)
+    assert [day(S.observed(F.lit(x).cast("date"))) for x in ("2022-12-24", "2022-12-25", "2022-12-26")] == [datetime.date(2022, 12, 23), datetime.date(2022, 12, 26), datetime.date(2022, 12, 26)]
+    df = spark.createDataFrame([("total", 2.0, 28.0), ("item", 1.0, 3.0), ("store_item", 1.0, 2.0)], "level string, loss double, w double")
+    out = {r["level"]: (r["weight"], r["share"]) for r in M.contributions(df, "level", "loss", "w", 28, 2, ("store_item",)).collect()}
+    assert out == {"total": (pytest.approx(1.0), pytest.approx(2 / 9)), "item": (3.0, pytest.approx(3 / 9)), "store_item": (4.0, pytest.approx(4 / 9))}
