@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import distributions as D
@@ -440,18 +442,24 @@ _LEVEL_LOSSES = (
 
 
 def level_losses(spark, sf_dir):
-    """level, w and the mean pinball loss of nine quantiles under each strategy, for every series and month of the last year."""
+    """level, w and the mean pinball loss of nine quantiles under each strategy, for every series and month of the last year.
+
+    Only the last two years enter, as the SQL's ranges reach no further back. A series' months are columns of one row, so that months without
+    sales cost no rows; series without rows in the year before the last have no weight and are left out before months are listed.
+    """
     facts = sales(spark, sf_dir).select(*H.DIMENSIONS, (F.year("d") * 12 + F.month("d")).alias("m"), "qty", "price")
-    sums = checkpoint(H.rollup(facts, H.LEVELS, ["m"], {"q": F.col("qty"), "p": F.col("price")}), "level-months")
-    hi = sums.agg(F.max("m").alias("hi"))
-    keys = ["level", "group_id"]
-    blank = sums.select(*keys).distinct().crossJoin(F.broadcast(hi)).select(*keys, F.explode(F.sequence(F.col("hi") - 11, F.col("hi"))).alias("m"), F.lit(0.0).alias("q"), F.lit(0.0).alias("p"))
-    w = W.ordered(keys, "m")
-    before = lambda a, b: F.coalesce(F.sum("q").over(w.rangeBetween(-a, -b)), F.lit(0.0))
-    f = sums.unionByName(blank).groupBy(*keys, "m").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).crossJoin(F.broadcast(hi))
-    f = f.select(*keys, "m", "hi", "q", before(1, 1).alias("last_month"), before(12, 12).alias("last_year"), (before(3, 1) / 3).alias("last_quarter"), F.sum(F.when((F.col("m") > F.col("hi") - 24) & (F.col("m") <= F.col("hi") - 12), F.col("p"))).over(W.by(*keys)).alias("w"))
+    hi = facts.agg(F.max("m")).first()[0]
+    frames = H.level_sums(facts.where(F.col("m") > F.lit(hi) - 24), H.LEVELS, ["m"], {"q": F.col("qty"), "p": F.col("price")})
+    at = lambda k: F.coalesce(F.sum(F.when(F.col("m") == F.lit(hi) - k, F.col("q"))), F.lit(0.0))
+    q = lambda k: F.col(f"q{k}")
+    months = [F.struct(q(k).alias("q"), q(k + 1).alias("last_month"), q(k + 12).alias("last_year"), ((q(k + 1) + q(k + 2) + q(k + 3)) / 3).alias("last_quarter")) for k in range(12)]
     loss = {s: sum((M.pinball(F.col("q"), F.col(s) * x, q) for q, x in _RATIOS[1:]), M.pinball(F.col("q"), F.col(s) * _RATIOS[0][1], _RATIOS[0][0])) / len(_RATIOS) for s in _STRATEGIES}
-    return f.where("m > hi - 12 and w is not null").select("level", "w", *[loss[s].alias(s) for s in _STRATEGIES])
+    out = []
+    for level in H.LEVELS:
+        each = frames[tuple(level)].groupBy(*level).agg(F.sum(F.when(F.col("m") <= F.lit(hi) - 12, F.col("p"))).alias("w"), *[at(k).alias(f"q{k}") for k in range(24)])
+        f = each.where("w is not null").select("w", F.inline(F.array(*months)))
+        out.append(f.select(F.lit(H.level_name(level)).alias("level"), "w", *[loss[s].alias(s) for s in _STRATEGIES]))
+    return reduce(DataFrame.unionByName, out)
 
 
 @register(
