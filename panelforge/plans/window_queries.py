@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import hierarchy as H
@@ -11,6 +13,7 @@ from panelforge.operators import scan as S
 from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, SALES, brand_panel, r, sales, t
 from panelforge.plans.registry import register
+from panelforge.session import checkpoint
 
 def series():
     """The window of one series in the order of days."""
@@ -153,14 +156,30 @@ _SETS = {H.level_name(level): level for level in H.LEVELS[1:]}
     + " FROM sales",
 )
 def w26(spark, sf_dir):
-    """Mean and deviation of the target up to the cut-off under eleven key sets for every item of a store: the facts are summed first, so that windows see one row a pair."""
+    """Mean and deviation of the target up to the cut-off under eleven key sets for every item of a store.
+
+    Sets without store and item are worked out on the sums of their three keys and joined; rows are dealt out once by item and once by store, for all sets of each.
+    """
     q = F.when(F.expr(_CUT), F.col("qty"))
-    pairs = sales(spark, sf_dir).groupBy(*H.DIMENSIONS).agg(F.count(q).alias("n"), F.sum(q).alias("s"), F.sum(q * q).alias("s2"))
-    columns = []
-    for name, keys in _SETS.items():
-        mean, std = W.encoding("n", "s", "s2", W.by(*keys))
-        columns += [r(mean).alias(f"{name}_mean"), r(std, 4).alias(f"{name}_std")]
-    return pairs.select("store", "item", *columns)
+    sums = [F.count(q).alias("n"), F.sum(q).alias("s"), F.sum(q * q).alias("s2")]
+    s = sales(spark, sf_dir).select(*H.DIMENSIONS, "d", "qty")
+
+    def encoded(df, sets):
+        columns = []
+        for name, keys in sets.items():
+            mean, std = W.encoding("n", "s", "s2", W.by(*keys))
+            columns += [r(mean).alias(f"{name}_mean"), r(std, 4).alias(f"{name}_std")]
+        return df.select("*", *columns)
+
+    of = lambda key: {name: sorted(keys, key=lambda k: k != key) for name, keys in _SETS.items() if key in keys}
+    rest = {name: keys for name, keys in _SETS.items() if "store" not in keys and "item" not in keys}
+    group = ["region", "cat", "dept"]
+    few = encoded(s.groupBy(*group).agg(*sums), rest).select(*[F.col(k).alias(f"__{k}") for k in group], *[f"{name}_{x}" for name in rest for x in ("mean", "std")])
+    few = checkpoint(few, "few-keys")  # its size is known to the join
+    pairs = encoded(s.repartition("item").groupBy(*H.DIMENSIONS).agg(*sums), of("item"))
+    pairs = encoded(pairs.repartition("store"), {name: keys for name, keys in of("store").items() if "item" not in keys})
+    out = pairs.join(few, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in group]))
+    return out.select("store", "item", *[f"{name}_{x}" for name in _SETS for x in ("mean", "std")])
 
 
 _panel("w27_encoding_by_weekday", lambda: [r(F.avg(F.when(F.expr(_CUT), F.col("y"))).over(Window.partitionBy("id", F.weekday("d")))).alias("enc_dow"), r(F.avg(F.when(F.expr(_CUT), F.col("y"))).over(Window.partitionBy("id", F.day("d")))).alias("enc_day")], f"round(avg(CASE WHEN {_CUT} THEN y END) OVER (PARTITION BY id, isodow(d)), 6) AS enc_dow, round(avg(CASE WHEN {_CUT} THEN y END) OVER (PARTITION BY id, day(d)), 6) AS enc_day")
