@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import checkpoint
-
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -56,20 +54,22 @@ def weighted_mean(x, w) -> Column:
     return F.try_divide(F.sum(_c(x) * _c(w)), F.sum(F.when(_c(x).isNotNull(), _c(w))))
 
 
-def sparse_scores(sums: DataFrame, keys: list[str], t: str, q: str, p: str, horizon: int, lag: int) -> DataFrame:
+def sparse_scores(sums: DataFrame, keys: list[str], t: str, q: str, p: str, horizon: int, lag: int, last: int | None = None) -> DataFrame:
     """keys, mse, scale, revenue of each series against its values ``lag`` periods before, over the last ``horizon`` periods.
 
     ``sums`` has the periods in which a series isn't zero (``t`` a whole number); the rest counts as zero and is never
     made. ``scale`` is the mean squared first difference from the first period to the test: between two neighbours one
     difference, before a gap the value's fall to zero, after it its rise. A value of the test meets the one ``lag`` periods before
     it through a range of the same window; one that nothing follows there is an error of its own. ``revenue`` sums ``p`` over the
-    ``horizon`` periods before the test. One exchange and one sort, linear in the rows; ``lag`` is at least the horizon.
+    ``horizon`` periods before the test. One exchange and one sort, linear in the rows; ``lag`` is at least the horizon. ``last`` is
+    the last period where it is known; without keys all rows are one series.
     """
     if lag < horizon:
         raise ValueError("the forecast would need values of the test")
     w = Window.partitionBy(*keys).orderBy(t)
     at = lambda k: F.sum(q).over(w.rangeBetween(k, k))
-    x = sums.crossJoin(F.broadcast(sums.agg(F.max(t).alias("__hi")))).select(
+    ends = sums.crossJoin(F.broadcast(sums.agg(F.max(t).alias("__hi")))) if last is None else sums.withColumn("__hi", F.lit(last))
+    x = ends.select(
         *keys, q, p, F.col(t).alias("__t"), (F.col("__hi") - horizon).alias("__end"),
         F.lag(t).over(w).alias("__prev"), F.lag(q).over(w).alias("__before"), F.lead(t).over(w).alias("__next"),
         at(-lag).alias("__f"), F.count("*").over(w.rangeBetween(lag, lag)).alias("__met"),
@@ -88,12 +88,13 @@ def sparse_scores(sums: DataFrame, keys: list[str], t: str, q: str, p: str, hori
     return out.select(*keys, (F.col("__e") / horizon).alias("mse"), F.when(F.col("__n") > 0, F.col("__d") / F.col("__n")).alias("scale"), "revenue")
 
 
-def level_weights(scores: DataFrame, level: str = "level") -> DataFrame:
-    """Adds w (a series' share of its level's revenue, 0 where there is none) and rmsse (null where the scale is null or 0)."""
-    scores = checkpoint(scores, "level-scores")  # read twice: a row a series
-    total = scores.groupBy(level).agg(F.sum("revenue").alias("__all"))
-    joined = scores.join(F.broadcast(total), level)  # a row for each level
-    return joined.withColumn("w", F.coalesce(F.try_divide("revenue", "__all"), F.lit(0.0))).withColumn("rmsse", F.sqrt(F.try_divide("mse", F.nullif("scale", F.lit(0.0))))).drop("__all")
+def level_totals(scores: DataFrame, level: str = "level") -> DataFrame:
+    """level, w, wrmsse, scored: on each level the sum of its series' weights (their shares of its revenue, 0 where there is none), their weighted score and the number of
+    series that have one (a scale that isn't null or 0). Sums of products are divided once a level, so series are read once and not kept."""
+    rmsse = F.sqrt(F.try_divide("mse", F.nullif("scale", F.lit(0.0))))
+    sums = scores.groupBy(level).agg(F.sum("revenue").alias("__all"), F.sum(F.col("revenue") * rmsse).alias("__s"), F.count(rmsse).alias("scored"))
+    share = lambda c: F.coalesce(F.try_divide(c, "__all"), F.lit(0.0))
+    return sums.select(level, share("__all").alias("w"), F.when(F.col("scored") > 0, share("__s")).alias("wrmsse"), "scored")
 
 
 def contributions(by_level: DataFrame, level: str, loss: str, weight: str, augmented: int, sampled: int, large: tuple[str, ...], items: str = "item") -> DataFrame:
