@@ -34,8 +34,7 @@ def forecasts(spark, sf_dir, lag: int = 28):
 
 @register("h01_bottom_up", f"WITH {SALES}, s AS (SELECT region, store, cat, dept, item, qty FROM sales) {levels_sql('sum(qty) AS q')}")
 def h01(spark, sf_dir):
-    bottom = sales(spark, sf_dir).groupBy(*H.DIMENSIONS).agg(F.sum("qty").alias("q"))
-    return H.aggregate(bottom, H.LEVELS, [], [F.sum("q").alias("q")])
+    return H.rollup(sales(spark, sf_dir), H.LEVELS, [], {"q": F.col("qty")})
 
 
 #: The cascade's levels from the top to the bottom, by the keys that each adds; every level's forecast is its own sum in whole tens.
@@ -54,12 +53,10 @@ def _cascade_sql() -> str:
 @register("h02_top_down_cascade", _cascade_sql())
 def h02(spark, sf_dir):
     bottom = checkpoint(sales(spark, sf_dir).groupBy(*H.DIMENSIONS, F.year("d").cast("long").alias("yr")).agg(F.sum("qty").alias("qty")), "cascade")
-    tens = F.ceil(F.sum("qty") / 10) * 10.0
-    steps, keys = [], []
-    for added in _CASCADE[1:]:
-        parent, keys = keys, [*keys, *added]
-        steps.append((bottom.groupBy(*keys, "yr").agg(tens.alias("q")), parent))
-    return H.cascade(bottom.groupBy("yr").agg((tens * 1.1).alias("q")), steps, "yr", "q").select("store", "item", "yr", r("q", 5).alias("adjusted"))
+    tens = lambda c: F.ceil(c / 10) * 10.0
+    level = lambda *keys: bottom.groupBy(*keys, "yr").agg(tens(F.sum("qty")).alias("qty"))
+    stores = H.cascade(level().select("yr", (F.col("qty") * 1.1).alias("qty")), [(level("region"), []), (level("region", "store"), ["region"])], "yr", "qty")
+    return H.cascade_within(bottom, stores, ["store", "yr", "region"], ["cat", "dept", "item"], "qty", tens).select("store", "item", "yr", r("adjusted", 5).alias("adjusted"))
 
 
 @register("h03_trailing_share", f"WITH {BRAND}, x AS (SELECT id, avg(y) AS m FROM panel0, bounds WHERE d > hi - 28 GROUP BY id) SELECT id, round(m / sum(m) OVER (), 6) AS share FROM x")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars as S
@@ -13,6 +15,7 @@ from panelforge.operators import sampling
 from panelforge.operators import windows as W
 from panelforge.plans.base import BRAND, EVENTS, SALES, brand_daily, brand_panel, events_daily, levels_sql, r, sales, t
 from panelforge.plans.registry import register
+from panelforge.session import checkpoint
 
 
 def _simple(name: str, oracle: str):
@@ -146,8 +149,8 @@ def j20(spark, sf_dir):
 
 @_simple("j21_semi_anti", "SELECT p_partkey, 'sold' AS k FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT p_partkey, 'unsold' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
 def j21(spark, sf_dir):
-    p, line = t(spark, sf_dir, "part").select("p_partkey"), t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
-    return p.join(line, "p_partkey", "left_semi").withColumn("k", F.lit("sold")).unionByName(p.join(line, "p_partkey", "left_anti").withColumn("k", F.lit("unsold")))
+    sold = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("k", F.lit("sold"))
+    return t(spark, sf_dir, "part").select("p_partkey").join(sold, "p_partkey", "left").select("p_partkey", F.coalesce("k", F.lit("unsold")).alias("k"))
 
 
 @_simple("ag01_release_day", "SELECT l_partkey, l_suppkey, CAST(min(l_shipdate) AS DATE) AS release FROM lineitem GROUP BY ALL")
@@ -314,15 +317,14 @@ def _coded_sql() -> str:
 @_simple("ag27_codes_at_levels", _coded_sql())
 def ag27(spark, sf_dir):
     """Every level's sums under integer codes; a key that a level doesn't have gets the number of its codes ("all")."""
-    s, sizes = sales(spark, sf_dir).select(*H.DIMENSIONS, "qty"), {}
-    bottom = s.groupBy(*H.DIMENSIONS).agg(F.sum("qty").alias("qty"))
-    for k in H.DIMENSIONS:
-        codes = S.dense_codes(s.select(k), k, f"{k}_code")
-        sizes[k] = codes.count()
-        bottom = bottom.join(codes, k)
-    coded = bottom.select(*[F.col(f"{k}_code").alias(k) for k in H.DIMENSIONS], "qty")
-    out = H.aggregate(coded, H.LEVELS, [], [F.sum("qty").alias("qty")], keep_keys=True)
-    return out.select("level", *[F.coalesce(F.col(k), F.lit(sizes[k])).alias(f"{k}_code") for k in H.DIMENSIONS], "qty")
+    bottom = checkpoint(sales(spark, sf_dir).groupBy(*H.DIMENSIONS).agg(F.sum("qty").alias("qty")), "coded")
+    codes = {k: S.dense_codes(bottom.select(k), k, f"{k}_code") for k in H.DIMENSIONS}
+    sizes, out = {k: c.count() for k, c in codes.items()}, []
+    for level, frame in H.level_sums(bottom, H.LEVELS, [], {"qty": F.col("qty")}, summed=True).items():
+        for k in level:
+            frame = frame.join(codes[k], k)
+        out.append(frame.select(F.lit(H.level_name(level)).alias("level"), *[F.col(f"{k}_code") if k in level else F.lit(sizes[k]).cast("long").alias(f"{k}_code") for k in H.DIMENSIONS], "qty"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @_simple("o01_multi_key_sort", "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey, n_name")

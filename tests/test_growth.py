@@ -1,14 +1,17 @@
 """Steps whose rows, tasks or memory used to grow faster than the tables."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import hierarchy as H
 from panelforge.operators import metrics as M
-from panelforge.plans import forecast_queries
+from panelforge.plans import forecast_queries, relational_queries, window_queries
+from panelforge.streaming import timers
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +36,85 @@ def test_level_sums_keep_their_keys(spark):
     assert all(frames[tuple(level)].columns == [*level, "m", "q"] for level in H.LEVELS)
     assert {tuple(r) for r in frames["store", "cat"].collect()} == {(1, "c1", 1, 5.0), (2, "c2", 1, 4.0), (3, None, 2, 5.0)}
     assert {tuple(r) for r in frames[()].collect()} == {(1, 9.0), (2, 5.0)}
+
+
+def test_level_totals_divide_once(spark):
+    rows = [("a", 4.0, 1.0, 10.0), ("a", 9.0, 1.0, 30.0), ("a", 1.0, 0.0, 10.0), ("b", 1.0, 1.0, 0.0), ("c", 1.0, None, 5.0)]
+    got = {r["level"]: tuple(r)[1:] for r in M.level_totals(spark.createDataFrame(rows, "level string, mse double, scale double, revenue double")).collect()}
+    assert got["a"] == (1.0, pytest.approx((10 * 2 + 30 * 3) / 50), 2)
+    assert got["b"] == (0.0, 0.0, 1) and got["c"] == (1.0, None, 0)
+
+
+def test_target_encoding_deals_stores_out_once(spark):
+    text = plan(window_queries.w26(spark, SF))
+    assert not re.findall(r"hashpartitioning\((store|item|region)#\w+, (cat|dept|item|region)#\w+, 4\)", text.split("__cat")[0])  # rows were dealt out once for each set
+
+
+def test_parts_meet_distinct_keys(spark):
+    assert plan(relational_queries.j21(spark, SF)).count("[l_partkey#") <= 2  # one scan (its columns are named twice), where semi and anti join had one each
+    assert {r["k"] for r in relational_queries.j21(spark, SF).collect()} <= {"sold", "unsold"}
+
+
+@pytest.mark.parametrize("query", [lambda *a: forecast_queries.h01(*a), lambda *a: relational_queries.ag27(*a)])
+def test_levels_without_expanded_rows(spark, query):
+    assert "Expand" not in plan(query(spark, SF))
+
+
+def test_cascade_within_equals_the_cascade(spark):
+    rows = [(1, "c1", "d1", 10, 7.0), (1, "c1", "d1", 11, 0.0), (1, "c1", "d2", 12, 25.0), (1, None, "d3", 13, 8.0), (1, "c2", None, 14, 9.0), (2, "c1", "d1", 10, 3.0), (None, "c1", "d1", 10, 5.0)]
+    bottom = spark.createDataFrame(rows, "store long, cat string, dept string, item long, q double").withColumn("yr", F.lit(2000))
+    own = lambda c: F.ceil(c / 10) * 10.0
+    level = lambda *keys: bottom.groupBy(*keys, "yr").agg(own(F.sum("q")).alias("q"))
+    top = level("store").select("store", "yr", (F.col("q") * 1.5).alias("q"))
+    keys = ["store", "cat", "dept", "item"]
+    steps = [(level(*keys[:k]), keys[: k - 1]) for k in (2, 3, 4)]
+    want = H.cascade(top, steps, "yr", "q").select("store", "cat", "dept", "item", F.col("q").alias("adjusted"))
+    got = H.cascade_within(bottom, top, ["store", "yr"], ["cat", "dept", "item"], "q", own)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert not re.findall(r"hashpartitioning\(store#\w+, (cat|yr)#\w+, (cat|dept)#", plan(got))  # no level is dealt out for itself
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.rows = [], []
+
+    def getListState(self, *_):
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.calls.append(("set", at))
+
+    def deleteTimer(self, at):
+        self.calls.append(("drop", at))
+
+
+class _At:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_a_user_has_one_timer_however_many_sessions(spark):
+    handle, sessions = _Handle(), timers.Sessions(10)
+    sessions.init(handle)
+    list(sessions.handleInputRows((1,), iter([pd.DataFrame({"at": [0, 100, 5, 200, 300]})]), _At(0)))
+    assert handle.calls == [("set", 15)]  # four timers before
+    out = pd.concat(list(sessions.handleExpiredTimer((1,), _At(210), _At(15))))
+    assert out[["first", "end", "n"]].values.tolist() == [[0, 15, 2], [100, 110, 1], [200, 210, 1]]
+    assert handle.calls == [("set", 15), ("set", 310)] and handle.rows == [(300, 300, 1)]
