@@ -1,8 +1,8 @@
 """Sessions with timers: arbitrary state of each user, closed by event time.
 
-A processor holds a user's open sessions as state and sets a timer where each would end. When the watermark passes a
-timer, the session is handed out once and its state is deleted, so state is bounded by the sessions that
-are open within the delay, not by the users ever seen.
+A processor holds a user's open sessions as state and sets one timer, where the first of them would end. When the watermark passes it,
+all sessions that have ended are handed out once and leave the state, and the timer is set for the first that is left, so that a
+user costs a few calls a batch, however many sessions it has. State is bounded by the sessions that are open within the delay, not by the users ever seen.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ def merged(spans: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int,
     return out
 
 
+EMPTY = pd.DataFrame({"user_id": [], "first": [], "end": [], "n": []})
+
+
 class Sessions(StatefulProcessor):
     def __init__(self, gap: int):
         self.gap = gap
@@ -41,34 +44,38 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         late = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        before, new = set(held), []
+        held, new = self._held(), []
         for pdf in rows:
             times = pdf["at"]
             new += [(t, t, 1) for t in times[times + self.gap > late].tolist()]  # rows of ended sessions are late
-        now = merged(held + new, self.gap)
-        self._keep(before, now)
-        yield pd.DataFrame({"user_id": [], "first": [], "end": [], "n": []})
+        if new:
+            self._keep(held, merged(held + new, self.gap))
+        yield EMPTY
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = self._held()
         ended = [x for x in held if x[1] + self.gap <= at]
         rest = [x for x in held if x[1] + self.gap > at]
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
-        yield pd.DataFrame({"user_id": [key[0]] * len(ended), "first": [x[0] for x in ended], "end": [x[1] + self.gap for x in ended], "n": [x[2] for x in ended]})
-
-    def _keep(self, before: set, now: list) -> None:
-        ends = {x[1] + self.gap for x in now}
-        for gone in {x[1] + self.gap for x in before} - ends:
-            self.handle.deleteTimer(gone)
-        for end in ends - {x[1] + self.gap for x in before}:
-            self.handle.registerTimer(end)
+        if ended:
+            self._keep([], rest)
+        yield pd.DataFrame({"user_id": [key[0]] * len(ended), "first": [x[0] for x in ended], "end": [x[1] + self.gap for x in ended], "n": [x[2] for x in ended]}) if ended else EMPTY
+
+    def _held(self) -> list[tuple[int, int, int]]:
+        return [tuple(x) for x in self.open.get()] if self.open.exists() else []
+
+    def _keep(self, before: list, now: list) -> None:
+        """Stores the sessions, which are in order, and moves the timer to the first one's end."""
+        was, ends = (x[0][1] + self.gap if x else None for x in (before, now))
+        if was != ends:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if ends is not None:
+                self.handle.registerTimer(ends)
         if now:
             self.open.put(now)
+        else:
+            self.open.clear()
 
 
 def closed_sessions(events: DataFrame, gap_ms: int, late: str = "1 hour") -> DataFrame:
