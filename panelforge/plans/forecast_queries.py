@@ -332,7 +332,7 @@ _CDFS = {
 def q08_cdf(spark, sf_dir):
     """Mean probability integral transform of each series' days (0.5 if a head fits); each distinct value is asked for once."""
     x, heads = _heads(spark, sf_dir)
-    values = x.groupBy("id", "y", "m", "s", "top").agg(F.count("*").alias("n"))
+    values = _spread(x.groupBy("id", "y", "m", "s", "top").agg(F.count("*").alias("n")), "id", "y")
     return values.groupBy("id").agg(*[r(F.sum(h.cdf(v) * F.col("n")) / F.sum("n")).alias(name) for name, (h, v) in heads.items() if name in _CDFS])
 
 
@@ -341,9 +341,14 @@ def q08_quantiles(spark, sf_dir):
     """Three quantiles of every series' heads and the mean score (CRPS) of its last 28 days."""
     x, heads = _heads(spark, sf_dir)
     last = x.crossJoin(F.broadcast(x.agg(F.max("d").alias("hi")))).where("d > date_sub(hi, 28)")
-    score = last.groupBy("id", "m", "s", "top").agg(*[F.avg(h.crps(v)).alias(name) for name, (h, v) in heads.items()])
+    score = _spread(last, "id", "d").groupBy("id", "m", "s", "top").agg(*[F.avg(h.crps(v)).alias(name) for name, (h, v) in heads.items()])
     each = F.inline(F.array(*[F.struct(F.lit(name).alias("head"), *[r(h.quantile(p), 5).alias(f"q{int(p * 100)}") for p in (0.1, 0.5, 0.9)], r(name, 5).alias("crps")) for name, (h, _) in heads.items()]))
-    return score.select("id", each)
+    return _spread(score, "id").select("id", each)
+
+
+def _spread(df, *keys):
+    """Few rows that cost much each, dealt to all tasks: their bytes would fit one."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def _heads(spark, sf_dir):

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.functions import distributions as D
 from panelforge.operators import hierarchy as H
 from panelforge.operators import metrics as M
 from panelforge.plans import forecast_queries, relational_queries, window_queries
@@ -118,3 +119,16 @@ def test_a_user_has_one_timer_however_many_sessions(spark):
     out = pd.concat(list(sessions.handleExpiredTimer((1,), _At(210), _At(15))))
     assert out[["first", "end", "n"]].values.tolist() == [[0, 15, 2], [100, 110, 1], [200, 210, 1]]
     assert handle.calls == [("set", 15), ("set", 310)] and handle.rows == [(300, 300, 1)]
+
+
+def test_counts_are_scored_without_listing_them(spark):
+    """Rates far beyond what a sum over counts could list, against the scores of the normal curve and of the gamma curve that they tend to."""
+    df = spark.createDataFrame([(4e9, 4e9 + 6e4, 3e8)], "m double, x double, y double")
+    poisson, normal, binomial, gamma = df.select(D.Poisson(F.col("m")).crps(F.col("x")), D.Gaussian(F.col("m"), F.sqrt("m")).crps(F.col("x")), D.NegativeBinomial(F.col("m"), F.lit(0.5)).crps(F.col("y")), D.Gamma(F.lit(2.0), 2 / F.col("m")).crps(F.col("y"))).first()
+    assert poisson == pytest.approx(normal, rel=1e-4) and binomial == pytest.approx(gamma, rel=1e-6)
+
+
+@pytest.mark.parametrize("head, x", [(lambda: D.Poisson(F.lit(31.0)), 25.0), (lambda: D.Poisson(F.lit(400.0)), 431.0), (lambda: D.NegativeBinomial(F.lit(120.0), F.lit(0.5)), 90.0), (lambda: D.NegativeBinomial(F.lit(120.0), F.lit(0.2)), 0.0)])
+def test_closed_scores_equal_the_sums(spark, head, x):
+    got, want = spark.range(1).select(head().crps(F.lit(x)), D._Counts.crps(head(), F.lit(x))).first()
+    assert got == pytest.approx(want, rel=1e-8)
