@@ -6,7 +6,8 @@ composes the maps of its own rows, batch by batch, and forgets where it began: w
 lacks is one number a recurrence, the state at the end of the range before. Only a range's first series
 can lack it, so carries are composed from at most two rows a range, and each such row of
 data gets its carry in one product. No series is gathered in a row or a task, and a
-series of half of all rows costs what many short ones cost.
+series of half of all rows costs what many short ones cost. Series that cannot be long (a row
+a day) need none of that: dealt out by key they are streamed, in one exchange and without files.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from panelforge.session import checkpoint
 
 
 def composed(begins: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The map from each segment's beginning to each row, by doubling: log2(n) steps over whole arrays."""
+    """The map from each segment's beginning to each row, by doubling: log2(n) steps over whole arrays. ``b`` may hold several rows for one ``a``."""
     a, b, closed, step = a.copy(), b.copy(), begins.copy(), 1
     while step < len(a) and not closed[step:].all():
         at = step + np.flatnonzero(~closed[step:])
-        b[at], a[at] = a[at] * b[at - step] + b[at], a[at] * a[at - step]
+        for c in np.atleast_2d(b):
+            c[at] += a[at] * c[at - step]
+        a[at] *= a[at - step]
         closed[at] |= closed[at - step]
         step *= 2
     return a, b
@@ -130,20 +133,23 @@ def _carries(ranges: DataFrame, keys: list[str], n: int, before: bool) -> DataFr
     return pairs.select("__part", F.lit(True).alias("__head"), *[F.col("c")[k].alias(f"__c{k}") for k in range(n)])
 
 
-def ewm_mean(df: DataFrame, keys: list[str], order: list[str], c: str, out: str, alpha: float, adjust: bool = True, min_periods: int = 1, gaps: bool = True) -> DataFrame:
+def ewm_mean(df: DataFrame, keys: list[str], order: list[str], c: str, out: str, alpha: float, adjust: bool = True, min_periods: int = 1, gaps: bool = True, split: bool = True) -> DataFrame:
     """One exponentially weighted mean; see ``ewm_means``."""
-    return ewm_means(df, keys, order, c, {out: (alpha, min_periods)}, adjust, gaps)
+    return ewm_means(df, keys, order, c, {out: (alpha, min_periods)}, adjust, gaps, split)
 
 
-def ewm_means(df: DataFrame, keys: list[str], order: list[str], c: str, means: dict[str, tuple[float, int]], adjust: bool = True, gaps: bool = True) -> DataFrame:
+def ewm_means(df: DataFrame, keys: list[str], order: list[str], c: str, means: dict[str, tuple[float, int]], adjust: bool = True, gaps: bool = True, split: bool = True) -> DataFrame:
     """Exponentially weighted means by name, each of an alpha and a least number of values, as pandas' ``ewm(alpha=alpha, adjust=adjust).mean()``.
 
     Adjusted: two recurrences of one decay, of values and of weights, and their ratio. Recursive: the first value, then the weighted
     mean of the last state, aged by the rows since it, and the value. Nulls age the weights of what came before; at a null a mean is the last
     state, and null until ``min_periods`` values that aren't null. Without ``gaps`` (a series that has no nulls) one scan is saved. All means share their scans.
+    Without ``split`` a series is streamed by one task, for series whose length has a bound (a row a day): an exchange by key that the table has already serves.
     """
     if not all(0 < alpha <= 1 for alpha, _ in means.values()):
         raise ValueError("alpha lies in (0, 1]")
+    if not split:
+        return _streamed(df, keys, order, c, means, adjust)
     x, none, one = F.col(c).cast("double"), F.col(c).isNull(), F.lit(1.0)
     rest = [k for k in df.columns if k not in means]
     count = (one, F.when(none, 0.0).otherwise(1.0))
@@ -163,6 +169,52 @@ def ewm_means(df: DataFrame, keys: list[str], order: list[str], c: str, means: d
     return affine_scan(df, keys, order, maps).select(*rest, *[v.alias(name) for name, v in held.items()])
 
 
+def _streamed(df: DataFrame, keys: list[str], order: list[str], c: str, means: dict[str, tuple[float, int]], adjust: bool) -> DataFrame:
+    """``ewm_means`` by one pass over sorted series; from batch to batch go a series' last value's row number, the values so far and the states."""
+    if not keys or not order:
+        raise ValueError("a mean needs keys and an order")
+    kept = [k for k in df.columns if k not in means or k == c]
+    source = df.select(*kept, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("__i"))  # the window deals rows out and sorts them
+    rest = [k for k in df.columns if k not in means]
+    schema = T.StructType([*[source.schema[k] for k in rest], *[T.StructField(name, T.DoubleType()) for name in means]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, states = 0, 0, [np.array([0.0, 1.0])] * len(means)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i = batch.column("__i").to_numpy().astype(np.int64)
+            segment, known = np.cumsum(i == 1), batch.column(c).is_valid().to_numpy(zero_copy_only=False)
+            x = batch.column(c).filter(pa.array(known)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            # the values, after one that stands for the batches before
+            rows, of = np.concatenate([[at], i[known]]), np.concatenate([[0], segment[known]])
+            first = np.concatenate([[False], (of[1:] != of[:-1]) | (rows[:-1] == 0)])
+            begins = first.copy()
+            begins[0] = True
+            places = np.arange(len(rows))
+            start = np.maximum.accumulate(np.where(begins, places, 0))
+            count = places - start + np.where(start == 0, n, 1)
+            gap = np.where(begins, 1, np.diff(rows, prepend=0))
+            latest = np.cumsum(known)  # each row's last value
+            inside, last = of[latest] == segment, rows[-1] * (of[-1] == segment[-1])
+            added = []
+            for k, (alpha, least) in enumerate(means.values()):
+                a = np.power(1.0 - alpha, gap)
+                if adjust:
+                    b = np.concatenate([states[k][:, None], [x, np.ones(len(x))]], axis=1)
+                else:
+                    a, share = a / (a + alpha), alpha / (a + alpha)
+                    b = np.concatenate([states[k][:1, None], [np.where(first[1:], 1.0, share[1:]) * x]], axis=1)
+                _, b = composed(begins, a, b)
+                value = b[0] / b[1] if adjust else b[0]
+                states[k] = np.resize(b[:, -1], 2)
+                added.append(pa.array(value[latest], mask=~(inside & (count[latest] >= max(least, 1)))))
+            at, n = (int(last), int(count[-1])) if last else (0, 0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in rest], *added], schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def ewm_span(span: float) -> float:
     """The decay of a span of rows."""
     return 2.0 / (span + 1.0)

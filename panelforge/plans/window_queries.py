@@ -96,12 +96,18 @@ _SPANS = {3: 3, 7: 5, 30: 16}
 
 
 def _item_days(spark, sf_dir):
-    """item, d, y: one series for each item over its days with sales and the days between them, null where nothing was sold on an even day before the next sale."""
-    days = sales(spark, sf_dir).groupBy("item", "d").agg(F.sum("qty").alias("y"))
-    w = W.ordered(["item"], "d")
-    gaps = days.select("item", "d", "y", F.lead("d").over(w).alias("next"))
-    holes = gaps.where("date_diff(next, d) > 1").select("item", F.date_add("d", 1).alias("d"), F.lit(None).cast("double").alias("y"))
-    return days.unionByName(holes)
+    """item, d, y: one series for each item over its days with sales, and a null on the day after a sale where the next sale is later still.
+
+    Rows are dealt out once, by item: sums, gaps and a series' means share that exchange. A series has at most a row a day.
+    """
+    nation = t(spark, sf_dir, "nation").join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    store = t(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("s_suppkey").alias("store"))
+    line = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("store"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").alias("qty"))
+    line = line.where("item IS NOT NULL").join(store, "store").select("item", "d", "qty").repartition("item")
+    days = line.join(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), "item").groupBy("item", "d").agg(F.sum("qty").alias("y"))
+    later = F.date_diff(F.lead("d").over(W.ordered(["item"], "d")), "d") > 1
+    sale, hole = F.struct("d", "y"), F.struct(F.date_add("d", 1).alias("d"), F.lit(None).cast("double").alias("y"))
+    return days.select("item", F.when(later, F.array(sale, hole)).otherwise(F.array(sale)).alias("x")).select("item", F.inline("x"))
 
 
 _ITEM_DAYS = f"{SALES}, days AS (SELECT item, d, sum(qty) AS y FROM sales GROUP BY ALL), gaps AS (SELECT *, lead(d) OVER (PARTITION BY item ORDER BY d) AS nxt FROM days), it AS (SELECT item, d, y FROM days UNION ALL SELECT item, d + 1, NULL FROM gaps WHERE nxt - d > 1), n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY d) AS i FROM it)"
@@ -113,9 +119,9 @@ _ITEM_DAYS = f"{SALES}, days AS (SELECT item, d, sum(qty) AS y FROM sales GROUP
     + " SELECT item, d, " + ", ".join(f"ewm_{k}" for k in _SPANS) + " FROM " + " JOIN ".join(f"e{k}" + (" USING (item, d)" if n else "") for n, k in enumerate(_SPANS)),
 )
 def w14_spans(spark, sf_dir):
-    """Several spans over the series of every item, with a null after each sale that the next day doesn't follow; all spans ride on one scan."""
+    """Several spans over the series of every item, with a null after each sale that the next day doesn't follow; all spans ride on one pass."""
     out = _item_days(spark, sf_dir)
-    return S.ewm_means(out, ["item"], ["d"], "y", {f"ewm_{k}": (S.ewm_span(k), m) for k, m in _SPANS.items()}).select("item", "d", *[r(f"ewm_{k}").alias(f"ewm_{k}") for k in _SPANS])
+    return S.ewm_means(out, ["item"], ["d"], "y", {f"ewm_{k}": (S.ewm_span(k), m) for k, m in _SPANS.items()}, split=False).select("item", "d", *[r(f"ewm_{k}").alias(f"ewm_{k}") for k in _SPANS])
 
 
 @register(
@@ -124,7 +130,7 @@ def w14_spans(spark, sf_dir):
     "CASE WHEN y IS NULL THEN e WHEN e IS NULL THEN y ELSE (pow(0.7::DOUBLE, gap) * e + 0.3::DOUBLE * y) / (pow(0.7::DOUBLE, gap) + 0.3::DOUBLE) END, CASE WHEN y IS NULL THEN gap + 1 ELSE 1 END FROM walk JOIN n ON n.item = walk.item AND n.i = walk.i + 1) SELECT item, d, round(e, 6) AS ewm FROM walk",
 )
 def w15_gaps(spark, sf_dir):
-    return S.ewm_mean(_item_days(spark, sf_dir), ["item"], ["d"], "y", "e", 0.3, adjust=False).select("item", "d", r("e").alias("ewm"))
+    return S.ewm_mean(_item_days(spark, sf_dir), ["item"], ["d"], "y", "e", 0.3, adjust=False, split=False).select("item", "d", r("e").alias("ewm"))
 
 
 UNTIL = f"({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -75,6 +75,13 @@ def test_cascade_within_equals_the_cascade(spark):
     assert not re.findall(r"hashpartitioning\(store#\w+, (cat|yr)#\w+, (cat|dept)#", plan(got))  # no level is dealt out for itself
 
 
+@pytest.mark.parametrize("query", [lambda *a: window_queries.w14_spans(*a), lambda *a: window_queries.w15_gaps(*a)])
+def test_item_series_are_dealt_out_once(spark, query):
+    text = plan(query(spark, SF))
+    assert len(re.findall(r"Exchange (hash|range)partitioning", text)) == 1  # two scans dealt all rows out by ranges, after sums and gaps had by keys
+    assert text.count("lineitem.parquet") == 1 and "panelforge/scan-" not in text  # sales and holes each read the table; scans wrote all rows
+
+
 class _Handle:
     def __init__(self):
         self.calls, self.rows = [], []

@@ -66,3 +66,34 @@ def test_long_gaps_empty_tables_and_other_maps(spark):
     assert [r["total"] for r in out] == [0, 1, 3, 6, 10, 15] and [r["x"] for r in out] == [1, 0, 1, 0, 1, 0]
     with pytest.raises(ValueError):
         S.affine_scan(df, [], ["d"], {})
+
+
+@pytest.mark.parametrize("partitions,batch", [(1, 10_000), (23, 3)])
+@pytest.mark.parametrize("sizes,holes", [((30, 1, 400, 2, 57), 0.3), ((300,), 0.9), ((7, 5), 0.0)])
+def test_streamed_means_against_pandas(spark, partitions, batch, sizes, holes):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, v in zip(before, (partitions, batch)):
+        spark.conf.set(k, v)
+    try:
+        rows = panel(sizes, holes, sum(sizes))
+        for adjust in (True, False):
+            means = {"e": (0.3, 4), "f": (2 / 7, 1), "x": (1.0, 2)}
+            got = S.ewm_means(frame(spark, rows), ["id", "k"], ["d"], "x", means, adjust, split=False).collect()
+            for name, (alpha, least) in means.items():
+                same({(r["id"], r["k"], r["d"]): r[name] for r in got}, ranks(rows, lambda x: x.ewm(alpha=alpha, adjust=adjust, min_periods=least).mean()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_streamed_means_over_long_gaps_other_types_and_empty_tables(spark):
+    rows = [("a", 0, i, 1.0 if i == 0 else 9.0 if i == 2000 else None) for i in range(2001)]
+    for adjust in (True, False):
+        got = {r["d"]: r["e"] for r in S.ewm_mean(frame(spark, rows), ["id"], ["d"], "x", "e", 0.9, adjust, split=False).collect()}
+        assert got[1999] == 1.0 and got[2000] == 9.0
+    assert S.ewm_mean(frame(spark, []), ["id"], ["d"], "x", "e", 0.5, split=False).collect() == []
+    df = frame(spark, [("a", 0, i, float(i)) for i in range(3)]).withColumn("x", F.col("x").cast("decimal(9,2)"))
+    out = S.ewm_mean(df, ["id"], ["d"], "x", "e", 0.5, adjust=False, split=False)
+    assert out.columns == ["id", "k", "d", "x", "e"] and [r["e"] for r in out.orderBy("d").collect()] == [0.0, 0.5, 1.25]
+    with pytest.raises(ValueError):
+        S.ewm_mean(df, [], ["d"], "x", "e", 0.5, split=False)
