@@ -60,11 +60,14 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], maps: dict[str
         parts += [F.when(open_, 1.0).otherwise(a.cast("double")).alias(f"__a{k}"), F.when(open_, 0.0).otherwise(b.cast("double")).alias(f"__b{k}")]
     source = df.select(*kept, *parts).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id())
     states = [f"__{c}{k}" for k in range(len(names)) for c in "ab"]
-    schema = T.StructType([*source.schema.fields, *[T.StructField(f"__end_{c}", T.DoubleType()) for c in states], T.StructField("__head", T.BooleanType()), T.StructField("__row", T.LongType())])
+    schema = T.StructType([*source.schema.fields, *[T.StructField(f"__end_{c}", T.DoubleType()) for c in states], T.StructField("__head", T.BooleanType()), T.StructField("__row", T.LongType()), T.StructField("__tail", T.BooleanType())])
     columns = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, last, head, row = [(1.0, 0.0)] * len(names), None, True, 0
+        def ready(columns: list[pa.Array], tail: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(columns[0])) == (len(columns[0]) - 1 if tail else -1))], schema.names)
+
+        state, last, head, row, held = [(1.0, 0.0)] * len(names), None, True, 0, None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -93,14 +96,18 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], maps: dict[str
                 state[k] = end
                 added += [pa.array(to_a), pa.array(to_b)]
             head, last = bool(heads[-1]), tuple(batch.column(c)[n - 1].as_py() for c in keys)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added, pa.array(heads), pa.array(np.arange(row, row + n))], schema.names)
+            if held:
+                yield ready(held, False)
+            held = [*batch.columns, *added, pa.array(heads), pa.array(np.arange(row, row + n))]
             row += n
+        if held:
+            yield ready(held, True)
 
     done = checkpoint(source.mapInArrow(run, schema), "scan")
     # what a range hands on: the composition of its last series' rows, from the range's beginning or from that series' own
-    last = done.groupBy("__part").agg(F.max_by(F.struct(*keys, *states, *[f"__end_{c}" for c in states], "__head"), "__row").alias("x"))
+    last = done.where("__tail").select("__part", *keys, *states, *[f"__end_{c}" for c in states], "__head")  # an aggregate would sort all rows
     heads = done.where("__row = 0").select("__part", F.struct(*keys).alias("first"))
-    carry = _carries(last.select("__part", "x.*").join(heads, "__part"), keys, len(names), before)
+    carry = _carries(last.join(heads, "__part"), keys, len(names), before)
     joined = done.join(F.broadcast(carry), ["__part", "__head"], "left")  # one row a range
     out = [F.when(F.col(f"__c{k}").isNull(), F.col(f"__end___b{k}")).otherwise(F.col(f"__end___a{k}") * F.col(f"__c{k}") + F.col(f"__end___b{k}")).alias(name) for k, name in enumerate(names)]
     return joined.select(*kept, *out)

@@ -95,6 +95,10 @@ def w15(spark, sf_dir):
 _SPANS = {3: 3, 7: 5, 30: 16}
 
 
+#: Line items of a task of the item series: what a task holds does not grow with the table.
+_ROWS = 500_000
+
+
 def _item_days(spark, sf_dir):
     """item, d, y: one series for each item over its days with sales, and a null on the day after a sale where the next sale is later still.
 
@@ -103,7 +107,8 @@ def _item_days(spark, sf_dir):
     nation = t(spark, sf_dir, "nation").join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
     store = t(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("s_suppkey").alias("store"))
     line = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("store"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").alias("qty"))
-    line = line.where("item IS NOT NULL").join(store, "store").select("item", "d", "qty").repartition("item")
+    tasks = max(spark.sparkContext.defaultParallelism, line.count() // _ROWS + 1)  # the count comes from the files' footers
+    line = line.where("item IS NOT NULL").join(store, "store").select("item", "d", "qty").repartition(tasks, "item")
     days = line.join(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), "item").groupBy("item", "d").agg(F.sum("qty").alias("y"))
     later = F.date_diff(F.lead("d").over(W.ordered(["item"], "d")), "d") > 1
     sale, hole = F.struct("d", "y"), F.struct(F.date_add("d", 1).alias("d"), F.lit(None).cast("double").alias("y"))

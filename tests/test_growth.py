@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import distributions as D
 from panelforge.operators import hierarchy as H
 from panelforge.operators import metrics as M
+from panelforge.operators import scan as S
 from panelforge.plans import forecast_queries, relational_queries, window_queries
 from panelforge.streaming import timers
 
@@ -82,6 +83,18 @@ def test_item_series_are_dealt_out_once(spark, query):
     assert text.count("lineitem.parquet") == 1 and "panelforge/scan-" not in text  # sales and holes each read the table; scans wrote all rows
 
 
+def test_tasks_of_item_series_grow_in_number_not_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(window_queries, "_ROWS", 500)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert re.findall(r"Exchange hashpartitioning\(item#\w+, (\d+)\)", plan(window_queries.w15_gaps(spark, SF))) == [str(rows // 500 + 1)]
+
+
+def test_carries_of_a_scan_sort_no_rows(spark):
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "id string, d long, x double")
+    text = plan(S.ewm_mean(df, ["id"], ["d"], "x", "e", 0.5))
+    assert "max_by" not in text and "__tail" in text  # an aggregate over structs sorted all rows that the scan had written
+
+
 class _Handle:
     def __init__(self):
         self.calls, self.rows = [], []
