@@ -104,11 +104,11 @@ def _item_days(spark, sf_dir):
 
     Rows are dealt out once, by item: sums, gaps and a series' means share that exchange. A series has at most a row a day.
     """
-    nation = t(spark, sf_dir, "nation").join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    store = t(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("s_suppkey").alias("store"))
+    nation = t(spark, sf_dir, "nation").join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey")
+    store = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("store"), "s_nationkey")
     line = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("store"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").alias("qty"))
     tasks = max(spark.sparkContext.defaultParallelism, line.count() // _ROWS + 1)  # the count comes from the files' footers
-    line = line.where("item IS NOT NULL").join(store, "store").select("item", "d", "qty").repartition(tasks, "item")
+    line = line.where("item IS NOT NULL").join(store, "store").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("item", "d", "qty").repartition(tasks, "item")
     days = line.join(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), "item").groupBy("item", "d").agg(F.sum("qty").alias("y"))
     later = F.date_diff(F.lead("d").over(W.ordered(["item"], "d")), "d") > 1
     sale, hole = F.struct("d", "y"), F.struct(F.date_add("d", 1).alias("d"), F.lit(None).cast("double").alias("y"))

@@ -89,6 +89,15 @@ def test_tasks_of_item_series_grow_in_number_not_in_rows(spark, monkeypatch):
     assert re.findall(r"Exchange hashpartitioning\(item#\w+, (\d+)\)", plan(window_queries.w15_gaps(spark, SF))) == [str(rows // 500 + 1)]
 
 
+def test_item_series_count_repeated_dimension_rows_as_joins_do(spark, tmp_path):
+    for name in ("lineitem", "part", "supplier", "nation", "region"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        (df.union(df) if name in ("nation", "region") else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    total = lambda path: window_queries._item_days(spark, path).agg(F.sum("y"), F.count("*")).first()
+    once, four = total(SF), total(str(tmp_path))
+    assert four[0] == 4 * once[0] and four[1] == once[1]
+
+
 def test_carries_of_a_scan_sort_no_rows(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "id string, d long, x double")
     text = plan(S.ewm_mean(df, ["id"], ["d"], "x", "e", 0.5))
